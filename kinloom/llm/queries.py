@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, common, token_counts, token_file, topk, vector_dedup
+import corpus_pipeline
+from kinloom.llm import bpe, common, jaccard, language, mixing, quality, substring_dedup, token_counts, token_file, topk, vector_dedup
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: Fixed values of the token file: the id that ends a document, and the limit of a context in tokens.
@@ -21,12 +22,30 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_BPE)
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).eqNullSafe(F.lit(2))
+    model = common.stored(language.learn(docs, "doc_id", "text", "lang", ~held_out, path))
+    out = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), "text", model, path)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.bpe_encode_decode(docs, "text", public_tokenizers.path(WORD_BPE))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_join(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_report(docs, "doc_id", "text", "source", mixing.cyclic_weights(3), most_epochs=3.0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.token_counts(docs, "text", public_tokenizers.path(PIECE_BPE))
@@ -44,6 +63,102 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_bpe_encode_decode, op6_token_counts, op7_vector_near_dedup, op8_token_file)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeats(docs, "text", window=35, joined=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_scores(docs, "doc_id", "text").drop("text")
+
+
+QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    **{
+        f.__name__: f
+        for f in (
+            op1_exact_top_k,
+            op2_language_id,
+            op3_bpe_encode_decode,
+            op4_ngram_jaccard_join,
+            op5_source_mix,
+            op6_token_counts,
+            op7_vector_near_dedup,
+            op8_token_file,
+            op9_substring_dedup,
+            op10_quality_classifier,
+        )
+    },
+}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_substring_dedup": rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35
+        ), h AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p
+        ), r AS (
+            SELECT h FROM h GROUP BY h HAVING count(*) > 1
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM h WHERE h IN (SELECT h FROM r)
+        ), a AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d
+        ), k AS (
+            SELECT a.doc_id, count(c.i) AS n_removed, string_agg(CASE WHEN c.i IS NULL THEN a.word END, ' ' ORDER BY a.i) AS kept
+            FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.i = c.i GROUP BY a.doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op4_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), b AS (
+            SELECT a.doc_id AS x, c.doc_id AS y, count(*) AS k FROM s a JOIN s c ON a.g = c.g AND a.doc_id <> c.doc_id GROUP BY a.doc_id, c.doc_id
+        ), l AS (
+            SELECT x, y FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE k / CAST(p.n + q.n - k AS DOUBLE) >= 0.8
+        ), t AS (
+            SELECT doc_id, doc_id AS m FROM n UNION SELECT l.y, t.m FROM t JOIN l ON l.x = t.doc_id WHERE t.m < l.y
+        ), h AS (
+            SELECT doc_id, min(m) AS class_id FROM t GROUP BY doc_id
+        ), e AS (
+            SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x
+        )
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+        FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id""",
+    "op7_vector_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+        ), t AS (
+            SELECT vec_id, vec_id AS m FROM v UNION SELECT l.y, t.m FROM t JOIN l ON l.x = t.vec_id WHERE t.m < l.y
+        ), h AS (
+            SELECT vec_id, min(m) AS component_id FROM t GROUP BY vec_id
+        ), e AS (
+            SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x
+        )
+        SELECT h.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, h.vec_id = component_id AS kept
+        FROM h LEFT JOIN e ON e.vec_id = h.vec_id""",
+}

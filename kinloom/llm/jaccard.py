@@ -5,8 +5,9 @@ fewer words is one shingle).  In each of RUNS runs a set enters the nodes of the
 FIRST over the set's size, by a hash that all sets share; similar sets so share a node with known chance, and the number of runs
 follows from the target recall.  A node with few members is compared by brute force.  A larger one is split again: each
 member samples places of its one-permutation minhash sketch, each place with the same chance for all members of the node,
-and enters the child of each place and value; children are split on until they are small.  Nodes that stay large to the
-last level hold sets that agree almost everywhere; their members are compared block against block.
+and enters the child of each place and value; children are split on until they are small.  A large node whose members agree
+in DENSE of the places on average would only be copied by a split, so its members are compared at once, block against block;
+so are those of nodes that stay large to the last level.
 
 Comparisons inside nodes use the sketches with a margin and only give a spanning forest, so that no group's pairs are sent
 on.  Within each component of that forest all pairs are then compared by their whole sets, block against block where a
@@ -39,6 +40,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 FIRST, LATER = 1.6, 2.5
 #: Members of a node that are compared by brute force; levels; rows of a block; places of a sketch; margin of a comparison.
 SMALL, LEVELS, BLOCK, PLACES, SKETCHED = 96, 6, 512, 128, 0.6
+#: Mean agreement of a node's members from which it is not split, and the places by which it is estimated.
+DENSE, PROBES = 0.4, 8
 
 
 def text_set(data: np.ndarray, words: int) -> np.ndarray:
@@ -160,6 +163,16 @@ def _large_nodes(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key, "root": root})
 
 
+def _density(members: DataFrame) -> DataFrame:
+    """For each node (node, key, size, sketch in) how often two members agree in a place that both fill: node, density."""
+    places = [F.pmod(F.xxhash64("node", F.lit(t)), F.lit(PLACES)).cast("int") for t in range(PROBES)]
+    probes = F.array(*[F.struct(p.alias("place"), F.col("sketch").substr(2 * p + 1, F.lit(2)).alias("value")) for p in places])
+    each = members.select("node", F.explode(F.array_distinct(probes)).alias("p")).where(F.col("p.value") != F.lit(b"\0\0"))
+    counts = each.groupBy("node", "p").agg(F.count("*").alias("n"))
+    by_place = counts.groupBy("node", "p.place").agg(F.sum("n").alias("filled"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    return by_place.groupBy("node").agg((F.sum(F.col("squares") / F.col("filled")) / F.sum("filled")).alias("density"))
+
+
 def _blocks(df: DataFrame, size: str, rows: int) -> DataFrame:
     """Deals each member of a group to a block and makes a row for each pair of blocks that it is in: low, high, block."""
     blocks = F.ceil(F.col(size) / rows)
@@ -253,7 +266,7 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), s.column(1).take(pa.array(i))], ["node", "key"])
 
     members = distinct.select(F.explode("nodes").alias("node"), "key")
-    few, many = [], None
+    few, dense = [], []
     for level in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key") % (1 << 52)).alias("sign")).where("size > 1")
         sizes = common.stored(sizes)
@@ -261,20 +274,23 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
         once = sizes.where(F.col("size") <= SMALL).groupBy("size", "sign").agg(F.min("node").alias("node")).select("node")
         few.append(members.join(once, "node"))
         large = sizes.where(F.col("size") > SMALL).groupBy("size", "sign").agg(F.min("node").alias("node")).select("node", "size")
-        many = members.join(large, "node")
-        if level + 1 < LEVELS:
-            if large.isEmpty():
-                many = None
-                break
-            next_ = many.select("node", "key").join(sketches, "key").select("node", "key", "sketch")
-            members = common.stored(next_.mapInArrow(split, "node long, key binary").distinct())
+        if large.isEmpty():
+            break
+        many = common.stored(members.join(large, "node").join(sketches, "key").select("node", "key", "size", "sketch"))
+        if level + 1 == LEVELS:
+            dense.append(many)
+            break
+        judged = many.join(_density(many), "node", "left").withColumn("dense", F.coalesce(F.col("density") >= DENSE, F.lit(True)))
+        judged = common.stored(judged.drop("density"))
+        dense.append(judged.where("dense").drop("dense"))
+        members = common.stored(judged.where("not dense").select("node", "key", "sketch").mapInArrow(split, "node long, key binary").distinct())
     small = few[0]
     for f in few[1:]:
         small = small.unionByName(f)
     small = small.join(sketches, "key").select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
     edges = small.mapInArrow(_small_nodes, "key binary, root binary")
-    if many is not None:
-        dealt = _blocks(many, "size", BLOCK).join(sketches, "key").select("node", "low", "high", "key", "sketch")
+    for many in dense:
+        dealt = _blocks(many, "size", BLOCK).select("node", "low", "high", "key", "sketch")
         edges = edges.unionByName(dealt.groupBy("node", "low", "high").applyInPandas(_large_nodes, "key binary, root binary"))
     rough = connected_components(common.stored(edges), "key", "root").select(F.col("node").alias("key"), F.col("component").alias("comp"))
     rough = common.stored(rough)

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from kinloom.llm import common
 from kinloom.llm.bpe import slices
 
-#: Texts to train on; hashed features; passes over the sample; the least score that is kept.
-SAMPLE, FEATURES, EPOCHS, KEEP = 4096, 1 << 16, 8, 0.5
+#: Texts to train on; hashed features; passes over the sample; the least score that is kept; bytes of text looked at together.
+SAMPLE, FEATURES, EPOCHS, KEEP, AT_ONCE = 4096, 1 << 16, 8, 0.5, 1 << 19
 #: Fixed values of the labellers: above the first share a text is junk to it, below the second (if any) clean, else no vote.
 LABELLERS = {
     "symbols": (0.05, None),  # bytes that are symbols, of all
@@ -39,72 +39,125 @@ LABELLERS = {
 }
 #: Bounds of a labeller's accuracy.
 RIGHT = (0.6, 0.99)
-_SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[list(b"#$%&*@^~<>{}[]\\=+_|")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[ord("A") : ord("Z") + 1] = True
-_LOWER = np.zeros(256, bool)
-_LOWER[ord("a") : ord("z") + 1] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[ord("0") : ord("9") + 1] = True
-_HIGH = np.arange(256) > 127
 
 
-def _seen_before(h: np.ndarray) -> float:
-    return 1 - len(np.unique(h)) / len(h) if len(h) else 0.0
+def _kind(bytes_: bytes | range) -> np.ndarray:
+    flags = np.zeros(256, bool)
+    flags[list(bytes_)] = True
+    return flags
 
 
-def _in_words(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
-    return sums[end] - sums[start]
-
-
-class Look:
-    """What the labellers and the features need of one text."""
-
-    def __init__(self, data: np.ndarray):
-        self.data = data
-        self.hash, self.start, self.end = common.word_hashes(data)
-        n = len(self.hash)
-        if n:
-            self.upper, self.lower, self.digit, self.high, self.symbol = (_in_words(c[data], self.start, self.end) for c in (_UPPER, _LOWER, _DIGIT, _HIGH, _SYMBOLS))
-            self.same = np.concatenate([[False], self.hash[1:] == self.hash[:-1]])
-
-    def shares(self) -> dict[str, float]:
-        n = len(self.hash)
-        letters = int(self.upper.sum() + self.lower.sum())
+#: Which bytes are of a kind.
+_KINDS = {
+    "symbol": _kind(b"#$%&*@^~<>{}[]\\=+_|"),
+    "upper": _kind(range(ord("A"), ord("Z") + 1)),
+    "lower": _kind(range(ord("a"), ord("z") + 1)),
+    "digit": _kind(range(ord("0"), ord("9") + 1)),
+    "high": _kind(range(128, 256)),
+    "bang": _kind(b"!"),
+}
+#: The features of a word equal to the one before, and of one seen before in its text.
+FLAGS = (common.mix(np.arange(2, dtype=np.uint64) + np.uint64(0xF1A6)) % np.uint64(FEATURES)).astype(np.int64)
+
+
+def _counts(flat: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """For each list of spans (starts, ends) the bytes of each kind in each span, by prefix sums of two kinds at once."""
+    out: list[dict[str, np.ndarray]] = [{} for _ in spans]
+    names = list(_KINDS)
+    for low, high in zip(names[::2], names[1::2], strict=True):
+        sums = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum((_KINDS[low] + (_KINDS[high].astype(np.int64) << 32))[flat], out=sums[1:])
+        for counts, (start, end) in zip(out, spans, strict=True):
+            both = sums[end] - sums[start]
+            counts[low], counts[high] = both & 0xFFFFFFFF, both >> 32
+    return out
+
+
+class Looks:
+    """What the labellers and the features need of the texts of one batch, taken together: all its words stand in a row.
+
+    Only texts with words count; some tells which of the batch's these are.  In the arrays by word, of says whose a word is.
+    """
+
+    def __init__(self, column: pa.Array):
+        texts = common.byte_arrays(column)
+        space, none = np.frombuffer(b" ", np.uint8), np.zeros(0, np.uint8)
+        flat = np.concatenate([x for t in texts for x in (none if t is None else t, space)] or [none])
+        begin = np.concatenate([[0], np.cumsum([1 + (0 if t is None else len(t)) for t in texts], dtype=np.int64)])
+        self.hash, start, self.end = common.word_hashes(flat)
+        of = np.searchsorted(begin, start, side="right") - 1
+        self.some = np.bincount(of, minlength=len(texts)) > 0
+        self.of = (np.cumsum(self.some) - 1)[of]
+        self.n = int(self.some.sum())
+        self.words = np.bincount(self.of, minlength=self.n)
+        first, last = begin[:-1][self.some], begin[1:][self.some] - 1
+        self.bytes = last - first
+        self.in_text, self.in_word = _counts(flat, (first, last), (start, self.end))
+        self.size, self.ending = self.end - start, flat[self.end - 1] if len(start) else none
+        self.same = np.zeros(len(start), bool)
+        self.same[1:] = (self.hash[1:] == self.hash[:-1]) & (self.of[1:] == self.of[:-1])
+        self.repeated = self.words - self._distinct(self.hash, self.of)
+
+    def _per_text(self, flags: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[flags], minlength=self.n)
+
+    def _distinct(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """How many of 48-bit hashes differ within each text (a batch has under 65536)."""
+        keys = np.sort((of.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        return np.bincount((keys[new] >> np.uint64(48)).astype(np.int64), minlength=self.n)
+
+    def shares(self) -> dict[str, np.ndarray]:
+        w, n = self.in_word, self.words
+        letters = self.in_text["upper"] + self.in_text["lower"]
+        named = w["upper"] + w["lower"] + w["digit"] + w["high"]
+        runs = common.shingle_hashes(self.hash, 3)
+        inside = self.of[2:] == self.of[:-2] if len(self.of) > 2 else np.zeros(0, bool)
+        phrases = np.maximum(n - 2, 0)
         return {
-            "symbols": float(_SYMBOLS[self.data].mean()),
-            "shouting": float(self.upper.sum() / letters) if letters else 0.0,
-            "stutter": float(self.same.mean()),
-            "bars": float((self.upper + self.lower + self.digit + self.high == 0).mean()),
-            "exclaiming": float((self.data == ord("!")).sum() / n),
-            "odd": float(((self.digit + self.symbol > 0) | (self.end - self.start - self.upper - self.lower - self.digit - self.high - self.symbol > 1)).mean()),
-            "phrases": _seen_before(common.shingle_hashes(self.hash, 3)),
-            "poor": _seen_before(self.hash) if n >= 40 else 0.7,
+            "symbols": self.in_text["symbol"] / self.bytes,
+            "shouting": self.in_text["upper"] / np.maximum(letters, 1),
+            "stutter": self._per_text(self.same) / n,
+            "bars": self._per_text(named == 0) / n,
+            "exclaiming": self.in_text["bang"] / n,
+            "odd": self._per_text((w["digit"] + w["symbol"] > 0) | (self.size - named - w["symbol"] > 1)) / n,
+            "phrases": (phrases - self._distinct(runs[inside], self.of[2:][inside])) / np.maximum(phrases, 1),
+            "poor": np.where(n >= 40, self.repeated / n, 0.7),
         }
 
-    def votes(self) -> int:
+    def votes(self) -> np.ndarray:
         """A digit for each labeller, base 3: 0 none, 1 clean, 2 junk."""
-        code = 0
+        code = np.zeros(self.n, np.int64)
         shares = self.shares()
         for name, (junk, clean) in LABELLERS.items():
-            code = code * 3 + (2 if shares[name] > junk else 1 if clean is not None and shares[name] < clean else 0)
+            code = code * 3 + np.where(shares[name] > junk, 2, 0 if clean is None else shares[name] < clean)
         return code
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed features and the share of words that have each."""
-        size = np.minimum(self.end - self.start, 12)
-        shape = (self.upper > 0) * 1 + (self.lower > 0) * 2 + (self.digit > 0) * 4 + (self.high > 0) * 8 + np.minimum(self.symbol, 3) * 16
-        shape = shape + (np.searchsorted([2, 5, 9], size, side="right")) * 64 + self.data[self.end - 1].astype(np.int64) * 256
+    def _by_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features of each word: itself, and its shape."""
+        w = self.in_word
+        shape = (w["upper"] > 0) * 1 + (w["lower"] > 0) * 2 + (w["digit"] > 0) * 4 + (w["high"] > 0) * 8 + np.minimum(w["symbol"], 3) * 16
+        shape = shape + np.searchsorted([2, 5, 9], np.minimum(self.size, 12), side="right") * 64 + self.ending.astype(np.int64) * 256
         shapes = common.mix(shape.astype(np.uint64) + np.uint64(0x51A9E)) % np.uint64(FEATURES)
-        words = self.hash % np.uint64(FEATURES)
-        seen = np.ones(len(self.hash), bool)
-        seen[np.unique(self.hash, return_index=True)[1]] = False
-        flags = common.mix(np.arange(2, dtype=np.uint64) + np.uint64(0xF1A6)) % np.uint64(FEATURES)
-        every = np.concatenate([words, shapes, np.full(int(self.same.sum()), flags[0]), np.full(int(seen.sum()), flags[1])])
-        at, count = np.unique(every, return_counts=True)
-        return at.astype(np.int64), count / len(self.hash)
+        return (self.hash % np.uint64(FEATURES)).astype(np.int64), shapes.astype(np.int64)
+
+    def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its hashed features and the share of words that have each."""
+        words, shapes = self._by_word()
+        texts = np.arange(self.n)
+        of = np.concatenate([self.of, self.of, self.of[self.same], np.repeat(texts, self.repeated)])
+        every = np.concatenate([words, shapes, np.full(int(self.same.sum()), FLAGS[0]), np.full(int(self.repeated.sum()), FLAGS[1])])
+        keys, count = np.unique(of * FEATURES + every, return_counts=True)
+        cuts = np.searchsorted(keys // FEATURES, np.arange(self.n + 1))
+        return [(keys[a:z] % FEATURES, count[a:z] / n) for a, z, n in zip(cuts[:-1], cuts[1:], self.words, strict=True)]
+
+    def scores(self, weights: np.ndarray, offset: float) -> np.ndarray:
+        """The linear scorer's chance of being clean: each word adds the weights of its features."""
+        words, shapes = self._by_word()
+        total = np.bincount(self.of, weights[words] + weights[shapes] + self.same * weights[FLAGS[0]], minlength=self.n)
+        total = (total + self.repeated * weights[FLAGS[1]]) / self.words
+        return 1 / (1 + np.exp(-np.clip(total + offset, -40, 40)))
 
 
 def label_model(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 100) -> np.ndarray:
@@ -146,9 +199,8 @@ def quality_scores(docs: DataFrame, doc_id: str, text: str, keep_from: float = K
 
     def vote(batches):
         for whole in batches:
-            for b in slices(whole, 1):
-                looks = [Look(t) for t in common.byte_arrays(b.column(1))]
-                yield pa.RecordBatch.from_arrays([pa.array([x.votes() for x in looks if len(x.hash)], pa.int64())], ["code"])
+            for b in slices(whole, 1, AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(Looks(b.column(1)).votes())], ["code"])
 
     patterns = slim.mapInArrow(vote, "code long").groupBy("code").count().toPandas().sort_values("code")
     n = int(patterns["count"].sum())
@@ -162,12 +214,16 @@ def quality_scores(docs: DataFrame, doc_id: str, text: str, keep_from: float = K
 
     def describe(batches):
         for whole in batches:
-            for b in slices(whole, 1):
-                looks = [Look(t) for t in common.byte_arrays(b.column(1))]
-                some = [len(x.hash) > 0 for x in looks]
-                looks = [x for x in looks if len(x.hash)]
-                made = [x.features() for x in looks]
-                columns = [pa.array([0] * len(made), pa.int32()), b.column(0).filter(pa.array(some, pa.bool_())), pa.array([posterior[x.votes()] for x in looks], pa.float64()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())]
+            for b in slices(whole, 1, AT_ONCE):
+                looks = Looks(b.column(1))
+                made = looks.features()
+                columns = [
+                    pa.array([0] * len(made), pa.int32()),
+                    b.column(0).filter(pa.array(looks.some)),
+                    pa.array([posterior[v] for v in looks.votes().tolist()], pa.float64()),
+                    pa.array([i.tobytes() for i, _ in made], pa.binary()),
+                    pa.array([v.tobytes() for _, v in made], pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["model", "draw", "label", "at", "share"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -184,18 +240,12 @@ def quality_scores(docs: DataFrame, doc_id: str, text: str, keep_from: float = K
 
     def score(batches):
         for whole in batches:
-            for b in slices(whole, at):
-                scores, labels = [], []
-                for t in common.byte_arrays(b.column(at)):
-                    look = Look(t) if t is not None else None
-                    if look is None or not len(look.hash):
-                        scores.append(0.0)
-                        labels.append(0.0)
-                        continue
-                    i, x = look.features()
-                    scores.append(float(1 / (1 + np.exp(-np.clip(weights.value[i] @ x + offset, -40, 40)))))
-                    labels.append(posterior.get(look.votes(), 0.5))
-                keep = pa.array(np.array(scores) >= keep_from) if scores else pa.array([], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(labels, pa.float64()), keep], [*b.schema.names, *added])
+            for b in slices(whole, at, AT_ONCE):
+                looks = Looks(b.column(at))
+                scores, labels = np.zeros(b.num_rows), np.zeros(b.num_rows)
+                scores[looks.some] = looks.scores(weights.value, offset)
+                labels[looks.some] = [posterior.get(v, 0.5) for v in looks.votes().tolist()]
+                keep = pa.array(looks.some & (scores >= keep_from))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array(labels), keep], [*b.schema.names, *added])
 
     return docs.mapInArrow(score, schema)

@@ -8,8 +8,12 @@ each group compares its members in double precision.  A pair that meets under se
 filter that both have, so counts need no pairs to be sent on: a group gives link counts and the edges of a spanning forest.
 Components come from those edges.
 
+A vector always has its LEAST best filters, whatever the threshold, so none is left out and scaled copies meet.
+
 The code grows with the table, so groups stay near GROUP vectors; a group beyond SPLIT is dealt into blocks and
-compared block against block.  TABLES independent codes with about LISTED filters each give the recall; links found are
+compared block against block.  Every code is turned at random, so the chance that a pair of some cosine shares a filter is the same for
+all pairs, whatever the table holds; plan measures it for pairs at the threshold and takes as many independent codes as find RECALL of
+them.  Where that would compare a vector with as many others as the table has, all are compared and recall is 1.  Links found are
 exact, none is below the threshold.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and so do rows with a null id, whose
@@ -19,7 +23,7 @@ vectors of their own that link with each other.  An empty table gives an empty r
 
 from __future__ import annotations
 
-from statistics import NormalDist
+import math
 
 import numpy as np
 import pandas as pd
@@ -32,38 +36,109 @@ from kinloom.llm import common
 from kinloom.llm.vectors import matrix
 from kinloom.operators.graph import connected_components
 
-TABLES, LISTED, SLICES, GROUP, SPLIT = 4, 8, 2, 64, 1024
+#: Share of the pairs at the threshold that is found; mean filters of a vector to choose from, and the fewest; parts; vectors of a filter, and of a block.
+RECALL, LISTED, LEAST, SLICES, GROUP, SPLIT = 0.999, (2, 8, 32), 2, 2, 512, 1024
+#: Pairs and codes by which plan measures, and deviations that it allows for.
+PAIRS, CODES, MARGIN = 512, 4, 2.0
+
+
+def cap_level(share: float, width: int) -> float:
+    """The inner product with a fixed unit vector that a share (up to a half) of all unit vectors of a width exceeds."""
+    angle = np.linspace(0, np.pi / 2, 1 << 16)
+    with np.errstate(divide="ignore"):
+        density = np.exp((width - 2) * np.log(np.sin(angle))) if width > 2 else np.ones(len(angle))
+    area = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return float(np.cos(np.interp(share, area / area[-1] / 2, angle)))
 
 
 class ProductCode:
     """One random product code over vectors of a width, with about listed filters a vector and group vectors a filter."""
 
-    def __init__(self, width: int, rows: int, seed: int, listed: int = LISTED, group: int = GROUP):
+    def __init__(self, width: int, rows: int, seed: int, listed: int = LISTED[0], group: int = GROUP):
         rng = np.random.default_rng(seed)
-        self.parts = min(SLICES if rows < 1 << 27 else SLICES + 1, width)
+        # A part of one dimension would have two directions only.
+        self.parts = min(SLICES if rows < 1 << 27 else SLICES + 1, width // 2)
         want = max(listed * rows / group, 4 * listed)
         self.size = max(2, int(np.ceil(want ** (1 / self.parts))))
-        self.turn, _ = np.linalg.qr(rng.standard_normal((width, width)))
+        turn, upper = np.linalg.qr(rng.standard_normal((width, width)))
+        self.turn = turn * np.sign(np.diag(upper))
         self.cuts = np.linspace(0, width, self.parts + 1).astype(int)
         self.codes = []
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = rng.standard_normal((self.size, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt((b - a) / width))
-        share = listed / self.size**self.parts
-        self.level = NormalDist().inv_cdf(1 - share) / np.sqrt(width)
+        # A filter is a unit vector, so its share of all vectors is that of a spherical cap.
+        self.level = cap_level(listed / self.size**self.parts, width)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and filter numbers of all filters above the level."""
+        """Row numbers and filter numbers of all filters above the level, and of each row's LEAST best."""
         turned = unit @ self.turn
         scores = [turned[:, a:b] @ c.T for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
+        few, best = min(self.size, LEAST), np.zeros((len(unit), 1))
+        for s in scores:
+            top = np.partition(s, self.size - few, axis=1)[:, self.size - few :]
+            best = (best[:, :, None] + top[:, None]).reshape(len(unit), -1)
+            best = np.sort(best, axis=1)[:, -LEAST:]
+        level = np.minimum(self.level, best[:, 0])
         rest = [sum(s.max(1) for s in scores[i + 1 :]) + np.zeros(len(unit)) for i in range(self.parts)]
         row, total, name = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), np.int64)
-        for s, more in zip(scores, rest, strict=True):
+        for at, (s, more) in enumerate(zip(scores, rest, strict=True)):
             sums = total[:, None] + s[row]
-            i, j = np.nonzero(sums >= (self.level - more[row])[:, None])
+            slack = 1e-12 if at + 1 < self.parts else 0.0
+            i, j = np.nonzero(sums >= (level - more - slack)[row][:, None])
             row, total, name = row[i], sums[i, j], name[i] * self.size + j
         return row, name
 
+    def slice(self) -> int:
+        """Vectors to decode at once, for bounded memory."""
+        return max(16, min(2048, (1 << 22) // self.size))
+
+
+def pairs_at(width: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at a cosine."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * b
+
+
+def meeting(code: ProductCode, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which of the pairs share a filter of a code, and how many filters the first ones have."""
+    met, n = np.zeros(len(a), bool), 0
+    for at in range(0, len(a), code.slice()):
+        end = min(len(a), at + code.slice())
+        (i, f), (j, g) = code.decode(a[at:end]), code.decode(b[at:end])
+        both = np.intersect1d(f * (end - at) + i, g * (end - at) + j)
+        met[at + both % (end - at)] = True
+        n += len(i)
+    return met, n
+
+
+def plan(width: int, rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Listed filters of a vector, and codes, that find the share recall of the pairs at the threshold with fewest filters; no codes: compare all."""
+    best, least = (LISTED[0], 0), rows / GROUP
+    # In fewer than four dimensions a fixed share of all pairs links, whatever the table.
+    if width < 4 or not 0 < threshold:
+        return best
+    for listed in LISTED:
+        if listed * GROUP >= rows:
+            break
+        met, n = 0, 0
+        for seed in range(CODES):
+            a, b = pairs_at(width, min(threshold, 1.0), PAIRS, seed)
+            found, filters = meeting(ProductCode(width, rows, 1_000_000 + seed, listed), a, b)
+            met, n = met + int(found.sum()), n + filters
+        share = met / (CODES * PAIRS)
+        share -= MARGIN * math.sqrt(share * (1 - share) / (CODES * PAIRS))
+        if share <= 0:
+            continue
+        tables = 1 if share >= recall else math.ceil(math.log(1 - recall) / math.log(1 - share))
+        if tables * n / (CODES * PAIRS) < least:
+            best, least = (listed, tables), tables * n / (CODES * PAIRS)
+    return best
+
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least member of each one's component, for the links (i, j)."""
@@ -144,16 +219,19 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str, embedding: str, thre
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     width = int(width)
+    mean, tables = plan(width, n, threshold)
 
     def listed(batches):
-        codes = [ProductCode(width, n, seed) for seed in range(TABLES)]
+        codes = [ProductCode(width, n, seed, mean) for seed in range(tables)]
+        step = min([2048, *(code.slice() for code in codes)])
         for b in batches:
-            for s in (b.slice(at, 2048) for at in range(0, b.num_rows, 2048)):
+            for s in (b.slice(at, step) for at in range(0, b.num_rows, step)):
                 x = np.zeros((s.num_rows, width))
                 for r, v in enumerate(s.column(1).to_pylist()):
                     x[r, : len(v) // 8] = np.frombuffer(v, "<f8")
                 x /= np.sqrt((x * x).sum(1))[:, None]
-                found = [(row, name * TABLES + t) for t, code in enumerate(codes) for row, name in [code.decode(x)]]
+                found = [(row, name * tables + t) for t, code in enumerate(codes) for row, name in [code.decode(x)]]
+                found = found or [(np.arange(s.num_rows), np.zeros(s.num_rows, np.int64))]
                 row, name = (np.concatenate(v) for v in zip(*found, strict=True))
                 order = np.lexsort((name, row))
                 row, name = row[order], name[order]

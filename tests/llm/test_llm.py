@@ -182,6 +182,28 @@ def test_near_vectors(spark):
     assert vector_dedup.near_duplicate_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize(("width", "rows"), [(16, 10**5), (64, 10**6)])
+def test_vector_filters_keep_recall_as_tables_grow(width, rows):
+    listed, tables = vector_dedup.plan(width, rows, 0.95)
+    a, b = vector_dedup.pairs_at(width, 0.95, 1000, 5)
+    met, each = np.zeros(len(a), bool), 0
+    for seed in range(tables):
+        code = vector_dedup.ProductCode(width, rows, seed, listed)
+        assert len(np.unique(code.decode(a)[0])) == len(a)
+        found, n = vector_dedup.meeting(code, a, b)
+        met, each = met | found, each + n / len(a)
+    assert met.mean() >= 0.99 and each < rows / vector_dedup.GROUP
+    assert vector_dedup.meeting(vector_dedup.ProductCode(width, rows, 0, listed), a, a * 3.7 / 3.7)[0].all()
+
+
+def test_small_tables_of_vectors_are_compared_whole(spark):
+    x = np.random.default_rng(3).standard_normal((400, 8))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(df, "vec_id", "embedding", 0.5).collect()}
+    assert got == dict(enumerate(((unit @ unit.T) >= 0.5).sum(1) - 1))
+
+
 def test_mix_reaches_targets(docs, none):
     df = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
     got = mixing.mix_report(df, "doc_id", "text", "source", mixing.cyclic_weights(3)).collect()

@@ -2,8 +2,10 @@
 
 Heuristic labellers look at a text and vote junk, clean or nothing; each kind of junk shows to more than one.  Spark counts the
 vote patterns over all texts (at most 3 ** labellers of them), and expectation maximisation estimates from the counts how
-often each labeller is right when it votes, and how much junk there is; that gives each pattern a posterior.  A labeller
-is taken to be right more often than wrong, and its silence to say nothing.  A linear scorer over hashed
+often each labeller is right when it votes, for its two votes apart; that gives each pattern a posterior, with clean and junk
+as likely before the votes: a share estimated along with them drifts until all texts are junk where junk is common.  A vote is
+taken to be right more often than wrong, and silence to say nothing; so none calls a text clean that repeats itself, which
+looks at single words cannot tell.  A linear scorer over hashed
 features (words, shapes of words, repetition) is then trained on the posteriors of a sample of about SAMPLE texts, drawn by
 a hash; the sample bounds the training.  The scorer judges every whole text.
 
@@ -37,7 +39,9 @@ LABELLERS = {
     "odd": (0.3, 0.1),  # words with digits, symbols or two other marks
     "poor": (0.85, None),  # words seen before in the text, of texts of 40 words and more
 }
-#: Bounds of a labeller's accuracy.
+#: Labellers of repetition; where one of them votes junk, none votes clean.
+REPEATING = ("stutter", "phrases")
+#: Bounds of the accuracy of a labeller's vote.
 RIGHT = (0.6, 0.99)
 
 
@@ -130,8 +134,9 @@ class Looks:
         """A digit for each labeller, base 3: 0 none, 1 clean, 2 junk."""
         code = np.zeros(self.n, np.int64)
         shares = self.shares()
+        varied = ~np.any([shares[name] > LABELLERS[name][0] for name in REPEATING], axis=0)
         for name, (junk, clean) in LABELLERS.items():
-            code = code * 3 + np.where(shares[name] > junk, 2, 0 if clean is None else shares[name] < clean)
+            code = code * 3 + np.where(shares[name] > junk, 2, 0 if clean is None else (shares[name] < clean) & varied)
         return code
 
     def _by_word(self) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +168,14 @@ class Looks:
 def label_model(codes: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 100) -> np.ndarray:
     """The posterior of being clean for each vote pattern, by expectation maximisation over the pattern counts."""
     votes = codes[:, None] // 3 ** np.arange(labellers - 1, -1, -1)[None] % 3
-    sign = np.where(votes == 1, 1.0, np.where(votes == 2, -1.0, 0.0))
-    right, prior = np.full(labellers, 0.8), 0.5
+    # One accuracy for the clean votes of a labeller and one for its junk votes.
+    cast = np.hstack([votes == 1, votes == 2]).astype(np.float64)
+    for_clean = np.repeat([True, False], labellers)
+    right = np.full(2 * labellers, 0.8)
     for _ in range(rounds):
-        clean = 1 / (1 + np.exp(-(sign @ np.log(right / (1 - right)) + np.log(prior / (1 - prior)))))
-        agree = counts @ np.where(sign > 0, clean[:, None], np.where(sign < 0, 1 - clean[:, None], 0.0))
-        new = np.clip((agree + 1) / (counts @ (sign != 0) + 1.25), *RIGHT)
-        prior = float(np.clip((counts @ clean + 1) / (counts.sum() + 2), 0.05, 0.95))
+        clean = 1 / (1 + np.exp(-(cast @ (np.log(right / (1 - right)) * np.where(for_clean, 1, -1)))))
+        agree = np.where(for_clean, (counts * clean) @ cast, (counts * (1 - clean)) @ cast)
+        new = np.clip((agree + 1) / (counts @ cast + 1.25), *RIGHT)
         if np.abs(new - right).max() < 1e-9:
             break
         right = new

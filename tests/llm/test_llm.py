@@ -247,6 +247,20 @@ def test_quality_rejects_junk(spark, none):
     assert quality.quality_scores(none, "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("share", [0.03, 0.6])
+def test_quality_rejects_repetition(spark, share):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in ("n", "rst", "lo", "ke")]
+    n = round(400 * share)
+    clean = [" ".join(r.choice(words) for _ in range(60)).capitalize() + "." for _ in range(400 - n - 20)]
+    symbols = [" ".join(r.choice(["$$$", "BUY", "###", "WIN!!!", "||", "1234%"]) for _ in range(30)) for _ in range(20)]
+    again = [" ".join([r.choice(words).capitalize()] * 60) if i % 2 else "\n".join([" ".join(r.choice(words) for _ in range(9))] * 12) for i in range(n)]
+    rows = list(enumerate(clean + symbols + again))
+    got = {x["doc_id"]: x["keep"] for x in quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert sum(got[i] for i in range(len(clean))) >= 0.98 * len(clean)
+    assert sum(got[i] for i in range(len(clean), 400)) <= 0.1 * (n + 20)
+
+
 def test_digests_agree(docs):
     out = bpe.bpe_encode_decode(docs, "text", WORD).select("ids", F.sha2("ids", 256).alias("h")).collect()
     assert all(r["h"] == hashlib.sha256(bytes(r["ids"])).hexdigest() for r in out)

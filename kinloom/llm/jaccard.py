@@ -236,7 +236,9 @@ def _similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.n
 
 
 def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row for each distinct text with words: key (its digest), copies, n_links (of each copy), component (a digest), class_id."""
+    """A row for each distinct text with words: key (its digest), copies, n_links (of each copy), component (a digest), class_id, leads.
+
+    One text of each component leads: it has a row with the class's id, and of such texts the least digest."""
     runs = runs_for(threshold, recall)
     rows = docs.select(common.col(docs, doc_id).alias("id"), common.col(docs, text).alias("text")).where("text is not null").withColumn("key", common.text_digest(F.col("text")))
 
@@ -302,8 +304,10 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
     parts = connected_components(links, "key", "root").withColumnRenamed("node", "key")
     out = distinct.select("key", "copies", "least").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(parts, "key", "left")
     out = out.withColumn("component", F.coalesce("component", "key"))
-    heads = out.groupBy("component").agg(F.min("least").alias("class_id"))
-    return common.stored(out.join(heads, "component").select("key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "class_id"))
+    first = F.min_by("key", F.struct(F.col("least").isNull(), "least", "key"))
+    heads = out.groupBy("component").agg(F.min("least").alias("class_id"), first.alias("first"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return common.stored(out.join(heads, "component").select("key", "copies", n_links, "component", "class_id", (F.col("key") == F.col("first")).alias("leads")))
 
 
 def similarity_join(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
@@ -317,12 +321,13 @@ def similarity_join(docs: DataFrame, doc_id: str, text: str, **options) -> DataF
 
 
 def keep_one_per_class(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
-    """The input's rows with one of each class: the row with the class's id. Texts without words all stay."""
+    """The input's rows with one of each class: a row with the class's id, of the least text digest. Texts without words all stay."""
     classes = text_classes(docs, doc_id, text, **options)
     key, component, head, copies = common.free_names(docs, "text_key", "component", "class_id", "copies")
     marked = docs.withColumn(key, common.text_digest(common.col(docs, text)))
-    told = classes.select(F.col("key").alias(key), F.col("component").alias(component), F.col("class_id").alias(head), F.col("copies").alias(copies))
-    joined = marked.join(told, key, "left").where(F.col(copies).isNull() | common.col(docs, doc_id).eqNullSafe(F.col(head)))
-    # Only rows of repeated texts can hold a class's id twice.
+    told = classes.select(F.col("key").alias(key), F.col("component").alias(component), F.when(F.col("leads"), F.col("class_id")).alias(head), F.when(F.col("leads"), F.col("copies")).otherwise(0).alias(copies))
+    led = (F.col(copies) > 0) & common.col(docs, doc_id).eqNullSafe(F.col(head))
+    joined = marked.join(told, key, "left").where(F.col(copies).isNull() | led)
+    # One text of each class is left, so only its copies can hold the class's id twice.
     alone = F.coalesce(F.col(copies), F.lit(1)) == 1
     return joined.where(alone).unionByName(joined.where(~alone).dropDuplicates([component])).select(*[common.col(docs, c) for c in docs.columns])

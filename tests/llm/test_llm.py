@@ -134,6 +134,18 @@ def test_a_dense_group_is_compared_whole(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (head[i], len(links[i])) for i in links}
 
 
+def test_one_of_each_class_is_kept_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (0, 1, 99)]
+    other = " ".join(f"y{i}" for i in range(30))
+    for ids in ([7, 7, 7], [None, None, None], [9, 7, 7], [None, 7, None]):
+        rows = [*zip(ids, texts, strict=True), (ids[0], texts[0]), (ids[1], texts[1]), (7, other), (None, ""), (None, None)]
+        got = jaccard.keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+        kept = [r for r in got if r["text"] in texts]
+        assert len(got) == 4 and len(kept) == 1, ids
+        assert kept[0]["doc_id"] == min((i for i in ids if i is not None), default=None)
+
+
 def test_repeated_windows_go(docs, texts, none):
     words = [SPLIT.findall(t or "") for t in texts]
     count = {}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import materialised
+
 #: Amino-acid letters, the accession pattern of headers, and the limits of the input checks.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 ACCESSION = r"^(?:sp|tr)\|([^|]+)\|"
@@ -37,9 +39,23 @@ def unmapped_and_single(proteins: DataFrame, mapped: DataFrame, singles: DataFra
 
 
 def numeric_ids(proteins: DataFrame, species: str, species_index: str, order: str) -> DataFrame:
-    """Adds numeric_id: FIRST_ID + species index * PER_SPECIES + running number from 1 in order within the species."""
-    running = F.row_number().over(Window.partitionBy(species).orderBy(order))
-    return proteins.withColumn("numeric_id", (F.lit(FIRST_ID) + F.col(species_index) * PER_SPECIES + running).cast("long"))
+    """Adds numeric_id: FIRST_ID + species index * PER_SPECIES + running number from 1 in order within the species.
+
+    Rows are sorted by range, so a species may span many tasks; each range's numbers follow those of the ranges before it.  A species of
+    more than PER_SPECIES proteins is an error, as its ids would be those of the next.
+    """
+    part, at, before, size = "_range", "_at", "_before", "_size"
+    # Stored, as a second pass could draw other ranges.
+    dealt = materialised(proteins.repartitionByRange(species, order).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(species, part).agg(F.count("*").alias(size))
+    earlier = Window.partitionBy(species).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(size).over(earlier), F.lit(0))).select(F.col(species).alias("_species"), F.col(part).alias("_of"), before)
+    numbered = dealt.withColumn(at, F.row_number().over(Window.partitionBy(species, part).orderBy(order)))
+    joined = numbered.join(sizes, F.col(species).eqNullSafe(F.col("_species")) & (F.col(part) == F.col("_of")))
+    running = F.col(at) + F.col(before)
+    fault = F.raise_error(F.concat(F.lit(f"more than {PER_SPECIES} proteins in species "), F.col(species).cast("string")))
+    id_ = F.lit(FIRST_ID) + F.col(species_index) * PER_SPECIES + F.when(running <= PER_SPECIES, running).otherwise(fault.cast("long"))
+    return joined.withColumn("numeric_id", id_.cast("long")).select(*proteins.columns, "numeric_id")
 
 
 def residue_histogram(sequences: DataFrame, group: str, sequence: str) -> DataFrame:

@@ -62,6 +62,22 @@ def test_letters(spark, n, want):
     assert spark.range(1).select(proteins.letters(F.lit(n))).first()[0] == want
 
 
+def test_numbers_run_on_over_ranges_and_stop_at_the_next_species(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("protein"), F.when(F.col("id") % 10 == 0, 2).otherwise(1).alias("species")).repartition(5)
+    numbered = proteins.numeric_ids(df, "species", "species", "protein")
+    got = {(r["species"], r["protein"]): r["numeric_id"] for r in numbered.collect()}
+    want, seen = {}, {}
+    for s, p in sorted(got):
+        seen[s] = seen.get(s, 0) + 1
+        want[s, p] = 1_000_000_000 + s * 1_000_000 + seen[s]
+    assert len(got) == 1000 and got == want and numbered.columns == ["protein", "species", "numeric_id"]
+    monkeypatch.setattr(proteins, "PER_SPECIES", 900)
+    assert proteins.numeric_ids(df, "species", "species", "protein").count() == 1000
+    monkeypatch.setattr(proteins, "PER_SPECIES", 899)
+    with pytest.raises(Exception, match="more than 899 proteins in species 1"):
+        proteins.numeric_ids(df, "species", "species", "protein").collect()
+
+
 def test_batches(spark):
     files = spark.createDataFrame([("s", n, i) for i, n in enumerate([500, 30, 40, 50, 10])], "g string, size long, id int")
     assert rows(proteins.pack_batches(files, "g", "size", "id", alone=400, full=80), "size", "batch") == [(10, 2), (30, 2), (40, 1), (50, 1), (500, 0)]

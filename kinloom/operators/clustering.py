@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: nodes of a component from which it is not cut.
-LARGEST = 1000
+#: Nodes of a component from which it is not cut, and placements of a sequence.
+LARGEST, HITS = 1000, 10
 
 
 def minimum_cut(nodes: list[str], edges: set[tuple[str, str]]) -> tuple[int, set[str]]:
@@ -88,8 +88,11 @@ def connected_clusters(edges: DataFrame, components: DataFrame, largest: int = L
     return put.groupBy("component").applyInPandas(cut, "node string, cluster string")
 
 
-def word_placements(sequences: DataFrame, references: DataFrame, seq_id: str, ref_id: str, text: str, size: int = 5) -> DataFrame:
-    """The references that share most distinct runs of size words with each sequence, ties to the smaller id: seq_id, ref_id, shared."""
+def word_placements(sequences: DataFrame, references: DataFrame, seq_id: str, ref_id: str, text: str, size: int = 5, most: int = HITS) -> DataFrame:
+    """The references that share most distinct runs of size words with each sequence, up to most of them: seq_id, ref_id, shared, hit_rank.
+
+    hit_rank runs from 1, the most shared runs; ties go to the smaller id.
+    """
 
     def grams(df: DataFrame, id_: str) -> DataFrame:
         # The generator keeps the words of a text as a value; else each run would split the text anew.
@@ -99,5 +102,5 @@ def word_placements(sequences: DataFrame, references: DataFrame, seq_id: str, re
         return held.select(id_, F.explode(F.array_distinct(runs)).alias("gram"))
 
     met = grams(sequences, seq_id).join(grams(references, ref_id), "gram").groupBy(seq_id, ref_id).agg(F.count("*").alias("shared"))
-    best = met.groupBy(seq_id).agg(F.min_by(F.struct(ref_id, "shared"), F.struct(-F.col("shared"), ref_id)).alias("b"))
-    return best.select(seq_id, f"b.{ref_id}", "b.shared")
+    rank = F.row_number().over(Window.partitionBy(seq_id).orderBy(F.desc("shared"), ref_id))
+    return met.withColumn("hit_rank", rank).where(F.col("hit_rank") <= most)

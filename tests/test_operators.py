@@ -78,6 +78,16 @@ def test_numbers_run_on_over_ranges_and_stop_at_the_next_species(spark, monkeypa
         proteins.numeric_ids(df, "species", "species", "protein").collect()
 
 
+def test_placements_are_ranked_up_to_ten(spark):
+    words = [f"w{i}" for i in range(20)]
+    sequences = spark.createDataFrame([("s", " ".join(words)), ("none", "a b c d e f")], "seq string, text string")
+    refs = spark.createDataFrame([(k, " ".join(words[: 5 + min(k, 10)])) for k in range(13)], "ref long, text string")
+    got = rows(clustering.word_placements(sequences, refs, "seq", "ref", "text"), "hit_rank", "seq", "ref", "shared")
+    order = sorted(range(13), key=lambda k: (-min(k, 10), k))[:10]
+    assert got == [(n, "s", k, 1 + min(k, 10)) for n, k in enumerate(order, 1)]
+    assert len(rows(clustering.word_placements(sequences, refs, "seq", "ref", "text", most=2))) == 2
+
+
 def test_batches(spark):
     files = spark.createDataFrame([("s", n, i) for i, n in enumerate([500, 30, 40, 50, 10])], "g string, size long, id int")
     assert rows(proteins.pack_batches(files, "g", "size", "id", alone=400, full=80), "size", "batch") == [(10, 2), (30, 2), (40, 1), (50, 1), (500, 0)]

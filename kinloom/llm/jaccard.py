@@ -12,7 +12,7 @@ so are those of nodes that stay large to the last level.
 Comparisons inside nodes use the sketches with a margin and only give a spanning forest, so that no group's pairs are sent
 on.  Within each component of that forest all pairs are then compared by their whole sets, block against block where a
 component is large; links are counted there and give the classes.  Links found are exact; a link between texts whose
-sketches agree in under SKETCHED of the places, or that share no node in any run, would be missed (see RECALL).
+sketches agree in fewer places than sketch_level asks, or that share no node in any run, would be missed (see RECALL).
 
 Null texts, empty texts and texts without words link with nothing.  Equal texts link with each other whatever their id.  A
 null id takes part; a class's id is its least known id, null if it has none.  An empty table gives an empty result.
@@ -38,8 +38,8 @@ from kinloom.operators.graph import connected_components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
 #: Mean samples of a set in a run, and of a sketch at a later level.
 FIRST, LATER = 1.6, 2.5
-#: Members of a node that are compared by brute force; levels; rows of a block; places of a sketch; margin of a comparison.
-SMALL, LEVELS, BLOCK, PLACES, SKETCHED = 96, 6, 512, 128, 0.6
+#: Members of a node that are compared by brute force; levels; rows of a block; places of a sketch; deviations of a sketch's agreement below the threshold.
+SMALL, LEVELS, BLOCK, PLACES, BELOW = 96, 6, 512, 128, 32**0.5
 #: Mean agreement of a node's members from which it is not split, and the places by which it is estimated.
 DENSE, PROBES = 0.4, 8
 
@@ -55,6 +55,11 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / -(FIRST * threshold)))
 
 
+def sketch_level(threshold: float) -> float:
+    """The agreement of two sketches from which their sets may reach the threshold: 0.6 for 0.8 and above."""
+    return min(0.6, threshold - BELOW * math.sqrt(max(threshold * (1 - threshold), 0.0) / PLACES))
+
+
 def _nodes(tokens: np.ndarray, runs: int) -> np.ndarray:
     level = np.uint64(min(FIRST / len(tokens), 1.0) * ((1 << 64) - 1025))
     out = []
@@ -129,33 +134,37 @@ def _forest(keys: list[bytes], i: np.ndarray, j: np.ndarray) -> tuple[list[bytes
     return [keys[x] for x in at], [keys[x] for x in root[at]]
 
 
-def _small_nodes(batches):
+def _small_nodes(level: float):
     """Forest edges of small nodes: node, key, sketch in, sorted by node."""
-    for batch in _whole_groups(batches, [0]):
-        cuts = np.array(_cuts(batch, [0]))
-        sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, PLACES)
-        sizes = np.diff(cuts)
-        ii, jj = [], []
-        for step in range(1, int(sizes.max()) if len(sizes) else 0):  # members step places apart in one node
-            starts = np.repeat(cuts[:-1][sizes > step], sizes[sizes > step] - step)
-            more = sizes[sizes > step] - step
-            i = starts + np.arange(len(starts)) - np.repeat(np.cumsum(more) - more, more)
-            near = np.concatenate([_agree(sketches[p], sketches[p + step]) >= SKETCHED for p in np.array_split(i, len(i) // 20_000 + 1)])
-            ii.append(i[near])
-            jj.append(i[near] + step)
-        none = np.zeros(0, np.int64)
-        key, root = _forest(batch.column(1).to_pylist(), np.concatenate([none, *ii]), np.concatenate([none, *jj]))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(root, pa.binary())], ["key", "root"])
-
-
-def _large_nodes(group: pd.DataFrame) -> pd.DataFrame:
+
+    def run(batches):
+        for batch in _whole_groups(batches, [0]):
+            cuts = np.array(_cuts(batch, [0]))
+            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, PLACES)
+            sizes = np.diff(cuts)
+            ii, jj = [], []
+            for step in range(1, int(sizes.max()) if len(sizes) else 0):  # members step places apart in one node
+                starts = np.repeat(cuts[:-1][sizes > step], sizes[sizes > step] - step)
+                more = sizes[sizes > step] - step
+                i = starts + np.arange(len(starts)) - np.repeat(np.cumsum(more) - more, more)
+                near = np.concatenate([_agree(sketches[p], sketches[p + step]) >= level for p in np.array_split(i, len(i) // 20_000 + 1)])
+                ii.append(i[near])
+                jj.append(i[near] + step)
+            none = np.zeros(0, np.int64)
+            key, root = _forest(batch.column(1).to_pylist(), np.concatenate([none, *ii]), np.concatenate([none, *jj]))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(root, pa.binary())], ["key", "root"])
+
+    return run
+
+
+def _large_nodes(group: pd.DataFrame, level: float) -> pd.DataFrame:
     """Forest edges between two blocks (or within one) of a node that no level splits."""
     group = group.drop_duplicates("key")
     keys = group["key"].tolist()
     x = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(-1, PLACES)
     ii, jj = [], []
     for a in range(len(keys)):
-        near = np.flatnonzero(_agree(x[a][None], x[a + 1 :]) >= SKETCHED) + a + 1
+        near = np.flatnonzero(_agree(x[a][None], x[a + 1 :]) >= level) + a + 1
         ii.append(np.full(len(near), a))
         jj.append(near)
     none = np.zeros(0, np.int64)
@@ -239,7 +248,7 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
     """A row for each distinct text with words: key (its digest), copies, n_links (of each copy), component (a digest), class_id, leads.
 
     One text of each component leads: it has a row with the class's id, and of such texts the least digest."""
-    runs = runs_for(threshold, recall)
+    runs, sketched = runs_for(threshold, recall), sketch_level(threshold)
     rows = docs.select(common.col(docs, doc_id).alias("id"), common.col(docs, text).alias("text")).where("text is not null").withColumn("key", common.text_digest(F.col("text")))
 
     def sample(batches):
@@ -290,10 +299,10 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
     for f in few[1:]:
         small = small.unionByName(f)
     small = small.join(sketches, "key").select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
-    edges = small.mapInArrow(_small_nodes, "key binary, root binary")
+    edges = small.mapInArrow(_small_nodes(sketched), "key binary, root binary")
     for many in dense:
         dealt = _blocks(many, "size", BLOCK).select("node", "low", "high", "key", "sketch")
-        edges = edges.unionByName(dealt.groupBy("node", "low", "high").applyInPandas(_large_nodes, "key binary, root binary"))
+        edges = edges.unionByName(dealt.groupBy("node", "low", "high").applyInPandas(lambda g: _large_nodes(g, sketched), "key binary, root binary"))
     rough = connected_components(common.stored(edges), "key", "root").select(F.col("node").alias("key"), F.col("component").alias("comp"))
     rough = common.stored(rough)
     candidates = rough.join(rough.groupBy("comp").agg(F.count("*").alias("size")), "comp").join(distinct.select("key", "copies"), "key")

@@ -134,6 +134,14 @@ def test_a_dense_group_is_compared_whole(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (head[i], len(links[i])) for i in links}
 
 
+def test_links_at_a_lower_threshold_are_found(spark):
+    pairs = [([f"p{k}w{i}" for i in range(304)], k) for k in range(40)]
+    # 300 shingles, of which 15 changed words, far apart, spoil 75: 225 shared of 375, a similarity of 0.6.
+    texts = [t for w, k in pairs for t in (" ".join(w), " ".join(f"new{i}" if i % 20 == 10 else x for i, x in enumerate(w)))]
+    got = jaccard.similarity_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", threshold=0.6).collect()
+    assert sum(r["n_links"] for r in got) == 80
+
+
 def test_one_of_each_class_is_kept_whatever_the_ids(spark):
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (0, 1, 99)]

@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one is set only where none is, as in tests."""
+    """A fresh folder below spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is set, but only if driver and executors are one process; else it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
+    """Writes a table to the shared folder and reads it back: a cut of the lineage that outlives executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -44,21 +49,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: each leaf u has one centre, and no centre is a leaf."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf")))
+    leaves = ends.groupBy("node").agg(F.sum("leaf").alias("centres"), F.min("leaf").alias("leaf"))
+    return leaves.where("centres > 1 or centres = 1 and leaf = 0").isEmpty()
+
+
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """The component of each node that has an edge: node, component (its least node).
 
     Null ends and loops are ignored, repeated edges count once.
     """
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     now = materialised(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        # A table of stars has no centre among its leaves; then neither operation changes it.
+    while not _settled(now):
         now = materialised(_star(_star(now, large=True), large=False))
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if found == before:
-            break
-        before = found
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,14 +5,17 @@ Words are the runs ``[^\\x20\\x09-\\x0D]+`` of a text, unchanged.  A null text h
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import materialised as stored  # noqa: F401  used as common.stored
+from kinloom.operators.graph import shared_folder as shared_dir  # noqa: F401
+
 #: The separators of words, and odd multipliers of the rolling hashes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -25,22 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: a cut of the lineage that outlives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for added columns that clash with none of df's, whatever the case of letters."""
     have = {c.lower() for c in df.columns}
@@ -138,3 +125,34 @@ def byte_arrays(column: pa.Array) -> list[np.ndarray | None]:
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     known = np.ones(len(column), bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
     return [flat[at[i] : at[i + 1]] if known[i] else None for i in range(len(column))]
+
+
+def whole_groups(batches, columns: list[int]) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by some columns, cut so that no group of equal values of these spans two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in columns]
+        last = [k[batch.num_rows - 1] for k in keys]
+        first = batch.num_rows - 1
+        while first > 0 and all(k[first - 1] == v for k, v in zip(keys, last, strict=True)):
+            first -= 1
+        if held and first > 0 or held and any(held[-1].column(c)[held[-1].num_rows - 1] != v for c, v in zip(columns, last, strict=True)):
+            yield pa.concat_batches([*held, batch.slice(0, first)])
+            held = []
+        elif first > 0:
+            yield batch.slice(0, first)
+        held.append(batch.slice(first))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def cuts(batch: pa.RecordBatch, columns: list[int]) -> list[int]:
+    """Where groups of equal values begin, and the end."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for c in columns:
+        a = batch.column(c)
+        new[1:] |= np.asarray(pa.compute.not_equal(a.slice(1), a.slice(0, len(a) - 1)))
+    return [*np.flatnonzero(new).tolist(), batch.num_rows]

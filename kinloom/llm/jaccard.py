@@ -5,29 +5,38 @@ fewer words is one shingle).  In each of RUNS runs a set enters the nodes of the
 FIRST over the set's size, by a hash that all sets share; similar sets so share a node with known chance, and the number of runs
 follows from the target recall.  A node with few members is compared by brute force.  A larger one is split again: each
 member samples places of its one-permutation minhash sketch, each place with the same chance for all members of the node,
-and enters the child of each place and value; children are split on until they are small.  A large node whose members agree
-in DENSE of the places on average would only be copied by a split, so its members are compared at once, block against block;
-so are those of nodes that stay large to the last level.
-
-Comparisons inside nodes use the sketches with a margin and only give a spanning forest, so that no group's pairs are sent
-on.  Within each component of that forest all pairs are then compared by their whole sets, block against block where a
-component is large; links are counted there and give the classes.  Links found are exact; a link between texts whose
-sketches agree in fewer places than sketch_level asks, or that share no node in any run, would be missed (see RECALL).
+and enters the child of each place and value; children are split on until they are small.  What most members of a large node
+share would only copy them, so places whose value is heavy in the node (by PROBES of its members, or so) are not sampled, and members
+that consist of such values by half and more (CORE) become one rough group as they are.  Members within 0.3 of
+that mark take both ways, so that no link is lost between the two.  What is still large after LEVELS levels becomes a rough group too.
+
+Nodes only give rough groups, as stars and spanning forests over sketches with a margin, so that no group's pairs are sent on.
+Inside a rough group links are counted exactly.  Each set x is held against a pivot set P of its group, the shingles that most
+of some members have, and only the difference D(x) is kept.  Two sets differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, so
+with a(x) = (q + p) |D(x)| - (q - p) |x| for a threshold p / q they link if and only if a(x) + a(y) <= 2 (q + p) |D(x) & D(y)|.
+Where a(x) + a(y) <= 0 that needs no comparison: such links are counted by a running sum over the values of a, and a star at
+the member with the least a joins them.  The rest are compared by their differences, in blocks of the order of a, and only
+blocks whose least values of a and largest differences can still meet the condition.  So a group of very many near copies of
+one text costs one pass over its members, and nothing about its pairs is stored.
+
+Links found are exact; a link between texts whose sketches agree in fewer places than sketch_level asks, or that share no
+node in any run, would be missed (see RECALL; survival gives what the later levels add to that).  The threshold, over 0 and at most 1,
+counts as the nearest fraction with a denominator up to a million.
 
 Null texts, empty texts and texts without words link with nothing.  Equal texts link with each other whatever their id.  A
-null id takes part; a class's id is its least known id, null if it has none.  An empty table gives an empty result.
+null id takes part; a class's id is its least known id, null if it has none.  Repeated rows are rows of their own.  Further
+columns take no part, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import common
@@ -35,13 +44,17 @@ from kinloom.llm.bpe import slices
 from kinloom.llm.vector_dedup import _roots
 from kinloom.operators.graph import connected_components
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-6
+WORDS, THRESHOLD, RECALL = 5, 0.8, 1 - 1e-5
 #: Mean samples of a set in a run, and of a sketch at a later level.
 FIRST, LATER = 1.6, 2.5
-#: Members of a node that are compared by brute force; levels; rows of a block; places of a sketch; deviations of a sketch's agreement below the threshold.
-SMALL, LEVELS, BLOCK, PLACES, BELOW = 96, 6, 512, 128, 32**0.5
-#: Mean agreement of a node's members from which it is not split, and the places by which it is estimated.
-DENSE, PROBES = 0.4, 8
+#: Members of a node that are compared by brute force; levels; places of a sketch; deviations of a sketch's agreement below the threshold.
+SMALL, LEVELS, PLACES, BELOW = 256, 8, 128, 32**0.5
+#: Share of a node's members from which a value is heavy; members by which that, and a group's pivot, is judged.
+HEAVY, PROBES, SHAPING = 0.15, 48, 24
+#: Share of heavy values from which a member is of the core, and up to which it is split on.
+CORE = (0.5, 0.8)
+#: Bytes of a block of differences, and what a member counts besides its shingles.
+BLOCK, ROW = 1 << 20, 1024
 
 
 def text_set(data: np.ndarray, words: int) -> np.ndarray:
@@ -55,6 +68,14 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / -(FIRST * threshold)))
 
 
+def survival(threshold: float, levels: int) -> float:
+    """The chance that a pair at the threshold in one large node still meets in a descendant that many levels below."""
+    alive = 1.0
+    for _ in range(levels):
+        alive = 1 - math.exp(-LATER * threshold * alive)
+    return alive
+
+
 def sketch_level(threshold: float) -> float:
     """The agreement of two sketches from which their sets may reach the threshold: 0.6 for 0.8 and above."""
     return min(0.6, threshold - BELOW * math.sqrt(max(threshold * (1 - threshold), 0.0) / PLACES))
@@ -97,37 +118,6 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(-1) / np.maximum(either, 1)
 
 
-def _whole_groups(batches, columns: list[int]) -> Iterator[pa.RecordBatch]:
-    """Batches, sorted by some columns, cut so that no group of equal values of these spans two."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c) for c in columns]
-        last = [k[batch.num_rows - 1] for k in keys]
-        first = batch.num_rows - 1
-        while first > 0 and all(k[first - 1] == v for k, v in zip(keys, last, strict=True)):
-            first -= 1
-        if held and first > 0 or held and any(held[-1].column(c)[held[-1].num_rows - 1] != v for c, v in zip(columns, last, strict=True)):
-            yield pa.concat_batches([*held, batch.slice(0, first)])
-            held = []
-        elif first > 0:
-            yield batch.slice(0, first)
-        held.append(batch.slice(first))
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _cuts(batch: pa.RecordBatch, columns: list[int]) -> list[int]:
-    """Where groups of equal values begin, and the end."""
-    new = np.zeros(batch.num_rows, bool)
-    new[0] = True
-    for c in columns:
-        a = batch.column(c)
-        new[1:] |= np.asarray(pa.compute.not_equal(a.slice(1), a.slice(0, len(a) - 1)))
-    return [*np.flatnonzero(new).tolist(), batch.num_rows]
-
-
 def _forest(keys: list[bytes], i: np.ndarray, j: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     root = _roots(len(keys), i, j)
     at = np.flatnonzero(root != np.arange(len(keys)))
@@ -138,8 +128,8 @@ def _small_nodes(level: float):
     """Forest edges of small nodes: node, key, sketch in, sorted by node."""
 
     def run(batches):
-        for batch in _whole_groups(batches, [0]):
-            cuts = np.array(_cuts(batch, [0]))
+        for batch in common.whole_groups(batches, [0]):
+            cuts = np.array(common.cuts(batch, [0]))
             sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, PLACES)
             sizes = np.diff(cuts)
             ii, jj = [], []
@@ -157,98 +147,198 @@ def _small_nodes(level: float):
     return run
 
 
-def _large_nodes(group: pd.DataFrame, level: float) -> pd.DataFrame:
-    """Forest edges between two blocks (or within one) of a node that no level splits."""
-    group = group.drop_duplicates("key")
-    keys = group["key"].tolist()
-    x = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(-1, PLACES)
-    ii, jj = [], []
-    for a in range(len(keys)):
-        near = np.flatnonzero(_agree(x[a][None], x[a + 1 :]) >= level) + a + 1
-        ii.append(np.full(len(near), a))
-        jj.append(near)
-    none = np.zeros(0, np.int64)
-    key, root = _forest(keys, np.concatenate([none, *ii]), np.concatenate([none, *jj]))
-    return pd.DataFrame({"key": key, "root": root})
-
-
-def _density(members: DataFrame) -> DataFrame:
-    """For each node (node, key, size, sketch in) how often two members agree in a place that both fill: node, density."""
-    places = [F.pmod(F.xxhash64("node", F.lit(t)), F.lit(PLACES)).cast("int") for t in range(PROBES)]
-    probes = F.array(*[F.struct(p.alias("place"), F.col("sketch").substr(2 * p + 1, F.lit(2)).alias("value")) for p in places])
-    each = members.select("node", F.explode(F.array_distinct(probes)).alias("p")).where(F.col("p.value") != F.lit(b"\0\0"))
-    counts = each.groupBy("node", "p").agg(F.count("*").alias("n"))
-    by_place = counts.groupBy("node", "p.place").agg(F.sum("n").alias("filled"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    return by_place.groupBy("node").agg((F.sum(F.col("squares") / F.col("filled")) / F.sum("filled")).alias("density"))
+def _heavy(batches):
+    """For each node (node, list of sketches of some members) the value that HEAVY of them have in a place, 0 where there is none."""
+    for b in batches:
+        heavy = []
+        for held in b.column(1).to_pylist():
+            x = np.sort(np.frombuffer(b"".join(held), np.uint16).reshape(-1, PLACES), axis=0)
+            most, best = np.zeros(PLACES, np.uint16), np.full(PLACES, max(2, math.ceil(HEAVY * len(x))) - 1)
+            run = np.ones(PLACES, np.int64)
+            for i in range(len(x)):
+                run = np.where(x[i] == x[i - 1], run + 1, 1) if i else run
+                more = (run > best) & (x[i] > 0)
+                most[more], best[more] = x[i][more], run[more]
+            heavy.append(most.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heavy, pa.binary())], ["node", "heavy"])
+
+
+def _parted(batches):
+    """What becomes of members (node, key, sketch, heavy) of large nodes: node, key, and whether this is the node's core or a child."""
+    for b in batches:
+        for s in (b.slice(at, 4096) for at in range(0, b.num_rows, 4096)):
+            x, heavy = (np.frombuffer(b"".join(s.column(c).to_pylist()), np.uint16).reshape(-1, PLACES) for c in (2, 3))
+            shared = (x == heavy) & (x > 0)
+            share = shared.sum(1) / np.maximum((x > 0).sum(1), 1)
+            nodes = np.asarray(s.column(0)).view(np.uint64)
+            core, rest = np.flatnonzero(share >= CORE[0]), np.flatnonzero(share <= CORE[1])
+            i, child = _children(nodes[rest], np.where(shared, 0, x)[rest])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([nodes[core], child]).view(np.int64)), s.column(1).take(pa.array(np.concatenate([core, rest[i]]))), pa.array(np.arange(len(core) + len(i)) < len(core))], ["node", "key", "core"]
+            )
+
+
+def _rough_edges(distinct: DataFrame, level: float) -> DataFrame:
+    """Edges (key, root) that join all texts whose sketches meet in a node: distinct has key, sketch and nodes.
+
+    The root of a core is no text but a name of its node."""
+    sketches = distinct.select("key", "sketch")
+    members = distinct.select(F.explode("nodes").alias("node"), "key")
+    star = F.unhex(F.md5(F.concat(F.lit("core"), F.col("node").cast("string")).cast("binary"))).alias("root")
+    small, edges = None, None
+    for depth in range(LEVELS):
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key") % (1 << 52)).alias("sign")).where("size > 1")
+        sizes = common.stored(sizes)
+        # Small nodes of one level with the same members need one comparison.
+        once = sizes.where(F.col("size") <= SMALL).groupBy("size", "sign").agg(F.min("node").alias("node")).select("node")
+        few = members.join(once, "node")
+        small = few if small is None else small.unionByName(few)
+        large = sizes.where(F.col("size") > SMALL).select("node", "size")
+        if large.isEmpty():
+            break
+        if depth + 1 == LEVELS:
+            cores = members.join(large, "node").select("key", star)
+        else:
+            many = common.stored(members.join(large, "node").join(sketches, "key").select("node", "size", "key", "sketch"))
+            probes = many.where(F.pmod(F.xxhash64("key", "node"), "size") < PROBES).groupBy("node").agg(F.collect_list("sketch").alias("sketches"))
+            heavy = common.stored(probes.mapInArrow(_heavy, "node long, heavy binary"))
+            none = F.lit(bytes(2 * PLACES))
+            met = many.join(heavy, "node", "left").select("node", "key", "sketch", F.coalesce("heavy", none))
+            parted = common.stored(met.mapInArrow(_parted, "node long, key binary, core boolean"))
+            cores, members = parted.where("core").select("key", star), parted.where("not core").select("node", "key")
+        edges = cores if edges is None else edges.unionByName(cores)
+    small = small.join(sketches, "key").select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
+    found = small.mapInArrow(_small_nodes(level), "key binary, root binary")
+    return found if edges is None else found.unionByName(edges)
 
 
-def _blocks(df: DataFrame, size: str, rows: int) -> DataFrame:
-    """Deals each member of a group to a block and makes a row for each pair of blocks that it is in: low, high, block."""
-    blocks = F.ceil(F.col(size) / rows)
-    df = df.withColumn("block", F.pmod(F.xxhash64("key"), blocks))
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    return df.withColumn("pair", F.explode(meets)).withColumn("low", F.col("pair.low")).withColumn("high", F.col("pair.high")).drop("pair", size)
+def _pivots(batches):
+    """For each group (comp, list of sets) the shingles that more than half of the sets have."""
+    for b in batches:
+        pivots = []
+        for held in b.column(1).to_pylist():
+            token, count = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in held]), return_counts=True)
+            pivots.append(token[2 * count > len(held)].tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pivots, pa.binary())], ["comp", "pivot"])
 
 
-def _exact_links(words: int, threshold: float):
-    """Weighted counts and forest edges of groups: comp, low, high, block, key, copies, text in, sorted by the first three."""
+def _differences(p: int, q: int):
+    """comp, key, copies and, for a set and its pivot in the last two columns, a, the size of the difference and the difference."""
 
     def run(batches):
-        for batch in _whole_groups(batches, [0, 1, 2]):
-            cuts = _cuts(batch, [0, 1, 2])
-            texts = common.byte_arrays(batch.column(6))
-            keys, copies = batch.column(4).to_pylist(), np.asarray(batch.column(5))
-            block, cross = np.asarray(batch.column(3)), np.asarray(batch.column(1)) != np.asarray(batch.column(2))
-            out: tuple[list, list, list] = ([], [], [])
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                sets = [text_set(t, words) for t in texts[a:z]]
-                i, j = _similar(sets, threshold)
-                if cross[a]:
-                    other = block[a + i] != block[a + j]
-                    i, j = i[other], j[other]
-                count = np.zeros(z - a, np.int64)
-                np.add.at(count, i, copies[a + j])
-                np.add.at(count, j, copies[a + i])
-                root = _roots(z - a, i, j)
-                for m in np.flatnonzero(count):
-                    for values, v in zip(out, (keys[a + m], int(count[m]), keys[a + root[m]]), strict=True):
-                        values.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["key", "links", "root"])
+        for whole in batches:
+            for b in slices(whole, 3):
+                a, n, delta = [], [], []
+                for s, pivot in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    tokens = np.frombuffer(s, np.uint64)
+                    d = np.setxor1d(tokens, np.frombuffer(pivot or b"", np.uint64), assume_unique=True)
+                    a.append((q + p) * len(d) - (q - p) * len(tokens))
+                    n.append(len(d))
+                    delta.append(d.tobytes())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(delta, pa.binary())], ["comp", "key", "copies", "a", "n", "delta"])
 
     return run
 
 
-def _similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs i < j of sets whose Jaccard similarity reaches the threshold."""
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share; the diagonal means nothing."""
+    n = len(sets)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.concatenate([[True], tokens[1:] != tokens[:-1]])) - 1 if len(tokens) else np.zeros(0, np.int64)
     frequency = np.bincount(column)
-    shared = frequency[column] > 1
-    owner, column = owner[shared], (np.cumsum(frequency > 1) - 1)[column[shared]]
-    common_ = np.zeros((len(sets), len(sets)), np.float64)
-    step = max(1, (1 << 22) // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, z = np.searchsorted(column, [at, at + step])
-        m = np.zeros((len(sets), step), np.float32)
-        m[owner[a:z], column[a:z] - at] = 1
-        common_ += m @ m.T
-    i, j = np.nonzero(np.triu(common_, 1))
-    both = common_[i, j]
-    near = both / (sizes[i] + sizes[j] - both) >= threshold
-    return i[near], j[near]
+    out = np.zeros((n, n), np.float32)
+    often = frequency[column] > 32
+    rare, rare_column = owner[~often], column[~often]
+    for step in range(1, 32):  # holders step places apart in one column
+        at = np.flatnonzero(rare_column[step:] == rare_column[:-step])
+        if not len(at):
+            break
+        pairs, times = np.unique(rare[at] * n + rare[at + step], return_counts=True)
+        out.ravel()[pairs] += times
+    names, column = np.unique(column[often], return_inverse=True)
+    owner, step = owner[often], max(1, (1 << 22) // max(n, 1))
+    for start in range(0, len(names), step):
+        a, z = np.searchsorted(column, [start, start + step])
+        m = np.zeros((n, min(step, len(names) - start)), np.float32)
+        m[owner[a:z], column[a:z] - start] = 1
+        out += m @ m.T
+    return np.maximum(np.triu(out, 1), np.tril(out, -1).T)
+
+
+def _compared(p: int, q: int):
+    """Weighted counts and forest edges of the links between two blocks, or in one (the second null), that need a comparison."""
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                blocks = [c[row].values for c in (b.column(0), b.column(1)) if c[row].is_valid]
+                keys, copies, a, deltas = ([v for x in blocks for v in x.field(f).to_pylist()] for f in ("key", "copies", "a", "delta"))
+                copies, a, n = np.array(copies, np.int64), np.array(a, np.int64), len(keys)
+                shared = _common_counts([np.frombuffer(d, np.uint64) for d in deltas]).astype(np.int64)
+                score = a[:, None] + a[None]
+                linked = np.triu((score > 0) & (score <= 2 * (q + p) * shared), 1)
+                if len(blocks) > 1:
+                    linked[: len(blocks[0]), : len(blocks[0])] = False
+                    linked[len(blocks[0]) :, len(blocks[0]) :] = False
+                i, j = np.nonzero(linked)
+                count = np.zeros(n, np.int64)
+                np.add.at(count, i, copies[j])
+                np.add.at(count, j, copies[i])
+                root, some = _roots(n, i, j), np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[k] for k in some], pa.binary()), pa.array(count[some]), pa.array([keys[k] for k in root[some]], pa.binary())], ["key", "links", "root"]
+                )
+
+    return run
+
+
+def _exact_links(sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Counts of links (to copies of other texts) and edges that join what is linked: key, links, root (null: none).
+
+    sets has comp, size (texts of the group), key, copies and tokens.
+    """
+    shaping = sets.where(F.pmod(F.xxhash64("key"), "size") < SHAPING).groupBy("comp").agg(F.collect_list("tokens").alias("sets"))
+    pivots = shaping.mapInArrow(_pivots, "comp binary, pivot binary")
+    met = sets.join(pivots, "comp", "left").select("comp", "key", "copies", "tokens", "pivot")
+    members = common.stored(met.mapInArrow(_differences(p, q), "comp binary, key binary, copies long, a long, n long, delta binary"))
+    # One row for each group and value of a: how many texts have at most -a, where its members begin in the order of a.
+    values = members.groupBy("comp", "a").agg(F.sum("copies").alias("w"), F.sum(F.col("n") * 8 + ROW).alias("bytes"))
+    mirrored = values.select("comp", (-F.col("a")).alias("a"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("bytes"))
+    points = values.unionByName(mirrored).groupBy("comp", "a").agg(F.sum("w").alias("w"), F.sum("bytes").alias("bytes"))
+    rising = Window.partitionBy("comp").orderBy("a")
+    points = common.stored(points.select("comp", "a", "bytes", F.sum("w").over(rising).alias("upto"), (F.sum("bytes").over(rising) - F.col("bytes")).alias("before")))
+    heads = members.groupBy("comp").agg(F.min(F.struct("a", "key")).alias("head"))
+    mirror = points.select("comp", (-F.col("a")).alias("a"), F.col("upto").alias("facing"))
+    places = points.where("bytes > 0").join(mirror, ["comp", "a"]).join(heads, "comp")
+    own = F.when(F.col("a") <= 0, F.col("copies")).otherwise(0)
+    head = F.when((F.col("a") + F.col("head.a") <= 0) & (F.col("key") != F.col("head.key")), F.col("head.key"))
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("key"), "bytes")) / BLOCK)
+    placed = members.join(places, ["comp", "a"]).select("comp", "key", "copies", "a", "n", "delta", block.alias("block"), (F.col("facing") - own).alias("easy"), head.alias("root"))
+    placed = common.stored(placed)
+    blocks = common.stored(placed.groupBy("comp", "block").agg(F.count("*").alias("m"), F.min("a").alias("low"), F.max("a").alias("high"), F.max("n").alias("n")))
+    l, h = blocks.alias("l"), blocks.alias("h")
+    worth = (F.col("l.high") + F.col("h.high") > 0) & (F.col("l.low") + F.col("h.low") <= 2 * (q + p) * F.least("l.n", "h.n"))
+    worth &= (F.col("l.block") < F.col("h.block")) | (F.col("l.block") == F.col("h.block")) & (F.col("l.m") > 1)
+    pairs = common.stored(l.join(h, "comp").where(worth).select("comp", F.col("l.block").alias("first"), F.when(F.col("l.block") < F.col("h.block"), F.col("h.block")).alias("second")))
+    asked = pairs.select("comp", F.col("first").alias("block")).unionByName(pairs.where("second is not null").select("comp", F.col("second").alias("block"))).distinct()
+    packed = placed.join(asked, ["comp", "block"]).groupBy("comp", "block").agg(F.collect_list(F.struct("key", "copies", "a", "delta")).alias("members"))
+    packed = common.stored(packed)
+    one = packed.select("comp", F.col("block").alias("first"), F.col("members").alias("x"))
+    other = packed.select("comp", F.col("block").alias("second"), F.col("members").alias("y"))
+    hard = pairs.join(one, ["comp", "first"]).join(other, ["comp", "second"], "left").select("x", "y").mapInArrow(_compared(p, q), "key binary, links long, root binary")
+    return placed.select("key", F.col("easy").alias("links"), "root").unionByName(hard)
 
 
 def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row for each distinct text with words: key (its digest), copies, n_links (of each copy), component (a digest), class_id, leads.
 
     One text of each component leads: it has a row with the class's id, and of such texts the least digest."""
-    runs, sketched = runs_for(threshold, recall), sketch_level(threshold)
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
+    share = Fraction(threshold).limit_denominator(1_000_000)
+    runs = runs_for(threshold, recall)
     rows = docs.select(common.col(docs, doc_id).alias("id"), common.col(docs, text).alias("text")).where("text is not null").withColumn("key", common.text_digest(F.col("text")))
 
     def sample(batches):
@@ -267,49 +357,20 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, th
     id_type = rows.schema["id"].dataType.simpleString()
     sampled = rows.select("id", "key", "text").mapInArrow(sample, f"id {id_type}, key binary, sketch binary, nodes array<long>")
     distinct = common.stored(sampled.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")))
-    sketches = distinct.select("key", "sketch")
+    edges = common.stored(_rough_edges(distinct, sketch_level(threshold)))
+    rough = connected_components(edges, "key", "root").select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    # The names of cores have no text and go with this join; size only says how many to sample.
+    sized = rough.join(rough.groupBy("comp").agg(F.count("*").alias("size")), "comp").join(distinct.select("key", "copies"), "key")
 
-    def split(batches):
-        for b in batches:
-            for s in (b.slice(at, 4096) for at in range(0, b.num_rows, 4096)):
-                x = np.frombuffer(b"".join(s.column(2).to_pylist()), np.uint16).reshape(-1, PLACES)
-                i, child = _children(np.asarray(s.column(0)).view(np.uint64), x)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), s.column(1).take(pa.array(i))], ["node", "key"])
+    def tokens(batches):
+        for whole in batches:
+            for b in slices(whole, 4):
+                sets = [text_set(t, words).tobytes() for t in common.byte_arrays(b.column(4))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["comp", "size", "key", "copies", "tokens"])
 
-    members = distinct.select(F.explode("nodes").alias("node"), "key")
-    few, dense = [], []
-    for level in range(LEVELS):
-        sizes = members.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key") % (1 << 52)).alias("sign")).where("size > 1")
-        sizes = common.stored(sizes)
-        # Nodes of one level with the same members need one comparison.
-        once = sizes.where(F.col("size") <= SMALL).groupBy("size", "sign").agg(F.min("node").alias("node")).select("node")
-        few.append(members.join(once, "node"))
-        large = sizes.where(F.col("size") > SMALL).groupBy("size", "sign").agg(F.min("node").alias("node")).select("node", "size")
-        if large.isEmpty():
-            break
-        many = common.stored(members.join(large, "node").join(sketches, "key").select("node", "key", "size", "sketch"))
-        if level + 1 == LEVELS:
-            dense.append(many)
-            break
-        judged = many.join(_density(many), "node", "left").withColumn("dense", F.coalesce(F.col("density") >= DENSE, F.lit(True)))
-        judged = common.stored(judged.drop("density"))
-        dense.append(judged.where("dense").drop("dense"))
-        members = common.stored(judged.where("not dense").select("node", "key", "sketch").mapInArrow(split, "node long, key binary").distinct())
-    small = few[0]
-    for f in few[1:]:
-        small = small.unionByName(f)
-    small = small.join(sketches, "key").select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
-    edges = small.mapInArrow(_small_nodes(sketched), "key binary, root binary")
-    for many in dense:
-        dealt = _blocks(many, "size", BLOCK).select("node", "low", "high", "key", "sketch")
-        edges = edges.unionByName(dealt.groupBy("node", "low", "high").applyInPandas(lambda g: _large_nodes(g, sketched), "key binary, root binary"))
-    rough = connected_components(common.stored(edges), "key", "root").select(F.col("node").alias("key"), F.col("component").alias("comp"))
-    rough = common.stored(rough)
-    candidates = rough.join(rough.groupBy("comp").agg(F.count("*").alias("size")), "comp").join(distinct.select("key", "copies"), "key")
-    with_text = rows.select("key", "text").join(rough.select("key"), "key").groupBy("key").agg(F.first("text").alias("text"))
-    dealt = _blocks(candidates, "size", BLOCK).join(with_text, "key").select("comp", "low", "high", "block", "key", "copies", "text")
-    group = ["comp", "low", "high"]
-    links = common.stored(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_exact_links(words, threshold), "key binary, links long, root binary"))
+    once = rows.groupBy("key").agg(F.first("text").alias("text"))
+    sets = once.join(sized, "key").select("comp", "size", "key", "copies", "text").mapInArrow(tokens, "comp binary, size long, key binary, copies long, tokens binary")
+    links = common.stored(_exact_links(common.stored(sets), share.numerator, share.denominator))
     parts = connected_components(links, "key", "root").withColumnRenamed("node", "key")
     out = distinct.select("key", "copies", "least").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(parts, "key", "left")
     out = out.withColumn("component", F.coalesce("component", "key"))

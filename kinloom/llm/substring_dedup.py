@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from kinloom.llm import common
 from kinloom.llm.bpe import slices
-from kinloom.llm.jaccard import _cuts, _whole_groups
+from kinloom.llm.common import cuts as _cuts
+from kinloom.llm.common import whole_groups as _whole_groups
 
 WINDOW, ANCHOR, HOT = 35, 8, 1000
 

@@ -5,21 +5,34 @@ hash, the leftmost on ties.  Equal windows have equal anchors at the same place,
 anchors do.  The job counts anchors over all texts and keeps those that occur twice.  The windows of one text that share an
 anchor form its context, a stretch of at most 2 * WINDOW - ANCHOR words; equal contexts collapse to one row with a count.
 
-A reference shard holds the distinct contexts of one anchor.  Its suffix automaton is built over words, with the number of
-occurrences of each state; the shard's contexts are streamed through it for matching statistics, the longest
-run ending at each word that occurs at least twice, and maximal spans of WINDOW words or more are marked.  Words are compared
-themselves, hashes only route.  Broadcasting every shard to every text would grow with the square of the corpus; meeting by
-anchor sends a stretch only to the shard that can hold its match.  An anchor with more than HOT distinct contexts (a passage
-that very many texts hold) would be an unbounded shard: its contexts are dealt out again by whole window, and equal windows are
-counted by a grouped sum.
+An anchor with more than HOT distinct contexts (a line or passage that very many texts hold in different surroundings) is taken
+apart: its contexts get new anchors among their runs of words, and runs that its most frequent context holds too are only
+taken where a window has no other.  Windows that reach beyond what is shared so leave for anchors of their own,
+which mostly occur once and end there; windows inside collapse.  This repeats until no anchor is hot or ROUNDS are over, with
+nothing but the hot contexts moved.
+
+The distinct contexts are the reference.  They are dealt by anchor into shards of about SHARD bytes, the contexts of an anchor that
+is still hot over several.  A task builds each shard's suffix automaton, over words, with the number of occurrences of each
+state, and the automaton, of bounded size, is sent to the tasks with the stretches of documents that hold an anchor of
+the shard.  There the stretches are streamed through it for matching statistics: the longest run ending at each word that
+occurs twice (in a shard that holds the stretch itself) or at all (in another shard).  Maximal spans of WINDOW words or more are
+marked.  An automaton is sent to no other task: sending every shard to every text would grow with the square of the corpus.
+A context that occurs twice itself is a match from end to end, so it is marked without a pass.
+
+Texts and contexts are told apart by 128-bit digests, anchors and their places route; which windows repeat is decided on the words.
 
 Texts cross shuffles compressed.  Null and empty texts have no words; texts shorter than a window stay as they are.  Copies of a
-text, repeated rows too, are occurrences of their own.  Every window is judged on the input.
+text, repeated rows too, are occurrences of their own.  Every window is judged on the input.  An empty table gives an empty
+result; columns that clash with the added ones keep their names and values.
 """
 
 from __future__ import annotations
 
+import io
+from itertools import chain
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
@@ -29,17 +42,19 @@ from pyspark.sql import types as T
 
 from kinloom.llm import common
 from kinloom.llm.bpe import slices
-from kinloom.llm.common import cuts as _cuts
-from kinloom.llm.common import whole_groups as _whole_groups
 
-WINDOW, ANCHOR, HOT = 35, 8, 1000
+#: Words of a window and of an anchor; distinct contexts from which an anchor is taken apart; rounds of that; bytes of contexts in a shard.
+WINDOW, ANCHOR, HOT, ROUNDS, SHARD = 35, 8, 1000, 6, 1 << 17
+#: Stretches that pass through one automaton in one task.
+STREAM = 4000
 
 
 class SuffixAutomaton:
     """The suffix automaton of several word sequences, with the weighted occurrences of each state."""
 
     def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
+        self.number: dict[str, int] = {}
+        self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
 
     def _state(self, length: int, link: int, next_: dict, count: int) -> int:
@@ -49,7 +64,7 @@ class SuffixAutomaton:
         self.count.append(count)
         return len(self.link) - 1
 
-    def _split(self, p: int, word: str, q: int) -> int:
+    def _split(self, p: int, word: int, q: int) -> int:
         """The state of the shorter runs of q that p's word reaches."""
         copy = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), 0)
         self.link[q] = copy
@@ -59,8 +74,9 @@ class SuffixAutomaton:
         return copy
 
     def add(self, words: list[str], weight: int) -> None:
-        last = 0
-        for w in words:
+        last, number = 0, self.number
+        for name in words:
+            w = number.setdefault(name, len(number))
             p = last
             q = self.next[p].get(w)
             if q is not None:  # another sequence has been here
@@ -75,34 +91,67 @@ class SuffixAutomaton:
                 q = self.next[p][w]
                 self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
 
-    def finish(self) -> None:
-        """Sums occurrences along suffix links, and finds for each state the longest suffix that occurs twice."""
+    def dump(self) -> bytes:
+        """Sums occurrences along suffix links, finds for each state the longest suffix that occurs twice, and packs all that matching needs."""
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
         for s in reversed(order):
             self.count[self.link[s]] += self.count[s]
-        self.repeated = [0] * len(self.link)
+        repeated = [0] * len(self.link)
         for s in order:
-            self.repeated[s] = self.length[s] if self.count[s] > 1 else self.repeated[self.link[s]]
-
-    def statistics(self, words: list[str]) -> list[int]:
-        """For each word of a sequence that was added, how long the longest repeated run is that ends there."""
-        out, s = [], 0
+            repeated[s] = self.length[s] if self.count[s] > 1 else repeated[self.link[s]]
+        out, each = io.BytesIO(), [len(n) for n in self.next]
+        words = np.fromiter(chain.from_iterable(self.next), np.int32, sum(each))
+        targets = np.fromiter(chain.from_iterable(n.values() for n in self.next), np.int32, sum(each))
+        names = np.frombuffer(" ".join(self.number).encode(), np.uint8)
+        arrays = {"link": self.link, "length": self.length, "repeated": repeated, "each": each}
+        np.savez(out, words=words, targets=targets, names=names, **{k: np.array(v, np.int32) for k, v in arrays.items()})
+        return zstandard.compress(out.getbuffer(), 1)
+
+
+class Matcher:
+    """A packed automaton, for matching statistics."""
+
+    def __init__(self, data: bytes):
+        with np.load(io.BytesIO(zstandard.decompress(data))) as z:
+            names = z["names"].tobytes().decode()
+            self.number = {w: i for i, w in enumerate(names.split(" "))} if names else {}
+            self.link, self.length, self.repeated = (z[k].tolist() for k in ("link", "length", "repeated"))
+            state = np.repeat(np.arange(len(self.link), dtype=np.int64), z["each"])
+            self.step = dict(zip((state * max(len(self.number), 1) + z["words"]).tolist(), z["targets"].tolist(), strict=True))
+
+    def statistics(self, words: list[str], own: bool) -> list[int]:
+        """For each word how long the longest run is that ends there and occurs in the shard; own: a sequence of the shard, and twice."""
+        out, s, n, step, size = [], 0, 0, self.step, len(self.number)
         for w in words:
-            s = self.next[s][w]
-            out.append(self.repeated[s])
+            i = self.number.get(w)
+            if i is None:
+                s = n = 0
+            else:
+                t = step.get(s * size + i)
+                while t is None and s:
+                    s = self.link[s]
+                    n = self.length[s]
+                    t = step.get(s * size + i)
+                s, n = (0, 0) if t is None else (t, n + 1)
+            out.append(min(n, self.repeated[s]) if own else n)
         return out
 
 
+def _stretches(grams: np.ndarray, order: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of anchor words, with what they are ordered by: name and place of each anchor, and the first and last window that it belongs to."""
+    wide = window - anchor + 1
+    at = np.lib.stride_tricks.sliding_window_view(order, wide).argmin(1) + np.arange(len(grams) - wide + 1)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return grams[at[first]], at[first], first, np.append(first[1:], len(at)) - 1
+
+
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a text's word hashes: hash and place of each anchor, and the first and last window that it belongs to."""
     none = np.zeros(0, np.int64)
     if len(hashes) < window:
         return none.view(np.uint64), none, none, none
     grams = common.shingle_hashes(hashes, anchor)
-    wide = window - anchor + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(1) + np.arange(len(grams) - wide + 1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return grams[at[first]], at[first], first, np.append(first[1:], len(at)) - 1
+    return _stretches(grams, grams, window, anchor)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -120,35 +169,113 @@ def _spans_of(lengths: list[int], window: int) -> list[int]:
     return _merged(np.array(spans)).ravel().tolist() if spans else []
 
 
-def _shard_spans(window: int):
+def _grams(context: str, anchor: int) -> np.ndarray:
+    return common.shingle_hashes(common.word_hashes(np.frombuffer(context.encode(), np.uint8))[0], anchor)
+
+
+def _taken_apart(window: int, anchor: int):
+    """New anchors of contexts: anchor0, digest0, offset, anchor, n, context, top in; the first three are of the text's own context."""
+
     def run(batches):
-        for batch in _whole_groups(batches, [0]):
-            cuts = _cuts(batch, [0])
-            contexts, weights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            spans: list[list[int]] = []
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                words = [c.split(" ") for c in contexts[a:z]]
-                automaton = SuffixAutomaton()
-                for w, n in zip(words, weights[a:z], strict=True):
-                    automaton.add(w, n)
-                automaton.finish()
-                spans += [_spans_of(automaton.statistics(w), window) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["anchor", "digest", "spans"])
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+        for b in batches:
+            out: list[list] = [[] for _ in kinds]
+            tops: dict[int, np.ndarray] = {}
+            for anchor0, digest0, offset, name, n, context, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if name not in tops:
+                    tops[name] = _grams(top, anchor)
+                grams, words = _grams(context, anchor), context.split(" ")
+                order = (grams >> np.uint64(1)) | (np.isin(grams, tops[name]).astype(np.uint64) << np.uint64(63))
+                named, place, first, last = _stretches(grams, order, window, anchor)
+                with np.errstate(over="ignore"):
+                    named = common.mix(named * np.uint64(0x9E3779B97F4A7C15) + np.uint64(name & (1 << 64) - 1)).view(np.int64)
+                for a, p, lo, hi in zip(named.tolist(), place.tolist(), first.tolist(), (last + window).tolist(), strict=True):
+                    for values, v in zip(out, (anchor0, digest0, offset + lo, a, p - lo, n, " ".join(words[lo:hi])), strict=True):
+                        values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["anchor0", "digest0", "offset", "anchor", "place", "n", "context"])
 
     return run
 
 
-def _windows(window: int):
-    def run(batches):
-        for batch in batches:
-            anchor, digest, context, n = (batch.column(i).to_pylist() for i in range(4))
-            rows = [(a, d, i, " ".join(w[i : i + window]), c) for a, d, w, c in zip(anchor, digest, (x.split(" ") for x in context), n, strict=True) for i in range(len(w) - window + 1)]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["anchor", "digest", "place", "window", "n"])
+def _digest() -> F.Column:
+    """What tells contexts apart: the words and the anchor's place among them."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.col("place").cast("string"), "context").cast("binary")))
+
+
+def _automata(batches):
+    """An automaton for each shard, from its reference (shard, context, n, hands), sorted by shard, and the tasks that ask for it."""
+    for batch in common.whole_groups(batches, [0]):
+        cuts = common.cuts(batch, [0])
+        shard, contexts, weights, hands = (batch.column(i).to_pylist() for i in range(4))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            automaton = SuffixAutomaton()
+            for c, n in zip(contexts[a:z], weights[a:z], strict=True):
+                automaton.add(c.split(" "), n)
+            yield pa.RecordBatch.from_arrays([pa.array([shard[a]], pa.int64()), pa.array([max(hands[a:z])], pa.int64()), pa.array([automaton.dump()], pa.binary())], ["to", "hands", "automaton"])
+
+
+def _streamed(window: int):
+    """Marked spans of the stretches that meet one automaton."""
+
+    def run(stretches: pd.DataFrame, automata: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list] = ([], [], [])
+        if len(stretches) and len(automata):
+            matcher = Matcher(automata["automaton"].iloc[0])
+            for anchor, digest, context, own in zip(stretches["anchor"], stretches["digest"], stretches["context"], stretches["own"], strict=True):
+                spans = _spans_of(matcher.statistics(context.split(" "), own), window)
+                if spans:
+                    for values, v in zip(out, (anchor, digest, spans), strict=True):
+                        values.append(v)
+        return pd.DataFrame({"anchor": np.array(out[0], np.int64), "digest": pd.Series(out[1], dtype=object), "spans": pd.Series(out[2], dtype=object)})
 
     return run
 
 
+def _matched(reference: DataFrame, window: int) -> DataFrame:
+    """Marked spans (anchor, digest, spans) of contexts that occur once: anchor, digest, n, context, and contexts (of the anchor) in."""
+    # A hot anchor's contexts are dealt over several shards, and so are the stretches that pass through one of its automata over tasks.
+    reference = common.stored(reference.withColumn("parts", F.ceil(F.col("contexts") / HOT)).withColumn("hands", F.ceil(F.col("contexts") / STREAM)))
+    size = reference.agg(F.sum(F.length("context"))).first()[0]
+    shards = max(1, -(-(size or 0) // SHARD))
+    shard_of = lambda part: F.pmod(F.xxhash64("anchor", part), F.lit(shards))
+    own = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    built = reference.select(shard_of(own).alias("shard"), "context", "n", "hands").repartition("shard").sortWithinPartitions("shard")
+    automata = built.mapInArrow(_automata, "to long, hands long, automaton binary").select("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hands") - 1)).alias("hand"), "automaton")
+    # Two parts of an anchor may share a shard.
+    met_in = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), shard_of)))
+    streams = reference.where("n = 1").select("anchor", "digest", "context", "hands", met_in.alias("shard"), shard_of(own).alias("home"))
+    hand = F.pmod(F.xxhash64("digest"), F.col("hands")).alias("dealt")
+    streams = streams.select("shard", hand, "anchor", "digest", "context", (F.col("shard") == F.col("home")).alias("own"))
+    met = streams.groupBy("shard", "dealt").cogroup(automata.groupBy("to", "hand"))
+    return met.applyInPandas(_streamed(window), "anchor long, digest binary, spans array<int>")
+
+
+def _marked(distinct: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The marked spans of contexts: anchor, digest, n and context in; anchor, digest and spans out."""
+    rest = distinct.select(F.col("anchor").alias("anchor0"), F.col("digest").alias("digest0"), F.lit(0).alias("offset"), "anchor", "digest", "n", "context")
+    out = None
+    for round_ in range(ROUNDS + 1):
+        once = distinct if not round_ else common.stored(rest.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.first("context").alias("context")))
+        # Only anchors of several contexts, with one to be decided, need an automaton.
+        sizes = common.stored(once.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").drop("least"))
+        hot = sizes.where(F.col("contexts") > HOT) if round_ < ROUNDS else sizes.limit(0)
+        last = hot.isEmpty()
+        cold = once.join(sizes if last else sizes.where(F.col("contexts") <= HOT), "anchor")
+        whole = once.where("n > 1").select("anchor", "digest", F.array(F.lit(0), F.size(F.split("context", " "))).alias("spans"))
+        marks = whole.unionByName(_matched(cold, window))
+        if round_:
+            mine = rest.select("anchor0", "digest0", "offset", "anchor", "digest").join(common.stored(marks), ["anchor", "digest"])
+            marks = mine.select(F.col("anchor0").alias("anchor"), F.col("digest0").alias("digest"), F.transform("spans", lambda s: s + F.col("offset")).alias("spans"))
+        marks = common.stored(marks)
+        out = marks if out is None else out.unionByName(marks)
+        if last:
+            return out
+        top = once.join(hot, "anchor").groupBy("anchor").agg(F.max_by("context", F.struct("n", "digest")).alias("top"))
+        apart = rest.join(top, "anchor").select("anchor0", "digest0", "offset", "anchor", "n", "context", "top")
+        apart = apart.mapInArrow(_taken_apart(window, anchor), "anchor0 long, digest0 binary, offset int, anchor long, place int, n long, context string")
+        rest = common.stored(apart.withColumn("digest", _digest()).drop("place"))
+
+
 def repeated_spans(docs: DataFrame, text: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """For each distinct text that holds a repeated window: its key (digest) and the word spans that such windows cover."""
     rows = docs.select(common.col(docs, text).alias("text")).where("text is not null").withColumn("key", common.text_digest(F.col("text")))
@@ -169,12 +296,12 @@ def repeated_spans(docs: DataFrame, text: str, window: int = WINDOW, anchor: int
     wanted = common.stored(texts.select("tid", "key", "copies").join(wanted, "tid").select("key", "copies", "wanted"))
 
     packed = rows.select("key", "text").mapInArrow(_pack(1), "key binary, text binary")
-    with_text = packed.join(wanted.select("key"), "key").groupBy("key").agg(F.first("text").alias("text"))
+    with_text = packed.groupBy("key").agg(F.first("text").alias("text"))
 
     def contexts(batches):
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         names = ["key", "copies", "anchor", "first", "place", "context"]
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             out: list[list] = [[] for _ in kinds]
             for key, copies, want, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 data = zstandard.decompress(z)
@@ -189,20 +316,10 @@ def repeated_spans(docs: DataFrame, text: str, window: int = WINDOW, anchor: int
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
 
     found = with_text.join(wanted, "key").select("key", "copies", "wanted", "text").mapInArrow(contexts, "key binary, copies long, anchor long, first int, place int, context string")
-    found = common.stored(found.withColumn("digest", F.unhex(F.md5(F.concat_ws(" ", F.col("place").cast("string"), "context").cast("binary")))))
+    found = common.stored(found.withColumn("digest", _digest()))
     distinct = found.groupBy("anchor", "digest").agg(F.sum("copies").alias("n"), F.first("context").alias("context"))
     distinct = common.stored(distinct)
-    shards = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"))
-    # A context that occurs twice is marked whole; the others of its anchor may still share windows with it.
-    whole = distinct.where("n > 1").select("anchor", "digest", F.array(F.lit(0), F.size(F.split("context", " "))).alias("spans"))
-    several = distinct.join(shards.where("contexts > 1"), "anchor")
-    shard = several.where(F.col("contexts") <= HOT).select("anchor", "digest", "context", "n").repartition("anchor").sortWithinPartitions("anchor")
-    shared = shard.mapInArrow(_shard_spans(window), "anchor long, digest binary, spans array<int>")
-    places = several.where(F.col("contexts") > HOT).select("anchor", "digest", "context", "n").mapInArrow(_windows(window), "anchor long, digest binary, place int, window string, n long")
-    places = places.withColumn("window", F.unhex(F.md5(F.col("window").cast("binary"))))
-    again = places.groupBy("anchor", "window").agg(F.sum("n").alias("m")).where("m > 1").select("anchor", "window")
-    split = places.join(again, ["anchor", "window"]).select("anchor", "digest", F.array(F.col("place"), F.col("place") + window).alias("spans"))
-    marked = whole.unionByName(shared.where(F.size("spans") > 0)).unionByName(split)
+    marked = _marked(distinct, window, anchor)
     # Spans of a context become spans of the texts that hold it.
     held = found.select("key", "anchor", "digest", "first").join(marked, ["anchor", "digest"])
     moved = held.select("key", F.transform("spans", lambda s: s + F.col("first")).alias("spans"))

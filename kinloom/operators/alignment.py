@@ -109,3 +109,26 @@ def distance_outliers(distances: DataFrame, group: str, member: str, other: str,
     sums = both.groupBy(group, "m").agg(F.round(F.sum(distance), 6).alias("total"))
     quartiles = sums.groupBy(group).agg(F.percentile("total", 0.25).alias("q1"), F.percentile("total", 0.75).alias("q3"))
     return sums.join(quartiles, group).where("total > q3 + 1.5 * (q3 - q1)").select(group, F.col("m").alias(member), "total")
+
+
+def bootstrap_columns(cells: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """Resampled alignments: replicate, group, member, place, residue, is_gap.  Every place of a replicate shows a column drawn by a hash."""
+    width = cells.groupBy("group").agg((F.max("place") + 1).alias("n"))
+    draws = width.select("group", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = draws.select("group", "replicate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"), "n")
+    draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "group", "replicate", "at"), "n").cast("int"))
+    return draws.join(cells, ["group", "place"]).select("replicate", "group", "member", F.col("at").alias("place"), "residue", "is_gap")
+
+
+def back_translate(residues: DataFrame, codons: DataFrame, sequence: str, place: str, seed: int = 0) -> DataFrame:
+    """A codon for each residue, drawn by a hash with the weights of a usage table: sequence, place, residue, codon.
+
+    residues: sequence, place, residue.  codons: residue, codon, weight; a row for each codon.  Residues that the table lacks go.
+    """
+    upto = F.sum("weight").over(Window.partitionBy("residue").orderBy("codon"))
+    ranges = codons.select("residue", "codon", "weight").withColumn("upto", upto)
+    total = codons.groupBy("residue").agg(F.sum("weight").alias("total"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), sequence, place), 11) / float(1 << 53)
+    asked = residues.withColumn("residue", F.upper("residue")).join(total, "residue").withColumn("draw", draw * F.col("total"))
+    met = asked.join(ranges, "residue").where("upto - weight <= draw and draw < upto")
+    return met.select(sequence, place, "residue", "codon")

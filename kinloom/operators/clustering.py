@@ -104,3 +104,22 @@ def word_placements(sequences: DataFrame, references: DataFrame, seq_id: str, re
     met = grams(sequences, seq_id).join(grams(references, ref_id), "gram").groupBy(seq_id, ref_id).agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy(seq_id).orderBy(F.desc("shared"), ref_id))
     return met.withColumn("hit_rank", rank).where(F.col("hit_rank") <= most)
+
+
+def word_clusters(sequences: DataFrame, seq_id: str, text: str, size: int = 5, least: int = 1) -> DataFrame:
+    """Clusters of sequences linked by least or more shared runs of size words: seq_id, cluster (its least id), two members or more.
+
+    A run's holders are linked to the least of them and not to each other where one shared run is enough; else to each other.
+    """
+    from kinloom.operators.graph import connected_components
+
+    held = sequences.select(seq_id, F.explode(F.array(F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("words"))
+    words = F.col("words")
+    runs = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
+    grams = held.select(seq_id, F.explode(F.array_distinct(runs)).alias("gram")).distinct()
+    if least <= 1:
+        links = grams.join(grams.groupBy("gram").agg(F.min(seq_id).alias("root")), "gram").select(F.col(seq_id).alias("u"), F.col("root").alias("v"))
+    else:
+        met = grams.alias("a").join(grams.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col(f"a.{seq_id}") < F.col(f"b.{seq_id}")))
+        links = met.groupBy(F.col(f"a.{seq_id}").alias("u"), F.col(f"b.{seq_id}").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return connected_components(links, "u", "v").select(F.col("node").alias(seq_id), F.col("component").alias("cluster"))

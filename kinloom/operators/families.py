@@ -126,3 +126,55 @@ def ancestor_pairs(placed: DataFrame, item: str, species: str, path: str) -> Dat
     above = placed.select(F.col(item).alias("item_a"), F.col(species).alias("species_a"), F.explode(path).alias("group"))
     own = placed.select(F.col(item).alias("item_b"), F.col(species).alias("species_b"), F.element_at(path, -1).alias("group"))
     return above.join(own, "group").where("species_a <> species_b").select("item_a", "item_b", "group").distinct()
+
+
+def known_hits(hits: DataFrame, proteins: DataFrame, item: str) -> DataFrame:
+    """Hits of proteins that passed the checks."""
+    return hits.join(proteins.select(item).distinct(), item, "left_semi")
+
+
+def with_sequences(members: DataFrame, proteins: DataFrame, keys: list[str], least: int = 1, family: str | None = None) -> DataFrame:
+    """Members of families with the columns of their proteins, families of fewer than least such members left out."""
+    met = members.join(proteins, keys)
+    if family is None or least < 2:
+        return met
+    return met.join(met.groupBy(family).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(family), family, "left_semi")
+
+
+def gene_id_mapping(isoforms: DataFrame, chosen: DataFrame, ids: DataFrame, gene: str, protein: str) -> DataFrame:
+    """Each isoform with the one that stands for its gene and that one's numeric id: protein, main, numeric_id."""
+    main = chosen.select(gene, F.col(protein).alias("main"))
+    number = ids.select(F.col(protein).alias("main"), "numeric_id")
+    return isoforms.select(gene, protein).join(main, gene, "left").join(number, "main", "left").select(protein, "main", "numeric_id")
+
+
+def minor_isoforms(isoforms: DataFrame, chosen: DataFrame, gene: str, protein: str) -> DataFrame:
+    """The chosen isoform of each gene with the others in order, comma between: gene, protein, minor ("" for none)."""
+    rest = isoforms.select(gene, protein).join(chosen.select(gene, F.col(protein).alias("main")), gene).where(F.col(protein) != F.col("main"))
+    lists = rest.groupBy(gene).agg(F.array_join(F.transform(F.sort_array(F.collect_set(protein)), lambda x: x.cast("string")), ",").alias("minor"))
+    return chosen.select(gene, protein).join(lists, gene, "left").withColumn("minor", F.coalesce("minor", F.lit("")))
+
+
+def singleton_counts(members: DataFrame, n_members: str) -> DataFrame:
+    """One row: n_families, n_single, n_several, and the members of the latter."""
+    single = F.col(n_members) == 1
+    return members.agg(F.count("*").alias("n_families"), F.count_if(single).alias("n_single"), F.count_if(~single).alias("n_several"), F.coalesce(F.sum(F.when(~single, F.col(n_members))), F.lit(0)).alias("n_in_several"))
+
+
+def overlapping_groups(members: DataFrame, group: str, item: str) -> DataFrame:
+    """Pairs of groups that share items: group_a < group_b, shared.  Disjoint groups give no row."""
+    one = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    met = one.alias("a").join(one.alias("b"), (F.col("a.i") == F.col("b.i")) & (F.col("a.g") < F.col("b.g")))
+    return met.groupBy(F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b")).agg(F.count("*").alias("shared"))
+
+
+def first_occurrences(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The distinct values of a key by their first place: key, first."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"))
+
+
+def partition_distances(distances: DataFrame, parts: DataFrame, a: str, b: str, item: str, part: str, distance: str) -> DataFrame:
+    """Distances between and within parts: part_a <= part_b, n, mean."""
+    left, right = (parts.select(F.col(item).alias(side), F.col(part).alias(f"_{side}")) for side in (a, b))
+    met = distances.join(left, a).join(right, b)
+    return met.groupBy(F.least(f"_{a}", f"_{b}").alias("part_a"), F.greatest(f"_{a}", f"_{b}").alias("part_b")).agg(F.count("*").alias("n"), F.round(F.avg(distance), 6).alias("mean"))

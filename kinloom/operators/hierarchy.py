@@ -15,17 +15,21 @@ from kinloom.operators.graph import materialised
 from kinloom.operators.proteins import letters
 
 
-def closure(tree: DataFrame, node: str = "node", parent: str = "parent", max_depth: int = 200) -> DataFrame:
-    """Each node with itself and its ancestors: node, ancestor, distance."""
+def closure(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """Each node with itself and its ancestors: node, ancestor, distance.
+
+    A chain of parents longer than there are nodes is a cycle, and an error.
+    """
     edges = tree.select(F.col(node).alias("c"), F.col(parent).alias("p")).where("p is not null")
     front = tree.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"))
     levels = [front]
-    for _ in range(max_depth):
+    most = tree.count()
+    while len(levels) <= most + 1:
         front = materialised(front.join(edges, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
         if front.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(front)
-    raise ValueError(f"a tree deeper than {max_depth}, or a cycle")
+    raise ValueError("the tree has a cycle")
 
 
 def with_depth(tree: DataFrame, up: DataFrame) -> DataFrame:
@@ -59,12 +63,12 @@ def prune(tree: DataFrame, up: DataFrame, keep: DataFrame) -> DataFrame:
     return stay.join(above, "node", "left")
 
 
-def species_overlap(children: DataFrame, node: str, child: str, species: str, threshold: float = 0.1) -> DataFrame:
-    """Overlap of the children's species at each node: node, n_inter, n_union, overlap, kind.
+def species_overlap(children: DataFrame, node: str, child: str, species: str, threshold: float = 0.0) -> DataFrame:
+    """Overlap of the children's species at each node with two children or more: node, n_inter, n_union, overlap, kind.
 
-    At a node with several children the overlap is the species in all of them over the species in any; above the threshold it is D.
+    The overlap is the species in all of them over the species in any; above the threshold it is D.  Nodes with one child are left out.
     """
-    n = children.select(node, child).distinct().groupBy(node).agg(F.count("*").alias("k"))
+    n = children.select(node, child).distinct().groupBy(node).agg(F.count("*").alias("k")).where("k > 1")
     each = children.select(node, child, species).distinct().groupBy(node, species).agg(F.count("*").alias("m"))
     sums = each.join(n, node).groupBy(node).agg(F.count_if(F.col("m") == F.col("k")).alias("n_inter"), F.count("*").alias("n_union"))
     overlap = F.col("n_inter") / F.col("n_union")
@@ -93,30 +97,32 @@ def groups_at_level(genes: DataFrame, groups: DataFrame, up: DataFrame, is_level
     return genes.join(up, "node").join(groups.where(is_level).select(F.col("node").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("node"), "gene")
 
 
-def marker_groups(groups: DataFrame, genes: DataFrame, up: DataFrame) -> DataFrame:
+def marker_groups(groups: DataFrame, genes: DataFrame, up: DataFrame, weight: Column | None = None) -> DataFrame:
     """Genes that stay if every duplication keeps its heaviest child, from the bottom up: root, gene.
 
-    groups: node, parent, kind, ord.  Weight is the number of genes left below; ties go to the first by ord.
+    groups: node, parent, kind, ord.  Weight is the number of genes left below, or an aggregate over the columns of genes, as
+    the number of species; ties go to the first by ord.
     """
+    weight = F.count("*") if weight is None else weight
     tree = materialised(with_depth(groups, up))
     deepest = tree.agg(F.max("depth")).first()[0]
     if deepest is None:
         return genes.select(F.col("node").alias("root"), "gene").limit(0)
-    left = genes.select("node", "gene").join(tree.select("node", "parent", "depth"), "node").select(F.col("node").alias("at"), "depth", "gene")
+    left = genes.join(tree.select("node", "parent", "depth"), "node").select(F.col("node").alias("at"), "depth", *[c for c in genes.columns if c != "node"])
     for d in range(deepest, 0, -1):
         here = left.where(F.col("depth") == d)
-        weights = here.groupBy(F.col("at").alias("node")).agg(F.count("*").alias("w")).join(tree.select("node", "parent", "ord"), "node")
+        weights = here.groupBy(F.col("at").alias("node")).agg(weight.alias("w")).join(tree.select("node", "parent", "ord"), "node")
         kinds = tree.select(F.col("node").alias("parent"), F.col("kind").alias("above"))
         best = weights.groupBy("parent").agg(F.max_by("node", F.struct("w", -F.col("ord"))).alias("best"))
         kept = weights.join(kinds, "parent").join(best, "parent").where("above <> 'D' or node = best").select(F.col("node").alias("at"), "parent")
-        up_one = here.join(kept, "at").select(F.col("parent").alias("at"), F.lit(d - 1).alias("depth"), "gene")
+        up_one = here.join(kept, "at").select(F.col("parent").alias("at"), F.lit(d - 1).alias("depth"), *[c for c in genes.columns if c != "node"])
         left = materialised(left.where(F.col("depth") < d).unionByName(up_one))
     sizes = left.groupBy("at").count().where("count > 1")
     return left.join(sizes, "at", "left_semi").select(F.col("at").alias("root"), "gene")
 
 
-def pairwise_relations(groups: DataFrame, genes: DataFrame, up: DataFrame, kind: str) -> DataFrame:
-    """Pairs of genes whose lowest common group is of the kind: gene_a < gene_b.
+def pairwise_relations(groups: DataFrame, genes: DataFrame, up: DataFrame, kind: str | Column) -> DataFrame:
+    """Pairs of genes whose lowest common group is of a kind, or meets a predicate on groups: gene_a < gene_b.
 
     Output is quadratic in a group's genes by its meaning; the join is on the common group and children, which adaptive
     execution splits where a group is large.
@@ -125,14 +131,17 @@ def pairwise_relations(groups: DataFrame, genes: DataFrame, up: DataFrame, kind:
     # The child below each ancestor on a gene's way; a gene hangs itself below its own node.
     below = path.select("gene", "node", F.col("at").alias("child"), (F.col("distance") + 1).alias("distance"))
     way = path.join(below, ["gene", "node", "distance"], "left").select("gene", "at", F.coalesce(F.col("child").cast("string"), F.concat(F.lit("gene "), F.col("gene").cast("string"))).alias("child"))
-    way = way.join(groups.where(F.col("kind") == kind).select(F.col("node").alias("at")), "at")
+    way = way.join(groups.where(F.col("kind") == kind if isinstance(kind, str) else kind).select(F.col("node").alias("at")), "at")
     met = way.alias("a").join(way.alias("b"), (F.col("a.at") == F.col("b.at")) & (F.col("a.child") < F.col("b.child")))
     return met.select(F.least("a.gene", "b.gene").alias("gene_a"), F.greatest("a.gene", "b.gene").alias("gene_b"))
 
 
-def duplication_ids(groups: DataFrame, up: DataFrame) -> DataFrame:
-    """Ids of nested groups: node, hog_id.  A root is HOG:0000001 by fam; below the n-th duplication of its duplication depth in a family the
-    children add .n and a letter.  groups: fam, node, parent, kind, ord (pre-order in the family), place (from 0 among siblings).
+def duplication_ids(groups: DataFrame, up: DataFrame, taxon: str | None = None) -> DataFrame:
+    """Ids of nested speciation groups: node, hog_id.
+
+    A root is HOG:0000001 by fam; below the n-th duplication of its duplication depth in a family the children add .n and a
+    letter.  A column taxon, if named, is appended behind an underscore.  groups: fam, node, parent, kind, ord (pre-order in the family),
+    place (from 0 among siblings, genes included).
     """
     tree = materialised(with_depth(groups, up))
     kinds = tree.select(F.col("node").alias("ancestor"), F.col("kind").alias("above"))
@@ -144,23 +153,27 @@ def duplication_ids(groups: DataFrame, up: DataFrame) -> DataFrame:
     step = tree.join(numbered, "parent", "left").select("node", "fam", part.alias("part"))
     parts = up.join(step.select(F.col("node").alias("ancestor"), "part"), "ancestor")
     joined = parts.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "part"))), lambda x: x["part"]), "").alias("suffix"))
-    return joined.join(tree.select("node", "fam"), "node").select("node", F.concat(F.format_string("HOG:%07d", "fam"), "suffix").alias("hog_id"))
+    end = F.concat(F.lit("_"), F.col(taxon).cast("string")) if taxon else F.lit("")
+    held = tree.where("kind = 'S'").select("node", "fam", end.alias("end"))
+    return joined.join(held, "node").select("node", F.concat(F.format_string("HOG:%07d", "fam"), "suffix", "end").alias("hog_id"))
+
 
+def filter_cascade(groups: DataFrame, value: str, threshold: float) -> DataFrame:
+    """Groups that stay if those with value below the threshold go, and then parents that lose all of their child groups.
 
-def filter_cascade(groups: DataFrame, value: str, threshold: float, max_depth: int = 200) -> DataFrame:
-    """Groups that stay if those with value below the threshold go, and then parents that lose all of their child groups."""
+    Each round takes away some groups, or it is the last.
+    """
     now = materialised(groups)
     had = now.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("had", F.lit(True))
     now = now.join(had, "node", "left")
     now = materialised(now.where(~(F.lit(threshold) > F.col(value))))
     n = now.count()
-    for _ in range(max_depth):
+    while True:
         has = now.select(F.col("parent").alias("node")).where("node is not null").distinct().withColumn("has", F.lit(True))
         now = materialised(now.join(has, "node", "left").where("had is null or has").drop("has"))
         before, n = n, now.count()
         if n == before:
             return now.drop("had")
-    raise ValueError(f"groups nested deeper than {max_depth}")
 
 
 def level_comparison(parent: DataFrame, child: DataFrame) -> DataFrame:
@@ -175,3 +188,110 @@ def level_comparison(parent: DataFrame, child: DataFrame) -> DataFrame:
     event = F.when(F.col("n_children") == 0, "lost").when(F.col("n_children") == 1, "identical").otherwise("duplicated")
     fresh = met.groupBy(F.col("down").alias("group")).agg(F.count("up").alias("n")).where("group is not null and n = 0")
     return kept.withColumn("event", event).unionByName(fresh.select("group", F.lit(0).cast("long").alias("n_children"), F.lit("novel").alias("event")))
+
+
+def traversals(tree: DataFrame, up: DataFrame, order: str = "node") -> DataFrame:
+    """Places of nodes (from 1) in three orders, siblings by a column: node, pre, post, by_level.
+
+    For one small tree, as that of the species: the windows run over all its nodes.
+    """
+    names = tree.select(F.col("node").alias("ancestor"), F.col(order).cast("string").alias("name"))
+    steps = F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
+    paths = up.join(names, "ancestor").groupBy("node").agg(F.transform(steps, lambda x: x["name"]).alias("path"), F.max("distance").alias("depth"))
+    # Behind its descendants in post-order: the end of a path sorts after every name.
+    last = F.concat("path", F.array(F.lit("\U0010ffff")))
+    number = lambda *by: F.row_number().over(Window.orderBy(*by))
+    return paths.select("node", number("path").alias("pre"), number(last).alias("post"), number("depth", "path").alias("by_level"))
+
+
+def groups_in_clade(genes: DataFrame, groups: DataFrame, up: DataFrame, clade: DataFrame) -> DataFrame:
+    """Genes by the highest speciation group all of whose genes are of a clade's species: node, gene.
+
+    genes: node, gene, species.  groups: node, parent, kind.  clade: species.
+    """
+    told = genes.join(clade.select("species").distinct().withColumn("inside", F.lit(True)), "species", "left")
+    whole = told.join(up, "node").groupBy(F.col("ancestor").alias("node")).agg(F.bool_and(F.coalesce("inside", F.lit(False))).alias("whole")).where("whole")
+    whole = materialised(groups.where("kind = 'S'").join(whole, "node").select("node"))
+    # The highest: no other such group above.
+    lower = up.where("distance > 0").join(whole, "node").join(whole.withColumnRenamed("node", "ancestor"), "ancestor").select("node").distinct()
+    top = whole.join(lower, "node", "left_anti").withColumnRenamed("node", "ancestor")
+    return genes.join(up, "node").join(top, "ancestor").select(F.col("ancestor").alias("node"), "gene")
+
+
+def maximal_groups(genes: DataFrame, groups: DataFrame, up: DataFrame) -> DataFrame:
+    """Genes that stay if every duplication keeps its child with most species, judged on the whole tree: root, gene.
+
+    genes: node, gene, species; ties go to the first child by ord.
+    """
+    width = genes.join(up, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count_distinct("species").alias("w"))
+    twice = groups.where("kind = 'D'").select(F.col("node").alias("parent"))
+    rivals = groups.select("node", "parent", "ord").join(twice, "parent").join(width, "node")
+    best = rivals.groupBy("parent").agg(F.max_by("node", F.struct("w", -F.col("ord"))).alias("node"))
+    less = rivals.join(best, "node", "left_anti").select(F.col("node").alias("ancestor"))
+    gone = genes.join(up, "node").join(less, "ancestor").select("gene").distinct()
+    top = groups.where("parent is null").select(F.col("node").alias("ancestor"))
+    return genes.join(gone, "gene", "left_anti").join(up, "node").join(top, "ancestor").select(F.col("ancestor").alias("root"), "gene")
+
+
+def root_levels(groups: DataFrame) -> DataFrame:
+    """The level of each root: node, level."""
+    return groups.where("parent is null").select("node", "level")
+
+
+def named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of genes (gene_a, gene_b) by names (gene, name), the lesser name first: name_a, name_b."""
+    a, b = names.select(F.col("gene").alias("gene_a"), F.col("name").alias("a")), names.select(F.col("gene").alias("gene_b"), F.col("name").alias("b"))
+    return pairs.join(a, "gene_a").join(b, "gene_b").select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"))
+
+
+def level_of_interest(tree: DataFrame, up: DataFrame, share: float = 0.4) -> str:
+    """The taxon reached from the root by going to the largest clade below (first by order) while it has the share of all leaves, two at least."""
+    sizes = leaf_counts(tree, up)
+    walk = up.where("distance > 0").join(sizes, "node").join(traversals(tree, up).select("node", "by_level"), "node")
+    below = walk.select(F.col("ancestor").alias("at"), "node", "n_leaves", "by_level").groupBy("at").agg(F.max_by(F.struct("node", "n_leaves"), F.struct("n_leaves", -F.col("by_level"))).alias("best"))
+    # One row for each taxon of the species tree.
+    step = {r["at"]: (r["best"]["node"], r["best"]["n_leaves"]) for r in below.collect()}
+    at = tree.where("parent is null").first()["node"]
+    least = max(2, int(share * sizes.agg(F.max("n_leaves")).first()[0]))
+    while at in step and step[at][1] >= least:
+        at = step[at][0]
+    return at
+
+
+def taxonomy_of(pairs: DataFrame) -> DataFrame:
+    """A tree out of pairs seen in nested groups (node, ancestor, any number of steps apart): node, parent; the pairs that others imply go.
+
+    Raises an error if there is not one root.
+    """
+    steps = materialised(pairs.select("node", "ancestor").where("node <> ancestor").distinct())
+    whole = steps
+    while True:
+        more = whole.alias("a").join(whole.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
+        wider = materialised(whole.unionByName(more).distinct())
+        if wider.join(whole, ["node", "ancestor"], "left_anti").isEmpty():
+            break
+        whole = wider
+    implied = whole.alias("a").join(whole.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor").distinct()
+    direct = whole.join(implied, ["node", "ancestor"], "left_anti").select("node", F.col("ancestor").alias("parent"))
+    tops = whole.select(F.col("ancestor").alias("node")).distinct().join(whole.select("node"), "node", "left_anti")
+    found = [r["node"] for r in tops.limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError("the levels do not have one root")
+    return direct.unionByName(tops.select("node", F.lit(None).cast(direct.schema["parent"].dataType).alias("parent")))
+
+
+def edge_events(memberships: DataFrame, tree: DataFrame) -> DataFrame:
+    """What becomes of groups on each edge of the species tree: node, parent, retained, duplicated, lost, gained.
+
+    memberships: level, group, gene: the groups at each taxon.  A group of the parent with one group below it in the child that shares a
+    gene is retained, with several duplicated, with none lost; a group of the child that shares none is gained.
+    """
+    edges = tree.where("parent is not null").select("node", "parent")
+    upper = memberships.select(F.col("level").alias("parent"), F.col("group").alias("upper"), "gene").join(edges, "parent")
+    lower = memberships.select(F.col("level").alias("node"), F.col("group").alias("lower"), "gene")
+    met = upper.join(lower, ["node", "gene"]).select("node", "upper", "lower").distinct()
+    kept = upper.select("node", "upper").distinct().join(met, ["node", "upper"], "left").groupBy("node", "upper").agg(F.count("lower").alias("k"))
+    one = kept.groupBy("node").agg(F.count_if(F.col("k") == 1).alias("retained"), F.count_if(F.col("k") > 1).alias("duplicated"), F.count_if(F.col("k") == 0).alias("lost"))
+    fresh = lower.select("node", "lower").distinct().join(met.select("node", "lower").distinct(), ["node", "lower"], "left_anti").groupBy("node").agg(F.count("*").alias("gained"))
+    out = edges.join(one, "node", "left").join(fresh, "node", "left")
+    return out.select("node", "parent", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("retained", "duplicated", "lost", "gained")])

@@ -38,21 +38,29 @@ def unmapped_and_single(proteins: DataFrame, mapped: DataFrame, singles: DataFra
     return none.unionByName(singles.select(protein).withColumn("reason", F.lit("singleton")))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds number, from 1 in the order of columns without nulls, over all rows.
+
+    Rows are sorted by range, so no task holds them all; each range's numbers follow those of the ranges before it.
+    """
+    # Stored, as a second pass could draw other ranges.
+    dealt = materialised(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_at", within).join(before, "_range").withColumn("number", (F.col("_at") + F.col("_before")).cast("long")).drop("_range", "_at", "_before")
+
+
 def numeric_ids(proteins: DataFrame, species: str, species_index: str, order: str) -> DataFrame:
     """Adds numeric_id: FIRST_ID + species index * PER_SPECIES + running number from 1 in order within the species.
 
-    Rows are sorted by range, so a species may span many tasks; each range's numbers follow those of the ranges before it.  A species of
+    A row's number in its species is its number in all less that of the species' first row, so a species may span many tasks.  A species of
     more than PER_SPECIES proteins is an error, as its ids would be those of the next.
     """
-    part, at, before, size = "_range", "_at", "_before", "_size"
-    # Stored, as a second pass could draw other ranges.
-    dealt = materialised(proteins.repartitionByRange(species, order).withColumn(part, F.spark_partition_id()))
-    sizes = dealt.groupBy(species, part).agg(F.count("*").alias(size))
-    earlier = Window.partitionBy(species).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn(before, F.coalesce(F.sum(size).over(earlier), F.lit(0))).select(F.col(species).alias("_species"), F.col(part).alias("_of"), before)
-    numbered = dealt.withColumn(at, F.row_number().over(Window.partitionBy(species, part).orderBy(order)))
-    joined = numbered.join(sizes, F.col(species).eqNullSafe(F.col("_species")) & (F.col(part) == F.col("_of")))
-    running = F.col(at) + F.col(before)
+    all_ = numbered(proteins, species, order)
+    first = all_.groupBy(F.col(species).alias("_species")).agg(F.min("number").alias("_first"))
+    joined = all_.join(first, F.col(species).eqNullSafe(F.col("_species")))
+    running = F.col("number") - F.col("_first") + 1
     fault = F.raise_error(F.concat(F.lit(f"more than {PER_SPECIES} proteins in species "), F.col(species).cast("string")))
     id_ = F.lit(FIRST_ID) + F.col(species_index) * PER_SPECIES + F.when(running <= PER_SPECIES, running).otherwise(fault.cast("long"))
     return joined.withColumn("numeric_id", id_.cast("long")).select(*proteins.columns, "numeric_id")
@@ -104,9 +112,11 @@ def root_id(group_id: Column) -> Column:
 
 
 def letters(number: Column) -> Column:
-    """0 to a, 25 to z, 26 to aa: the letters of a paralog's place, up to two of them and 701."""
-    low = F.chr(F.lit(97) + number % 26)
-    return F.when(number < 26, low).otherwise(F.concat(F.chr(F.lit(96) + F.floor(number / 26)), low))
+    """0 to a, 25 to z, 26 to aa, 702 to aaa: the letters of a paralog's place, as in numbered lists of letters."""
+    # A 64-bit number has 14 letters at most.
+    start = F.struct(number.cast("long").alias("n"), F.lit("").alias("s"))
+    step = lambda acc, _: F.when(acc["n"] >= 0, F.struct((F.floor(acc["n"] / 26) - 1).cast("long").alias("n"), F.concat(F.chr(F.lit(97) + acc["n"] % 26), acc["s"]).alias("s"))).otherwise(acc)
+    return F.aggregate(F.array_repeat(F.lit(0), 14), start, step, lambda acc: acc["s"])
 
 
 def pack_batches(files: DataFrame, group: str, size: str, tie: str, alone: int, full: int) -> DataFrame:

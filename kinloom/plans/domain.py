@@ -9,12 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import shared_folder
+from kinloom.operators.proteins import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the placements of a table folder are kept, by application.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placements, with their ranks, as ingest would keep them: computed once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = shared_folder(spark)
+        _hits(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     lines = table(spark, sf_dir, "lineitem").withColumn("hit_rank", F.row_number().over(order))
     owner = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -45,16 +62,32 @@ TREE_SQL = """tree AS (
 
 
 def part_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nested groups and their genes: brands (D) over types (S) over parts."""
-    kinds = table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
-    brand_no = kinds.select("p_brand").distinct().withColumn("fam", F.row_number().over(Window.orderBy("p_brand")).cast("long"))  # a row for each brand
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))
-    types = kinds.withColumn("ord", place).join(brand_no, "p_brand")
-    name = F.concat_ws("/", "p_brand", "p_type")
-    low = types.select("fam", name.alias("node"), F.col("p_brand").alias("parent"), F.lit("S").alias("kind"), "ord", (F.col("ord") - 1).alias("place"))
-    top = brand_no.select("fam", F.col("p_brand").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("D").alias("kind"), F.lit(0).alias("ord"), F.lit(0).alias("place"))
-    genes = table(spark, sf_dir, "part").select(name.alias("node"), F.col("p_partkey").alias("gene"))
-    return top.unionByName(low), genes
+    """Nested groups and their genes: brands (S) over halves of sizes (D) over types (S) over thirds of sizes (D) over sizes (S)
+    over parts; the species of a part is its container of 25, by number.  A node's name is its path."""
+    half, third = F.col("p_size") % 2, F.col("p_size") % 3
+    steps = [F.col("p_brand"), half.cast("string"), F.col("p_type"), third.cast("string"), F.col("p_size").cast("string")]
+    part = table(spark, sf_dir, "part")
+    name = lambda k: F.concat_ws("/", *steps[:k]) if k else F.lit(None).cast("string")
+    levels = [("S", "brand"), ("D", None), ("S", "type"), ("D", None), ("S", "size")]
+    rows = [part.select(F.col("p_brand").alias("brand"), name(k).alias("node"), name(k - 1).alias("parent"), F.lit(kind).alias("kind"), F.lit(level).alias("level")).distinct() for k, (kind, level) in enumerate(levels, 1)]
+    groups = rows[0]
+    for r in rows[1:]:
+        groups = groups.unionByName(r)
+    brands = numbered(part.select(F.col("p_brand").alias("brand")).distinct(), "brand").withColumnRenamed("number", "fam")
+    ord_ = F.row_number().over(Window.partitionBy("fam").orderBy("node"))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("node")) - 1
+    groups = groups.join(brands, "brand").withColumn("ord", ord_).withColumn("place", F.when(F.col("parent").isNull(), 0).otherwise(place))
+    genes = part.select(name(5).alias("node"), F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 25).alias("species"))
+    return groups.select("fam", "node", "parent", "kind", "level", "ord", "place"), genes
+
+
+#: The same in SQL: p has a row for each part and the names of the groups above it, g a row for each group.
+PARTS_SQL = """p AS (SELECT p_partkey AS gene, p_partkey % 25 AS species, p_brand AS n1, p_brand || '/' || p_size % 2 AS n2, p_brand || '/' || p_size % 2 || '/' || p_type AS n3,
+        p_brand || '/' || p_size % 2 || '/' || p_type || '/' || p_size % 3 AS n4, p_brand || '/' || p_size % 2 || '/' || p_type || '/' || p_size % 3 || '/' || p_size AS n5 FROM part),
+    g0 AS (SELECT DISTINCT n1, n1 AS node, CAST(NULL AS VARCHAR) AS parent, 'S' AS kind, 'brand' AS level FROM p UNION ALL SELECT DISTINCT n1, n2, n1, 'D', NULL FROM p
+        UNION ALL SELECT DISTINCT n1, n3, n2, 'S', 'type' FROM p UNION ALL SELECT DISTINCT n1, n4, n3, 'D', NULL FROM p UNION ALL SELECT DISTINCT n1, n5, n4, 'S', 'size' FROM p),
+    g AS (SELECT dense_rank() OVER (ORDER BY n1) AS fam, node, parent, kind, level, row_number() OVER (PARTITION BY n1 ORDER BY node) AS ord,
+        CASE WHEN parent IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY parent ORDER BY node) - 1 END AS place FROM g0)"""
 
 
 def customer_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

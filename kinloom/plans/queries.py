@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.operators import alignment, clustering, families, hierarchy, proteins, report
 from kinloom.plans import domain
-from kinloom.plans.domain import CELLS_SQL, HITS_SQL, TREE_SQL, table
+from kinloom.plans.domain import CELLS_SQL, HITS_SQL, PARTS_SQL, TREE_SQL, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,9 +189,13 @@ def header_and_root(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", proteins.header_transformer("accession")(header).alias("accession"), proteins.root_id(placed).alias("root"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, coalesce(n_chars, 0) AS n, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS i FROM documents), t AS (
+    SELECT source, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS batch, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS total FROM d GROUP BY source UNION ALL
+    SELECT source, i, doc_id, n, b0, CASE WHEN n > 40000 OR t0 + n > 200000 THEN b0 + 1 ELSE b0 END, CASE WHEN n > 40000 OR t0 + n > 200000 THEN 0 ELSE t0 + n END FROM (
+        SELECT d.source, d.i, d.doc_id, d.n, CASE WHEN d.n > 40000 AND total > 0 THEN b + 1 ELSE b END AS b0, CASE WHEN d.n > 40000 AND total > 0 THEN 0 ELSE total END AS t0 FROM t JOIN d ON d.source IS NOT DISTINCT FROM t.source AND d.i = t.i + 1))
+    SELECT source, n AS n_chars, doc_id, batch FROM t WHERE i > 0""")
 def batch_packing(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars is not null")
+    docs = table(spark, d, "documents").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
     return proteins.pack_batches(docs, "source", "n_chars", "doc_id", alone=40_000, full=200_000)
 
 
@@ -218,10 +222,10 @@ def mrca_of_part(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {HITS_SQL}, c AS (SELECT DISTINCT part, root_s % 3 AS child, species FROM hits), k AS (SELECT part, count(DISTINCT child) AS k FROM c GROUP BY part), e AS (
     SELECT part, species, count(*) AS m FROM c GROUP BY part, species), s AS (
-    SELECT part, sum(CASE WHEN m = k THEN 1 ELSE 0 END) AS i, count(*) AS u FROM e JOIN k USING (part) GROUP BY part)
+    SELECT part, sum(CASE WHEN m = k THEN 1 ELSE 0 END) AS i, count(*) AS u FROM e JOIN k USING (part) WHERE k > 1 GROUP BY part)
     SELECT part, CAST(i AS BIGINT) AS n_inter, u AS n_union, round(i / u, 4) AS overlap, CASE WHEN i / u > 0.1 THEN 'D' ELSE 'S' END AS kind FROM s""")
 def species_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.species_overlap(domain.hits(spark, d).withColumn("child", F.col("root_s") % 3), "part", "child", "species")
+    return hierarchy.species_overlap(domain.hits(spark, d).withColumn("child", F.col("root_s") % 3), "part", "child", "species", threshold=0.1)
 
 
 def _parts(spark, d):
@@ -229,23 +233,26 @@ def _parts(spark, d):
     return groups, genes, hierarchy.closure(groups)
 
 
-@query("""WITH w AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM w)
-    SELECT p_brand AS root, p_partkey AS gene FROM part JOIN r USING (p_brand, p_type) WHERE r = 1 AND n > 1""")
+@query(f"""WITH {PARTS_SQL}, w5 AS (SELECT n1, n2, n3, n4, n5, count(*) AS w FROM p GROUP BY ALL), k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n4 ORDER BY w DESC, n5) AS r FROM w5) WHERE r = 1),
+    w3 AS (SELECT n2, n3, sum(w) AS w FROM k5 GROUP BY ALL), k3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n2 ORDER BY w DESC, n3) AS r FROM w3) WHERE r = 1),
+    kept AS (SELECT p.n1, gene FROM p JOIN k5 USING (n5) JOIN k3 ON k3.n3 = p.n3)
+    SELECT n1 AS root, gene FROM kept WHERE n1 IN (SELECT n1 FROM kept GROUP BY n1 HAVING count(*) > 1)""")
 def marker_groups(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.marker_groups(*_parts(spark, d))
 
 
-@query("""WITH b AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) AS fam FROM part GROUP BY p_brand), t AS (
-    SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS k FROM part GROUP BY 1, 2)
-    SELECT p_brand AS node, printf('HOG:%07d', fam) AS hog_id FROM b UNION ALL
-    SELECT p_brand || '/' || p_type, printf('HOG:%07d', fam) || '.1' || chr(CAST(96 + k AS INTEGER)) FROM t JOIN b USING (p_brand)""")
+@query(f"""WITH {PARTS_SQL}, d1 AS (SELECT node, row_number() OVER (PARTITION BY fam ORDER BY ord) AS n FROM g WHERE kind = 'D' AND parent NOT IN (SELECT node FROM g WHERE level = 'type')),
+    d2 AS (SELECT node, row_number() OVER (PARTITION BY fam ORDER BY ord) AS n FROM g WHERE kind = 'D' AND parent IN (SELECT node FROM g WHERE level = 'type')),
+    l3 AS (SELECT g.node, printf('HOG:%07d', fam) || '.' || n || chr(CAST(97 + place AS INTEGER)) AS id FROM g JOIN d1 ON g.parent = d1.node),
+    l5 AS (SELECT g.node, l3.id || '.' || n || chr(CAST(97 + g.place AS INTEGER)) AS id FROM g JOIN d2 ON g.parent = d2.node JOIN g h ON h.node = g.parent JOIN l3 ON l3.node = h.parent)
+    SELECT node, printf('HOG:%07d', fam) AS hog_id FROM g WHERE level = 'brand' UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l5""")
 def duplication_ids(spark: SparkSession, d: str) -> DataFrame:
     groups, _, up = _parts(spark, d)
     return hierarchy.duplication_ids(groups, up)
 
 
-@query("""SELECT p_brand AS node, count(*) AS n_genes, true AS is_root FROM part GROUP BY p_brand UNION ALL
-    SELECT p_brand || '/' || p_type, count(*), false FROM part GROUP BY p_brand, p_type""")
+@query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n2, n3, n4, n5]) AS node, gene FROM p)
+    SELECT node, count(*) AS n_genes, any_value(parent IS NULL) AS is_root FROM n JOIN g USING (node) GROUP BY node""")
 def group_statistics(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.group_statistics(*_parts(spark, d))
 
@@ -256,18 +263,21 @@ def root_groups(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.root_groups(genes, groups, up)
 
 
-@query("SELECT p_brand || '/' || p_type AS node, p_partkey AS gene FROM part")
+@query(f"WITH {PARTS_SQL} SELECT n3 AS node, gene FROM p")
 def level_slice(spark: SparkSession, d: str) -> DataFrame:
     groups, genes, up = _parts(spark, d)
-    return hierarchy.groups_at_level(genes, groups, up, F.col("kind") == "S")
+    return hierarchy.groups_at_level(genes, groups, up, F.col("level") == "type")
 
 
-@query("""WITH c AS (SELECT p_brand, p_type, count(*) / 25.0 AS v FROM part GROUP BY 1, 2), k AS (SELECT * FROM c WHERE v >= 0.6)
-    SELECT p_brand || '/' || p_type AS node FROM k UNION ALL SELECT DISTINCT p_brand FROM k""")
+@query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n2, n3, n4, n5]) AS node, gene FROM p), v AS (SELECT node, any_value(parent) AS parent, any_value(kind) AS kind FROM n JOIN g USING (node) GROUP BY node HAVING count(*) >= 2),
+    k5 AS (SELECT n5 AS node FROM p JOIN v ON node = n5 GROUP BY n5), k4 AS (SELECT node FROM v WHERE node IN (SELECT parent FROM v WHERE node IN (SELECT node FROM k5))),
+    k3 AS (SELECT node FROM v WHERE node IN (SELECT parent FROM v WHERE node IN (SELECT node FROM k4))), k2 AS (SELECT node FROM v WHERE node IN (SELECT parent FROM v WHERE node IN (SELECT node FROM k3))),
+    k1 AS (SELECT node FROM v WHERE node IN (SELECT parent FROM v WHERE node IN (SELECT node FROM k2)))
+    SELECT node FROM k5 UNION ALL SELECT node FROM k4 UNION ALL SELECT node FROM k3 UNION ALL SELECT node FROM k2 UNION ALL SELECT node FROM k1""")
 def filter_cascade(spark: SparkSession, d: str) -> DataFrame:
     groups, genes, up = _parts(spark, d)
-    valued = groups.join(hierarchy.group_sizes(genes, up).select("node", (F.col("n_genes") / 25.0).alias("value")), "node")
-    return hierarchy.filter_cascade(valued, "value", 0.6).select("node")
+    valued = groups.join(hierarchy.group_sizes(genes, up).select("node", F.col("n_genes").cast("double").alias("value")), "node")
+    return hierarchy.filter_cascade(valued, "value", 2.0).select("node")
 
 
 CUSTOMERS = "WITH c AS (SELECT c_custkey AS g, c_custkey // 30 AS f, n_regionkey AS r, c_nationkey AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)"

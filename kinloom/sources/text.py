@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.proteins import root_id
+
 #: The columns of a placement table, in file order.
 PLACEMENT = (
     "qseqid string, hogid string, hoglevel string, family_p double, family_count int, family_normcount double, subfamily_score double, "
@@ -25,31 +27,50 @@ def read_fasta(spark: SparkSession, path: str, least_length: int = 0) -> DataFra
     return out.where("prot_id <> ''").withColumn("seq_len", F.length("seq")).where(F.col("seq_len") >= least_length)
 
 
-def read_placements(spark: SparkSession, path: str) -> DataFrame:
-    """Placement rows with species, root_id and hit_rank (file order within a protein; N/A is null).
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files with the file's stem, the start of the file's part and a number that rises within it; large files are split."""
+    lines = spark.read.text(path).select(_stem().alias("f"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return lines.withColumn("at", F.monotonically_increasing_id())
 
-    File order comes from the row's place in its file, so files must not be split: one file for each species.
-    """
-    lines = spark.read.text(path, wholetext=True).select(_stem().alias("f"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    lines = lines.where("value <> '' and value not like '!%' and value not like 'qseqid\t%'")
+
+def read_placements(spark: SparkSession, path: str) -> DataFrame:
+    """Placement rows with species, root_id and hit_rank (file order within a protein; N/A is null)."""
+    lines = _lines(spark, path).where("value <> '' and value not like '!%' and value not like 'qseqid\t%'")
     fields = [f.strip().split(" ") for f in PLACEMENT.split(",")]
     parts = F.split("value", "\t")
     columns = [F.nullif(F.get(parts, F.lit(i)), F.lit("N/A")).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)]
-    rows = lines.select(F.regexp_replace("f", r"\.(fa|fasta)$", "").alias("species"), "line", *columns)
-    from pyspark.sql import Window
-
-    from kinloom.operators.proteins import root_id
-
-    rank = F.row_number().over(Window.partitionBy("species", "qseqid").orderBy("line"))
-    return rows.withColumn("hit_rank", rank).withColumn("root_id", root_id(F.col("hogid"))).drop("line").withColumnRenamed("qseqid", "prot_id")
+    rows = lines.select(F.regexp_replace("f", r"\.(fa|fasta)$", "").alias("species"), "block", "at", *columns)
+    rank = F.row_number().over(Window.partitionBy("species", "qseqid").orderBy("block", "at"))
+    return rows.withColumn("hit_rank", rank).withColumn("root_id", root_id(F.col("hogid"))).drop("block", "at").withColumnRenamed("qseqid", "prot_id")
 
 
 def read_splice(spark: SparkSession, path: str) -> DataFrame:
-    """species, gene (file order), iso_rank, prot_id; empty ids of a trailing separator are left out."""
-    lines = spark.read.text(path, wholetext=True).select(_stem().alias("species"), F.posexplode(F.split("value", "\r?\n")).alias("gene", "value"))
+    """species, gene (a number that rises in file order), iso_rank, prot_id; empty ids of a trailing separator are left out."""
+    lines = _lines(spark, path).select(F.col("f").alias("species"), (F.col("block") + F.col("at") % (1 << 33)).alias("gene"), "value")
     return lines.select("species", "gene", F.posexplode(F.split("value", ";")).alias("iso_rank", "prot_id")).where("prot_id <> ''")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a path, as those of families: stem, path, size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    return files.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), "path", "size")
+
+
+def read_clusters(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
+    """Clusters of a clustering tool's sequence file: cluster (a number), member (header), least members or more.
+
+    A header line that follows another header line begins a cluster; the first header of a cluster is its name, not a member.
+    """
+    lines = _lines(spark, path).where("value <> ''").withColumn("header", F.col("value").startswith(">"))
+    # The order of one file's lines: a window for each file, as clusters have no other key.
+    order = Window.partitionBy("f").orderBy("block", "at")
+    told = lines.withColumn("begins", F.col("header") & F.lead("header", 1, False).over(order))
+    told = told.withColumn("cluster", F.sum(F.col("begins").cast("int")).over(order))
+    members = told.where("header and not begins").select(F.concat_ws("/", "f", F.col("cluster").cast("string")).alias("cluster"), F.substring("value", 2, 1_000_000).alias("member"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
+    return members.join(sizes, "cluster")
+
+
 def write_fasta(proteins: DataFrame, path: str, by: list[str], compression: str = "none") -> None:
     """Records below a folder for each value of by."""
     record = F.concat(F.lit(">"), "prot_id", F.lit(" ["), F.coalesce("species", F.lit("")), F.lit("]\n"), "seq")

@@ -55,17 +55,89 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(newick_rows(text), TREE)
 
 
-def write_newick(rows: list[tuple]) -> str:
-    """The inverse of newick_rows."""
+def write_newick(rows: list[tuple], notes: dict | None = None) -> str:
+    """The inverse of newick_rows, with a comment for some nodes; trees may be as deep as they like."""
     below: dict = {}
-    for r in sorted(rows, key=lambda r: r[4]):
+    for r in sorted(rows, key=lambda r: r[4], reverse=True):
         below.setdefault(r[1], []).append(r)
+    out: list[str] = []
+    stack: list[tuple] = [("node", below[None][0], True)]
+    while stack:
+        what, r, last = stack.pop()
+        if what == "node" and r[0] in below:
+            out.append("(")
+            stack.append(("end", r, last))
+            stack += [("node", c, i == 0) for i, c in enumerate(below[r[0]])]
+            continue
+        out.append((")" if what == "end" else "") + (r[2] or "") + (f":{r[3]:g}" if r[3] is not None else "") + (notes or {}).get(r[0], "") + ("" if last else ","))
+    return "".join(out) + ";"
+
+
+def checked_names(rows: list[tuple]) -> list[tuple]:
+    """A tree (as newick_rows gives it) with usable names of inner nodes: short or repeated ones become internal_ and a number, and
+    characters but letters, digits, _ and - go."""
+    inner = {r[1] for r in rows}
+    children: dict = {}
+    for r in sorted(rows, key=lambda r: r[4]):
+        children.setdefault(r[1], []).append(r[0])
+    by, named, seen, counter = {r[0]: list(r) for r in rows}, [], set(), 0
+    stack = [(n, False) for n in reversed(children[None])]
+    while stack:  # children first
+        n, done = stack.pop()
+        if not done and n in inner:
+            stack.append((n, True))
+            stack += [(c, False) for c in reversed(children[n])]
+        elif n in inner:
+            named.append(n)
+    for n in named:
+        name = by[n][2] or ""
+        clean = "".join(c for c in name if c.isalnum() or c in "_-")
+        if len(name) < 3 or name in seen:
+            clean, counter = f"internal_{counter}", counter + 1
+        elif clean != name and clean in seen:
+            clean, counter = f"{clean}_{counter}", counter + 1
+        by[n][2] = clean
+        seen.add(clean)
+    return [tuple(by[r[0]]) for r in rows]
+
+
+def pruned(rows: list[tuple], leaves: set[str]) -> list[tuple]:
+    """A small tree with some leaves only; nodes with one child go and lengths add up."""
+    from kinloom.operators.genetree import from_rows, without
+
+    tree = from_rows(rows)
+    inner = {r[0]: r[2] for r in rows if any(x[1] == r[0] for x in rows)}
+    kept = without(tree, {n.name for n in tree.leaves()} - leaves)
+    # Names of inner nodes are found again by what lies below.
+    names = {frozenset(m.name for m in n.leaves()) & leaves: n.name or inner.get(None) for n in tree.postorder() if n.children}
+    out: list[tuple] = []
+    stack = [(kept, None, 0)]
+    while stack:
+        n, parent, place = stack.pop()
+        number = len(out) + 1
+        out.append((number, parent, names.get(frozenset(m.name for m in n.leaves())) if n.children else n.name, n.length, place))
+        stack += [(c, number, i) for i, c in reversed(list(enumerate(n.children)))]
+    return out
 
-    def text(r: tuple) -> str:
-        inner = f"({','.join(map(text, below[r[0]]))})" if r[0] in below else ""
-        return inner + (r[2] or "") + (f":{r[3]:g}" if r[3] is not None else "")
 
-    return text(below[None][0]) + ";"
+def taxonomy_xml(rows: list[tuple]) -> str:
+    """A small species tree as nested taxon elements, numbered in pre-order from 1."""
+    from xml.sax.saxutils import quoteattr
+
+    below: dict = {}
+    for r in sorted(rows, key=lambda r: r[4], reverse=True):
+        below.setdefault(r[1], []).append(r)
+    out, number, stack = ["<taxonomy>"], 0, [(r, False) for r in below[None]]
+    while stack:
+        r, closing = stack.pop()
+        if closing:
+            out.append("</taxon>")
+            continue
+        number += 1
+        out.append(f'<taxon id="{number}" name={quoteattr(r[2] or "")}>')
+        stack.append((r, True))
+        stack += [(c, False) for c in below.get(r[0], [])]
+    return "".join(out) + "</taxonomy>"
 
 
 def group_rows(xml: bytes) -> Iterator[tuple]:
@@ -133,6 +205,76 @@ def group_xml(groups: DataFrame) -> DataFrame:
     return groups.groupBy("fam").applyInPandas(build, "fam long, xml string")
 
 
+def group_newick(groups: DataFrame, notes: bool = True) -> DataFrame:
+    """Each family (fam, newick) out of rows as read_groups gives them, with the kind and level of groups as comments (NHX)."""
+
+    def build(rows):
+        import pandas as pd
+
+        number = {n: i for i, n in enumerate(rows["node"], 1)}
+        tree = [(number[r.node], number.get(r.parent), r.gene if r.kind == "L" else None, None, r.ord) for r in rows.itertuples()]
+        texts = {}
+        for r in rows.itertuples():
+            tags = ":Ev=duplication" * (r.kind == "D") + (f":S={r.level}" if isinstance(r.level, str) else "")
+            if notes and tags:
+                texts[number[r.node]] = f"[&&NHX{tags}]"
+        return pd.DataFrame({"fam": [rows["fam"].iloc[0]], "newick": [write_newick(tree, texts)]})
+
+    return groups.groupBy("fam").applyInPandas(build, "fam long, newick string")
+
+
+def group_document(genes: DataFrame, families: DataFrame, taxonomy: str) -> DataFrame:
+    """A whole document as lines (part, name, at, line), to be written in their order: genes by species, taxonomy, scores, families.
+
+    genes: species, id, prot.  families: fam, xml, as group_xml gives them.  taxonomy: the element as text.
+    """
+    spark, quoted = genes.sparkSession, lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    name = F.col("species")
+    each = genes.select(F.lit(1).alias("part"), name.alias("name"), F.col("id").cast("long").alias("at"), F.concat(F.lit('<gene id="'), F.col("id").cast("string"), F.lit('" protId='), quoted(F.col("prot")), F.lit("/>")).alias("line"))
+    species = genes.select("species").distinct()
+    opening = species.select(F.lit(1).alias("part"), name.alias("name"), F.lit(-1).cast("long").alias("at"), F.concat(F.lit("<species name="), quoted(name), F.lit("><database name="), quoted(name), F.lit("><genes>")).alias("line"))
+    closing = species.select(F.lit(1).alias("part"), name.alias("name"), F.lit((1 << 63) - 1).alias("at"), F.lit("</genes></database></species>").alias("line"))
+    groups = families.select(F.lit(3).alias("part"), F.lit("").alias("name"), F.col("fam").cast("long").alias("at"), F.col("xml").alias("line"))
+    scores = '<scores><scoreDef id="CompletenessScore" desc="share of the species below a level that a group covers"/></scores>'
+    rest = [(0, "", 0, '<?xml version="1.0" encoding="UTF-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.5" origin="kinloom" originVersion="1">'), (2, "", 0, taxonomy + scores + "<groups>"), (4, "", 0, "</groups></orthoXML>")]
+    return spark.createDataFrame(rest, "part int, name string, at long, line string").unionByName(opening).unionByName(each).unionByName(closing).unionByName(groups)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Lines of a document in the order of part, name and at, over as many files as there are partitions, which follow each other by name."""
+    lines.repartitionByRange("part", "name", "at").sortWithinPartitions("part", "name", "at").select("line").write.text(path)
+
+
+def select_families(groups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of some families (fam)."""
+    return groups.join(wanted.select("fam").distinct(), "fam", "left_semi")
+
+
+def write_families(groups: DataFrame, path: str) -> None:
+    """A folder for each family, with its element."""
+    group_xml(groups).write.partitionBy("fam").text(path)
+
+
+def genes_of(groups: DataFrame, genes: DataFrame) -> DataFrame:
+    """The genes (id) that some families hold, as a document of these alone lists them."""
+    held = groups.where("kind = 'L'").select(F.col("gene").alias("id")).distinct()
+    return genes.join(held, genes["id"].cast("string") == held["id"], "left_semi")
+
+
+def merge_genes(files: list[DataFrame]) -> DataFrame:
+    """Genes (id, prot) of several files under ids that do not collide: file, id, prot, new_id.
+
+    An id that two files use for different proteins is drawn anew, by a hash of file and protein, where a file uses it after the first.
+    """
+    all_ = None
+    for k, df in enumerate(files):
+        named = df.select(F.lit(k).alias("file"), F.col("id").cast("long"), "prot")
+        all_ = named if all_ is None else all_.unionByName(named)
+    first = all_.groupBy("id").agg(F.min_by("prot", F.struct("file", "prot")).alias("owner"))
+    fresh = F.pmod(F.xxhash64("file", "prot"), F.lit(1 << 62)) + F.lit(1 << 62)
+    return all_.join(first, "id").select("file", "id", "prot", F.when(F.col("prot").eqNullSafe(F.col("owner")), F.col("id")).otherwise(fresh).alias("new_id"))
+
+
 def merge_groups(files: list[DataFrame]) -> DataFrame:
     """Groups of several files under family numbers of their own."""
     out, first = None, 0

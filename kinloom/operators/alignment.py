@@ -26,14 +26,14 @@ def row_residues(cells: DataFrame) -> DataFrame:
     return cells.groupBy("group", "member").agg(F.avg((~F.col("is_gap")).cast("int")).alias("residue_ratio"))
 
 
-def elbow(columns: DataFrame) -> DataFrame:
-    """For each group the gap ratio farthest from the share of columns with a smaller one: group, elbow."""
+def elbow(columns: DataFrame, least: float = 0.0) -> DataFrame:
+    """For each group the gap ratio farthest from the share of columns with a smaller one, least or more: group, elbow."""
     order = Window.partitionBy("group").orderBy("gap_ratio")
     n = columns.groupBy("group", "gap_ratio").agg(F.count("*").alias("n"))  # a row for each distinct ratio, not for each column
     total = columns.groupBy("group").agg(F.count("*").alias("total"))
     less = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     away = n.withColumn("less", less).join(total, "group").withColumn("away", F.round(F.abs(F.col("gap_ratio") - F.col("less") / F.col("total")), 9))
-    return away.groupBy("group").agg(F.min_by("gap_ratio", F.struct(-F.col("away"), "gap_ratio")).alias("elbow"))
+    return away.groupBy("group").agg(F.greatest(F.min_by("gap_ratio", F.struct(-F.col("away"), "gap_ratio")), F.lit(least)).alias("elbow"))
 
 
 def filter_alignment(cells: DataFrame, gap_ratio_col: float = COLUMN_GAPS, residue_ratio_row: float = ROW_RESIDUES, least_columns: int = LEAST_COLUMNS) -> DataFrame:
@@ -53,6 +53,11 @@ def filter_alignment(cells: DataFrame, gap_ratio_col: float = COLUMN_GAPS, resid
     return last.where("not wide or all_rows or empty is null").select(*cells.columns)
 
 
+def removed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of alignments that a filter took away: group, member."""
+    return before.select("group", "member").distinct().join(after.select("group", "member").distinct(), ["group", "member"], "left_anti")
+
+
 def identity(a: Column, b: Column, gap: str = "-") -> tuple[Column, Column]:
     """Share of equal characters of two aligned strings over the places where the first, and the second, has no gap."""
     pairs = F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b"))

@@ -64,22 +64,6 @@ def size_classes(files: DataFrame, group: str, size: str, classes: tuple = SIZE_
     return files.groupBy(group).agg(largest.alias("largest"), out.otherwise(last).alias("size_class"))
 
 
-def header_parts(header: Column) -> dict[str, Column]:
-    """The parts of a protein header such as "gene||SPECI||12": id, species and number, and the id cut to what tools take."""
-    parts = {name: F.split_part(header, F.lit("||"), F.lit(i)) for i, name in enumerate(("protein", "species", "number"), 1)}
-    return parts | {"short": F.substring(header, 1, 230)}
-
-
-def is_dna(sequence: Column) -> Column:
-    """Whether all letters but gaps and X are nucleotides, ambiguous ones included."""
-    return ~F.upper(sequence).rlike("[^ACGTRYSWKMBDHVN?X-]")
-
-
-def is_species_code(text: Column) -> Column:
-    """Whether a text begins with a five-letter species code."""
-    return text.rlike("^[A-Z][A-Z0-9]{4}")
-
-
 def splice_lists(headers: DataFrame, species: str, protein: str, description: str) -> DataFrame:
     """Genes of several proteins out of descriptions with gene:NAME: species, gene, n, proteins (in order, with semicolons)."""
     gene = F.regexp_extract(description, r"gene:(\S+)", 1).alias("gene")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,28 +12,26 @@ LARGEST, HITS = 1000, 10
 
 
 def minimum_cut(nodes: list[str], edges: set[tuple[str, str]]) -> tuple[int, set[str]]:
-    """The number of edges of a least cut and one of its sides, by maximum-adjacency orders; ties follow the order of names."""
-    weight: dict[str, dict[str, int]] = {n: {} for n in nodes}
+    """The number of edges of a least cut and one of its sides, by maximum-adjacency orders; ties follow the order of nodes."""
+    at = {n: i for i, n in enumerate(nodes)}
+    weight = np.zeros((len(nodes), len(nodes)), np.int64)
     for a, b in edges:
-        weight[a][b] = weight[b][a] = 1
-    held = {n: {n} for n in nodes}
+        weight[at[a], at[b]] = weight[at[b], at[a]] = 1
+    alive, held = np.ones(len(nodes), bool), [{n} for n in nodes]
     best, side = len(edges) + 1, set(nodes[:1])
-    while len(weight) > 1:
-        rest = {n: 0 for n in sorted(weight)}
-        last, before, tie = "", "", 0
-        while rest:
-            before, last = last, max(rest, key=rest.__getitem__)
-            tie = rest.pop(last)
-            for m, w in weight[last].items():
-                if m in rest:
-                    rest[m] += w
+    while alive.sum() > 1:
+        rest, tied = alive.copy(), np.zeros(len(nodes), np.int64)
+        last = before = tie = 0
+        for _ in range(int(alive.sum())):
+            before, last = last, int(np.where(rest, tied, -1).argmax())
+            tie, rest[last] = int(tied[last]), False
+            tied += weight[last]
         if tie < best:
             best, side = tie, set(held[last])
         held[before] |= held[last]
-        for m, w in weight.pop(last).items():
-            weight[m].pop(last)
-            if m != before:
-                weight[before][m] = weight[m][before] = weight[before].get(m, 0) + w
+        weight[before] += weight[last]
+        weight[:, before] = weight[before]
+        weight[before, before], weight[last], weight[:, last], alive[last] = 0, 0, 0, False
     return best, side
 
 

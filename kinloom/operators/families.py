@@ -41,9 +41,12 @@ def candidate_pairs(hits: DataFrame, item: str, family: str, score: str, rank: s
     Only families that are some protein's first hit take part.  A family that a protein hits twice pairs with itself.
     """
     known = first_hits(hits, rank).select(family).distinct()
-    good = hits.where(F.col(score) > above).join(known, family, "left_semi").select(item, F.struct(F.col(family), F.col(score), F.col(rank)).alias("h"))
-    met = good.alias("a").join(good.alias("b"), (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col("a.h") < F.col("b.h")))
-    return met.groupBy(F.col(f"a.h.{family}").alias("family_a"), F.col(f"b.h.{family}").alias("family_b")).agg(F.count("*").alias("shared"))
+    good = hits.where(F.col(score) > above).join(known, family, "left_semi")
+    # A protein has few hits, so its pairs are made in the row that holds them all.
+    each = good.groupBy(item).agg(F.sort_array(F.collect_list(F.struct(family, score, rank))).alias("h")).where(F.size("h") > 1)
+    pair = lambda x, y: F.struct(x[family].alias("family_a"), y[family].alias("family_b"))
+    pairs = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: pair(x, y))))
+    return each.select(F.explode(pairs).alias("p")).groupBy("p.family_a", "p.family_b").agg(F.count("*").alias("shared"))
 
 
 def merge_edges(pairs: DataFrame, sizes: DataFrame, family: str, shared: int = LEAST_SHARED, ratio_max: float = RATIO_MAX, ratio_min: float = RATIO_MIN, big: int = BIG_FAMILY) -> DataFrame:

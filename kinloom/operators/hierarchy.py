@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions.ids import letters
 from kinloom.operators.graph import materialised
-from kinloom.operators.proteins import letters
 
 
 def closure(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -85,16 +85,18 @@ def group_statistics(groups: DataFrame, genes: DataFrame, up: DataFrame) -> Data
     return groups.join(group_sizes(genes, up), "node").select("node", "n_genes", F.col("parent").isNull().alias("is_root"))
 
 
-def root_groups(genes: DataFrame, groups: DataFrame, up: DataFrame) -> DataFrame:
-    """Genes by the root above them, roots with several genes only: root, gene."""
+def root_groups(genes: DataFrame, groups: DataFrame, up: DataFrame, least: int = 2) -> DataFrame:
+    """Genes by the root above them, roots with least genes or more: root, gene."""
     top = groups.where("parent is null").select(F.col("node").alias("ancestor"))
     all_ = genes.join(up, "node").join(top, "ancestor").select(F.col("ancestor").alias("root"), "gene")
-    return all_.join(all_.groupBy("root").count().where("count > 1").select("root"), "root", "left_semi")
+    return all_.join(all_.groupBy("root").count().where(F.col("count") >= least).select("root"), "root", "left_semi")
 
 
-def groups_at_level(genes: DataFrame, groups: DataFrame, up: DataFrame, is_level: Column) -> DataFrame:
-    """Genes by the group above them at a level (a predicate on groups): node, gene."""
-    return genes.join(up, "node").join(groups.where(is_level).select(F.col("node").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("node"), "gene")
+def groups_at_level(genes: DataFrame, groups: DataFrame, up: DataFrame, is_level: Column, label: Column | None = None) -> DataFrame:
+    """Genes by the group above them at a level (a predicate on groups): node, gene, and label if an expression over groups is given."""
+    more = [] if label is None else [label.alias("label")]
+    level = groups.where(is_level).select(F.col("node").alias("ancestor"), *more)
+    return genes.join(up, "node").join(level, "ancestor").select(F.col("ancestor").alias("node"), "gene", *["label"] * len(more))
 
 
 def marker_groups(groups: DataFrame, genes: DataFrame, up: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -180,14 +182,15 @@ def level_comparison(parent: DataFrame, child: DataFrame) -> DataFrame:
     """What becomes of groups between two levels, each with group, gene: group, n_children, event.
 
     A group of the upper level is lost, identical or duplicated by how many lower groups share a gene with it; a lower group without
-    an upper one is novel.
+    an upper one is novel, or a singleton if it holds one gene.
     """
     a, b = parent.select(F.col("group").alias("up"), "gene"), child.select(F.col("group").alias("down"), "gene")
     met = a.join(b, "gene", "full_outer").select("up", "down").distinct()
     kept = met.where("up is not null").groupBy(F.col("up").alias("group")).agg(F.count("down").alias("n_children"))
     event = F.when(F.col("n_children") == 0, "lost").when(F.col("n_children") == 1, "identical").otherwise("duplicated")
-    fresh = met.groupBy(F.col("down").alias("group")).agg(F.count("up").alias("n")).where("group is not null and n = 0")
-    return kept.withColumn("event", event).unionByName(fresh.select("group", F.lit(0).cast("long").alias("n_children"), F.lit("novel").alias("event")))
+    sizes = b.groupBy("down").agg(F.count_distinct("gene").alias("size"))
+    fresh = met.join(sizes, "down").groupBy(F.col("down").alias("group")).agg(F.count("up").alias("n"), F.first("size").alias("size")).where("n = 0")
+    return kept.withColumn("event", event).unionByName(fresh.select("group", F.lit(0).cast("long").alias("n_children"), F.when(F.col("size") == 1, "singleton").otherwise("novel").alias("event")))
 
 
 def traversals(tree: DataFrame, up: DataFrame, order: str = "node") -> DataFrame:
@@ -280,6 +283,18 @@ def taxonomy_of(pairs: DataFrame) -> DataFrame:
     return direct.unionByName(tops.select("node", F.lit(None).cast(direct.schema["parent"].dataType).alias("parent")))
 
 
+def level_range(members: DataFrame, group: str, taxon: str, up: DataFrame) -> DataFrame:
+    """The most specific and the most general taxon of each group (ties: the least by name), and the taxa: group, specific, general, n_taxa."""
+    depth = up.groupBy(F.col("node").alias(taxon)).agg(F.max("distance").alias("depth"))
+    each = members.select(group, taxon).distinct().join(depth, taxon)
+    return each.groupBy(group).agg(F.min_by(taxon, F.struct(-F.col("depth"), taxon)).alias("specific"), F.min_by(taxon, F.struct("depth", taxon)).alias("general"), F.count("*").alias("n_taxa"))
+
+
+def younger(up: DataFrame, level: str) -> DataFrame:
+    """The taxa below a level: node."""
+    return up.where((F.col("ancestor") == level) & (F.col("distance") > 0)).select("node")
+
+
 def edge_events(memberships: DataFrame, tree: DataFrame) -> DataFrame:
     """What becomes of groups on each edge of the species tree: node, parent, retained, duplicated, lost, gained.
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.graph import materialised
 
-#: Amino-acid letters, the accession pattern of headers, and the limits of the input checks.
+#: Amino-acid letters, and the limits of the input checks.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
-ACCESSION = r"^(?:sp|tr)\|([^|]+)\|"
 LONGEST_ID, LEAST_SHARE, FIRST_ID, PER_SPECIES = 60, 0.2, 1_000_000_000, 1_000_000
 
 
@@ -97,28 +94,6 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def header_transformer(kind: str) -> Callable[[Column], Column]:
-    """An expression factory for protein ids out of headers: noop or accession."""
-    if kind == "noop":
-        return lambda header: header
-    if kind == "accession":
-        return lambda header: F.when(header.rlike(ACCESSION), F.regexp_extract(header, ACCESSION, 1)).otherwise(header)
-    raise ValueError(f"unknown header transformer: {kind}")
-
-
-def root_id(group_id: Column) -> Column:
-    """The root of a placement's group id: what stands before the first dot and behind the colon."""
-    return F.split_part(F.split_part(group_id, F.lit("."), F.lit(1)), F.lit(":"), F.lit(2))
-
-
-def letters(number: Column) -> Column:
-    """0 to a, 25 to z, 26 to aa, 702 to aaa: the letters of a paralog's place, as in numbered lists of letters."""
-    # A 64-bit number has 14 letters at most.
-    start = F.struct(number.cast("long").alias("n"), F.lit("").alias("s"))
-    step = lambda acc, _: F.when(acc["n"] >= 0, F.struct((F.floor(acc["n"] / 26) - 1).cast("long").alias("n"), F.concat(F.chr(F.lit(97) + acc["n"] % 26), acc["s"]).alias("s"))).otherwise(acc)
-    return F.aggregate(F.array_repeat(F.lit(0), 14), start, step, lambda acc: acc["s"])
-
-
 def pack_batches(files: DataFrame, group: str, size: str, tie: str, alone: int, full: int) -> DataFrame:
     """Adds batch (from 0, in each group): files by descending size; those above alone stand alone, others fill a batch until it exceeds full.
 

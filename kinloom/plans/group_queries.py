@@ -68,6 +68,20 @@ def edge_events(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.edge_events(top.unionByName(middle).unionByName(low), domain.species_tree(spark, d))
 
 
+@query(f"""{FIRST}, m AS (SELECT DISTINCT root_s, CASE WHEN part % 5 = 0 THEN 'R' || n_regionkey ELSE 'N' || species END AS taxon FROM firsts JOIN nation ON n_nationkey = species),
+    d AS (SELECT root_s, taxon, CASE WHEN taxon LIKE 'R%' THEN 1 ELSE 2 END AS depth FROM m)
+    SELECT root_s, arg_min(taxon, (-depth, taxon)) AS specific, arg_min(taxon, (depth, taxon)) AS general, count(*) AS n_taxa FROM d GROUP BY root_s""")
+def level_range(spark: SparkSession, d: str) -> DataFrame:
+    firsts = families.first_hits(domain.hits(spark, d)).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("species"))
+    taxon = F.when(F.col("part") % 5 == 0, F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("N"), F.col("species").cast("string")))
+    return hierarchy.level_range(firsts.select("root_s", taxon.alias("taxon")), "root_s", "taxon", queries.taxon_closure(spark, d))
+
+
+@query("SELECT 'N' || n_nationkey AS node FROM nation WHERE n_regionkey = 2")
+def younger(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.younger(queries.taxon_closure(spark, d), "R2")
+
+
 @query(f"""{FIRST}, m AS (SELECT root_f, count(*) AS n_members, round(count(DISTINCT species) / (SELECT CAST(count(*) AS DOUBLE) FROM nation), 4) AS completeness FROM firsts GROUP BY root_f)
     SELECT n_members, completeness, count(*) AS n_groups FROM m GROUP BY 1, 2""")
 def size_completeness(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions import ids
 from kinloom.operators import checks, families, hierarchy, proteins, report
 from kinloom.plans import domain, queries
 from kinloom.plans.domain import HITS_SQL, TREE_SQL, table
@@ -52,8 +53,8 @@ def size_classes(spark: SparkSession, d: str) -> DataFrame:
     NOT regexp_matches(upper(p_name), '[^ACGTRYSWKMBDHVN?X-]') AS dna, regexp_matches(p_type, '^[A-Z][A-Z0-9]{4}') AS code FROM part""")
 def header_parts(spark: SparkSession, d: str) -> DataFrame:
     header = F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("||"), F.substring("p_type", 1, 5), F.lit("||"), F.col("p_size").cast("string"))
-    parts = [c.alias(n) for n, c in checks.header_parts(header).items()]
-    return table(spark, d, "part").select("p_partkey", *parts, checks.is_dna(F.col("p_name")).alias("dna"), checks.is_species_code(F.col("p_type")).alias("code"))
+    parts = [c.alias(n) for n, c in ids.header_parts(header).items()]
+    return table(spark, d, "part").select("p_partkey", *parts, ids.is_dna(F.col("p_name")).alias("dna"), ids.is_species_code(F.col("p_type")).alias("code"))
 
 
 @query("""SELECT p_brand, 'G' || p_size AS gene, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ';' ORDER BY CAST(p_partkey AS VARCHAR)) AS proteins FROM part WHERE p_size % 5 <> 0 GROUP BY p_brand, p_size HAVING count(*) > 1""")
@@ -79,9 +80,9 @@ def member_sequences(spark: SparkSession, d: str) -> DataFrame:
     SELECT i.prot, r.prot AS main, numeric_id FROM i JOIN r ON i.gene = r.gene AND r.r = 1 JOIN ids ON main = r.prot""")
 def gene_id_mapping(spark: SparkSession, d: str) -> DataFrame:
     owned = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    ids = proteins.numeric_ids(owned.select("c_nationkey", F.col("o_orderkey").alias("prot")), "c_nationkey", "c_nationkey", "prot")
+    numbers = proteins.numeric_ids(owned.select("c_nationkey", F.col("o_orderkey").alias("prot")), "c_nationkey", "c_nationkey", "prot")
     forms = owned.select(F.col("o_custkey").alias("gene"), F.col("o_orderkey").alias("prot"))
-    return families.gene_id_mapping(forms, queries.best_isoform(spark, d), ids, "gene", "prot")
+    return families.gene_id_mapping(forms, queries.best_isoform(spark, d), numbers, "gene", "prot")
 
 
 @query(f"""{ISOFORMS} SELECT gene, max(prot) FILTER (r = 1) AS prot, coalesce(string_agg(CAST(prot AS VARCHAR), ',' ORDER BY prot) FILTER (r > 1), '') AS minor FROM r GROUP BY gene""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.functions import ids
 from kinloom.operators import alignment, clustering, families, hierarchy, proteins, report
 from kinloom.plans import domain
 from kinloom.plans.domain import CELLS_SQL, HITS_SQL, PARTS_SQL, TREE_SQL, table
@@ -186,7 +187,7 @@ def set_differences(spark: SparkSession, d: str) -> DataFrame:
 def header_and_root(spark: SparkSession, d: str) -> DataFrame:
     header = F.concat(F.lit("sp|P"), F.col("p_partkey").cast("string"), F.lit("|"), F.col("p_name"))
     placed = F.concat(F.lit("HOG:"), F.col("p_size").cast("string"), F.lit(".1a.2b"))
-    return table(spark, d, "part").select("p_partkey", proteins.header_transformer("accession")(header).alias("accession"), proteins.root_id(placed).alias("root"))
+    return table(spark, d, "part").select("p_partkey", ids.header_transformer("accession")(header).alias("accession"), ids.root_id(placed).alias("root"))
 
 
 @query("""WITH RECURSIVE d AS (SELECT source, coalesce(n_chars, 0) AS n, doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS i FROM documents), t AS (
@@ -295,14 +296,20 @@ def pairwise_paralogs(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.pairwise_relations(groups, genes, hierarchy.closure(groups), "D")
 
 
-@query("""WITH m AS (SELECT DISTINCT n_regionkey || '/' || o_orderstatus AS u, CASE WHEN o_orderpriority < '4' THEN c_nationkey || '/' || o_orderstatus END AS w
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT u, count(w) AS n FROM m GROUP BY u)
-    SELECT u AS "group", n AS n_children, CASE WHEN n = 0 THEN 'lost' WHEN n = 1 THEN 'identical' ELSE 'duplicated' END AS event FROM k""")
+@query("""WITH j AS (SELECT o_orderkey AS gene, o_orderstatus <> 'P' AS upper, o_orderpriority < '4' AS lower, n_regionkey || '/' || o_orderstatus AS u,
+        c_nationkey || '/' || o_orderstatus || CASE WHEN o_orderstatus = 'P' THEN '/' || o_custkey % 40 ELSE '' END AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    m AS (SELECT DISTINCT CASE WHEN upper THEN u END AS u, CASE WHEN lower THEN w END AS w FROM j WHERE upper OR lower), k AS (SELECT u, count(w) AS n FROM m WHERE u IS NOT NULL GROUP BY u),
+    f AS (SELECT w, count(u) AS n FROM m WHERE w IS NOT NULL GROUP BY w HAVING count(u) = 0), z AS (SELECT w, count(*) AS size FROM j WHERE lower GROUP BY w)
+    SELECT u AS "group", n AS n_children, CASE WHEN n = 0 THEN 'lost' WHEN n = 1 THEN 'identical' ELSE 'duplicated' END AS event FROM k
+    UNION ALL SELECT w, 0, CASE WHEN size = 1 THEN 'singleton' ELSE 'novel' END FROM f JOIN z USING (w)""")
 def level_comparison(spark: SparkSession, d: str) -> DataFrame:
     who = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     each = table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
-    named = lambda c: F.concat_ws("/", F.col(c).cast("string"), "o_orderstatus").alias("group")
-    return hierarchy.level_comparison(each.select(named("n_regionkey"), F.col("o_orderkey").alias("gene")), each.where("o_orderpriority < '4'").select(named("c_nationkey"), F.col("o_orderkey").alias("gene")))
+    upper = F.concat_ws("/", F.col("n_regionkey").cast("string"), "o_orderstatus").alias("group")
+    fine = F.when(F.col("o_orderstatus") == "P", (F.col("o_custkey") % 40).cast("string"))
+    lower = F.concat_ws("/", F.col("c_nationkey").cast("string"), "o_orderstatus", fine).alias("group")
+    gene = F.col("o_orderkey").alias("gene")
+    return hierarchy.level_comparison(each.where("o_orderstatus <> 'P'").select(upper, gene), each.where("o_orderpriority < '4'").select(lower, gene))
 
 
 @query(f'WITH {CELLS_SQL} SELECT "group", place, round(avg(CAST(is_gap AS INTEGER)), 6) AS gap_ratio FROM cells GROUP BY 1, 2')

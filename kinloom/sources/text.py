@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators.proteins import root_id
+from kinloom.functions.ids import root_id
 
 #: The columns of a placement table, in file order.
 PLACEMENT = (

@@ -14,8 +14,11 @@ TREE = "node int, parent int, name string, length double, ord int"
 GROUPS = "fam long, node string, parent string, kind string, level string, score double, gene string, ord int"
 
 
-def newick_rows(text: str) -> list[tuple]:
-    """Nodes in pre-order from 1: node, parent, name, branch length, place among siblings.  Comments in brackets are skipped."""
+def newick_rows(text: str, notes: dict[int, dict[str, str]] | None = None) -> list[tuple]:
+    """Nodes in pre-order from 1: node, parent, name, branch length, place among siblings.
+
+    Comments of the form [&&NHX:key=value:...] go to notes, by node, if that is given; other comments are skipped.
+    """
     rows: list[list] = [[1, None, None, None, 0]]
     stack, now, children, length = [], 0, {1: 0}, False
 
@@ -38,7 +41,10 @@ def newick_rows(text: str) -> list[tuple]:
             continue
         elif token == ";":
             break
-        elif not token.startswith("["):
+        elif token.startswith("["):
+            if notes is not None and token.startswith("[&&NHX"):
+                notes[rows[now][0]] = dict(part.partition("=")[::2] for part in token[6:-1].split(":") if part)
+        else:
             if length:
                 rows[now][3] = float(token)
             else:
@@ -49,10 +55,28 @@ def newick_rows(text: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+def phyloxml_rows(xml: bytes) -> list[tuple]:
+    """The same of the first tree of a phyloxml document; a clade without a name takes its taxonomy's code or scientific name."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    top = next(e for e in ET.fromstring(xml).iter() if local(e) == "clade")
+    rows: list[tuple] = []
+    stack: list[tuple] = [(top, None, 0)]
+    while stack:
+        e, parent, place = stack.pop()
+        said = {local(x): (x.text or "").strip() for x in e}
+        taxon = next(({local(x): (x.text or "").strip() for x in t} for t in e if local(t) == "taxonomy"), {})
+        length = said.get("branch_length") or e.get("branch_length")
+        name = said.get("name") or taxon.get("code") or taxon.get("scientific_name")
+        rows.append((len(rows) + 1, parent, name or None, float(length) if length else None, place))
+        number = len(rows)
+        stack += [(c, number, i) for i, c in reversed(list(enumerate(x for x in e if local(x) == "clade")))]
+    return rows
+
+
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """A species tree (thousands of nodes at most) as a table."""
+    """A species tree (thousands of nodes at most), in Newick form or as phyloxml, as a table."""
     text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    return spark.createDataFrame(newick_rows(text), TREE)
+    return spark.createDataFrame(phyloxml_rows(text.encode()) if text.lstrip().startswith("<") else newick_rows(text), TREE)
 
 
 def write_newick(rows: list[tuple], notes: dict | None = None) -> str:
@@ -106,10 +130,14 @@ def pruned(rows: list[tuple], leaves: set[str]) -> list[tuple]:
     from kinloom.operators.genetree import from_rows, without
 
     tree = from_rows(rows)
-    inner = {r[0]: r[2] for r in rows if any(x[1] == r[0] for x in rows)}
     kept = without(tree, {n.name for n in tree.leaves()} - leaves)
-    # Names of inner nodes are found again by what lies below.
-    names = {frozenset(m.name for m in n.leaves()) & leaves: n.name or inner.get(None) for n in tree.postorder() if n.children}
+    if kept is None:
+        return []
+    # Names of inner nodes are found again by what lies below, the lowest node first.
+    names: dict = {}
+    for n in tree.postorder():
+        if n.children:
+            names.setdefault(frozenset(m.name for m in n.leaves()) & leaves, n.name)
     out: list[tuple] = []
     stack = [(kept, None, 0)]
     while stack:
@@ -144,6 +172,8 @@ def group_rows(xml: bytes) -> Iterator[tuple]:
     """The rows of a document: a row for each group (kind S or D) and each gene (kind L), in document order."""
     local = lambda e: e.tag.rpartition("}")[2]
     root = ET.fromstring(xml)
+    if root.get("version", "0.5") != "0.5":
+        raise ValueError(f"version {root.get('version')} of the format is not known")
     names = {e.get("id"): e.get("protId") or e.get("geneId") for e in root.iter() if local(e) == "gene"}
     kinds = {"orthologGroup": "S", "paralogGroup": "D"}
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from kinloom.functions import ids
 from kinloom.operators import alignment, clustering, families, graph, hierarchy, proteins
 from kinloom.sources import text, trees
 
@@ -57,9 +58,9 @@ def test_isoform_ties_and_unmapped_genes(spark):
     assert rows(proteins.best_isoforms(forms, scores, "gene", "prot", "iso_rank")) == [(1, "b"), (2, "d")]
 
 
-@pytest.mark.parametrize(("n", "want"), [(0, "a"), (25, "z"), (26, "aa"), (27, "ab"), (52, "ba")])
+@pytest.mark.parametrize(("n", "want"), [(0, "a"), (25, "z"), (26, "aa"), (27, "ab"), (52, "ba"), (701, "zz"), (702, "aaa"), (18277, "zzz"), (18278, "aaaa")])
 def test_letters(spark, n, want):
-    assert spark.range(1).select(proteins.letters(F.lit(n))).first()[0] == want
+    assert spark.range(1).select(ids.letters(F.lit(n))).first()[0] == want
 
 
 def test_numbers_run_on_over_ranges_and_stop_at_the_next_species(spark, monkeypatch):

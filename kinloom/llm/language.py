@@ -1,28 +1,28 @@
 """Operator 2: language of a text by unigrams of pieces, summed over all segmentations.
 
 The pieces are those of a public sentencepiece vocabulary.  Each language has a probability for each piece and each single
-character.  A text is a sequence of letter runs in lower case, each with the vocabulary's space mark in front; runs longer
-than CHUNK characters are scored in parts of CHUNK.  The likelihood of a run under a language is the sum over all ways of
-cutting it into pieces, by the forward algorithm; a text's is the product over its runs, and its score is the posterior of
-the best language under equal priors.  The algorithm runs over all distinct runs of a batch at once, one array step for each
-place and piece length.
+character.  A text is a sequence of letter runs (Unicode category L) in lower case, each with the vocabulary's space mark in front.
+The likelihood of a run under a language is the sum over all ways of cutting it into pieces, by the forward
+algorithm, rescaled on the way so that runs of any length are scored whole; a text's is the product over its runs, and its
+score is the posterior of the best language under equal priors.  The algorithm runs over all distinct runs of a batch at once,
+one array step for each place and piece length.
 
 Probabilities are fitted by expectation maximisation (the forward-backward algorithm) on a sample of labelled rows: for each
-language about SAMPLE rows, drawn by a hash, out of those that may be learnt from.  The sample and the vocabulary bound
-what is gathered and broadcast.  Prediction covers every row and whole texts; nothing is shuffled.
+language about SAMPLE distinct texts, drawn by a hash of the text alone, out of those that may be learnt from.  The sample and the vocabulary
+bound what is gathered and broadcast: a row of probabilities for each language, LANGUAGES of them at most (more raise an error).
+Prediction covers every row and whole texts; nothing is shuffled.
 
 Texts that are null or hold no letter are "und" with score 0.  Without a row to learn from every text is.  Ties between
-languages go to the first by name.
+languages go to the first by name.  Repeated rows are predicted alike and learnt from once.  Added columns take names
+that the input does not have.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 from kinloom.llm import common
 from kinloom.llm.bpe import file_broadcast, loaded, slices
 
-#: Rows to learn from for each language; rounds of expectation maximisation; characters scored at once.
-SAMPLE, ROUNDS, CHUNK = 1024, 3, 24
+#: Texts to learn from for each language; rounds of expectation maximisation; most languages; steps between rescalings.
+SAMPLE, ROUNDS, LANGUAGES, RESCALE = 1024, 3, 1000, 16
 #: Weight of the even distribution in every language; runs whose scores a worker remembers.
 SMOOTH, WORD_CACHE = 1e-3, 400_000
 _MARK = "▁"
-_RUNS = re.compile(r"[^\W\d_]+").findall
+_RUNS = regex.compile(r"\p{L}+").findall
 
 
 class Pieces:
@@ -67,72 +67,97 @@ class Pieces:
         return out
 
 
-def chunks(text: str) -> list[str]:
+def letter_runs(text: str) -> list[str]:
     """The letter runs of a text as the model scores them."""
-    out = []
-    for run in _RUNS(text.lower()):
-        run = _MARK + run
-        out += [run] if len(run) <= CHUNK else [run[i : i + CHUNK] for i in range(0, len(run), CHUNK)]
-    return out
+    return [_MARK + run for run in _RUNS(text.lower())]
 
 
-def _forward(table: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[end, run, language]: the summed probability of all cuts of the first end characters; prob has a zero row last."""
+def _forward(table: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[end, run, language], the summed probability of all cuts of the first end characters, and log factors that it lacks.
+
+    prob has a zero row last.  Every RESCALE steps the places that later ones look back to are divided by their greatest value.
+    """
     n, length, width = table.shape
-    alpha = np.zeros((length + 1, n, prob.shape[1]))
-    alpha[0] = 1
+    alpha, lacks = np.zeros((length + 1, n, prob.shape[1])), np.zeros((length + 1, n, prob.shape[1]))
+    alpha[0], scale = 1, np.zeros((n, prob.shape[1]))
     for e in range(1, length + 1):
+        lacks[e] = scale
         for k in range(1, min(e, width) + 1):
             alpha[e] += alpha[e - k] * prob[table[:, e - 1, k - 1]]
-    return alpha
+        if e % RESCALE == 0 and e < length:
+            back = slice(max(0, e + 1 - width), e + 1)
+            most = np.maximum(alpha[back].max(0), 1e-300)
+            alpha[back] /= most
+            scale = scale + np.log(most)
+            lacks[back] += np.log(most)
+    return alpha, lacks
+
+
+def _backward(table: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """beta[start, run], the summed probability of all cuts of the characters from start on, and log factors, for one language."""
+    n, length, width = table.shape
+    beta, lacks, scale = np.zeros((length + 1, n)), np.zeros((length + 1, n)), np.zeros(n)
+    beta[length] = 1
+    for s in range(length - 1, -1, -1):
+        lacks[s] = scale
+        for k in range(1, min(length - s, width) + 1):
+            beta[s] += beta[s + k] * prob[table[:, s + k - 1, k - 1]]
+        if s % RESCALE == 0 and s:
+            ahead = slice(s, min(length + 1, s + width))
+            most = np.maximum(beta[ahead].max(0), 1e-300)
+            beta[ahead] /= most
+            scale = scale + np.log(most)
+            lacks[ahead] += np.log(most)
+    return beta, lacks
 
 
 def fit(pieces: Pieces, runs: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The probability of each piece (and a zero behind), from one language's runs and how often each occurs."""
     lattice = pieces.lattice(runs)
-    prob = np.full((pieces.size + 1, 1), 1 / pieces.size)
+    prob = np.full(pieces.size + 1, 1 / pieces.size)
     prob[-1] = 0
     for _ in range(rounds):
         mass = np.zeros(pieces.size + 1)
         for at, table in lattice:
-            alpha = _forward(table, prob)[:, :, 0]
             n, length, width = table.shape
-            beta = np.zeros((length + 1, n))
-            beta[length] = 1
-            for e in range(length, 0, -1):
-                for k in range(1, min(e, width) + 1):
-                    beta[e - k] += beta[e] * prob[table[:, e - 1, k - 1], 0]
-            weight = counts[at] / np.maximum(alpha[length], 1e-300)
+            alpha, lacks = (x[:, :, 0] for x in _forward(table, prob[:, None]))
+            beta, behind = _backward(table, prob)
+            total = np.log(np.maximum(alpha[length], 1e-300)) + lacks[length]
             for e in range(1, length + 1):
                 for k in range(1, min(e, width) + 1):
                     used = table[:, e - 1, k - 1]
-                    np.add.at(mass, used, alpha[e - k] * prob[used, 0] * beta[e] * weight)
+                    weight = counts[at] * np.exp(np.minimum(lacks[e - k] + behind[e] - total, 700))
+                    np.add.at(mass, used, alpha[e - k] * prob[used] * beta[e] * weight)
         mass[-1] = 0
-        prob[:-1, 0] = (1 - SMOOTH) * mass[:-1] / max(mass.sum(), 1e-300) + SMOOTH / pieces.size
-    return prob[:, 0]
+        prob[:-1] = (1 - SMOOTH) * mass[:-1] / max(mass.sum(), 1e-300) + SMOOTH / pieces.size
+    return prob
 
 
-def learn(docs: DataFrame, doc_id: str, text: str, lang: str, usable: Column, path: str) -> DataFrame:
-    """Piece probabilities of each language: lang, prob (packed doubles), from about SAMPLE rows each."""
+def learn(docs: DataFrame, text: str, lang: str, usable: Column, path: str) -> DataFrame:
+    """Piece probabilities of each language: lang, prob (packed doubles), from about SAMPLE texts each."""
     file = file_broadcast(docs.sparkSession, path)
     rows = docs.where(usable & common.col(docs, lang).isNotNull() & common.col(docs, text).isNotNull())
-    # A row is learnt from if its hash lies in the share that leaves about SAMPLE rows of its language: no rows are sorted or moved.
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*"))
-    shares = rows.groupBy(common.col(docs, lang).alias("lang")).agg(share.alias("share"))
-    draw = F.shiftrightunsigned(F.xxhash64(common.col(docs, doc_id).cast("string"), common.col(docs, text)), 11) / float(1 << 53)
-    rows = rows.select(common.col(docs, lang).alias("lang"), common.col(docs, text).alias("text"), draw.alias("draw"))
-    sample = rows.join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")  # one row a language
+    # A text is learnt from if its hash lies in the share that leaves about SAMPLE texts of its language: no rows are sorted, and
+    # of the copies of a text those of a task count once before any row is moved.
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.approx_count_distinct(F.xxhash64("text"), 0.02))
+    rows = rows.select(common.col(docs, lang).alias("lang"), common.col(docs, text).alias("text"))
+    shares = common.stored(rows.groupBy("lang").agg(share.alias("share")))
+    if shares.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    sample = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share").groupBy("lang", F.xxhash64("text", F.lit(1)).alias("name")).agg(F.first("text").alias("text"))
+    sample = sample.select("lang", "text")
 
     def runs(batches):
         for b in batches:
             for lang_, text_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = chunks(text_)
+                found = letter_runs(text_)
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "run"])
 
     counted = sample.mapInArrow(runs, "lang string, run string").groupBy("lang", "run").agg(F.count("*").alias("n"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("run")
+        group = group.sort_values("run")  # of the bounded sample
         prob = fit(loaded(Pieces, file.value), group["run"].tolist(), group["n"].to_numpy(np.float64))
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "prob": [prob.tobytes()]})
 
@@ -159,7 +184,7 @@ def predict(docs: DataFrame, text: str, model: DataFrame, path: str) -> DataFram
                     number, scores = {}, scores[:0]
                 found = []
                 for t in b.column(at).to_pylist():
-                    runs = chunks(t) if t and names else []
+                    runs = letter_runs(t) if t and names else []
                     for r in set(runs).difference(number):
                         number[r] = len(number)
                     found.append(np.fromiter(map(number.__getitem__, runs), np.int32, len(runs)))
@@ -186,5 +211,6 @@ def log_likelihoods(pieces: Pieces, runs: list[str], prob: np.ndarray) -> np.nda
     for start in range(0, len(runs), 20_000):
         part = runs[start : start + 20_000]
         for at, table in pieces.lattice(part):
-            out[start + at] = np.log(np.maximum(_forward(table, prob)[-1], 1e-300))
+            alpha, lacks = _forward(table, prob)
+            out[start + at] = np.log(np.maximum(alpha[-1], 1e-300)) + lacks[-1]
     return out

@@ -9,7 +9,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from kinloom.llm import bpe, common, jaccard, language, mixing, quality, substring_dedup, token_counts, token_file, topk, vector_dedup
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -26,7 +25,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_BPE)
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)).eqNullSafe(F.lit(2))
-    model = common.stored(language.learn(docs, "doc_id", "text", "lang", ~held_out, path))
+    model = common.stored(language.learn(docs, "text", "lang", ~held_out, path))
     out = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), "text", model, path)
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
@@ -75,7 +74,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     **{
         f.__name__: f
         for f in (

@@ -1,8 +1,8 @@
 """A corpus pipeline out of the operators in kinloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.  All but the last return the columns
-of documents.  Stages are deterministic.  Null and empty texts do not pass the quality stage; every stage takes empty tables,
-repeated rows and further columns, which are kept.
+of documents.  Stages give the same rows again: where rows are equal, which of them stays does not show.  Null and empty texts do not
+pass the quality stage; every stage takes empty tables, repeated rows and further columns, which are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ STAGES = [
     ("bpe_encode_decode", bpe_encode_decode),
 ]
 
-#: The classifier is trained, so SQL cannot give the rows; tests hold the stages against brute force.
+#: The classifier is trained, so SQL cannot give the rows; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,8 @@ features (words, shapes of words, repetition) is then trained on the posteriors
 a hash; the sample bounds the training.  The scorer judges every whole text.
 
 Features are shares of a text's words, so length has no weight.  Null texts, empty texts and texts without words have score 0
-and are rejected.  If all texts look alike the model has one class and the scorer follows it.  Rows keep their number.
+and are rejected.  If all texts look alike the model has one class and the scorer follows it.  Rows keep their number, repeated
+rows are judged alike, and added columns take names that the input does not have.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,7 +107,9 @@ class Looks:
         return np.bincount(self.of[flags], minlength=self.n)
 
     def _distinct(self, hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """How many of 48-bit hashes differ within each text (a batch has under 65536)."""
+        """How many of 48-bit hashes differ within each text (slices of AT_ONCE bytes have 32768 texts at most)."""
+        if self.n >= 1 << 16:
+            raise ValueError("too many texts at once")
         keys = np.sort((of.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]

@@ -18,7 +18,8 @@ exact, none is below the threshold.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and so do rows with a null id, whose
 component is null.  Vectors of unequal length are compared as if the shorter ended in zeros.  Repeated rows are
-vectors of their own that link with each other.  An empty table gives an empty result.
+vectors of their own that link with each other.  Further columns take no part, whatever their names.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, text: str, window: int = WINDOW, anchor: int
     with_text = packed.groupBy("key").agg(F.first("text").alias("text"))
 
     def contexts(batches):
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         names = ["key", "copies", "anchor", "first", "place", "context"]
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             out: list[list] = [[] for _ in kinds]
@@ -308,12 +308,15 @@ def repeated_spans(docs: DataFrame, text: str, window: int = WINDOW, anchor: int
                 h, start, end = common.word_hashes(np.frombuffer(data, np.uint8))
                 name, place, first, last = anchors(h, window, anchor)
                 name = name.view(np.int64)
-                for k in np.flatnonzero(np.isin(name, np.array(want, np.int64))).tolist():
-                    lo, hi = int(first[k]), int(last[k]) + window
-                    words = [data[s:e].decode() for s, e in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
-                    for values, v in zip(out, (key, copies, int(name[k]), lo, int(place[k]) - lo, " ".join(words)), strict=True):
-                        values.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
+                spaced = b" ".join(data.split())  # the separators of words are those of bytes.split
+                at = np.concatenate([[0], np.cumsum(end - start + 1)])
+                k = np.flatnonzero(np.isin(name, np.array(want, np.int64)))
+                lo, hi = first[k], last[k] + window
+                parts = [spaced[i:j] for i, j in zip(at[lo].tolist(), (at[hi] - 1).tolist(), strict=True)]
+                for values, v in zip(out, ([key] * len(k), [copies] * len(k), name[k].tolist(), lo.tolist(), (place[k] - lo).tolist(), parts), strict=True):
+                    values += v
+            columns = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:5], columns[5].cast(pa.string())], names)
 
     found = with_text.join(wanted, "key").select("key", "copies", "wanted", "text").mapInArrow(contexts, "key binary, copies long, anchor long, first int, place int, context string")
     found = common.stored(found.withColumn("digest", _digest()))
@@ -343,19 +346,22 @@ def _pack(column: int):
 
 def _kept(data: bytes, spans: list[int] | None, joined: bool) -> tuple[int, int, str]:
     """Number of words, of removed ones, and what is left of a text."""
-    start, end = common.word_bounds(np.frombuffer(data, np.uint8))
-    stay = np.ones(len(start), bool)
-    if spans:
-        for a, z in _merged(np.array(spans).reshape(-1, 2)).tolist():
-            stay[a:z] = False
+    merged = _merged(np.array(spans).reshape(-1, 2)).tolist() if spans else []
+    gone, at, parts = sum(z - a for a, z in merged), 0, []
     if joined:
-        text = b" ".join([data[a:z] for a, z in zip(start[stay].tolist(), end[stay].tolist(), strict=True)])
-    elif stay.all():
-        text = data
-    else:  # a removed word goes with the white space behind it
-        ends = np.append(start[1:], len(data))
-        text = data[: start[0]] + b"".join([data[a:z] for a, z in zip(start[stay].tolist(), ends[stay].tolist(), strict=True)])
-    return len(start), int((~stay).sum()), text.decode()
+        words = data.split()  # the separators of words are those of bytes.split
+        for a, z in merged:
+            parts += words[at:a]
+            at = z
+        return len(words), gone, b" ".join(parts + words[at:]).decode()
+    start, _ = common.word_bounds(np.frombuffer(data, np.uint8))
+    if not merged:
+        return len(start), 0, data.decode()
+    bound = [*start.tolist(), len(data)]  # a removed word goes with the white space behind it
+    for a, z in merged:
+        parts.append(data[bound[at] : bound[a]])
+        at = z
+    return len(start), gone, (data[: bound[0]] + b"".join(parts) + data[bound[at] :]).decode()
 
 
 def remove_repeats(docs: DataFrame, text: str, window: int = WINDOW, anchor: int = ANCHOR, joined: bool = False) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operator 1: exact top-k inner products of integer vectors, in norm-sorted blocks with rotated partial sums.
 
 Components become floor(scale * x).  Spark sorts all vectors by descending length into blocks of at most BLOCK rows and
-deals the blocks over groups; the queries form blocks of their own by a hash of their id.  Each pair of a query block and a
-group of vector blocks meets in one task, which takes the group's blocks by descending length and keeps the k best scores
+deals the blocks over groups, at least as many as keep all cores busy; the queries form blocks of their own by a hash of their
+id.  A first pass of the queries over the longest block gives each a k-th score, the floor from which its search
+starts, and pairs of a query block and a vector block whose lengths cannot reach any floor are not sent.  Each other pair of a
+query block and a group of vector blocks meets in one task, which takes the group's blocks by descending length and keeps the k best scores
 of each query.  With t a query's k-th best score so far, a block is left as soon as length times length falls below t.  Inside
 a block both sides are rotated to the block's singular directions, which carry most of the length in the first
 coordinates; the inner product over these plus the product of the remaining lengths bounds the score from above
@@ -13,7 +15,7 @@ Every task holds one query block and one group of vector blocks, whatever the in
 null or non-finite component, and rows with a null id, take no part.  Vectors of unequal length are compared as if the
 shorter ended in zeros; an empty vector is all zeros.  Rows that repeat an id count once, with their best score; a vector is
 never its own query's candidate, by id.  Fewer candidates than k give fewer rows; an empty table gives none.  Scores beyond
-the long range are clamped.
+the long range are clamped.  Further columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,15 +67,15 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Best:
     """The k best candidates of each query of a block."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.k, self.floor = ids, k, floor
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.filled = np.zeros((len(ids), k), bool)
 
     def bound(self) -> np.ndarray:
         """A score below this cannot enter."""
-        return np.where(self.filled[:, -1], self.score[:, -1].astype(np.float64), -np.inf)
+        return np.maximum(np.where(self.filled[:, -1], self.score[:, -1].astype(np.float64), -np.inf), self.floor)
 
     def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
         touched = np.unique(query)
@@ -111,6 +113,7 @@ def _search(best: _Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
     head = max(1, width // 4)
     x_rest = np.sqrt(np.maximum((xr[:, head:] ** 2).sum(1), 0))
     q_rest = np.sqrt(np.maximum((qr[:, head:] ** 2).sum(1), 0))
+    small = not q.size or np.abs(q).max() * np.abs(x).max() * width < _EXACT
     step = 512  # of the block, by descending length, so that the bound tightens on the way
     for at in range(0, len(x), step):
         part = slice(at, at + step)
@@ -124,7 +127,8 @@ def _search(best: _Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         if not len(i):
             continue
         row, vec = use[live][i], at + j
-        found = _scores(q[row], x[vec])
+        # Where many pairs are left a whole product is cheaper than one by one; sums of small integers are exact in any order.
+        found = (q[use[live]] @ x[part].T)[i, j].astype(np.int64) if small and 50 * len(i) > upper.size else _scores(q[row], x[vec])
         enter = found >= best.bound()[row]
         if enter.any():
             best.add(row[enter], ids[vec[enter]], found[enter])
@@ -147,7 +151,7 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
     if not n_query:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts, query_blocks = -(-n // BLOCK), -(-n_query // QUERIES)
-    groups = -(-parts // GROUP)
+    groups = max(-(-parts // GROUP), min(parts, -(-2 * spark.sparkContext.defaultParallelism // query_blocks)))
 
     def blocks(batches):
         from pyspark import TaskContext
@@ -160,17 +164,16 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
                 x = [_unpack(v, 1) for v in s.column(2).to_pylist()]
                 width = max(v.shape[1] for v in x)
                 x = np.vstack([_widen(v, width) for v in x])
-                row = [[int(common.mix(np.array([part * 4096 + seq], np.uint64))[0] % groups)], [float(s.column(1)[0].as_py())], [s.num_rows], [np.asarray(s.column(0)).tobytes()], [_pack(x)]]
+                row = [[(part + seq) % groups], [float(s.column(1)[0].as_py())], [s.num_rows], [np.asarray(s.column(0)).tobytes()], [_pack(x)]]
                 types = [pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["group", "length", "n", "ids", "x"])
                 seq += 1
 
     order = [F.col("length").desc(), F.col("id")]
     sorted_blocks = ready.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "length", "x")
-    sorted_blocks = sorted_blocks.mapInArrow(blocks, "group int, length double, n int, ids binary, x binary")
-    left = ready.where("q").select("id", "x", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("block"))
-    left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = sorted_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    sorted_blocks = common.stored(sorted_blocks.mapInArrow(blocks, "group int, length double, n int, ids binary, x binary"))
+    queries = ready.where("q").select("id", "length", "x", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
 
     def search(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or found.empty:
@@ -178,13 +181,28 @@ def top_k(vectors: DataFrame, vec_id: str, embedding: str, is_query: Column, k:
         q = [_unpack(v, 1) for v in queries["x"]]
         width = max(v.shape[1] for v in q)
         q = np.vstack([_widen(v, width) for v in q])
-        best = _Best(queries["id"].to_numpy(np.int64), k)
+        best = _Best(queries["id"].to_numpy(np.int64), k, queries["floor"].fillna(-np.inf).to_numpy(np.float64))
         for r in found.sort_values(["length", "ids"], ascending=[False, True]).itertuples():
             _search(best, q, np.frombuffer(r.ids, np.int64), _unpack(r.x, r.n))
         i, j = np.nonzero(best.filled)
         return pd.DataFrame({"query_id": best.ids[i], "vec_id": best.vec[i, j], "score": best.score[i, j]})
 
-    part = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, "query_id long, vec_id long, score long")
+    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(search, "query_id long, vec_id long, score long")
+
+    # The longest block alone gives each query a floor, where it has k candidates there.
+    longest = sorted_blocks.orderBy(F.desc("length"), "ids").limit(1).drop("group").select("*", F.lit(0).alias("group"), every.alias("block"))
+    first = searched(queries.select("*", F.lit(0).alias("group"), F.lit(None).cast("double").alias("floor")), longest)
+    # Rows that repeat an id are one query, with one vector's floor and another's length; such queries get none.
+    alone = queries.groupBy(F.col("id").alias("query_id")).count().where("count = 1").select("query_id")
+    floors = first.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k).join(alone, "query_id")
+    asked = common.stored(queries.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left"))
+    # The length from which a block can reach the floor of one of a query block's queries.
+    reach = F.when(F.col("floor") > 0, F.col("floor") / F.sqrt("length")).otherwise(0.0)
+    needs = asked.groupBy("block").agg(F.min(reach).alias("need"))
+    right = sorted_blocks.select("*", every.alias("block")).join(needs, "block").where(F.sqrt("length") * (1 + 1e-9) >= F.col("need")).drop("need")
+    left = asked.select("id", "x", "floor", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    part = searched(left, right)
     once = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)

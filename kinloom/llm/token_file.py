@@ -4,11 +4,13 @@ Format of a shard, two files in one folder:
 
 * ``shard-NNNNN.bin``: the ids of its documents, one document behind another in ascending key order, each followed by the end
   id, as little-endian unsigned 16-bit integers where the vocabulary fits, else 32-bit.  Nothing else is in the file.
-* ``shard-NNNNN.idx``: arrays in numpy's npz container.  ``keys`` and ``known`` (false: the key is null) of the documents in
-  file order, ``offsets`` (positions in ids, one more than documents), and the perfect hash of the distinct keys: its level
-  bits, and for each of its slots a 32-bit fingerprint of the key and the number of the key's first document.
+* ``shard-NNNNN.idx``: little-endian arrays, one behind another, after their eight lengths as 64-bit integers.  First the perfect
+  hash of the distinct keys, ``sizes``, ``bits`` and ``rest`` of its levels, about three bits a key; then for each of its slots ``marks``,
+  a 32-bit fingerprint of the key, and ``first``, the number of the key's first document; then of the documents in file order
+  ``offsets`` (positions in ids, one more than documents), ``keys`` and ``known`` (0: the key is null).
 
-Looking a key up takes one hash a level, one bit rank, one comparison of fingerprints and one read of the payload.  A table
+Looking a key up takes the hash part of the index, one hash a level, one bit rank, and four reads of a few bytes: the
+fingerprint, the document's number, its two offsets and its ids.  Keys and offsets of other documents are not read.  A table
 ``manifest`` (Parquet) holds a row for each shard: documents, ids, first id of the shard in the whole sequence, key range.
 
 Spark deals documents to shards by key range; a task encodes and writes one shard, under a name of its attempt, and then
@@ -17,13 +19,12 @@ and executors share, through pyarrow's file systems.
 
 Null texts are empty: their documents hold the end id alone.  Documents with a null key come first; they are stored and read
 back but have no entry in the index.  Repeated keys keep all their documents, in the order of a hash of the text; the index
-points to the first in each shard.  An empty table gives an empty manifest.
+points to the first in each shard.  An empty table gives an empty manifest.  Only the key and the text are stored; further columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
@@ -32,8 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm import common
-from kinloom.llm.bpe import WordBpe, file_broadcast, loaded, slices
+from kinloom.llm.bpe import AT_ONCE, WordBpe, file_broadcast, loaded, slices
 
+#: Rows of a manifest that is broadcast.
+BROADCAST = 100_000
 _MANIFEST = "shard int, n_docs long, n_ids long, min_key long, max_key long, path string, width int"
 
 
@@ -117,15 +120,52 @@ class ShardIndex:
         return out
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
         h = self.hash
-        np.savez(out, keys=self.keys, known=self.known, offsets=self.offsets, bits=h.bits, sizes=h.sizes, rest=h.rest, marks=self.marks, first=self.first)
-        return out.getvalue()
+        arrays = [h.sizes, h.bits, h.rest, self.marks, self.first, self.offsets, self.keys, self.known]
+        packed = [np.asarray(a).astype(k) for a, k in zip(arrays, _SECTIONS.values(), strict=True)]
+        return np.array([len(a) for a in packed], "<i8").tobytes() + b"".join(a.tobytes() for a in packed)
 
     @classmethod
     def load(cls, data: bytes) -> ShardIndex:
-        with np.load(io.BytesIO(data)) as z:
-            return cls(z["keys"], z["known"], z["offsets"], PerfectHash(z["bits"], z["sizes"], z["rest"]), z["marks"], z["first"])
+        parts = {k: np.frombuffer(data, kind, n, at) for k, (kind, n, at) in _sections(data).items()}
+        return cls(parts["keys"], parts["known"].astype(bool), parts["offsets"], PerfectHash(parts["bits"], parts["sizes"], parts["rest"]), parts["marks"], parts["first"])
+
+
+#: The arrays of an index file and their types, in file order.
+_SECTIONS = {"sizes": "<i8", "bits": "<u8", "rest": "<u8", "marks": "<u4", "first": "<i8", "offsets": "<i8", "keys": "<i8", "known": "<u1"}
+_HEAD = 8 * len(_SECTIONS)
+
+
+def _sections(head: bytes) -> dict[str, tuple[str, int, int]]:
+    """Type, length and place of each array of an index file, from its first bytes."""
+    out, at = {}, _HEAD
+    for (name, kind), n in zip(_SECTIONS.items(), np.frombuffer(head, "<i8", len(_SECTIONS)).tolist(), strict=True):
+        out[name] = (kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+class IndexFile:
+    """An index file that is asked for single keys: only its hash part is held in memory."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.parts = file, _sections(file.read_at(_HEAD, 0))
+        sizes, bits, rest = (self._read(k) for k in ("sizes", "bits", "rest"))
+        self.hash = PerfectHash(bits, sizes, rest)
+
+    def _read(self, name: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        kind, size, at = self.parts[name]
+        step = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at((size if n is None else n) * step, at + first * step), kind)
+
+    def find(self, key: int) -> tuple[int, int] | None:
+        """The first and the last offset of a key's first document; None where the fingerprint says that the shard lacks it."""
+        name = np.array([key], np.int64).view(np.uint64)
+        slot = int(self.hash.find(name)[0])
+        if slot < 0 or self._read("marks", slot, 1)[0] != _fingerprint(name)[0]:
+            return None
+        start, stop = self._read("offsets", int(self._read("first", slot, 1)[0]), 2).tolist()
+        return start, stop
 
 
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -153,7 +193,7 @@ def write_token_files(docs: DataFrame, key: str, text: str, path: str, end_id: i
         end = np.array([end_id], kind).tobytes()
         keys, known, sizes, out = [], [], [], None
         for whole in batches:
-            for batch in slices(whole, 1, 32 << 20):
+            for batch in slices(whole, 1, 8 * AT_ONCE):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/attempt-{shard}-{attempt}.bin")
                 column = batch.column(0)
@@ -222,28 +262,31 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ["key", "start", "ids"],
                     )
 
-    return manifest.repartition(F.col("shard")).mapInArrow(read, "key long, start long, ids binary")
+    # A number of partitions that is asked for is kept: a task for each shard or two, not one for all.
+    return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "key long, start long, ids binary")
 
 
 def lookup_token_files(manifest: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Keyed access: the first document of each asked key in each shard that may hold it, as key, shard, start, ids.
 
-    Keys meet shards by range (the broadcast manifest has at most spark.sql.shuffle.partitions rows, as many as shards were
-    dealt); a shard's keys are looked up together, in parts of bounded size, and only their ids are read.
+    Keys meet shards by range.  The manifest has as many rows as shards were dealt, spark.sql.shuffle.partitions at most; up to
+    BROADCAST of them it is broadcast, else Spark chooses the join.  A shard's keys are looked up together, in parts of bounded size.
     """
     wanted = keys.select(common.col(keys, key).cast("long").alias("key")).where("key is not null").distinct()
-    routed = wanted.join(F.broadcast(manifest), (wanted["key"] >= manifest["min_key"]) & (wanted["key"] <= manifest["max_key"]))
+    small = manifest.count() <= BROADCAST
+    routed = wanted.join(F.broadcast(manifest) if small else manifest, (wanted["key"] >= manifest["min_key"]) & (wanted["key"] <= manifest["max_key"]))
 
     def read(key_, rows):
         fs, base = _open(rows["path"].iloc[0])
-        with fs.open_input_stream(f"{base}.idx") as f:
-            index = ShardIndex.load(f.read())
-        asked = rows["key"].to_numpy(np.int64)
-        doc = index.lookup(asked)
-        rows, doc = rows[doc >= 0], doc[doc >= 0]
-        kind = np.dtype(f"<u{rows['width'].iloc[0]}") if len(rows) else None
-        ids = [np.frombuffer(_payload(fs, f"{base}.bin", int(index.offsets[d]), int(index.offsets[d + 1]), kind.itemsize), kind).astype("<u4").tobytes() for d in doc]
-        return rows.assign(start=rows["start"] + index.offsets[doc], ids=ids)[["key", "shard", "start", "ids"]]
+        kind = np.dtype(f"<u{rows['width'].iloc[0]}")
+        with fs.open_input_file(f"{base}.idx") as file:
+            index = IndexFile(file)
+            found = [index.find(k) for k in rows["key"].tolist()]
+        have = [i for i, f in enumerate(found) if f is not None]
+        rows, found = rows.iloc[have], [found[i] for i in have]
+        with fs.open_input_file(f"{base}.bin") as file:
+            ids = [np.frombuffer(file.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind).astype("<u4").tobytes() for a, b in found]
+        return rows.assign(start=rows["start"] + np.array([a for a, _ in found], np.int64), ids=ids)[["key", "shard", "start", "ids"]]
 
     part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), (F.col("n_docs") / 50_000).cast("int")))
     return routed.groupBy("shard", part.alias("part")).applyInPandas(read, "key long, shard int, start long, ids binary")

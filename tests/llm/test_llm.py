@@ -134,6 +134,111 @@ def test_a_dense_group_is_compared_whole(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (head[i], len(links[i])) for i in links}
 
 
+def many_with_a_common_passage(n, seed=11):
+    """Texts that share a passage, and in each of ten groups another one, and little else; some have near copies."""
+    r = random.Random(seed)
+    passage = [f"common{i}" for i in range(25)]
+    out = []
+    while len(out) < n:
+        own = [f"w{r.randrange(4000)}" for _ in range(r.randrange(40, 60))]
+        group = r.randrange(10)
+        out.append(" ".join([*own[:20], *passage, *own[20:], *[f"group{group}x{i}" for i in range(25)]]))
+        base = out[-1].split(" ")
+        for _ in range(r.choice([0, 0, 1, 3])):
+            near = list(base)
+            for _ in range(r.choice([1, 1, 2])):
+                near[r.randrange(len(near))] = f"x{r.randrange(10**6)}"
+            out.append(" ".join(near))
+    return out
+
+
+@pytest.mark.parametrize("small", [jaccard.SMALL, 12])
+def test_sparse_large_nodes_are_split_without_loss(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    levels = []
+    many = many_with_a_common_passage(1100)
+    stored = jaccard.common.stored
+
+    def noted(df):
+        if df.columns == ["node", "key", "core"]:
+            levels.append(1)
+        return stored(df)
+
+    monkeypatch.setattr(jaccard.common, "stored", noted)
+    links = brute_links(many)
+    head = heads(links)
+    got = jaccard.similarity_join(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (head[i], len(links[i])) for i in links}
+    assert len(levels) >= (2 if small == 12 else 1)
+
+
+def test_short_near_copies_need_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 40_000)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    many = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2])):
+            w[r.randrange(60)] = f"x{r.randrange(8)}"
+        many += [" ".join(w)] * r.choice([1, 1, 2])
+    links = brute_links(many)
+    head = heads(links)
+    got = jaccard.similarity_join(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (head[i], len(links[i])) for i in links}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.75, 1.0])
+def test_other_thresholds(spark, texts, threshold):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in (SPLIT.findall(t or "") for t in texts)]
+    want = [sum(1 for j, b in enumerate(sets) if i != j and a and len(a & b) / len(a | b) >= threshold) for i, a in enumerate(sets)]
+    got = jaccard.similarity_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", threshold=threshold).collect()
+    assert [r["n_links"] for r in sorted(got)] == want
+
+
+def test_the_pair_rule_equals_the_similarity():
+    r = np.random.default_rng(3)
+    for p, q in ((4, 5), (1, 2), (1, 1), (7, 10)):
+        sets = [np.unique(r.integers(0, 60, r.integers(1, 60)).astype(np.uint64)) for _ in range(60)]
+        pivot = np.arange(40, dtype=np.uint64)
+        deltas = [np.setxor1d(s, pivot) for s in sets]
+        shared = jaccard._common_counts(deltas)
+        a = [(q + p) * len(d) - (q - p) * len(s) for s, d in zip(sets, deltas, strict=True)]
+        for i in range(60):
+            for j in range(i):
+                assert shared[j, i] == len(np.intersect1d(deltas[i], deltas[j]))
+                both = len(np.intersect1d(sets[i], sets[j]))
+                near = both / (len(sets[i]) + len(sets[j]) - both) >= p / q
+                assert near == (a[i] + a[j] <= 2 * (q + p) * shared[j, i])
+
+
+def test_recall_of_paths_is_as_stated():
+    """First nodes are shared as runs_for counts, and a split keeps a pair as survival says."""
+    r = np.random.default_rng(17)
+    met = kept = 0
+    trials, runs = 400, 2
+    for _ in range(trials):
+        both, a, b = np.split(r.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2), [240, 270])
+        one, two = np.sort(np.concatenate([both, a])), np.sort(np.concatenate([both, b]))  # 240 of 300 shared
+        met += len(np.intersect1d(jaccard._nodes(one, runs), jaccard._nodes(two, runs))) > 0
+        nodes = np.repeat(r.integers(0, 1 << 63, 1).astype(np.uint64), 2)
+        i, child = jaccard._children(nodes, np.array([jaccard._sketch(one), jaccard._sketch(two)]))
+        kept += len(np.intersect1d(child[i == 0], child[i == 1])) > 0
+    assert met / trials > 1 - np.exp(-jaccard.FIRST * 0.8 * runs) - 0.04
+    assert abs(kept / trials - jaccard.survival(0.8, 1)) < 0.06
+    assert jaccard.survival(0.8, 2) < jaccard.survival(0.8, 1) and jaccard.runs_for(0.8, 1 - 1e-5) == 9
+
+
+def test_similarity_join_of_odd_rows(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, words, 1, "a"), (5, words, 2, "b"), (5, words + " end", 3, None), (5, "alone", 4, "d"), (9, "alone", 5, "e"), (7, None, 6, "f"), (7, "", 7, "g"), (None, " ", 8, "h"), (8, "x " * 200_000, 9, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_links int, key string")
+    got = sorted(((r[0], r[1], r[2]) for r in jaccard.similarity_join(df, "doc_id", "text").collect()), key=str)
+    assert got == sorted([(None, 5, 2), (5, 5, 2), (5, 5, 2), (5, 5, 1), (9, 5, 1), (7, 7, 0), (7, 7, 0), (None, None, 0), (8, 8, 0)], key=str)
+    kept = jaccard.keep_one_per_class(df, "doc_id", "text")
+    assert kept.columns == df.columns and kept.count() == 6
+
+
 def test_links_at_a_lower_threshold_are_found(spark):
     pairs = [([f"p{k}w{i}" for i in range(304)], k) for k in range(40)]
     # 300 shingles, of which 15 changed words, far apart, spoil 75: 225 shared of 375, a similarity of 0.6.
@@ -154,20 +259,63 @@ def test_one_of_each_class_is_kept_whatever_the_ids(spark):
         assert kept[0]["doc_id"] == min((i for i in ids if i is not None), default=None)
 
 
-def test_repeated_windows_go(docs, texts, none):
+def brute_removal(texts, window=35):
     words = [SPLIT.findall(t or "") for t in texts]
     count = {}
     for w in words:
-        for i in range(len(w) - 34):
-            count[tuple(w[i : i + 35])] = count.get(tuple(w[i : i + 35]), 0) + 1
+        for i in range(len(w) - window + 1):
+            count[tuple(w[i : i + window])] = count.get(tuple(w[i : i + window]), 0) + 1
+    out = []
+    for w in words:
+        gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+def test_repeated_windows_go(docs, texts, none):
     got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs, "text", window=35, joined=True).collect()}
-    for n, w in enumerate(words):
-        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
-        assert got[n]["text"] == " ".join(x for j, x in enumerate(w) if j not in gone)
-        assert (got[n]["n_words"], got[n]["n_words_"], got[n]["n_removed"]) == ("clash", len(w), len(gone))
+    for n, want in enumerate(brute_removal(texts)):
+        assert (got[n]["n_words_"], got[n]["n_removed"], got[n]["text"]) == want
+        assert got[n]["n_words"] == "clash"
     assert substring_dedup.remove_repeats(none, "text").count() == 0
 
 
+@pytest.mark.parametrize(("hot", "rounds"), [(substring_dedup.HOT, substring_dedup.ROUNDS), (25, 6), (25, 0), (25, 1)])
+def test_a_passage_in_very_many_contexts(spark, monkeypatch, hot, rounds):
+    for name, value in (("HOT", hot), ("ROUNDS", rounds), ("SHARD", 20_000), ("STREAM", 50)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    r = random.Random(9)
+    passage, line = [f"p{i}" for i in range(50)], [f"l{i}" for i in range(20)]
+    texts = []
+    for k in range(1150 if hot > 25 else 300):
+        # few other words, so that windows over the passage's ends repeat by chance too
+        before, after = ([r.choice("ab" if k % 2 else "abcdefgh") for _ in range(r.randrange(30))] for _ in range(2))
+        middle = passage if k % 3 else passage[: r.randrange(30, 50)]
+        texts.append(" ".join([*before, *middle, *after, *line, *[f"u{k}x{i}" for i in range(25)]]))
+    texts += [texts[0], texts[1], None, "", texts[2] + " " + texts[2]]
+    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", window=35, joined=True).collect()}
+    for n, want in enumerate(brute_removal(texts)):
+        assert (got[n]["n_words"], got[n]["n_removed"], got[n]["text"]) == want
+
+
+def test_matching_statistics_equal_brute_force():
+    r = random.Random(2)
+    held = [[r.choice("abc") for _ in range(r.randrange(1, 30))] for _ in range(20)]
+    weights = [r.choice([1, 1, 2]) for _ in held]
+    automaton = substring_dedup.SuffixAutomaton()
+    for w, n in zip(held, weights, strict=True):
+        automaton.add(w, n)
+    matcher = substring_dedup.Matcher(automaton.dump())
+
+    def occurs(run):
+        return sum(n for w, n in zip(held, weights, strict=True) for i in range(len(w) - len(run) + 1) if w[i : i + len(run)] == run)
+
+    for own, seen in ((True, held), (False, [[r.choice("abcd") for _ in range(25)] for _ in range(20)])):
+        for w in seen:
+            want = [max(n for n in range(e + 1) if not n or occurs(w[e - n : e]) >= 1 + own) for e in range(1, len(w) + 1)]
+            assert matcher.statistics(w, own) == want
+
+
 def vectors(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((300, 16))
@@ -224,21 +372,63 @@ def test_small_tables_of_vectors_are_compared_whole(spark):
     assert got == dict(enumerate(((unit @ unit.T) >= 0.5).sum(1) - 1))
 
 
-def test_mix_reaches_targets(docs, none):
-    df = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b"))
-    got = mixing.mix_report(df, "doc_id", "text", "source", mixing.cyclic_weights(3)).collect()
-    assert len(got) == docs.count()
-    by = {}
+def plain_targets(sizes, weights, epochs=3.0):
+    """Water-filling one source at a time: the fullest goes to its cap first."""
+    target, open_, rest = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        level = rest / sum(weights[s] for s in open_)
+        over = [s for s in open_ if weights[s] * level > epochs * sizes[s]]
+        if not over:
+            return target | {s: weights[s] * level for s in open_}
+        s = min(over, key=lambda s: epochs * sizes[s] / weights[s])
+        target[s] = epochs * sizes[s]
+        open_.remove(s)
+        rest -= target[s]
+    return target
+
+
+def held_against_plain(rows, got, copies):
+    """rows: id, text, source; got: the report; copies: the mix itself."""
+    size = [len(SPLIT.findall(t or "")) for _, t, _ in rows]
+    sizes = {}
+    for n, (_, _, s) in zip(size, rows, strict=True):
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    target = plain_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(names)})
+    assert sorted((r[0] is None, r[0] or 0, r[1], r[2]) for r in got) == sorted((i is None, i or 0, n, sizes[s]) for n, (i, _, s) in zip(size, rows, strict=True))
+    known = {}
+    for n, (i, t, s) in zip(size, rows, strict=True):
+        known.setdefault((i, n), set()).add(s)
+    taken = {}
     for r in got:
-        assert r["taken"] <= 3 * r["size"]
-        t = by.setdefault(r["target"], [0, 0])
-        t[0] += r["taken"]
-        t[1] = max(t[1], r["size"])
-    assert all(abs(t[0] - k) <= t[1] for k, t in by.items())
+        assert r[4] <= 3 * r[1]
+        (s,) = known[r[0], r[1]]
+        assert abs(r[3] - target[s]) < 1e-6
+        taken[s] = taken.get(s, 0) + r[4]
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max((n for n, (_, _, x) in zip(size, rows, strict=True) if x == s), default=0)
+    assert sum(len(SPLIT.findall(t or "")) for (t,) in copies) == sum(taken.values())
+
+
+def test_mix_reaches_targets(spark, docs, texts, none):
+    rows = [(i, t, [None, "a", "b", "c", "é"][i % 5 if i % 7 else 1]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, "clash", 5, "kept") for r in rows], "doc_id long, text string, source string, size string, whole int, `mix hash` string").repartition(3)
+    got = mixing.mix_report(df, "doc_id", "text", "source", mixing.cyclic_weights(3))
     copies = mixing.mix(df, "doc_id", "text", "source", mixing.cyclic_weights(3))
-    assert copies.columns == df.columns
-    assert copies.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
-    assert mixing.mix_report(none.withColumn("source", F.lit("a")), "doc_id", "text", "source", mixing.cyclic_weights(3)).count() == 0
+    assert copies.columns == df.columns and {tuple(r) for r in copies.select("size", "whole", "mix hash").distinct().collect()} == {("clash", 5, "kept")}
+    held_against_plain(rows, got.collect(), copies.select("text").collect())
+    assert sorted(got.collect(), key=str) == sorted(got.collect(), key=str)
+    for empty in (none.withColumn("source", F.lit("a")), df.limit(0)):
+        assert mixing.mix_report(empty, "doc_id", "text", "source", mixing.cyclic_weights(3)).count() == 0
+        assert mixing.mix(empty, "doc_id", "text", "source", mixing.cyclic_weights(3)).count() == 0
+
+
+def test_repeated_rows_reach_targets(spark):
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(1, ten, "a")] * 100 + [(i, ten, "b") for i in range(2, 42)] + [(None, None, "c"), (None, "x", None), (None, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_report(df, "doc_id", "text", "source", mixing.cyclic_weights(3)).collect()
+    held_against_plain(rows, got, mixing.mix(df, "doc_id", "text", "source", mixing.cyclic_weights(3)).select("text").collect())
 
 
 def test_languages_held_out(spark, none):
@@ -247,11 +437,77 @@ def test_languages_held_out(spark, none):
     rows = [(i, k, " ".join(r.choice(parts[k]) for _ in range(25))) for i in range(80) for k in [r.choice(list(parts))]]
     rows += [(1000, "xx", None), (1001, None, "123 !!"), (1002, None, "")]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    model = language.learn(df, "doc_id", "text", "lang", F.col("doc_id") % 2 == 0, PIECE)
+    model = language.learn(df, "text", "lang", F.col("doc_id") % 2 == 0, PIECE)
     got = {x["doc_id"]: x for x in language.predict(df, "text", model, PIECE).collect()}
     assert all(got[i]["lang_pred"] == k for i, k, _ in rows if i < 1000)
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3
     assert language.predict(df.limit(0), "text", model, PIECE).count() == 0
+    odd = spark.createDataFrame([(1, "²½ 12", "a"), (1, "²½ 12", "b"), (2, "the " * 50_000, None), (3, "x" * 5000 + " the and of", "c"), (None, "der die und", "d")], "doc_id long, text string, score string")
+    seen = language.predict(odd, "text", model, PIECE)
+    assert seen.columns == ["doc_id", "text", "score", "lang_pred", "score_"]
+    by = {r["score"]: r for r in seen.collect()}
+    assert [by[k]["lang_pred"] for k in ("a", "b", None, "d")] == ["und", "und", "xx", "yy"] and all(0 <= r["score_"] <= 1 for r in by.values())
+    untaught = language.learn(df.where("false"), "text", "lang", F.lit(True), PIECE)
+    assert {r["lang_pred"] for r in language.predict(df, "text", untaught, PIECE).collect()} == {"und"}
+
+
+def segmentations(run):
+    if not run:
+        yield []
+    for k in range(1, len(run) + 1):
+        for rest in segmentations(run[k:]):
+            yield [run[:k], *rest]
+
+
+def test_forward_sums_all_segmentations():
+    pieces = language.Pieces(open(PIECE, "rb").read())
+    r = np.random.default_rng(4)
+    prob = r.random((pieces.size + 1, 3)) / pieces.size
+    prob[-1] = 0
+    runs = ["▁the", "▁streams", "▁über", "▁北京", "▁qxzj", "▁a", "▁andthe"]
+    got = language.log_likelihoods(pieces, runs, prob)
+    for run, values in zip(runs, got, strict=True):
+        want = np.zeros(3)
+        for cut in segmentations(run):
+            numbers = [pieces.number.get(p, 0 if len(p) == 1 else -1) for p in cut]
+            if -1 not in numbers:
+                want += np.prod(prob[numbers], axis=0)
+        assert np.allclose(values, np.log(want))
+
+
+def test_long_runs_are_scored_whole():
+    pieces = language.Pieces(open(PIECE, "rb").read())
+    prob = np.random.default_rng(5).random((pieces.size + 1, 2)) / pieces.size
+    prob[-1] = 0
+    run = "▁" + "".join(random.Random(1).choice(["the", "and", "stream", "q", "北"]) for _ in range(60))
+    got = language.log_likelihoods(pieces, [run], prob)[0]
+    # the forward pass with exact fractions
+    from fractions import Fraction
+
+    for j in range(2):
+        alpha = [Fraction(1)]
+        for e in range(1, len(run) + 1):
+            numbers = [(k, pieces.number.get(run[e - k : e], 0 if k == 1 else -1)) for k in range(1, min(e, pieces.longest) + 1)]
+            alpha.append(sum(alpha[e - k] * Fraction(float(prob[m, j])) for k, m in numbers if m >= 0))
+        top, bottom = alpha[-1].numerator, alpha[-1].denominator
+        want = (top.bit_length() - bottom.bit_length()) * np.log(2) + np.log((top >> max(top.bit_length() - 60, 0)) / 2.0 ** min(top.bit_length(), 60)) - np.log((bottom >> max(bottom.bit_length() - 60, 0)) / 2.0 ** min(bottom.bit_length(), 60))
+        assert abs(got[j] - want) < 1e-6
+
+
+def test_fit_equals_expectation_maximisation_over_all_segmentations():
+    pieces = language.Pieces(open(PIECE, "rb").read())
+    runs, counts = ["▁the", "▁then", "▁over", "▁ove"], np.array([3.0, 1, 2, 1])
+    prob = np.full(pieces.size + 1, 1 / pieces.size)
+    for _ in range(2):
+        mass = np.zeros(pieces.size + 1)
+        for run, n in zip(runs, counts, strict=True):
+            cuts = [[pieces.number.get(p, 0 if len(p) == 1 else -1) for p in cut] for cut in segmentations(run)]
+            cuts = [c for c in cuts if -1 not in c]
+            weight = np.array([np.prod(prob[c]) for c in cuts])
+            for c, w in zip(cuts, weight / weight.sum(), strict=True):
+                np.add.at(mass, c, n * w)
+        prob = (1 - language.SMOOTH) * mass / mass.sum() + language.SMOOTH / pieces.size
+    assert np.allclose(language.fit(pieces, runs, counts, rounds=2)[:-1], prob[:-1])
 
 
 def test_quality_rejects_junk(spark, none):
@@ -281,6 +537,102 @@ def test_quality_rejects_repetition(spark, share):
     assert sum(got[i] for i in range(len(clean), 400)) <= 0.1 * (n + 20)
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Ties, repeated ids, unequal widths, empty vectors, fewer than k candidates, scores beyond the long range, clashing names."""
+    rows = [(0, [1.0, 2.0], 1), (50, [1.0], 2), (50, [0.0, 1.0], 3), (3, [1.0, 2.0], 4), (2, [1.0, 2.0], 5), (9, [], 6), (None, [1.0], 7), (7, [5.0, 5.0, 5.0], 8), (8, [1e16, -1e16], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
+
+    def clamp(v):
+        return min(max(v, -(1 << 63)), (1 << 63) - 1)
+
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None]
+    want = set()
+    for q in (0, 50):
+        best = {}
+        for i, v in whole:
+            for j, w in whole:
+                if i == q and j != q:
+                    score = clamp(sum(a * b for a, b in zip(v, w, strict=False)))
+                    best[j] = max(best.get(j, score), score)
+        want |= {(q, k, j, s) for k, (s, j) in enumerate(sorted(((s, j) for j, s in best.items()), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, 256.0)
+    assert {tuple(r) for r in got.collect()} == want
+    few = df.where("vec_id in (0, 3)")
+    assert [tuple(r) for r in topk.top_k(few, "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, 256.0).collect()] == [(0, 1, 3, 5 * 256 * 256)]
+
+
+def test_top_k_prunes_by_length_without_loss(spark, monkeypatch):
+    for name, value in (("BLOCK", 40), ("QUERIES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(12)
+    x = r.standard_normal((600, 6)) * r.choice([0.05, 1, 9], (600, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    whole = [(i, np.floor(256 * np.array(v))) for i, v in rows]
+    want = {(i, k, j, -s) for i, q in whole if i % 50 == 0 for k, (s, j) in enumerate(sorted((-int(q @ v), j) for j, v in whole if j != i)[:5], 1)}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5, 256.0)
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_near_vectors_of_odd_rows(spark):
+    r = np.random.default_rng(6)
+    base = r.standard_normal(12)
+    rows = [(i, (base * (1 + i)).tolist(), "a") for i in range(40)] + [(40 + i, base.tolist(), "b") for i in range(60)]
+    rows += [(100, [*base.tolist(), 0.0, 0.0], "c"), (101, base[:3].tolist(), "d"), (None, base.tolist(), "e"), (None, None, "f"), (102, [], "g"), (7, base.tolist(), "h")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string").repartition(4)
+    got = vector_dedup.near_duplicate_vectors(df, "vec_id", "embedding")
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    out = sorted((tuple(x) for x in got.collect()), key=lambda t: (t[0] is None, t[0] or 0, t[1]))
+    alike = [t for t in out if t[0] is not None and t[0] <= 100]
+    assert all(t[1:3] == (101, 0) and t[3] == (t[0] == 0) for t in alike) and len(alike) == 102
+    assert [t for t in out if t[0] in (101, 102)] == [(101, 0, 101, True), (102, 0, 102, True)]
+    assert [t for t in out if t[0] is None] == [(None, 0, None, False)] * 2
+
+
+def test_tokens_of_tables_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Hello there", 5, "x", None), (1, "Hello there", 5, "x", None), (None, None, None, None, 3)], "doc_id long, text string, n_tokens int, ids string, n_bytes int")
+    one = bpe.bpe_encode_decode(df, "text", WORD)
+    assert one.columns[:5] == df.columns and len(set(map(str.lower, one.columns))) == len(one.columns)
+    assert {(r[0], r[2], r[3]) for r in one.collect()} == {(1, 5, "x"), (None, None, None)} and one.count() == 3
+    two = token_counts.token_counts(df, "text", PIECE)
+    assert two.columns[:5] == df.columns and {r["n_tokens"] for r in two.collect()} == {5, None}
+
+
+def test_token_files_of_odd_keys(spark, tmp_path):
+    rows = [(None, "first"), (None, "second"), (5, "b"), (5, "a"), (5, None), (-3, "x " * 5000), (1 << 62, "last")]
+    df = spark.createDataFrame(rows, "k long, keys string").repartition(3)
+    folder = f"file://{tmp_path}/odd"
+    manifest = token_file.write_token_files(df, "k", "keys", WORD, 2, folder)
+    back = sorted(token_file.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert [r["key"] for r in back] == [None, None, -3, 5, 5, 5, 1 << 62]
+    want = {r["k"]: [] for r in df.collect()}
+    for r in bpe.bpe_encode_decode(df, "keys", WORD).collect():
+        want[r["k"]].append(bytes(r["ids"]) + (2).to_bytes(4, "little"))
+    start, got = 0, {k: [] for k in want}
+    for r in back:
+        assert r["start"] == start
+        start += len(r["ids"]) // 4
+        got[r["key"]].append(bytes(r["ids"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    asked = spark.createDataFrame([(5,), (-3,), (6,), (None,), (1 << 62,)], "keys long")
+    found = {(r["key"], bytes(r["ids"])) for r in token_file.lookup_token_files(manifest, asked, "keys").collect()}
+    assert {k for k, _ in found} == {5, -3, 1 << 62} and all(i in got[k] for k, i in found)
+    # A task that runs again replaces its shard with the same bytes.
+    before = {p.name: p.read_bytes() for p in (tmp_path / "odd").glob("shard-*.*")}
+    for p in (tmp_path / "odd").glob("shard-*.*"):
+        p.write_bytes(b"torn")
+    token_file.write_token_files(df, "k", "keys", WORD, 2, folder + "-again")
+    after = {p.name: p.read_bytes() for p in (tmp_path / "odd-again").glob("shard-*.*")}
+    assert before == after
+
+
+def test_perfect_hash_finds_every_key():
+    keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
+    index = token_file.ShardIndex.build(keys, np.ones(len(keys), bool), np.arange(len(keys) + 1))
+    again = token_file.ShardIndex.load(index.dump())
+    assert (again.lookup(keys) == np.arange(len(keys))).all() and len(set(again.hash.find(keys.view(np.uint64)).tolist())) == len(keys)
+    assert (again.lookup(keys[:-1] + 1) >= 0).sum() <= 3
+
+
 def test_digests_agree(docs):
     out = bpe.bpe_encode_decode(docs, "text", WORD).select("ids", F.sha2("ids", 256).alias("h")).collect()
     assert all(r["h"] == hashlib.sha256(bytes(r["ids"])).hexdigest() for r in out)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import materialised
+
 _TOKEN = re.compile(r"\s*('(?:[^']|'')*'|\[[^\]]*\]|[(),:;]|[^\s(),:;\[\]]+)")
 TREE = "node int, parent int, name string, length double, ord int"
+#: Fixed value: names of the properties that give a group's level, in lower case.
+LEVEL_NAMES = ("taxid", "taxrange", "taxonomic_range", "taxon_id", "ncbitaxid")
 GROUPS = "fam long, node string, parent string, kind string, level string, score double, gene string, ord int"
 
 
@@ -168,47 +173,82 @@ def taxonomy_xml(rows: list[tuple]) -> str:
     return "".join(out) + "</taxonomy>"
 
 
-def group_rows(xml: bytes) -> Iterator[tuple]:
-    """The rows of a document: a row for each group (kind S or D) and each gene (kind L), in document order."""
-    local = lambda e: e.tag.rpartition("}")[2]
-    root = ET.fromstring(xml)
-    if root.get("version", "0.5") != "0.5":
-        raise ValueError(f"version {root.get('version')} of the format is not known")
-    names = {e.get("id"): e.get("protId") or e.get("geneId") for e in root.iter() if local(e) == "gene"}
-    kinds = {"orthologGroup": "S", "paralogGroup": "D"}
-
-    def walk(e, fam: int, parent: str | None, ord_: int, name: str) -> Iterator[tuple]:
-        level = next((x.get("value") for x in e if local(x) == "property" and x.get("name") == "TaxRange"), None)
-        score = next((float(x.get("value")) for x in e if local(x) == "score"), None)
-        yield fam, name, parent, kinds[local(e)], level, score, None, ord_
-        k = 0
-        for x in e:
-            if local(x) == "geneRef":
-                yield fam, f"{name}/g{k}", name, "L", None, None, names.get(x.get("id")), k
-            elif local(x) in kinds:
-                yield from walk(x, fam, name, k, f"{name}/{k}")
-            else:
-                continue
-            k += 1
+_ATTRIBUTE = re.compile(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_KINDS = {"orthologGroup": "S", "paralogGroup": "D"}
+
 
-    top = next((e for e in root if local(e) == "groups"), ())
-    for fam, e in enumerate((x for x in top if local(x) in kinds), 1):
-        yield from walk(e, fam, None, fam, str(fam))
+def _attributes(tag: str) -> dict[str, str]:
+    return {k: html.unescape(a or b) for k, a, b in _ATTRIBUTE.findall(tag)}
+
+
+def group_rows(fam: int, tags: Iterator[str]) -> Iterator[tuple]:
+    """The rows of a family out of its tags: a row for each group (kind S or D) and each gene (kind L), as in document order."""
+    stack: list[list] = []
+    for tag in tags:
+        name = re.match(r"</?(?:\w+:)?(\w+)", tag)[1]
+        said = _attributes(tag)
+        if tag.startswith("</"):
+            yield tuple(stack.pop()[0])
+        elif name in _KINDS:
+            if stack:
+                place, parent = stack[-1][1], stack[-1][0][1]
+                stack[-1][1] += 1
+            else:
+                place, parent = fam, None
+            stack.append([[fam, f"{parent}/{place}" if parent else str(fam), parent, _KINDS[name], None, None, None, place], 0])
+        elif name == "geneRef":
+            top = stack[-1]
+            yield fam, f"{top[0][1]}/g{top[1]}", top[0][1], "L", None, None, said.get("id"), top[1]
+            top[1] += 1
+        elif name == "property" and said.get("name", "").lower() in LEVEL_NAMES and stack[-1][0][4] is None:
+            stack[-1][0][4] = said.get("value")
+        elif name == "score" and stack[-1][0][5] is None:
+            stack[-1][0][5] = float(said["value"])
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Nested groups of XML files, a task for each file."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Nested groups of XML files, families numbered from 1 in each file; a gene is given by its protein's id.
 
-    def parse(batches):
+    A row is read for each tag, so that large files are split and no row holds more than a tag.  Depths and numbers of families
+    are running sums inside a part of a file, with what the parts before it add up to; then each family's tags are parsed together.
+    A ">" inside an attribute must be written as an entity.  Genes that the document does not describe have no id.
+    """
+    tags = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "^[^<]*", "").alias("tag"))
+    tags = tags.withColumn("at", F.monotonically_increasing_id()).withColumn("name", F.regexp_extract("tag", r"^</?(?:\w+:)?(\w+)", 1))
+    wanted = ("orthoXML", "gene", "orthologGroup", "paralogGroup", "geneRef", "property", "score")
+    tags = materialised(tags.where(F.col("name").isin(*wanted)))
+    version = F.regexp_extract("tag", r"""\sversion\s*=\s*["']([^"']*)""", 1)
+    other = tags.where("name = 'orthoXML' and tag not like '</%'").select(version.alias("v")).where("v not in ('', '0.5')").first()
+    if other:
+        raise ValueError(f"version {other['v']} of the format is not known")
+    attribute = lambda name: F.nullif(F.regexp_extract("tag", rf"""\s{name}\s*=\s*["']([^"']*)""", 1), F.lit(""))
+    plain = F.coalesce(attribute("protId"), attribute("geneId"))
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(character))
+    genes = tags.where("name = 'gene'").select("file", attribute("id").alias("id"), plain.alias("prot"))
+    group = F.col("name").isin(*_KINDS)
+    step = F.when(group & F.startswith("tag", F.lit("</")), -1).when(group & ~F.endswith("tag", F.lit("/")), 1).otherwise(0)
+    parts = tags.where("name not in ('gene', 'orthoXML')").withColumn("step", step)
+    # A family begins where the depth becomes 1.
+    sums = parts.groupBy("file", "block").agg(F.sum("step").alias("sum"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a file
+    sums = sums.select("file", "block", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    deep = parts.join(sums, ["file", "block"]).withColumn("depth", F.col("before") + F.sum("step").over(inside))
+    deep = materialised(deep.withColumn("begins", ((F.col("step") == 1) & (F.col("depth") == 1)).cast("int")).where("depth > 0 or step = -1"))
+    counts = deep.groupBy("file", "block").agg(F.sum("begins").alias("sum"))
+    counts = counts.select("file", "block", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("first"))
+    numbered = deep.join(counts, ["file", "block"]).withColumn("fam", (F.col("first") + F.sum("begins").over(inside)).cast("long"))
+
+    def parse(rows):
         import pandas as pd
 
-        names = [f.split(" ")[0] for f in GROUPS.split(", ")]
-        for b in batches:
-            for content in b["content"]:
-                yield pd.DataFrame(list(group_rows(content)), columns=names)
+        rows = rows.sort_values(["block", "at"])
+        found = pd.DataFrame(list(group_rows(int(rows["fam"].iloc[0]), rows["tag"])), columns=[f.split(" ")[0] for f in GROUPS.split(", ")])
+        return found.assign(file=rows["file"].iloc[0])
 
-    return files.mapInPandas(parse, GROUPS)
+    out = numbered.select("file", "fam", "block", "at", "tag").groupBy("file", "fam").applyInPandas(parse, GROUPS + ", file string")
+    return out.join(genes.withColumnRenamed("id", "gene"), ["file", "gene"], "left").select("fam", "node", "parent", "kind", "level", "score", F.col("prot").alias("gene"), "ord")
 
 
 def group_xml(groups: DataFrame) -> DataFrame:

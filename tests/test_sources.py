@@ -2,6 +2,7 @@
 
 import xml.etree.ElementTree as ET
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import alignment, checks, clustering, families, hierarchy
@@ -14,7 +15,7 @@ def test_split_placement_files_keep_their_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
         read = text.read_placements(spark, str(tmp_path / "X.fa.hogmap"))
-        assert read.rdd.getNumPartitions() > 1
+        assert spark.read.text(str(tmp_path / "X.fa.hogmap")).rdd.getNumPartitions() > 1
         got = {(r["prot_id"], r["hit_rank"]): r["root_id"] for r in read.collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -73,6 +74,17 @@ def test_documents_of_groups(spark, tmp_path):
     (tmp_path / "one.xml").write_text(whole.strip())
     back = trees.read_groups(spark, str(tmp_path / "one.xml"))
     assert sorted(r["gene"] for r in back.where("kind = 'L'").collect()) == [f'p"{i}<&' for i in range(1, 6)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        split = trees.read_groups(spark, str(tmp_path / "one.xml"))
+        assert sorted(map(str, split.collect())) == sorted(map(str, back.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kinds = {(r["fam"], r["node"], r["parent"], r["kind"], r["level"], r["score"]) for r in back.where("kind <> 'L'").collect()}
+    assert kinds == {(1, "1", None, "S", "root", 0.75), (1, "1/0", "1", "D", None, None), (2, "2", None, "S", None, None)}
+    (tmp_path / "old.xml").write_text('<orthoXML version="0.3"><groups></groups></orthoXML>')
+    with pytest.raises(ValueError, match="0.3"):
+        trees.read_groups(spark, str(tmp_path / "old.xml"))
     trees.write_families(groups, str(tmp_path / "by"))
     assert sorted(p.name for p in (tmp_path / "by").glob("fam=*")) == ["fam=7", "fam=8"]
     merged = trees.merge_groups([back, back])

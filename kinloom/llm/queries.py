@@ -5,11 +5,15 @@ The tokenizer files are those of the installed package public_tokenizers; their
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, common, jaccard, language, mixing, quality, substring_dedup, token_counts, token_file, topk, vector_dedup
+from kinloom.llm import (
+    bpe, common, divergence, exact_dedup, jaccard, language, mixing, periodic_runs, quality, substring_dedup, token_counts, token_file, topk, vector_dedup,
+)
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: Fixed values of the token file: the id that ends a document, and the limit of a context in tokens.
@@ -73,6 +77,39 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, "doc_id", "text").drop("text")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.exact_groups(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(common.table(spark, sf_dir, "documents"), "text", "lang", "source", least=30, most=50)
+
+
+def with_planted_period(row: dict, words: list[bytes]) -> list[bytes]:
+    """The words of a document; in one of ten they repeat with a period from some word on, as the contract of operator 13 says."""
+    h, n = zlib.crc32(str(row["doc_id"]).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    cycle = words[a : a + p]
+    return (words[:a] + cycle * ((n - a) // p + 1))[:n]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = periodic_runs.collapse_runs(docs, "text", with_planted_period, ["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.n"), F.col("best.period")
+    return out.select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * -best.n div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES = {
     **{
         f.__name__: f
@@ -87,6 +124,9 @@ QUERIES = {
             op8_token_file,
             op9_substring_dedup,
             op10_quality_classifier,
+            op11_exact_dedup,
+            op12_source_divergence,
+            op13_periodic_runs,
         )
     },
 }
@@ -159,4 +199,43 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT h.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, h.vec_id = component_id AS kept
         FROM h LEFT JOIN e ON e.vec_id = h.vec_id""",
+    "op11_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents
+        ), k AS (
+            SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS n, first_value(doc_id) OVER (PARTITION BY h ORDER BY length(t) DESC, doc_id) AS keep_id FROM d
+        )
+        SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k""",
+    "op12_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.TERM_PATTERN}') AS w FROM documents
+        ), t AS (
+            SELECT r, lang, source, unnest(w) AS term FROM d
+        ), k AS (
+            SELECT lang, term FROM (SELECT DISTINCT lang, term, r FROM t) GROUP BY lang, term HAVING count(*) >= 30
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), v AS (
+            SELECT g.lang, count(DISTINCT term) AS v FROM g LEFT JOIN k ON k.lang = g.lang GROUP BY g.lang
+        ), x AS (
+            SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), p AS (
+            SELECT x.*, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY x.lang, x.source) + 5 * v) AS p FROM x JOIN v ON v.lang = x.lang
+        ), l AS (
+            SELECT x.lang, term, sum(n) AS n, any_value(v) AS v FROM x JOIN v ON v.lang = x.lang GROUP BY x.lang, term
+        ), q AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), e AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+        ), r AS (
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e
+        )
+        SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }

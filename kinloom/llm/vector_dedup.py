@@ -10,11 +10,11 @@ Components come from those edges.
 
 A vector always has its LEAST best filters, whatever the threshold, so none is left out and scaled copies meet.
 
-The code grows with the table, so groups stay near GROUP vectors; a group beyond SPLIT is dealt into blocks and
-compared block against block.  Every code is turned at random, so the chance that a pair of some cosine shares a filter is the same for
-all pairs, whatever the table holds; plan measures it for pairs at the threshold and takes as many independent codes as find RECALL of
-them.  Where that would compare a vector with as many others as the table has, all are compared and recall is 1.  Links found are
-exact, none is below the threshold.
+The code grows with the table, so groups stay near GROUP vectors (a PART of a small table); a group beyond SPLIT is dealt into blocks
+and compared block against block.  Every code is turned at random, so the chance that a pair of some cosine shares a filter is the same
+for all pairs, whatever the table holds; plan measures it for pairs at the threshold and takes as many independent codes as find RECALL
+of them, for a table of any size.  Links found are exact, none is below the threshold.  Vectors of fewer than four dimensions, and
+thresholds of 0 or less, have no such filters (a fixed share of all pairs links there): all are compared.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and so do rows with a null id, whose
 component is null.  Vectors of unequal length are compared as if the shorter ended in zeros.  Repeated rows are
@@ -39,6 +39,8 @@ from kinloom.operators.graph import connected_components
 
 #: Share of the pairs at the threshold that is found; mean filters of a vector to choose from, and the fewest; parts; vectors of a filter, and of a block.
 RECALL, LISTED, LEAST, SLICES, GROUP, SPLIT = 0.999, (2, 8, 32), 2, 2, 512, 1024
+#: Share of a table in one filter at most.
+PART = 1 / 16
 #: Pairs and codes by which plan measures, and deviations that it allows for.
 PAIRS, CODES, MARGIN = 512, 4, 2.0
 
@@ -59,7 +61,7 @@ class ProductCode:
         rng = np.random.default_rng(seed)
         # A part of one dimension would have two directions only.
         self.parts = min(SLICES if rows < 1 << 27 else SLICES + 1, width // 2)
-        want = max(listed * rows / group, 4 * listed)
+        want = max(listed * rows / max(1, min(group, rows * PART)), 4 * listed)
         self.size = max(2, int(np.ceil(want ** (1 / self.parts))))
         turn, upper = np.linalg.qr(rng.standard_normal((width, width)))
         self.turn = turn * np.sign(np.diag(upper))
@@ -118,14 +120,15 @@ def meeting(code: ProductCode, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
 
 def plan(width: int, rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Listed filters of a vector, and codes, that find the share recall of the pairs at the threshold with fewest filters; no codes: compare all."""
-    best, least = (LISTED[0], 0), rows / GROUP
+    """Listed filters of a vector, and codes, that find the share recall of the pairs at the threshold with fewest filters.
+
+    No codes (compare all) only for narrow vectors and thresholds of 0 or less.
+    """
     # In fewer than four dimensions a fixed share of all pairs links, whatever the table.
     if width < 4 or not 0 < threshold:
-        return best
+        return LISTED[0], 0
+    best, least = None, math.inf
     for listed in LISTED:
-        if listed * GROUP >= rows:
-            break
         met, n = 0, 0
         for seed in range(CODES):
             a, b = pairs_at(width, min(threshold, 1.0), PAIRS, seed)
@@ -138,6 +141,8 @@ def plan(width: int, rows: int, threshold: float, recall: float = RECALL) -> tup
         tables = 1 if share >= recall else math.ceil(math.log(1 - recall) / math.log(1 - share))
         if tables * n / (CODES * PAIRS) < least:
             best, least = (listed, tables), tables * n / (CODES * PAIRS)
+    if best is None:
+        raise ValueError(f"no filters find pairs at cosine {threshold}")
     return best
 
 

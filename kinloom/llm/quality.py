@@ -6,12 +6,14 @@ often each labeller is right when it votes, for its two votes apart; that gives
 as likely before the votes: a share estimated along with them drifts until all texts are junk where junk is common.  A vote is
 taken to be right more often than wrong, and silence to say nothing; so none calls a text clean that repeats itself, which
 looks at single words cannot tell.  A linear scorer over hashed
-features (words, shapes of words, repetition) is then trained on the posteriors of a sample of about SAMPLE texts, drawn by
-a hash; the sample bounds the training.  The scorer judges every whole text.
+features (words, shapes of words, repetition) is then trained on the posteriors of a sample: of the distinct texts with words,
+those with the least hashes, SAMPLE at most and SAMPLE_BYTES at most (the one with the least hash at least), so neither copies of
+a row nor long texts make the sample larger, and it is never empty where any text has words.  The scorer judges every whole text.
 
 Features are shares of a text's words, so length has no weight.  Null texts, empty texts and texts without words have score 0
-and are rejected.  If all texts look alike the model has one class and the scorer follows it.  Rows keep their number, repeated
-rows are judged alike, and added columns take names that the input does not have.  An empty table gives an empty result.
+and are rejected.  If all texts look alike the model has one class and the scorer follows it; so it does if the table is one
+row repeated.  Rows keep their number, repeated rows are judged alike, and added columns take names that the input does not have.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from kinloom.llm import common
 from kinloom.llm.bpe import slices
 
-#: Texts to train on; hashed features; passes over the sample; the least score that is kept; bytes of text looked at together.
-SAMPLE, FEATURES, EPOCHS, KEEP, AT_ONCE = 4096, 1 << 16, 8, 0.5, 1 << 19
+#: Most distinct texts to train on, and most bytes of these.
+SAMPLE, SAMPLE_BYTES = 8192, 64 << 20
+#: Hashed features; passes over the sample; the least score that is kept; bytes of text looked at together.
+FEATURES, EPOCHS, KEEP, AT_ONCE = 1 << 16, 8, 0.5, 1 << 19
 #: Fixed values of the labellers: above the first share a text is junk to it, below the second (if any) clean, else no vote.
 LABELLERS = {
     "symbols": (0.05, None),  # bytes that are symbols, of all
@@ -204,22 +208,27 @@ def train(at: list[np.ndarray], share: list[np.ndarray], label: np.ndarray) -> t
 def quality_scores(docs: DataFrame, doc_id: str, text: str, keep_from: float = KEEP) -> DataFrame:
     """Adds score (0 to 1, clean), weak_label (the label model's posterior of the text's votes) and keep."""
     spark = docs.sparkSession
-    slim = docs.select(common.col(docs, doc_id).alias("id"), common.col(docs, text).alias("text")).where("text is not null")
+    whole = common.col(docs, text)
+    # Copies of a text have one draw.
+    slim = docs.select(F.xxhash64(whole).alias("draw"), whole.alias("text")).where("text is not null")
 
     def vote(batches):
         for whole in batches:
             for b in slices(whole, 1, AT_ONCE):
-                yield pa.RecordBatch.from_arrays([pa.array(Looks(b.column(1)).votes())], ["code"])
+                looks, sizes = Looks(b.column(1)), pa.compute.binary_length(b.column(1)).cast(pa.int64())
+                some = pa.array(looks.some)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(some), sizes.filter(some), pa.array(looks.votes())], ["draw", "size", "code"])
 
-    patterns = slim.mapInArrow(vote, "code long").groupBy("code").count().toPandas().sort_values("code")
-    n = int(patterns["count"].sum())
+    votes = common.stored(slim.mapInArrow(vote, "draw long, size long, code long"))
+    patterns = votes.groupBy("code").count().toPandas().sort_values("code")
     added = common.free_names(docs, "score", "weak_label", "keep")
-    if not n:
+    if patterns.empty:
         return docs.select("*", F.lit(0.0).alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(False).alias(added[2]))
     posterior = dict(zip(patterns["code"].tolist(), label_model(patterns["code"].to_numpy(), patterns["count"].to_numpy(np.float64)).tolist(), strict=True))
 
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.col("text")), 11)
-    sample = slim.withColumn("draw", draw).where(draw / float(1 << 53) < min(1.0, SAMPLE / n)).select("draw", "text")
+    drawn = votes.groupBy("draw").agg(F.max("size").alias("size")).orderBy("draw").limit(SAMPLE).toPandas().sort_values("draw")
+    fits = drawn["draw"][(drawn["size"].cumsum() <= SAMPLE_BYTES) | (np.arange(len(drawn)) == 0)]
+    sample = slim.where(F.col("draw") <= int(fits.max())).groupBy("draw").agg(F.first("text").alias("text"))
 
     def describe(batches):
         for whole in batches:

@@ -364,12 +364,40 @@ def test_vector_filters_keep_recall_as_tables_grow(width, rows):
     assert vector_dedup.meeting(vector_dedup.ProductCode(width, rows, 0, listed), a, a * 3.7 / 3.7)[0].all()
 
 
-def test_small_tables_of_vectors_are_compared_whole(spark):
-    x = np.random.default_rng(3).standard_normal((400, 8))
+def brute_vector_links(x, threshold):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return [set(np.flatnonzero(row >= threshold).tolist()) - {i} for i, row in enumerate(unit @ unit.T)]
+
+
+def vector_links(spark, x, threshold):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(df, "vec_id", "embedding", 0.5).collect()}
-    assert got == dict(enumerate(((unit @ unit.T) >= 0.5).sum(1) - 1))
+    return {r["vec_id"]: r for r in vector_dedup.near_duplicate_vectors(df, "vec_id", "embedding", threshold).collect()}
+
+
+@pytest.mark.parametrize("rows", [1, 40, 500, 2000])
+def test_tables_of_any_size_go_by_filters(rows):
+    for width in (4, 8, 64):
+        assert vector_dedup.plan(width, rows, 0.95)[1] >= 1
+    assert vector_dedup.plan(3, rows, 0.95)[1] == vector_dedup.plan(64, rows, 0.0)[1] == 0
+
+
+def test_small_tables_of_vectors(spark):
+    x = np.random.default_rng(3).standard_normal((400, 8))
+    want, got = brute_vector_links(x, 0.8), vector_links(spark, x, 0.8)
+    assert all(got[i]["n_links"] <= len(want[i]) for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(map(len, want))
+
+
+@pytest.mark.parametrize(("centres", "each", "near"), [(2000, 3, 0.03), (3, 1500, 0.02)])
+def test_clustered_vectors_go_by_filters(spark, centres, each, near):
+    """Many small groups of near vectors; and a few that are larger than a filter's block."""
+    r = np.random.default_rng(11)
+    middle = r.standard_normal((centres, 24))
+    x = np.repeat(middle, each, axis=0) + near * r.standard_normal((centres * each, 24))
+    assert vector_dedup.plan(24, len(x), 0.95)[1] >= 1 and (each < vector_dedup.SPLIT or centres == 3)
+    want, got = brute_vector_links(x, 0.95), vector_links(spark, x, 0.95)
+    head = heads(dict(enumerate(want)))
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (len(want[i]), head[i]) for i in range(len(x))}
 
 
 def plain_targets(sizes, weights, epochs=3.0):
@@ -537,6 +565,38 @@ def test_quality_rejects_repetition(spark, share):
     assert sum(got[i] for i in range(len(clean), 400)) <= 0.1 * (n + 20)
 
 
+def draws(spark, texts):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return {r["t"]: r["d"] for r in df.select("t", F.xxhash64("t").alias("d")).collect()}
+
+
+@pytest.mark.parametrize("high", [False, True])
+def test_quality_of_one_row_many_times(spark, high):
+    """Copies of a row have one draw, low or high; they are one text of the sample."""
+    drawn = draws(spark, [f"The river runs below the old bridge number {k} of the town." for k in range(50)])
+    text = (max if high else min)(drawn, key=drawn.get)
+    df = spark.createDataFrame([(7, text)], "doc_id long, text string").selectExpr("doc_id", "text", "explode(sequence(1, 10000)) AS score")
+    got = quality.quality_scores(df, "doc_id", "text")
+    assert got.columns == ["doc_id", "text", "score", "score_", "weak_label", "keep"]
+    assert [(r["score_"] > 0, r["n"]) for r in got.groupBy("score_").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()] == [(True, 10000)]
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 3000)
+    texts = [f"Some words of text {i} and {i * i} more." for i in range(200)] + [None, "", " \t"] * 30 + ["word " * 60_000]
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string").repartition(4)
+    got = quality.quality_scores(df, "doc_id", "text").collect()
+    assert len(got) == len(texts) * 3 and not any(r["keep"] for r in got if not (r["text"] or "").split())
+    # A long text alone is still taken.
+    alone = spark.createDataFrame([(1, "word " * 60_000), (2, "")], "doc_id long, text string")
+    assert [r["score"] > 0 for r in quality.quality_scores(alone, "doc_id", "text").orderBy("doc_id").collect()] == [True, False]
+    blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert [r["keep"] for r in quality.quality_scores(blank, "doc_id", "text").collect()] == [False, False]
+
+
 def test_top_k_of_odd_vectors(spark):
     """Ties, repeated ids, unequal widths, empty vectors, fewer than k candidates, scores beyond the long range, clashing names."""
     rows = [(0, [1.0, 2.0], 1), (50, [1.0], 2), (50, [0.0, 1.0], 3), (3, [1.0, 2.0], 4), (2, [1.0, 2.0], 5), (9, [], 6), (None, [1.0], 7), (7, [5.0, 5.0, 5.0], 8), (8, [1e16, -1e16], 9)]

@@ -13,13 +13,14 @@ nothing but the hot contexts moved.
 
 The distinct contexts are the reference.  They are dealt by anchor into shards of about SHARD bytes, the contexts of an anchor that
 is still hot over several.  A task builds each shard's suffix automaton, over words, with the number of occurrences of each
-state, and the automaton, of bounded size, is sent to the tasks with the stretches of documents that hold an anchor of
+state, and the automaton, of bounded size, is sent (by a cogroup) to the tasks with the stretches of documents that hold an anchor of
 the shard.  There the stretches are streamed through it for matching statistics: the longest run ending at each word that
 occurs twice (in a shard that holds the stretch itself) or at all (in another shard).  Maximal spans of WINDOW words or more are
 marked.  An automaton is sent to no other task: sending every shard to every text would grow with the square of the corpus.
 A context that occurs twice itself is a match from end to end, so it is marked without a pass.
 
-Texts and contexts are told apart by 128-bit digests, anchors and their places route; which windows repeat is decided on the words.
+Texts and contexts are told apart by 128-bit digests; anchors and their places route.  What repeats is decided on these digests where a whole
+context comes again, and on the words, by an automaton, everywhere else.
 
 Texts cross shuffles compressed.  Null and empty texts have no words; texts shorter than a window stay as they are.  Copies of a
 text, repeated rows too, are occurrences of their own.  Every window is judged on the input.  An empty table gives an empty

@@ -7,7 +7,8 @@ kept terms.  Two groups differ in a term by the difference of their p.
 
 1. Each task counts the terms of its documents with DuckDB, some megabytes of text at a time, and sends on one row for each
    language, source and term: a frequent term is a row of a task, however often it occurs.
-2. Shards by the hash of language and term add these up (Spark), and DuckDB picks the kept terms of a shard.
+2. Spark adds these up and deals them by the hash of language and term to shards of about SHARD_ROWS rows, as many as the table
+   needs, and DuckDB picks the kept terms of a shard.
 3. Spark adds up N and V.  Each shard gets these few rows for every group, and DuckDB computes its part of the sum of
    each pair of groups, and its best terms of each group.
 4. Spark adds up the parts of the pairs and ranks.
@@ -33,6 +34,8 @@ SCALE, ADDED = 1_000_000_000, 5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text counted at a time, rows held by a counting task, and memory of a task's DuckDB.
 TEXT_BYTES, HELD_ROWS, MEMORY = 4 << 20, 1_000_000, "1GB"
+#: Rows of language, source and term in a shard, about.
+SHARD_ROWS = 100_000
 
 COUNT_SQL = f"""
     INSERT INTO counts
@@ -101,10 +104,11 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     return held.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
-def kept_terms(counts: DataFrame, shards: int, least: int) -> DataFrame:
-    """The kept terms of each group: shard, lang, source, term, n, first (once for each language and term); stored."""
-    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int")
-    added = counts.withColumn("shard", shard).repartition(shards, "shard").groupBy("shard", "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def kept_terms(counts: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """The kept terms of each group, stored, and the number of shards: shard, lang, source, term, n, first (once for each language and term)."""
+    added = common.stored(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    shards = added.count() // SHARD_ROWS + 1
+    dealt = added.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
 
     def pick(rows: pa.Table) -> pa.Table:
         db = _duck()
@@ -113,7 +117,7 @@ def kept_terms(counts: DataFrame, shards: int, least: int) -> DataFrame:
         db.close()
         return out.add_column(0, "shard", pa.repeat(rows["shard"][0], out.num_rows).cast(pa.int32()))
 
-    return common.stored(added.groupBy("shard").applyInArrow(pick, "shard int, lang string, source string, term string, n long, first boolean"))
+    return common.stored(dealt.groupBy("shard").applyInArrow(pick, "shard int, lang string, source string, term string, n long, first boolean")), shards
 
 
 def source_divergence(docs: DataFrame, text: str, lang: str, source: str, least: int = 30, most: int = 50) -> DataFrame:
@@ -122,9 +126,7 @@ def source_divergence(docs: DataFrame, text: str, lang: str, source: str, least:
 
     Ranks run from 1 for each group and part, greatest value first, then by item.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = kept_terms(term_counts(docs, text, lang, source), shards, least)
+    kept, shards = kept_terms(term_counts(docs, text, lang, source), least)
     blank = lambda c, name: F.coalesce(common.col(docs, c), F.lit("")).alias(name)
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("total"), F.count_if("first").alias("v"))

@@ -7,10 +7,12 @@ from a group to the groups that it is made of, and of representatives; a loop ov
 families at once, and only the gene tree of one family at one taxon is local to a task.  Its leaves are the representatives of the
 groups that meet, so a family's size does not bound it, but very many groups of one family in one taxon do.
 
-Aligning and building trees are strategies: distance takes sequences to a matrix, root takes an unrooted tree to a rooted one, and
-keep tells which sequences are good enough to be compared (all, by default).  A group none of whose sequences is kept is
-frozen: it goes up as it is and is a group of its own.  Genes with a null family, species or id, and genes of species that the tree
-does not have, take no part; an empty table gives empty tables.
+Aligning and building trees are strategies.  align takes the sequences that meet to aligned lines, column_filter tells which
+lines are good enough and which columns count, distance takes what is left to a matrix, root takes an unrooted tree to a rooted
+one.  With align=None sequences are compared by their words; keep then tells which are good enough (all, by default).  A group
+none of whose sequences is kept is frozen: it goes up as it is and is a group of its own.  Sequences that are equal in one species
+are one leaf until the tree stands.  Genes with a null family, species or id, and genes of species that the tree does not have, take
+no part; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators import genetree, hierarchy
+from kinloom.operators import aligner, genetree, hierarchy
 from kinloom.operators.graph import materialised
 from kinloom.operators.proteins import numbered
 
@@ -34,21 +36,44 @@ _OUT = "fam long, taxon string, kind string, hog string, sub string, gene string
 class _Level:
     """One family at one taxon: rows of representatives (hog, via, gene, seq, n, species)."""
 
-    def __init__(self, rows: pd.DataFrame, most: int, overlap: float, distance: Callable, root: Callable, keep: Callable | None):
+    def __init__(
+        self, rows: pd.DataFrame, most: int, overlap: float, distance: Callable | None, root: Callable, keep: Callable | None,
+        align: aligner.Align | None = None, column_filter: aligner.ColumnFilter | None = None,
+    ):
         self.most, self.overlap = most, overlap
         rows = rows.sort_values(["hog", "gene"], ignore_index=True)
-        kept = np.ones(len(rows), bool) if keep is None else np.asarray(keep(rows["seq"].tolist()), bool)
+        lines, kept = rows["seq"].tolist(), np.ones(len(rows), bool)
+        if align is not None:
+            lines = align(lines)
+        if column_filter is not None:
+            kept, lines = column_filter(lines)
+        if keep is not None:
+            kept = np.asarray(kept, bool) & np.asarray(keep(lines), bool)
+        kept = np.asarray(kept, bool)
         self.frozen = sorted(set(rows["hog"]) - set(rows["hog"][kept]))
         self.rows = rows[kept].set_index("gene", drop=False)
         # Parts of a group: it is one part until it must be split; a part is a set of the groups that it is made of.
         self.part_of = {gene: (r["hog"], 0) for gene, r in self.rows.iterrows()}
         self.parts = {hog: [sorted(set(self.rows["via"][self.rows["hog"] == hog]))] for hog in sorted(set(self.rows["hog"]))}
-        genes = self.rows["gene"].tolist()
+        species = {g: frozenset(s) for g, s in zip(self.rows["gene"], self.rows["species"], strict=True)}
+        # Equal lines of one species are one leaf while the tree is built.
+        first: dict[tuple, str] = {}
+        copies: dict[str, list[str]] = {}
+        apart: list[str] = []
+        for gene, line in zip(self.rows["gene"], (x for x, k in zip(lines, kept, strict=True) if k), strict=True):
+            one = first.setdefault((line, species[gene]) if len(species[gene]) == 1 else (gene,), gene)
+            if one == gene:
+                apart.append(line)
+            else:
+                copies.setdefault(one, []).append(gene)
+        genes = list(first.values())
         if len(genes) > 1:
-            self.tree = root(genetree.neighbour_joining(genes, distance(self.rows["seq"].tolist())))
-            genetree.species_overlap(self.tree, {g: frozenset(s) for g, s in zip(genes, self.rows["species"], strict=True)}, overlap)
+            self.tree = root(genetree.neighbour_joining(genes, (distance or (aligner.aligned_distance if align else genetree.word_distance))(apart)))
         else:
             self.tree = genetree.Node(genes[0]) if genes else None
+        if self.tree is not None and len(species) > 1:
+            self.tree = genetree.with_copies(self.tree, copies)
+            genetree.species_overlap(self.tree, species, overlap)
 
     def _split_or_drop(self, part: tuple[str, int], pieces: list[list[str]]) -> set[str]:
         """Splits a part along what it is made of; where the pieces share that, the lesser pieces' representatives are to go."""
@@ -104,8 +129,9 @@ class _Level:
 
 
 def fold(
-    genes: DataFrame, tree: DataFrame, most: int = REPRESENTATIVES, overlap: float = OVERLAP, distance: Callable = genetree.word_distance,
-    root: Callable = genetree.midpoint, keep: Callable | None = None,
+    genes: DataFrame, tree: DataFrame, most: int = REPRESENTATIVES, overlap: float = OVERLAP, distance: Callable | None = None,
+    root: Callable = genetree.midpoint, keep: Callable | None = None, align: aligner.Align | None = aligner.progressive,
+    column_filter: aligner.ColumnFilter | None = aligner.gap_filter,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups (fam, hog, level, frozen) and links (fam, hog, sub) of families.
 
@@ -122,7 +148,7 @@ def fold(
     links, splits = [], []
 
     def level(rows: pd.DataFrame) -> pd.DataFrame:
-        return _Level(rows, most, overlap, distance, root, keep).result(int(rows["fam"].iloc[0]), rows["taxon"].iloc[0])
+        return _Level(rows, most, overlap, distance, root, keep, align, column_filter if align else None).result(int(rows["fam"].iloc[0]), rows["taxon"].iloc[0])
 
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     for turn in range(deepest - 1, -1, -1):

@@ -79,30 +79,50 @@ Graph = tuple[list[str | None], list[dict[int, float]]]
 
 
 def neighbour_joining(names: list[str], distance: np.ndarray) -> Graph:
-    """The unrooted tree by neighbour joining; negative branches become 0, ties go to the first pair."""
+    """The unrooted tree by neighbour joining; negative branches become 0, ties go to the earlier node.
+
+    Each node keeps a lower bound of its least distance, so of most nodes it is known without a look at their row that they are in
+    no better pair.  One matrix is kept, in which a joined pair takes the place of its first node.
+    """
     label: list[str | None] = list(names)
     near: list[dict[int, float]] = [{} for _ in names]
 
     def join(a: int, b: int, length: float) -> None:
         near[a][b] = near[b][a] = max(float(length), 0.0)
 
-    d, at = np.array(distance, float), list(range(len(names)))
-    while len(at) > 2:
-        n, sums = len(at), d.sum(1)
-        q = (n - 2) * d - sums[:, None] - sums[None]
-        np.fill_diagonal(q, np.inf)
-        i, j = sorted(divmod(int(q.argmin()), n))
-        half = d[i, j] / 2 + (sums[i] - sums[j]) / (2 * (n - 2))
+    d, at = np.array(distance, float), np.arange(len(names))
+    live, sums = np.arange(len(names)), d.sum(1)
+    np.fill_diagonal(d, np.inf)
+    low = d.min(1, initial=np.inf)
+    while len(live) > 2:
+        n = len(live)
+        bound = (n - 2) * low[live] - sums[live] - sums[live].max()
+        best, pair = np.inf, (0, 0)
+        for k in np.argsort(bound, kind="stable").tolist():
+            if bound[k] >= best - 1e-12:
+                break
+            row = d[live[k], live]
+            q = (n - 2) * row - sums[live[k]] - sums[live]
+            other = int(q.argmin())
+            low[live[k]] = row.min()
+            if q[other] < best - 1e-12:
+                best, pair = q[other], (live[k], live[other])
+        i, j = min(pair), max(pair)
+        gap = d[i, j]
+        half = gap / 2 + (sums[i] - sums[j]) / (2 * (n - 2))
         label.append(None)
         near.append({})
-        join(len(near) - 1, at[i], half)
-        join(len(near) - 1, at[j], d[i, j] - half)
-        row = (d[i] + d[j] - d[i, j]) / 2
-        keep = [k for k in range(n) if k not in (i, j)]
-        d = np.block([[d[np.ix_(keep, keep)], row[keep][:, None]], [row[keep][None], np.zeros((1, 1))]])
-        at = [at[k] for k in keep] + [len(near) - 1]
-    if len(at) == 2:
-        join(at[0], at[1], d[0, 1])
+        join(len(near) - 1, int(at[i]), half)
+        join(len(near) - 1, int(at[j]), gap - half)
+        rest = live[(live != i) & (live != j)]
+        row = (d[i, rest] + d[j, rest] - gap) / 2
+        sums[rest] += row - d[i, rest] - d[j, rest]
+        d[i, rest] = d[rest, i] = row
+        sums[i], low[i], at[i] = row.sum(), row.min(), len(near) - 1
+        low[rest] = np.minimum(low[rest], row)
+        live = live[live != j]
+    if len(live) == 2:
+        join(int(at[live[0]]), int(at[live[1]]), d[live[0], live[1]])
     return label, near
 
 
@@ -305,13 +325,31 @@ def representatives(root: Node, most: int) -> list[tuple[str, list[str]]]:
     return out
 
 
+def with_copies(root: Node, copies: dict[str, list[str]]) -> Node:
+    """The tree with further leaves at the places of some: each of these becomes a node over itself and its copies."""
+    for n in [n for n in root.postorder() if not n.children and copies.get(n.name)]:
+        n.children, n.name = [Node(m) for m in [n.name, *copies[n.name]]], None
+    return root
+
+
 def word_distance(sequences: list[str], size: int = 3, most: float = 5.0) -> np.ndarray:
     """Distances by shared runs of size letters: -ln(2 j / (1 + j)) / size for their Jaccard similarity j, most where none is shared."""
-    sets = [{s[i : i + size] for i in range(max(len(s) - size + 1, 1))} for s in sequences]
-    out = np.zeros((len(sets), len(sets)))
-    for i, a in enumerate(sets):
-        for k in range(i):
-            b = sets[k]
-            j = len(a & b) / len(a | b)
-            out[i, k] = out[k, i] = min(most, -math.log(2 * j / (1 + j)) / size) if j else most
-    return out
+    number: dict[str, int] = {}
+    words = [{number.setdefault(s[i : i + size], len(number)) for i in range(max(len(s) - size + 1, 1))} for s in sequences]
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    ids = np.fromiter((i for w in words for i in w), np.int64, len(of))
+    order = np.argsort(ids, kind="stable")
+    of, ids = of[order], ids[order]
+    shared = np.zeros((len(words), len(words)), np.float32)
+    step = 4096  # words at a time, for bounded memory
+    for first in range(0, len(number), step):
+        a, z = np.searchsorted(ids, [first, first + step])
+        has = np.zeros((len(words), min(step, len(number) - first)), np.float32)
+        has[of[a:z], ids[a:z] - first] = 1
+        shared += has @ has.T
+    count = np.array([len(w) for w in words], np.float64)
+    j = shared / np.maximum(count[:, None] + count[None] - shared, 1)
+    out = np.full(j.shape, most)
+    out[j > 0] = np.minimum(most, -np.log(2 * j[j > 0] / (1 + j[j > 0])) / size)
+    np.fill_diagonal(out, 0.0)
+    return np.maximum(out, 0.0)

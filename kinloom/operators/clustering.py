@@ -1,12 +1,16 @@
-"""Highly connected clusters of each component of a family graph, and placement of sequences by shared words."""
+"""Highly connected clusters of each component of a family graph, placement of sequences by shared words, and verified clusters."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators.graph import materialised
+
 #: Nodes of a component from which it is not cut, and placements of a sequence.
 LARGEST, HITS = 1000, 10
 
@@ -122,3 +126,57 @@ def word_clusters(sequences: DataFrame, seq_id: str, text: str, size: int = 5, l
         met = grams.alias("a").join(grams.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col(f"a.{seq_id}") < F.col(f"b.{seq_id}")))
         links = met.groupBy(F.col(f"a.{seq_id}").alias("u"), F.col(f"b.{seq_id}").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return connected_components(links, "u", "v").select(F.col("node").alias(seq_id), F.col("component").alias("cluster"))
+
+
+def verified_links(sequences: DataFrame, seq_id: str, sequence: str, size: int = 8, words: int = 20, identity: float = 0.5, order: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """Links from sequences to longer ones that they are like: member, centre, size (of the centre).
+
+    Each sequence takes part with the words least by order of its distinct runs of size letters; those that share such a word are compared
+    with the longest one among them (the least id on ties), not with each other, so a word held by very many gives as many candidates.
+    A candidate is a link if the edits between the two are at most 1 - identity of the longer one's length, by a banded program
+    that stops beyond that; so unlike sequences, and those that cover too little, do not link.
+    """
+    text = F.col(sequence)
+    runs = F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: order(F.substring(text, i, F.lit(size)))))).otherwise(F.array(order(text)))
+    held = sequences.where(F.col(sequence).isNotNull()).select(seq_id, F.length(text).alias("n"), F.slice(F.array_sort(runs), 1, words).alias("least"))
+    each = held.select(seq_id, "n", F.explode("least").alias("word"))
+    longest = each.groupBy("word").agg(F.max_by(F.struct(F.col(seq_id).alias("centre"), F.col("n").alias("size")), F.struct("n", (-F.col(seq_id)).alias("i"))).alias("c"))
+    pairs = each.join(longest, "word").select(F.col(seq_id).alias("member"), "c.centre", "c.size").where("member <> centre").distinct()
+    texts = sequences.select(F.col(seq_id).alias("member"), text.alias("a"))
+    met = pairs.join(texts, "member").join(texts.select(F.col("member").alias("centre"), F.col("a").alias("b")), "centre")
+    most = F.floor(F.lit(1 - identity) * F.col("size") + F.lit(1e-9))
+    # The difference of lengths is a bound that needs no program.
+    near = met.where(F.col("size") - F.length("a") <= most).where(F.levenshtein("a", "b") <= most)
+    return near.select("member", "centre", "size")
+
+
+def verified_clusters(
+    sequences: DataFrame, seq_id: str, sequence: str, size: int = 8, words: int = 20, identity: float = 0.5, order: Callable[[Column], Column] = F.xxhash64, species: str | None = None
+) -> DataFrame:
+    """Clusters of sequences around the longest ones: seq_id, cluster (the id of its centre), two members or more.
+
+    Sequences are taken from the longest (the least id on ties): one that is linked to an earlier centre joins the longest such
+    centre, any other is a centre.  All that can be told are told at once; a round takes those whose links all lead to
+    sequences already told.  So every member is like its centre; what is linked to a member only is not in the cluster.  With
+    species (a column), clusters of one species are left out.
+    """
+    links = materialised(verified_links(sequences, seq_id, sequence, size, words, identity, order))
+    told = materialised(links.select(F.col("centre").alias("node")).distinct().join(links.select(F.col("member").alias("node")), "node", "left_anti").withColumn("head", F.col("node")))
+    while True:
+        known = told.select(F.col("node").alias("centre"), (F.col("head") == F.col("node")).alias("is_head"))
+        open_ = links.join(told.select(F.col("node").alias("member")), "member", "left_anti").join(known, "centre", "left")
+        if open_.isEmpty():
+            break
+        joined = F.max_by("centre", F.when(F.col("is_head"), F.struct("size", (-F.col("centre")).alias("i"))))
+        # A member of a head that is longer than all that is not yet told can be told too.
+        unknown = F.max(F.when(F.col("is_head").isNull(), F.struct("size", (-F.col("centre")).alias("i"))))
+        best = F.max(F.when(F.col("is_head"), F.struct("size", (-F.col("centre")).alias("i"))))
+        state = open_.groupBy(F.col("member").alias("node")).agg(joined.alias("head"), unknown.alias("u"), best.alias("b"))
+        now = state.where("u is null or b is not null and b > u").select("node", F.coalesce("head", "node").alias("head"))
+        told = materialised(told.unionByName(now))
+    sizes = told.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
+    out = told.join(sizes, "head", "left_semi").select(F.col("node").alias(seq_id), F.col("head").alias("cluster"))
+    if species is None:
+        return out
+    kinds = out.join(sequences.select(seq_id, F.col(species).alias("_s")), seq_id).groupBy("cluster").agg(F.count_distinct("_s").alias("k")).where("k > 1")
+    return out.join(kinds, "cluster", "left_semi").select(seq_id, "cluster")

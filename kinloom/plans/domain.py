@@ -98,7 +98,7 @@ def customer_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     nation = F.concat_ws("/", region, F.col("c_nationkey").cast("string"))
     none = F.lit(None).cast("string")
     levels = [(root, none, "S"), (region, root, "D"), (nation, region, "S")]
-    groups = [who.select(n.alias("node"), p.alias("parent"), F.lit(k).alias("kind")).distinct() for n, p, k in levels]
+    groups = [who.select(fam.alias("fam"), n.alias("node"), p.alias("parent"), F.lit(k).alias("kind"), n.alias("ord")).distinct() for n, p, k in levels]
     return groups[0].unionByName(groups[1]).unionByName(groups[2]), who.select(nation.alias("node"), F.col("c_custkey").alias("gene"))
 
 

@@ -5,30 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators import alignment, clustering, families, fold, hierarchy
+from kinloom.operators import alignment, clustering, families, fold, hierarchy, intervals
 from kinloom.plans import domain, queries
 from kinloom.plans.domain import CELLS_SQL, PARTS_SQL, TREE_SQL, table
-from kinloom.plans.queries import CUSTOMERS, FIRST, query
-
-
-def _parts(spark, d):
-    groups, genes = domain.part_groups(spark, d)
-    return groups, genes, hierarchy.closure(groups)
+from kinloom.plans.queries import CUSTOMERS, FIRST, encoded_parts, query
 
 
 @query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n3, n5]) AS node, unnest([1, 2, 3]) AS k, n1, n3, n5, gene, species FROM p), w AS (SELECT node, any_value(k) AS k FROM n GROUP BY node HAVING bool_and(species < 20)),
     t AS (SELECT p.gene, coalesce(a.node, b.node, c.node) AS node FROM p LEFT JOIN w a ON a.node = n1 LEFT JOIN w b ON b.node = n3 LEFT JOIN w c ON c.node = n5) SELECT node, gene FROM t WHERE node IS NOT NULL""")
 def groups_in_clade(spark: SparkSession, d: str) -> DataFrame:
-    groups, genes, up = _parts(spark, d)
-    return hierarchy.groups_in_clade(genes, groups, up, spark.range(20).select(F.col("id").alias("species")))
+    return intervals.groups_in_clade(*encoded_parts(spark, d), spark.range(20).select(F.col("id").alias("species")))
 
 
 @query(f"""WITH {PARTS_SQL}, w3 AS (SELECT n2, n3, count(DISTINCT species) AS w FROM p GROUP BY ALL), b3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n2 ORDER BY w DESC, n3) AS r FROM w3) WHERE r = 1),
     w5 AS (SELECT n4, n5, count(DISTINCT species) AS w FROM p GROUP BY ALL), b5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n4 ORDER BY w DESC, n5) AS r FROM w5) WHERE r = 1)
     SELECT n1 AS root, gene FROM p WHERE n3 IN (SELECT n3 FROM b3) AND n5 IN (SELECT n5 FROM b5)""")
 def maximal_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups, genes, up = _parts(spark, d)
-    return hierarchy.maximal_groups(genes, groups, up)
+    return intervals.maximal_groups(*encoded_parts(spark, d))
 
 
 @query(f"WITH {PARTS_SQL} SELECT node, level FROM g WHERE parent IS NULL")
@@ -46,8 +39,8 @@ def named_pairs(spark: SparkSession, d: str) -> DataFrame:
 def predicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose lowest common group meets a predicate: a root of an even number."""
     groups, genes = domain.customer_groups(spark, d)
-    even = F.col("parent").isNull() & (F.substring("node", 2, 20).cast("long") % 2 == 0)
-    return hierarchy.pairwise_relations(groups, genes, hierarchy.closure(groups), even)
+    even = F.col("parent").isNull() & (F.col("fam") % 2 == 0)
+    return intervals.pairwise_relations(intervals.encode(groups), genes, even)
 
 
 @query(f"""WITH {TREE_SQL}, m AS (SELECT 'WORLD' AS level, o_orderstatus AS "group", o_orderkey AS gene FROM orders UNION ALL

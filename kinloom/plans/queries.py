@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import ids
-from kinloom.operators import alignment, clustering, families, hierarchy, proteins, report
+from kinloom.operators import alignment, clustering, families, hierarchy, intervals, proteins, report
 from kinloom.plans import domain
 from kinloom.plans.domain import CELLS_SQL, HITS_SQL, PARTS_SQL, TREE_SQL, table
 
@@ -229,9 +229,9 @@ def species_overlap(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.species_overlap(domain.hits(spark, d).withColumn("child", F.col("root_s") % 3), "part", "child", "species", threshold=0.1)
 
 
-def _parts(spark, d):
+def encoded_parts(spark, d):
     groups, genes = domain.part_groups(spark, d)
-    return groups, genes, hierarchy.closure(groups)
+    return intervals.encode(groups), genes
 
 
 @query(f"""WITH {PARTS_SQL}, w5 AS (SELECT n1, n2, n3, n4, n5, count(*) AS w FROM p GROUP BY ALL), k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n4 ORDER BY w DESC, n5) AS r FROM w5) WHERE r = 1),
@@ -239,7 +239,7 @@ def _parts(spark, d):
     kept AS (SELECT p.n1, gene FROM p JOIN k5 USING (n5) JOIN k3 ON k3.n3 = p.n3)
     SELECT n1 AS root, gene FROM kept WHERE n1 IN (SELECT n1 FROM kept GROUP BY n1 HAVING count(*) > 1)""")
 def marker_groups(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.marker_groups(*_parts(spark, d))
+    return intervals.marker_groups(*encoded_parts(spark, d))
 
 
 @query(f"""WITH {PARTS_SQL}, d1 AS (SELECT node, row_number() OVER (PARTITION BY fam ORDER BY ord) AS n FROM g WHERE kind = 'D' AND parent NOT IN (SELECT node FROM g WHERE level = 'type')),
@@ -248,26 +248,23 @@ def marker_groups(spark: SparkSession, d: str) -> DataFrame:
     l5 AS (SELECT g.node, l3.id || '.' || n || chr(CAST(97 + g.place AS INTEGER)) AS id FROM g JOIN d2 ON g.parent = d2.node JOIN g h ON h.node = g.parent JOIN l3 ON l3.node = h.parent)
     SELECT node, printf('HOG:%07d', fam) AS hog_id FROM g WHERE level = 'brand' UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l5""")
 def duplication_ids(spark: SparkSession, d: str) -> DataFrame:
-    groups, _, up = _parts(spark, d)
-    return hierarchy.duplication_ids(groups, up)
+    return intervals.duplication_ids(encoded_parts(spark, d)[0])
 
 
 @query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n2, n3, n4, n5]) AS node, gene FROM p)
     SELECT node, count(*) AS n_genes, any_value(parent IS NULL) AS is_root FROM n JOIN g USING (node) GROUP BY node""")
 def group_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.group_statistics(*_parts(spark, d))
+    return intervals.group_statistics(*encoded_parts(spark, d))
 
 
 @query("SELECT p_brand AS root, p_partkey AS gene FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 1)")
 def root_groups(spark: SparkSession, d: str) -> DataFrame:
-    groups, genes, up = _parts(spark, d)
-    return hierarchy.root_groups(genes, groups, up)
+    return intervals.root_groups(*encoded_parts(spark, d))
 
 
 @query(f"WITH {PARTS_SQL} SELECT n3 AS node, gene FROM p")
 def level_slice(spark: SparkSession, d: str) -> DataFrame:
-    groups, genes, up = _parts(spark, d)
-    return hierarchy.groups_at_level(genes, groups, up, F.col("level") == "type")
+    return intervals.groups_at_level(*encoded_parts(spark, d), F.col("level") == "type")
 
 
 @query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n2, n3, n4, n5]) AS node, gene FROM p), v AS (SELECT node, any_value(parent) AS parent, any_value(kind) AS kind FROM n JOIN g USING (node) GROUP BY node HAVING count(*) >= 2),
@@ -276,8 +273,7 @@ def level_slice(spark: SparkSession, d: str) -> DataFrame:
     k1 AS (SELECT node FROM v WHERE node IN (SELECT parent FROM v WHERE node IN (SELECT node FROM k2)))
     SELECT node FROM k5 UNION ALL SELECT node FROM k4 UNION ALL SELECT node FROM k3 UNION ALL SELECT node FROM k2 UNION ALL SELECT node FROM k1""")
 def filter_cascade(spark: SparkSession, d: str) -> DataFrame:
-    groups, genes, up = _parts(spark, d)
-    valued = groups.join(hierarchy.group_sizes(genes, up).select("node", F.col("n_genes").cast("double").alias("value")), "node")
+    valued = intervals.group_sizes(*encoded_parts(spark, d)).withColumn("value", F.col("n_genes").cast("double"))
     return hierarchy.filter_cascade(valued, "value", 2.0).select("node")
 
 
@@ -287,13 +283,13 @@ CUSTOMERS = "WITH c AS (SELECT c_custkey AS g, c_custkey // 30 AS f, n_regionkey
 @query(f"{CUSTOMERS} SELECT a.g AS gene_a, b.g AS gene_b FROM c a JOIN c b ON a.f = b.f AND a.g < b.g AND (a.r <> b.r OR a.n = b.n)")
 def pairwise_orthologs(spark: SparkSession, d: str) -> DataFrame:
     groups, genes = domain.customer_groups(spark, d)
-    return hierarchy.pairwise_relations(groups, genes, hierarchy.closure(groups), "S")
+    return intervals.pairwise_relations(intervals.encode(groups), genes, "S")
 
 
 @query(f"{CUSTOMERS} SELECT a.g AS gene_a, b.g AS gene_b FROM c a JOIN c b ON a.f = b.f AND a.g < b.g AND a.r = b.r AND a.n <> b.n")
 def pairwise_paralogs(spark: SparkSession, d: str) -> DataFrame:
     groups, genes = domain.customer_groups(spark, d)
-    return hierarchy.pairwise_relations(groups, genes, hierarchy.closure(groups), "D")
+    return intervals.pairwise_relations(intervals.encode(groups), genes, "D")
 
 
 @query("""WITH j AS (SELECT o_orderkey AS gene, o_orderstatus <> 'P' AS upper, o_orderpriority < '4' AS lower, n_regionkey || '/' || o_orderstatus AS u,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators import aligner
+from kinloom.operators import aligner, clustering, placement
 from kinloom.plans.domain import table
 from kinloom.plans.queries import query
 
@@ -23,3 +23,50 @@ def alignment_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 10).alias("g"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("t"))
     met = rows.alias("a").join(rows.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
     return met.select(F.col("a.k").alias("gene_a"), F.col("b.k").alias("gene_b"), aligner.pair_scores("a.t", "b.t").cast("long").alias("score"))
+
+
+_RUNS = r"""regexp_extract_all(text, '[^\x20\x09-\x0D]+')"""
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_RUNS} AS w FROM documents), b AS (SELECT item_id AS i, {_RUNS} AS w FROM benchmark),
+    x AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM w)), q AS (SELECT doc_id, count(*) AS n_words FROM x GROUP BY 1),
+    y AS (SELECT DISTINCT i, array_to_string(w[k:k + 1], ' ') AS g FROM (SELECT i, w, unnest(range(1, len(w))) AS k FROM b)),
+    idx AS (SELECT g, i // 8 AS fam, CASE WHEN count(DISTINCT i) = 1 THEN min(i) END AS leaf, CASE WHEN count(DISTINCT i // 2) = 1 THEN min(i) // 2 END AS sub FROM y GROUP BY 1, 2),
+    m AS (SELECT doc_id, fam, sub, leaf, count(*) AS n FROM x JOIN idx USING (g) GROUP BY ALL),
+    f AS (SELECT doc_id, fam, sum(n) AS family_count FROM m GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY family_count DESC, fam) AS hit_rank FROM f),
+    s2 AS (SELECT doc_id, fam, arg_max(sub, (n, -sub)) AS sub, max(n) AS n FROM (SELECT doc_id, fam, sub, sum(n) AS n FROM m WHERE sub IS NOT NULL GROUP BY ALL) GROUP BY 1, 2),
+    p2 AS (SELECT r.*, CASE WHEN s2.n >= 0.5 * family_count THEN sub END AS sub, CASE WHEN s2.n >= 0.5 * family_count THEN s2.n ELSE family_count END AS n2 FROM r LEFT JOIN s2 USING (doc_id, fam) WHERE hit_rank <= 10),
+    s3 AS (SELECT doc_id, fam, sub, arg_max(leaf, (n, -leaf)) AS leaf, max(n) AS n FROM (SELECT doc_id, fam, sub, leaf, sum(n) AS n FROM m WHERE leaf IS NOT NULL GROUP BY ALL) GROUP BY 1, 2, 3),
+    p3 AS (SELECT p2.*, CASE WHEN s3.n >= 0.5 * n2 THEN leaf END AS leaf, CASE WHEN s3.n >= 0.5 * n2 THEN s3.n ELSE n2 END AS n3 FROM p2 LEFT JOIN s3 ON s3.doc_id = p2.doc_id AND s3.fam = p2.fam AND s3.sub = p2.sub)
+    SELECT doc_id, CAST(hit_rank AS INTEGER) AS hit_rank, fam, CASE WHEN leaf IS NOT NULL THEN printf('i%06d', leaf) WHEN sub IS NOT NULL THEN printf('s%06d', sub) ELSE printf('f%06d', fam) END AS node, n_words,
+        CAST(family_count AS BIGINT) AS family_count, round(family_count / n_words, 6) AS family_score, CAST(n3 AS BIGINT) AS subfamily_count, round(n3 / family_count, 6) AS subfamily_score FROM p3 JOIN q USING (doc_id)""")
+def group_placements(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed into groups of benchmark items: families of eight over groups of two over items; words are pairs of words."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("i"), "text")
+    name = lambda kind, by: F.format_string(f"{kind}%06d", F.floor(F.col("i") / by).cast("long"))
+    fam = F.floor(F.col("i") / 8).cast("long").alias("fam")
+    levels = [("f", 8, None), ("s", 2, name("f", 8)), ("i", 1, name("s", 2))]
+    groups = None
+    for kind, by, parent in levels:
+        more = items.select(fam, name(kind, by).alias("node"), (F.lit(None).cast("string") if parent is None else parent).alias("parent")).distinct()
+        groups = more if groups is None else groups.unionByName(more)
+    tokens = lambda df, *c: df.select(*c, F.explode(F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("tokens"))
+    runs = placement.text_words(F.col("tokens"), 2)
+    index = placement.word_index(tokens(items, name("i", 1).alias("node")), groups, runs)
+    return placement.placements(tokens(table(spark, d, "documents"), "doc_id"), "doc_id", index, runs).drop("path")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS t FROM part),
+    w AS (SELECT id, length(t) AS n, CASE WHEN length(t) >= 6 THEN list_distinct([md5(substring(t, k, 6)) FOR k IN range(1, length(t) - 4)]) ELSE [md5(t)] END AS w FROM s), e AS (SELECT id, n, unnest(list_sort(w)[1:8]) AS word FROM w),
+    c AS (SELECT word, arg_max(id, (n, -id)) AS centre, max(n) AS size FROM e GROUP BY word), p AS (SELECT DISTINCT e.id AS member, centre, size FROM e JOIN c USING (word) WHERE e.id <> centre),
+    l AS (SELECT member, centre, size FROM p JOIN s a ON a.id = member JOIN s b ON b.id = centre WHERE levenshtein(a.t, b.t) <= floor((1 - 0.8) * size + 0.000000001)),
+    o AS (SELECT id, row_number() OVER (ORDER BY length(t) DESC, id) AS k FROM s WHERE id IN (SELECT member FROM l UNION SELECT centre FROM l)),
+    q AS (SELECT o.k, list(c.k ORDER BY c.k) FILTER (c.k IS NOT NULL) AS up FROM o LEFT JOIN l ON l.member = o.id LEFT JOIN o c ON c.id = l.centre GROUP BY o.k),
+    h AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS heads UNION ALL SELECT q.k, CASE WHEN up IS NULL OR NOT list_has_any(heads, up) THEN list_append(heads, q.k) ELSE heads END FROM h JOIN q ON q.k = h.k + 1),
+    z AS (SELECT heads FROM h ORDER BY k DESC LIMIT 1), g AS (SELECT q.k, CASE WHEN list_contains(heads, q.k) THEN q.k ELSE list_min(list_intersect(up, heads)) END AS head FROM q, z),
+    t AS (SELECT a.id, b.id AS cluster FROM g JOIN o a ON a.k = g.k JOIN o b ON b.k = g.head)
+    SELECT id, cluster FROM t WHERE cluster IN (SELECT cluster FROM t GROUP BY cluster HAVING count(*) > 1)""")
+def verified_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of parts that are at least 80 % alike to the longest one of their cluster."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"))
+    return clustering.verified_clusters(parts, "id", "t", size=6, words=8, identity=0.8, order=F.md5)

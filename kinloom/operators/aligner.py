@@ -37,8 +37,9 @@ def letter_scores() -> np.ndarray:
     return np.where(a == b, SAME, np.where(class_[a] == class_[b], NEAR, OTHER)).astype(float)
 
 
-def _scores(score: np.ndarray, open_: float, extend: float) -> tuple[np.ndarray, np.ndarray]:
-    """The best scores of all beginnings, and of those that end with a column of the first against a gap."""
+def _scores(score: np.ndarray, open_: float, extend: float, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The best scores of all beginnings, and of those that end with a column of the first against a gap.  With inside the first may
+    begin before the second at no cost."""
     n, m = score.shape
     steps = extend * np.arange(m + 1)
     best = np.empty((n + 1, m + 1))
@@ -48,6 +49,8 @@ def _scores(score: np.ndarray, open_: float, extend: float) -> tuple[np.ndarray,
     downs = np.full((n + 1, m + 1), -np.inf)
     for i in range(1, n + 1):
         down = np.maximum(best[i - 1] - open_, down) - extend
+        if inside:
+            down[0] = 0
         row = down.copy()
         np.maximum(row[1:], best[i - 1, :-1] + score[i - 1], out=row[1:])
         # Gaps in the first: from the best start to the left, all at once.
@@ -57,15 +60,21 @@ def _scores(score: np.ndarray, open_: float, extend: float) -> tuple[np.ndarray,
     return best, downs
 
 
-def best_path(score: np.ndarray, open_: float = OPEN, extend: float = EXTEND) -> tuple[float, np.ndarray, np.ndarray]:
+def best_path(score: np.ndarray, open_: float = OPEN, extend: float = EXTEND, inside: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
     """The best score of two sequences of columns whose columns score as given, and for each place of one best alignment the column of
-    the first and of the second (-1: a gap).  Ties go to two columns, then to a gap in the second."""
-    (n, m), (best, downs) = score.shape, _scores(score, open_, extend)
-    at, i, j = [], n, m
+    the first and of the second (-1: a gap).  Ties go to two columns, then to a gap in the second.  With inside the first may begin
+    before the second and end behind it at no cost."""
+    (n, m), (best, downs) = score.shape, _scores(score, open_, extend, inside)
+    end = int(best[:, m].argmax()) if inside else n
+    at, i, j = [(k, -1) for k in range(n - 1, end - 1, -1)], end, m
+    total = float(best[end, m])
     while i or j:
         if i and j and best[i, j] <= best[i - 1, j - 1] + score[i - 1, j - 1] + 1e-9:
             i, j = i - 1, j - 1
             at.append((i, j))
+        elif inside and not j:
+            at += [(k, -1) for k in range(i - 1, -1, -1)]
+            i = 0
         elif i and (best[i, j] <= downs[i, j] + 1e-9 or not j):
             # Up to where the gap opens.
             while True:
@@ -80,17 +89,21 @@ def best_path(score: np.ndarray, open_: float = OPEN, extend: float = EXTEND) ->
             at += [(-1, c) for c in range(j - 1, k - 1, -1)]
             j = k
     path = np.array(at[::-1], int).reshape(-1, 2)
-    return float(best[n, m]), path[:, 0], path[:, 1]
+    return total, path[:, 0], path[:, 1]
 
 
 def _codes(sequence: str) -> np.ndarray:
     return np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)
 
 
+def score_matrix(a: str, b: str) -> np.ndarray:
+    """The scores of every two letters of two sequences."""
+    return letter_scores()[_codes(a)[:, None], _codes(b)[None]]
+
+
 def pair_score(a: str, b: str, open_: float = OPEN, extend: float = EXTEND) -> float:
     """The best score of two sequences."""
-    x, y = _codes(a), _codes(b)
-    return float(_scores(letter_scores()[x[:, None], y[None]], open_, extend)[0][-1, -1])
+    return float(_scores(score_matrix(a, b), open_, extend)[0][-1, -1])
 
 
 def pair_scores(a: str, b: str, open_: float = OPEN, extend: float = EXTEND) -> Column:

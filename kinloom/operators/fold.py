@@ -19,8 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,34 +33,43 @@ REPRESENTATIVES, OVERLAP = 5, 0.1
 _OUT = "fam long, taxon string, kind string, hog string, sub string, gene string, seq string, n long, species array<string>"
 
 
+_SCHEMA = pa.schema([(c.split(" ")[0], {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[c.split(" ")[1]]) for c in _OUT.split(", ")])
+
+
 class _Level:
     """One family at one taxon: rows of representatives (hog, via, gene, seq, n, species)."""
 
     def __init__(
-        self, rows: pd.DataFrame, most: int, overlap: float, distance: Callable | None, root: Callable, keep: Callable | None,
+        self, rows: pd.DataFrame | list[dict], most: int, overlap: float, distance: Callable | None, root: Callable, keep: Callable | None,
         align: aligner.Align | None = None, column_filter: aligner.ColumnFilter | None = None,
     ):
         self.most, self.overlap = most, overlap
-        rows = rows.sort_values(["hog", "gene"], ignore_index=True)
-        lines, kept = rows["seq"].tolist(), np.ones(len(rows), bool)
+        if isinstance(rows, pd.DataFrame):
+            rows = rows.to_dict("records")
+        rows = sorted(rows, key=lambda r: (r["hog"], r["gene"]))
+        lines, kept = [r["seq"] for r in rows], [True] * len(rows)
         if align is not None:
             lines = align(lines)
         if column_filter is not None:
             kept, lines = column_filter(lines)
         if keep is not None:
-            kept = np.asarray(kept, bool) & np.asarray(keep(lines), bool)
-        kept = np.asarray(kept, bool)
-        self.frozen = sorted(set(rows["hog"]) - set(rows["hog"][kept]))
-        self.rows = rows[kept].set_index("gene", drop=False)
+            kept = [bool(a and b) for a, b in zip(kept, keep(lines), strict=True)]
+        good = [r for r, k in zip(rows, kept, strict=True) if k]
+        lines = [x for x, k in zip(lines, kept, strict=True) if k]
+        self.frozen = sorted({r["hog"] for r in rows} - {r["hog"] for r in good})
+        self.via, self.seq, self.n = ({r["gene"]: r[c] for r in good} for c in ("via", "seq", "n"))
+        self.species = species = {r["gene"]: frozenset(r["species"]) for r in good}
         # Parts of a group: it is one part until it must be split; a part is a set of the groups that it is made of.
-        self.part_of = {gene: (r["hog"], 0) for gene, r in self.rows.iterrows()}
-        self.parts = {hog: [sorted(set(self.rows["via"][self.rows["hog"] == hog]))] for hog in sorted(set(self.rows["hog"]))}
-        species = {g: frozenset(s) for g, s in zip(self.rows["gene"], self.rows["species"], strict=True)}
+        self.part_of = {r["gene"]: (r["hog"], 0) for r in good}
+        made: dict[str, set[str]] = {}
+        for r in good:
+            made.setdefault(r["hog"], set()).add(r["via"])
+        self.parts = {hog: [sorted(via)] for hog, via in made.items()}
         # Equal lines of one species are one leaf while the tree is built.
         first: dict[tuple, str] = {}
         copies: dict[str, list[str]] = {}
         apart: list[str] = []
-        for gene, line in zip(self.rows["gene"], (x for x, k in zip(lines, kept, strict=True) if k), strict=True):
+        for gene, line in zip(species, lines, strict=True):
             one = first.setdefault((line, species[gene]) if len(species[gene]) == 1 else (gene,), gene)
             if one == gene:
                 apart.append(line)
@@ -77,7 +86,7 @@ class _Level:
 
     def _split_or_drop(self, part: tuple[str, int], pieces: list[list[str]]) -> set[str]:
         """Splits a part along what it is made of; where the pieces share that, the lesser pieces' representatives are to go."""
-        via = [set(self.rows["via"].loc[p]) for p in pieces]
+        via = [{self.via[g] for g in p} for p in pieces]
         hog, _ = part
         if all(a.isdisjoint(b) for i, a in enumerate(via) for b in via[:i]):
             # What no piece represents stays with the largest one.
@@ -93,7 +102,7 @@ class _Level:
                 for gene in piece:
                     self.part_of[gene] = (hog, number)
             return set()
-        weight = lambda p: (-int(self.rows["n"].loc[p].sum()), -len(p), min(p))
+        weight = lambda p: (-sum(self.n[g] for g in p), -len(p), min(p))
         return {g for p in sorted(pieces, key=weight)[1:] for g in p}
 
     def settled(self) -> list[genetree.Node]:
@@ -110,7 +119,8 @@ class _Level:
             gone = set().union(*(self._split_or_drop(p, pieces) for p, pieces in sorted(torn.items())))
             self.tree = genetree.without(self.tree, gone)
 
-    def result(self, fam: int, taxon: str) -> pd.DataFrame:
+    def found(self, fam: int, taxon: str) -> list[tuple]:
+        """Rows as _OUT has them: frozen groups, links, representatives and parts of split groups."""
         out = [(fam, taxon, "frozen", hog, None, None, None, None, None) for hog in self.frozen]
         for sub in self.settled() if self.tree is not None else []:
             used = sorted({self.part_of[leaf.name] for leaf in sub.leaves()})
@@ -118,14 +128,17 @@ class _Level:
             new = f"{taxon}:{min(names.values())}"
             out += [(fam, taxon, "link", new, names[p], None, None, None, None) for p in used]
             for gene, stands in genetree.representatives(sub, self.most):
-                species = sorted(frozenset.union(*(frozenset(self.rows["species"].loc[g]) for g in stands)))
+                species = sorted(frozenset.union(*(self.species[g] for g in stands)))
                 part = names[self.part_of[gene]]
-                out.append((fam, taxon, "rep", new, part, gene, self.rows["seq"].loc[gene], int(self.rows["n"].loc[stands].sum()), species))
+                out.append((fam, taxon, "rep", new, part, gene, self.seq[gene], sum(self.n[g] for g in stands), species))
         for hog, parts in self.parts.items():
             if len(parts) > 1:
                 for k, part in enumerate(parts):
                     out += [(fam, taxon, "split", f"{hog}~{k}", via, hog, None, None, None) for via in part]
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _OUT.split(", ")])
+        return out
+
+    def result(self, fam: int, taxon: str) -> pd.DataFrame:
+        return pd.DataFrame(self.found(fam, taxon), columns=[c.split(" ")[0] for c in _OUT.split(", ")])
 
 
 def fold(
@@ -147,8 +160,10 @@ def fold(
     groups = [known.select("fam", F.col("gene").alias("hog"), F.col("species").alias("level"))]
     links, splits = [], []
 
-    def level(rows: pd.DataFrame) -> pd.DataFrame:
-        return _Level(rows, most, overlap, distance, root, keep, align, column_filter if align else None).result(int(rows["fam"].iloc[0]), rows["taxon"].iloc[0])
+    def level(rows: pa.Table) -> pa.Table:
+        whole = _Level(rows.to_pylist(), most, overlap, distance, root, keep, align, column_filter if align else None)
+        out = whole.found(rows["fam"][0].as_py(), rows["taxon"][0].as_py())
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     for turn in range(deepest - 1, -1, -1):
@@ -156,7 +171,7 @@ def fold(
         meeting = moved.groupBy("fam", "taxon").agg(F.count("*").alias("many"))
         moved = materialised(moved.join(meeting, ["fam", "taxon"]).select("fam", "taxon", "hog", "frozen", "many"))
         active = moved.where("not frozen and many > 1")
-        made = materialised(reps.join(active.select("fam", "taxon", "hog"), ["fam", "hog"]).groupBy("fam", "taxon").applyInPandas(level, _OUT))
+        made = materialised(reps.join(active.select("fam", "taxon", "hog"), ["fam", "hog"]).groupBy("fam", "taxon").applyInArrow(level, _OUT))
         passed = moved.where("frozen or many = 1").select("fam", "hog", F.col("taxon").alias("at"), "frozen")
         cold = made.where("kind = 'frozen'").select("fam", "hog", F.col("taxon").alias("at"), F.lit(True).alias("frozen"))
         new = made.where("kind = 'link'").select("fam", "hog", F.col("taxon").alias("at"), F.lit(False).alias("frozen")).distinct()

@@ -6,8 +6,6 @@ among siblings.  Loops run over the levels of a tree, never over its nodes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +13,33 @@ from kinloom.functions.ids import letters
 from kinloom.operators.graph import materialised
 
 
-def closure(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """Each node with itself and its ancestors: node, ancestor, distance.
+def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """The nodes from the root down to each one, itself last: node, path; stored.
 
-    A chain of parents longer than there are nodes is a cycle, and an error.
+    By doubling: each round puts the path of the node at the front before it, so there are as many rounds as the depth has binary digits.
+    A parent that is no node itself stands at the front of a path.  A cycle is an error.
     """
-    edges = tree.select(F.col(node).alias("c"), F.col(parent).alias("p")).where("p is not null")
-    front = tree.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"))
-    levels = [front]
-    most = tree.count()
-    while len(levels) <= most + 1:
-        front = materialised(front.join(edges, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor"), (F.col("distance") + 1).alias("distance")))
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(front)
+    rows = tree.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    known = rows.select(F.col("node").alias("up"), F.lit(True).alias("inner")).distinct()
+    first = rows.join(known, "up", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    own = F.when(F.col("up").isNotNull() & ~F.col("inner"), F.array("up", "node")).otherwise(F.array("node"))
+    now = materialised(first.select("node", F.when(F.col("inner"), F.col("up")).alias("up"), own.alias("path")))
+    left = now.where("up is not null")
+    for _ in range(now.count().bit_length() + 1):
+        if left.isEmpty():
+            return now.select("node", "path")
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("before"))
+        now = materialised(now.where("up is null").unionByName(left.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("before", "path").alias("path"))))
+        left = now.where("up is not null")
     raise ValueError("the tree has a cycle")
 
 
+def closure(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """Each node with itself and its ancestors: node, ancestor, distance.  A cycle is an error."""
+    each = paths(tree, node, parent).select("node", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
+    return each.select("node", "ancestor", (F.col("n") - 1 - F.col("at")).alias("distance"))
+
+
 def with_depth(tree: DataFrame, up: DataFrame) -> DataFrame:
     """Adds depth, 0 at a root."""
     return tree.join(up.groupBy("node").agg(F.max("distance").alias("depth")), "node")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators import hierarchy
 from kinloom.operators.graph import materialised
 
 #: Placements of a sequence; the least share of a group's words that lead to one child; index rows over those of a word that is dealt out.
@@ -31,22 +32,6 @@ def text_words(text: Column, size: int = 5) -> Column:
     return F.when(F.size(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(text) - size + 1), lambda i: F.array_join(F.slice(text, i, size), " "))))
 
 
-def group_paths(groups: DataFrame) -> DataFrame:
-    """The groups from the root down to each one: node, path; by doubling, in as many rounds as the depth has binary digits.
-
-    groups: node, parent (null or unknown at a root).  Parents that go round in a circle are an error.
-    """
-    known = groups.select(F.col("node").alias("up"), F.lit(True).alias("inner"))
-    held = groups.select("node", F.col("parent").alias("up")).join(known, "up", "left")
-    now = materialised(held.select("node", F.when(F.col("inner"), F.col("up")).alias("up"), F.array("node").alias("path")))
-    for _ in range(now.count().bit_length() + 1):
-        if now.where("up is not null").isEmpty():
-            return now.select("node", "path")
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("before"))
-        now = materialised(now.join(above, "up", "left").select("node", F.col("up2").alias("up"), F.concat(F.coalesce("before", F.array().cast(now.schema["path"].dataType)), "path").alias("path")))
-    raise ValueError("the groups have a cycle")
-
-
 def _common(a: Column, b: Column) -> Column:
     """The longest beginning that two paths share."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
@@ -60,7 +45,7 @@ def word_index(references: DataFrame, groups: DataFrame, words: Column) -> DataF
     references: node (the group that a sequence belongs to), and what words is made of.  groups: fam, node, parent.  The lowest common
     group of many is that of the two whose paths are first and last in order.
     """
-    paths = group_paths(groups).join(groups.select("node", "fam"), "node")
+    paths = hierarchy.paths(groups).join(groups.select("node", "fam"), "node")
     each = references.select("node", F.explode(words).alias("word")).distinct().join(paths, "node")
     ends = each.groupBy("word", "fam").agg(F.min("path").alias("a"), F.max("path").alias("b"))
     return materialised(ends.select("word", "fam", _common(F.col("a"), F.col("b")).alias("path")))

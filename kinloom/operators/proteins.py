@@ -92,28 +92,3 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: key, side.  Empty means that the sets are equal."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
-
-
-def pack_batches(files: DataFrame, group: str, size: str, tie: str, alone: int, full: int) -> DataFrame:
-    """Adds batch (from 0, in each group): files by descending size; those above alone stand alone, others fill a batch until it exceeds full.
-
-    A batch ends where its own sum passes full, so the sum starts anew there: a sequential rule, which one task follows for
-    each group over two numbers a file.  Groups must be bounded; deal larger ones out by a further key.
-    """
-    import pandas as pd
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([size, tie], ascending=[False, True])
-        batch, total, out = 0, 0, []
-        for n in rows[size].tolist():
-            if n > alone and total:
-                batch, total = batch + 1, 0
-            out.append(batch)
-            total += n
-            if n > alone or total > full:
-                batch, total = batch + 1, 0
-        return rows.assign(batch=out)
-
-    slim = files.select(group, size, tie)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
-    return slim.groupBy(group).applyInPandas(pack, f"{fields}, batch long")

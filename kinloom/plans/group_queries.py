@@ -160,7 +160,7 @@ def nested_groups(spark: SparkSession, d: str) -> DataFrame:
     tree = domain.species_tree(spark, d)
     groups, links = fold.fold(genes, tree)
     out, members = fold.group_tree(groups, links, genes, tree)
-    up = hierarchy.closure(out)
-    ids = hierarchy.duplication_ids(out, up, "level")
-    sizes = hierarchy.group_sizes(members, up)
+    encoded = intervals.encode(out)
+    ids = intervals.duplication_ids(encoded, "level")
+    sizes = intervals.group_sizes(encoded, members).select("node", "n_genes")
     return out.join(ids, "node", "left").join(sizes, "node", "left").select("hog_id", "kind", "level", "score", "n_genes")

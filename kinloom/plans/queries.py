@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import ids
-from kinloom.operators import alignment, clustering, families, hierarchy, intervals, proteins, report
+from kinloom.operators import alignment, clustering, families, hierarchy, intervals, packing, proteins, report
 from kinloom.plans import domain
 from kinloom.plans.domain import CELLS_SQL, HITS_SQL, PARTS_SQL, TREE_SQL, table
 
@@ -197,7 +197,7 @@ def header_and_root(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, n AS n_chars, doc_id, batch FROM t WHERE i > 0""")
 def batch_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
-    return proteins.pack_batches(docs, "source", "n_chars", "doc_id", alone=40_000, full=200_000)
+    return packing.pack_batches(docs, "source", "n_chars", "doc_id", alone=40_000, full=200_000)
 
 
 CLOSURE = f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT node, node AS ancestor, 0 AS distance FROM tree

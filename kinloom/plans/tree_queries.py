@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators import aligner, clustering, placement
-from kinloom.plans.domain import table
+from kinloom.operators import aligner, ancestry, clustering, fold, hierarchy, placement
+from kinloom.plans import domain
+from kinloom.plans.domain import TREE_SQL, table
 from kinloom.plans.queries import query
 
 
@@ -70,3 +71,41 @@ def verified_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions of parts that are at least 80 % alike to the longest one of their cluster."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"))
     return clustering.verified_clusters(parts, "id", "t", size=6, words=8, identity=0.8, order=F.md5)
+
+
+@query(f"""WITH {TREE_SQL}, c AS (SELECT DISTINCT c_custkey // 12 AS f, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    t AS (SELECT f, count(DISTINCT r) AS k, min(r) AS only FROM c GROUP BY f HAVING count(*) > 1), e AS (SELECT node, parent FROM tree WHERE parent IS NOT NULL),
+    m AS (SELECT 'WORLD' AS level, f FROM t WHERE k > 1 UNION ALL SELECT DISTINCT 'R' || r, f FROM c JOIN t USING (f) UNION ALL SELECT 'N' || n, f FROM c JOIN t USING (f))
+    SELECT node, parent, (SELECT count(*) FROM m a JOIN m b ON a.f = b.f WHERE a.level = node AND b.level = e.parent) AS retained, CAST(0 AS BIGINT) AS duplicated, CAST(0 AS BIGINT) AS copies,
+        (SELECT count(*) FROM m b WHERE b.level = e.parent AND b.f NOT IN (SELECT f FROM m a WHERE a.level = node)) AS lost,
+        (SELECT count(*) FROM m a WHERE a.level = node AND a.f NOT IN (SELECT f FROM m b WHERE b.level = e.parent)) AS gained FROM e""")
+def ancestral_events(spark: SparkSession, d: str) -> DataFrame:
+    """Families of one customer a nation through the fold, their ancestral groups at every taxon, and the events on the tree's edges."""
+    nation = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))
+    one = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 12).alias("fam"), nation.alias("species")).agg(F.min("c_custkey").alias("c"), F.min_by("c_mktsegment", "c_custkey").alias("seq"))
+    genes = one.select("fam", F.concat(F.lit("C"), F.col("c").cast("string")).alias("gene"), "species", F.concat("seq", F.col("c").cast("string")).alias("seq"))
+    tree = domain.species_tree(spark, d)
+    groups, members = fold.group_tree(*fold.fold(genes, tree), genes, tree)
+    ancestral = ancestry.ancestral_groups(groups, members.join(genes.select("gene", "species"), "gene"), hierarchy.closure(tree))
+    return ancestry.taxon_events(ancestral, tree)
+
+
+@query("""WITH j AS (SELECT o_orderkey AS gene, o_orderstatus AS s, o_orderpriority AS p, n_regionkey AS r, c_nationkey AS n, o_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    a AS (SELECT DISTINCT r || '/' || s AS g, gene FROM j WHERE s <> 'P'), b AS (SELECT DISTINCT n || '/' || s AS g, gene FROM j WHERE p < '4'), c AS (SELECT DISTINCT n || '/' || s || '/' || c % 5 AS g, gene FROM j WHERE c % 3 <> 0 AND p > '2'),
+    ab AS (SELECT DISTINCT a.g AS u, b.g AS w FROM a JOIN b USING (gene)), bc AS (SELECT DISTINCT b.g AS u, c.g AS w FROM b JOIN c USING (gene)),
+    h(i, u, w, k) AS (SELECT 0, u, w, count(*) OVER (PARTITION BY u) FROM ab UNION ALL SELECT 1, u, w, count(*) OVER (PARTITION BY u) FROM bc),
+    s AS (SELECT 0 AS i, g, 'present' AS word FROM (SELECT DISTINCT g FROM a) UNION ALL SELECT 1, g, CASE WHEN count(*) = 1 THEN 'singleton' ELSE 'novel' END FROM b WHERE g NOT IN (SELECT w FROM ab) GROUP BY g
+        UNION ALL SELECT 2, g, CASE WHEN count(*) = 1 THEN 'singleton' ELSE 'novel' END FROM c WHERE g NOT IN (SELECT w FROM bc) GROUP BY g),
+    t AS (SELECT i AS start_level, g AS start_group, i AS pos, g, word AS history FROM s UNION ALL SELECT start_level, start_group, pos + 1, h.w, history || CASE WHEN h.w IS NULL THEN ' lost' WHEN h.k = 1 THEN ' identical' ELSE ' duplicated' END
+        FROM t LEFT JOIN h ON h.i = t.pos AND h.u = t.g WHERE t.pos < 2 AND t.g IS NOT NULL)
+    SELECT start_level, start_group, pos AS end_level, g AS end_group, history FROM t WHERE g IS NULL OR pos = 2""".replace("WITH j", "WITH RECURSIVE j", 1))
+def level_histories(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in groups of regions, nations and parts of nations, with members missing on each level."""
+    who = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    each = table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    group = lambda *c: F.concat_ws("/", *c).alias("group")
+    gene, nation = F.col("o_orderkey").alias("gene"), F.col("c_nationkey").cast("string")
+    top = each.where("o_orderstatus <> 'P'").select(group(F.col("n_regionkey").cast("string"), "o_orderstatus"), gene)
+    middle = each.where("o_orderpriority < '4'").select(group(nation, "o_orderstatus"), gene)
+    low = each.where("o_custkey % 3 <> 0 and o_orderpriority > '2'").select(group(nation, "o_orderstatus", (F.col("o_custkey") % 5).cast("string")), gene)
+    return ancestry.level_histories([top, middle, low])

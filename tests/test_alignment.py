@@ -52,6 +52,19 @@ def test_pairs_against_a_plain_program(open_, extend):
         assert path_score(a, b, i, j, open_, extend) == pytest.approx(best)
 
 
+def test_a_part_lies_inside_at_no_cost():
+    r = random.Random(8)
+    for _ in range(60):
+        whole = "".join(r.choice("ACDEIKLMW") for _ in range(r.randrange(1, 25)))
+        a = r.randrange(len(whole))
+        part = mutate(r, whole[a : a + 1 + r.randrange(12)], 0.2)
+        best, i, j = aligner.best_path(aligner.score_matrix(whole, part), 8, 1, inside=True)
+        assert best == pytest.approx(max(plain_score(whole[x:y], part, 8, 1) for x in range(len(whole) + 1) for y in range(x, len(whole) + 1)))
+        assert [p for p in i if p >= 0] == list(range(len(whole))) and [q for q in j if q >= 0] == list(range(len(part)))
+        used = np.flatnonzero(j >= 0)
+        assert path_score(whole, part, i[used[0] : used[-1] + 1], j[used[0] : used[-1] + 1], 8, 1) == pytest.approx(best)
+
+
 def test_pair_scores_of_columns(spark):
     rows = [("ACD", "ACD"), ("ACD", None), ("", ""), ("MKV", "MV")]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(aligner.pair_scores("a", "b")).collect()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinloom.functions import ids
-from kinloom.operators import alignment, clustering, families, graph, hierarchy, proteins
+from kinloom.operators import alignment, clustering, families, graph, hierarchy, packing, proteins
 from kinloom.sources import text, trees
 
 
@@ -91,7 +91,7 @@ def test_placements_are_ranked_up_to_ten(spark):
 
 def test_batches(spark):
     files = spark.createDataFrame([("s", n, i) for i, n in enumerate([500, 30, 40, 50, 10])], "g string, size long, id int")
-    assert rows(proteins.pack_batches(files, "g", "size", "id", alone=400, full=80), "size", "batch") == [(10, 2), (30, 2), (40, 1), (50, 1), (500, 0)]
+    assert rows(packing.pack_batches(files, "g", "size", "id", alone=400, full=80), "size", "batch") == [(10, 2), (30, 2), (40, 1), (50, 1), (500, 0)]
 
 
 def test_highly_connected_parts():

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import clustering, placement
+from kinloom.operators import clustering, hierarchy, placement
 
 AMINO = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -107,7 +107,7 @@ def test_dealt_join_is_a_join(spark):
 def test_cycle_of_groups_is_an_error(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "node string, parent string")
     with pytest.raises(ValueError, match="cycle"):
-        placement.group_paths(loop)
+        hierarchy.paths(loop)
 
 
 def edits(a, b):

@@ -150,9 +150,9 @@ def group_sizes(encoded: DataFrame, genes: DataFrame, family: str = "fam") -> Da
     return sums_below(encoded, counts, family).where("total > 0").withColumnRenamed("total", "n_genes")
 
 
-def group_statistics(encoded: DataFrame, genes: DataFrame) -> DataFrame:
-    """A row for each group with genes: node, n_genes, is_root."""
-    return group_sizes(encoded, genes).select("node", "n_genes", (F.col("depth") == 0).alias("is_root"))
+def group_statistics(encoded: DataFrame, genes: DataFrame, *more: str) -> DataFrame:
+    """A row for each group with genes: node, n_genes, is_root, and further columns of groups, as level and score."""
+    return group_sizes(encoded, genes).select("node", "n_genes", (F.col("depth") == 0).alias("is_root"), *more)
 
 
 def nesting(encoded: DataFrame, is_level: Column, family: str = "fam") -> DataFrame:

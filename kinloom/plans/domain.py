@@ -17,13 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Where the placements of a table folder are kept, by application.
-_STORED: dict[tuple[str, str], str] = {}
+#: Where the placements of a table folder are kept, by application and by the files that they were made of.
+_STORED: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Name, size and time of change of the files of some tables."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in system.listStatus(path))
+    return tuple(out)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The placements, with their ranks, as ingest would keep them: computed once for an application and a folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The placements, with their ranks, as ingest would keep them: computed once for an application and the same files."""
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir, "lineitem", "orders", "customer"))
     if key not in _STORED:
         path = shared_folder(spark)
         _hits(spark, sf_dir).write.parquet(path)

@@ -13,7 +13,7 @@ from kinloom.plans.domain import CELLS_SQL, HITS_SQL, PARTS_SQL, TREE_SQL, table
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Parameters that suit these tables; families there share far fewer proteins than in biology.
-SHARED, RATIO, BIG = 7, 0.03, 150
+SHARED, RATIO, BIG = 3, 0.015, 150
 
 
 def query(sql: str | None = None):
@@ -252,9 +252,9 @@ def duplication_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PARTS_SQL}, n AS (SELECT unnest([n1, n2, n3, n4, n5]) AS node, gene FROM p)
-    SELECT node, count(*) AS n_genes, any_value(parent IS NULL) AS is_root FROM n JOIN g USING (node) GROUP BY node""")
+    SELECT node, count(*) AS n_genes, any_value(parent IS NULL) AS is_root, any_value(level) AS level FROM n JOIN g USING (node) GROUP BY node""")
 def group_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.group_statistics(*encoded_parts(spark, d))
+    return intervals.group_statistics(*encoded_parts(spark, d), "level")
 
 
 @query("SELECT p_brand AS root, p_partkey AS gene FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 1)")
@@ -351,11 +351,9 @@ def fragment_adjacency(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)), y AS (
     SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)), m AS (
     SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (g) GROUP BY 1, 2)
-    SELECT doc_id, item_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS r FROM m) WHERE r = 1""")
+    SELECT doc_id, item_id, shared, CAST(r AS INTEGER) AS hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS r FROM m) WHERE r <= 10""")
 def word_placements(spark: SparkSession, d: str) -> DataFrame:
-    placed = clustering.word_placements(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text")
-    # The SQL gives the best placement only.
-    return placed.where("hit_rank = 1").drop("hit_rank")
+    return clustering.word_placements(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text")
 
 
 @query("""SELECT c_nationkey, count(*) AS n_proteins, count(o) AS n_in_group, count(*) - count(o) AS n_not_in_group, round(count(o) / count(*), 4) AS fraction

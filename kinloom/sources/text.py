@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.ids import root_id
+from kinloom.operators.graph import materialised
+from kinloom.operators.intervals import running
+from kinloom.operators.proteins import numbered
 
 #: The columns of a placement table, in file order.
 PLACEMENT = (
@@ -56,24 +59,29 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), "path", "size")
 
 
-def read_clusters(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
+def read_clusters(spark: SparkSession, path: str, least: int = 2, species: Column | None = None) -> DataFrame:
     """Clusters of a clustering tool's sequence file: cluster (a number), member (header), least members or more.
 
     A header line that follows another header line begins a cluster; the first header of a cluster is its name, not a member.
+    Lines are numbered and added up over ranges of a sort, so no file meets in one task.  With species, an expression over
+    member, clusters of one species are left out.
     """
     lines = _lines(spark, path).where("value <> ''").withColumn("header", F.col("value").startswith(">"))
-    # The order of one file's lines: a window for each file, as clusters have no other key.
-    order = Window.partitionBy("f").orderBy("block", "at")
-    told = lines.withColumn("begins", F.col("header") & F.lead("header", 1, False).over(order))
-    told = told.withColumn("cluster", F.sum(F.col("begins").cast("int")).over(order))
-    members = told.where("header and not begins").select(F.concat_ws("/", "f", F.col("cluster").cast("string")).alias("cluster"), F.substring("value", 2, 1_000_000).alias("member"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
-    return members.join(sizes, "cluster")
-
-
-def write_fasta(proteins: DataFrame, path: str, by: list[str], compression: str = "none") -> None:
-    """Records below a folder for each value of by."""
-    record = F.concat(F.lit(">"), "prot_id", F.lit(" ["), F.coalesce("species", F.lit("")), F.lit("]\n"), "seq")
+    placed = materialised(numbered(lines, "f", "block", "at").select("f", "number", "header", "value"))
+    after = placed.select("f", (F.col("number") - 1).alias("number"), F.col("header").alias("next"))
+    told = placed.join(after, ["f", "number"], "left").withColumn("begins", (F.col("header") & F.coalesce("next", F.lit(False))).cast("int"))
+    summed = running(told, ["number"], sums={"cluster": "begins"})
+    members = summed.where("header and begins = 0").select(F.concat_ws("/", "f", F.col("cluster").cast("string")).alias("cluster"), F.substring("value", 2, 1_000_000).alias("member"))
+    kinds = F.count("*") if species is None else F.count_distinct("_species")
+    told = members if species is None else members.withColumn("_species", species)
+    kept = told.groupBy("cluster").agg(F.count("*").alias("n"), kinds.alias("k")).where((F.col("n") >= least) & (F.lit(species is None) | (F.col("k") > 1)))
+    return members.join(kept.select("cluster"), "cluster", "left_semi")
+
+
+def write_fasta(proteins: DataFrame, path: str, by: list[str], compression: str = "none", description: str | None = None) -> None:
+    """Records below a folder for each value of by; description is a column that follows the species in the header, as a list of minor isoforms."""
+    more = F.lit("") if description is None else F.when(F.coalesce(F.col(description), F.lit("")) != "", F.concat(F.lit(" "), F.col(description))).otherwise("")
+    record = F.concat(F.lit(">"), "prot_id", F.lit(" ["), F.coalesce("species", F.lit("")), F.lit("]"), more, F.lit("\n"), "seq")
     proteins.select(*by, record.alias("value")).write.partitionBy(*by).option("compression", compression).text(path)
 
 

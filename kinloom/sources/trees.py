@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.graph import materialised
+from kinloom.operators.proteins import numbered
 
 _TOKEN = re.compile(r"\s*('(?:[^']|'')*'|\[[^\]]*\]|[(),:;]|[^\s(),:;\[\]]+)")
 TREE = "node int, parent int, name string, length double, ord int"
@@ -262,15 +263,22 @@ def group_xml(groups: DataFrame) -> DataFrame:
         for r in rows.sort_values("ord").itertuples():
             below.setdefault(r.parent if isinstance(r.parent, str) else None, []).append(r)
 
-        def text(r) -> str:
+        # What is still to be written, last first: a group, or the end of one.
+        out, todo = [], list(reversed(below.get(None, [])))
+        while todo:
+            r = todo.pop()
+            if isinstance(r, str):
+                out.append(r)
+                continue
             if r.kind == "L":
-                return f"<geneRef id={quoteattr(r.gene)}/>"
+                out.append(f"<geneRef id={quoteattr(r.gene)}/>")
+                continue
             tag = "orthologGroup" if r.kind == "S" else "paralogGroup"
             score = f'<score id="CompletenessScore" value="{r.score:g}"/>' if r.score == r.score and r.score is not None else ""
             level = f'<property name="TaxRange" value={quoteattr(r.level)}/>' if isinstance(r.level, str) else ""
-            return f"<{tag}>{score}{level}{''.join(map(text, below.get(r.node, [])))}</{tag}>"
-
-        return pd.DataFrame({"fam": [rows["fam"].iloc[0]], "xml": ["".join(map(text, below.get(None, [])))]})
+            out.append(f"<{tag}>{score}{level}")
+            todo += [f"</{tag}>", *reversed(below.get(r.node, []))]
+        return pd.DataFrame({"fam": [rows["fam"].iloc[0]], "xml": ["".join(out)]})
 
     return groups.groupBy("fam").applyInPandas(build, "fam long, xml string")
 
@@ -345,11 +353,18 @@ def merge_genes(files: list[DataFrame]) -> DataFrame:
     return all_.join(first, "id").select("file", "id", "prot", F.when(F.col("prot").eqNullSafe(F.col("owner")), F.col("id")).otherwise(fresh).alias("new_id"))
 
 
-def merge_groups(files: list[DataFrame]) -> DataFrame:
-    """Groups of several files under family numbers of their own."""
-    out, first = None, 0
-    for df in files:
-        top = df.agg(F.max("fam")).first()[0] or 0
-        named = df.withColumn("fam", F.col("fam") + first).withColumns({c: F.concat(F.lit(f"{len(str(first))}.{first}:"), c) for c in ("node", "parent")})
-        out, first = named if out is None else out.unionByName(named), first + top
-    return out
+def merge_groups(files: list[DataFrame], ids: DataFrame | None = None) -> DataFrame:
+    """Groups of several files under family numbers of their own, in the order of files and families.
+
+    ids, as merge_genes gives them (file, prot, new_id): a gene of a file, given by its protein, is put under its new id.
+    """
+    out = None
+    for k, df in enumerate(files):
+        named = df.withColumn("file", F.lit(k)).withColumns({c: F.concat(F.lit(f"{k}:"), c) for c in ("node", "parent")})
+        out = named if out is None else out.unionByName(named)
+    number = numbered(out.select("file", F.col("fam").alias("old")).distinct(), "file", "old").withColumn("fam", F.col("number")).drop("number")
+    out = out.withColumnRenamed("fam", "old").join(number, ["file", "old"])
+    if ids is not None:
+        fresh = ids.select("file", F.col("prot").alias("gene"), F.col("new_id").cast("string").alias("new_id")).distinct()
+        out = out.join(fresh, ["file", "gene"], "left").withColumn("gene", F.coalesce("new_id", "gene"))
+    return out.select(*files[0].columns)

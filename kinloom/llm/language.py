@@ -4,11 +4,13 @@ The pieces are those of a public sentencepiece vocabulary.  Each language has a
 character.  A text is a sequence of letter runs (Unicode category L) in lower case, each with the vocabulary's space mark in front.
 The likelihood of a run under a language is the sum over all ways of cutting it into pieces, by the forward
 algorithm, rescaled on the way so that runs of any length are scored whole; a text's is the product over its runs, and its
-score is the posterior of the best language under equal priors.  The algorithm runs over all distinct runs of a batch at once,
-one array step for each place and piece length.
+score is the posterior of the best language under equal priors.  The algorithm runs over all distinct runs of one length in a batch
+at once, one array step for each place, and holds only the places that a piece can reach back to.  Runs are taken LETTERS at a time, or
+one by one where longer, so memory is that of a run's pieces: about 100 bytes a letter.  A run of a million letters takes some ten seconds.
 
 Probabilities are fitted by expectation maximisation (the forward-backward algorithm) on a sample of labelled rows: for each
-language about SAMPLE distinct texts, drawn by a hash of the text alone, out of those that may be learnt from.  The sample and the vocabulary
+language about SAMPLE distinct texts, drawn by a hash of the text alone, out of those that may be learnt from.  Of these, runs
+of over LEARNT letters are learnt from in parts of that length, side by side.  The sample and the vocabulary
 bound what is gathered and broadcast: a row of probabilities for each language, LANGUAGES of them at most (more raise an error).
 Prediction covers every row and whole texts; nothing is shuffled.
 
@@ -34,6 +36,8 @@ from kinloom.llm.bpe import file_broadcast, loaded, slices
 SAMPLE, ROUNDS, LANGUAGES, RESCALE = 1024, 3, 1000, 16
 #: Weight of the even distribution in every language; runs whose scores a worker remembers.
 SMOOTH, WORD_CACHE = 1e-3, 400_000
+#: Letters scored at a time, letters of a part of a run that is learnt from, places held besides those looked back to, bytes of these.
+LETTERS, LEARNT, PLACES, HELD = 400_000, 512, 1024, 64 << 20
 _MARK = "▁"
 _RUNS = regex.compile(r"\p{L}+").findall
 
@@ -93,6 +97,24 @@ def _forward(table: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return alpha, lacks
 
 
+def _log_likelihood(table: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The log of the last row of _forward, for runs of any length: only the places that later ones look back to are held."""
+    n, length, width = table.shape
+    held = np.zeros((width + min(PLACES, length), n, prob.shape[1]))
+    held[width - 1], at, scale = 1, width - 1, np.zeros((n, prob.shape[1]))
+    for e in range(1, length + 1):
+        at += 1
+        if at == len(held):
+            held[:width], at = held[-width:].copy(), width
+        held[at] = np.einsum("knl,nkl->nl", held[at - width : at][::-1], prob[table[:, e - 1]])
+        if e % RESCALE == 0 and e < length:
+            back = held[at - width + 1 : at + 1]
+            most = np.maximum(back.max(0), 1e-300)
+            back /= most
+            scale += np.log(most)
+    return np.log(np.maximum(held[at], 1e-300)) + scale
+
+
 def _backward(table: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """beta[start, run], the summed probability of all cuts of the characters from start on, and log factors, for one language."""
     n, length, width = table.shape
@@ -113,6 +135,9 @@ def _backward(table: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def fit(pieces: Pieces, runs: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The probability of each piece (and a zero behind), from one language's runs and how often each occurs."""
+    if any(len(r) > LEARNT for r in runs):
+        counts = np.repeat(counts, [-(-len(r) // LEARNT) for r in runs])
+        runs = [r[i : i + LEARNT] for r in runs for i in range(0, len(r), LEARNT)]
     lattice = pieces.lattice(runs)
     prob = np.full(pieces.size + 1, 1 / pieces.size)
     prob[-1] = 0
@@ -208,9 +233,13 @@ def predict(docs: DataFrame, text: str, model: DataFrame, path: str) -> DataFram
 def log_likelihoods(pieces: Pieces, runs: list[str], prob: np.ndarray) -> np.ndarray:
     """log P(run | language) for each run and language."""
     out = np.zeros((len(runs), prob.shape[1]))
-    for start in range(0, len(runs), 20_000):
-        part = runs[start : start + 20_000]
-        for at, table in pieces.lattice(part):
-            alpha, lacks = _forward(table, prob)
-            out[start + at] = np.log(np.maximum(alpha[-1], 1e-300)) + lacks[-1]
+    part = np.cumsum([len(r) for r in runs], dtype=np.int64) // LETTERS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(runs)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        for at, table in pieces.lattice(runs[start:end]):
+            # Runs together, and the places held for them, within some memory.
+            width = table.shape[2] + min(PLACES, table.shape[1])
+            step = max(1, HELD // (8 * width * max(1, prob.shape[1])))
+            for i in range(0, len(at), step):
+                out[start + at[i : i + step]] = _log_likelihood(table[i : i + step], prob)
     return out

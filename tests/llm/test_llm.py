@@ -696,3 +696,33 @@ def test_perfect_hash_finds_every_key():
 def test_digests_agree(docs):
     out = bpe.bpe_encode_decode(docs, "text", WORD).select("ids", F.sha2("ids", 256).alias("h")).collect()
     assert all(r["h"] == hashlib.sha256(bytes(r["ids"])).hexdigest() for r in out)
+
+
+def test_runs_are_scored_with_few_places_held(monkeypatch):
+    """The same likelihoods as with all places, whatever is held; runs of very many letters in bounded time."""
+    import time
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        pieces = language.Pieces(f.read())
+    r = np.random.default_rng(4)
+    prob = np.vstack([r.dirichlet(np.ones(pieces.size), 3).T, np.zeros(3)])
+    words = ["".join(r.choice(list("abcdeorstnié日")) for _ in range(r.integers(1, 60))) for _ in range(200)]
+    words += ["".join(r.choice(list("aeorstn")) for _ in range(n)) for n in (16, 17, 33, 2500)]
+    want = np.zeros((len(words), 3))
+    for at, table in pieces.lattice(words):
+        alpha, lacks = language._forward(table, prob)
+        want[at] = np.log(np.maximum(alpha[-1], 1e-300)) + lacks[-1]
+    for places, letters, held in ((1024, 400_000, 64 << 20), (3, 50, 1), (1, 1, 10_000)):
+        monkeypatch.setattr(language, "PLACES", places)
+        monkeypatch.setattr(language, "LETTERS", letters)
+        monkeypatch.setattr(language, "HELD", held)
+        assert np.allclose(language.log_likelihoods(pieces, words, prob), want, rtol=1e-9)
+    monkeypatch.undo()
+    long = "".join(r.choice(list("aeorstnlmdu"), 200_000))
+    began = time.time()
+    assert np.isfinite(language.log_likelihoods(pieces, [long], prob)).all() and time.time() - began < 60
+    began = time.time()
+    fitted = language.fit(pieces, [long], np.ones(1), rounds=1)
+    assert fitted[:-1].sum() == pytest.approx(1) and time.time() - began < 60

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators import aligner, genetree, hierarchy
-from kinloom.operators.graph import materialised
+from kinloom.operators.graph import discard, materialised
 from kinloom.operators.proteins import numbered
+from kinloom.sources.trees import write_newick
 
 #: Representatives of a group, and the share of species from which an overlap is a duplication.
 REPRESENTATIVES, OVERLAP = 5, 0.1
@@ -75,6 +76,7 @@ class _Level:
                 apart.append(line)
             else:
                 copies.setdefault(one, []).append(gene)
+        self.lines = dict(zip(species, lines, strict=True))
         genes = list(first.values())
         if len(genes) > 1:
             self.tree = root(genetree.neighbour_joining(genes, (distance or (aligner.aligned_distance if align else genetree.word_distance))(apart)))
@@ -119,9 +121,13 @@ class _Level:
             gone = set().union(*(self._split_or_drop(p, pieces) for p, pieces in sorted(torn.items())))
             self.tree = genetree.without(self.tree, gone)
 
-    def found(self, fam: int, taxon: str) -> list[tuple]:
-        """Rows as _OUT has them: frozen groups, links, representatives and parts of split groups."""
+    def found(self, fam: int, taxon: str, shown: bool = False) -> list[tuple]:
+        """Rows as _OUT has them: frozen groups, links, representatives and parts of split groups; with shown also the gene tree
+        (Newick) and the lines over the columns that counted, both in place of a sequence."""
         out = [(fam, taxon, "frozen", hog, None, None, None, None, None) for hog in self.frozen]
+        if shown and self.tree is not None:
+            out.append((fam, taxon, "tree", None, None, None, write_newick(genetree.to_rows(self.tree)), None, None))
+            out += [(fam, taxon, "line", self.part_of[g][0], None, g, line, self.n[g], sorted(self.species[g])) for g, line in sorted(self.lines.items())]
         for sub in self.settled() if self.tree is not None else []:
             used = sorted({self.part_of[leaf.name] for leaf in sub.leaves()})
             names = {p: p[0] if len(self.parts[p[0]]) == 1 else f"{p[0]}~{p[1]}" for p in used}
@@ -144,10 +150,13 @@ class _Level:
 def fold(
     genes: DataFrame, tree: DataFrame, most: int = REPRESENTATIVES, overlap: float = OVERLAP, distance: Callable | None = None,
     root: Callable = genetree.midpoint, keep: Callable | None = None, align: aligner.Align | None = aligner.progressive,
-    column_filter: aligner.ColumnFilter | None = aligner.gap_filter,
+    column_filter: aligner.ColumnFilter | None = aligner.gap_filter, show: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups (fam, hog, level, frozen) and links (fam, hog, sub) of families.
 
+    show, if given, is a folder that gets the gene trees and alignments of all levels as Parquet, by turn (the depth): fam, taxon, kind (tree
+    or line), hog, gene, text (Newick, or the line over the columns that counted), n (genes stood for), species.
+
     genes: fam, gene, species, seq.  tree: node, parent, with species as leaves.  A gene's own group has the name of the gene.
     """
     up = materialised(hierarchy.closure(tree))
@@ -162,7 +171,7 @@ def fold(
 
     def level(rows: pa.Table) -> pa.Table:
         whole = _Level(rows.to_pylist(), most, overlap, distance, root, keep, align, column_filter if align else None)
-        out = whole.found(rows["fam"][0].as_py(), rows["taxon"][0].as_py())
+        out = whole.found(rows["fam"][0].as_py(), rows["taxon"][0].as_py(), show is not None)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
     deepest = depth.agg(F.max("depth")).first()[0] or 0
@@ -172,13 +181,18 @@ def fold(
         moved = materialised(moved.join(meeting, ["fam", "taxon"]).select("fam", "taxon", "hog", "frozen", "many"))
         active = moved.where("not frozen and many > 1")
         made = materialised(reps.join(active.select("fam", "taxon", "hog"), ["fam", "hog"]).groupBy("fam", "taxon").applyInArrow(level, _OUT))
+        if show is not None:
+            seen = made.where("kind in ('tree', 'line')").select("fam", "taxon", "kind", "hog", "gene", F.col("seq").alias("text"), "n", "species")
+            seen.write.mode("overwrite").parquet(f"{show}/turn={turn}")
         passed = moved.where("frozen or many = 1").select("fam", "hog", F.col("taxon").alias("at"), "frozen")
         cold = made.where("kind = 'frozen'").select("fam", "hog", F.col("taxon").alias("at"), F.lit(True).alias("frozen"))
         new = made.where("kind = 'link'").select("fam", "hog", F.col("taxon").alias("at"), F.lit(False).alias("frozen")).distinct()
         rest = state.join(above.where(F.col("turn") == turn).select("at"), "at", "left_anti").select("fam", "hog", "at", "frozen")
         still = reps.join(active.select("fam", "hog"), ["fam", "hog"], "left_anti")
         fresh = made.where("kind = 'rep'").select("fam", "hog", F.col("sub").alias("via"), "gene", "seq", "n", "species")
+        spent = (state, reps, moved)
         state, reps = materialised(rest.unionByName(passed).unionByName(cold).unionByName(new)), materialised(still.unionByName(fresh))
+        discard(*spent)
         groups.append(made.where("kind = 'link'").select("fam", "hog", F.col("taxon").alias("level")).distinct())
         links.append(made.where("kind = 'link'").select("fam", "hog", "sub"))
         splits.append(made.where("kind = 'split'").select("fam", F.col("hog").alias("part"), F.col("sub").alias("via"), F.col("gene").alias("whole")))

@@ -58,6 +58,16 @@ def from_rows(rows: list[tuple]) -> Node:
     return nodes[next(r[0] for r in rows if r[1] is None)]
 
 
+def to_rows(root: Node) -> list[tuple]:
+    """The tree as rows: node (from 1), parent, name, length, place."""
+    out, stack = [], [(root, None, 0)]
+    while stack:
+        node, parent, place = stack.pop()
+        out.append((len(out) + 1, parent, node.name, node.length, place))
+        stack += [(c, out[-1][0], k) for k, c in reversed(list(enumerate(node.children)))]
+    return out
+
+
 def without(root: Node, gone: set[str]) -> Node | None:
     """A copy without some leaves; nodes with one child are contracted, lengths added up. None if nothing is left."""
     made: dict[Node, Node | None] = {}

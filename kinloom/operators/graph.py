@@ -35,6 +35,19 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*spent: DataFrame) -> None:
+    """Deletes tables that materialised() wrote, once nothing that is still to be computed reads them."""
+    for df in spent:
+        spark = df.sparkSession
+        root = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
+        name = root.partition("://")[2] if "://" in root else root
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            # Only folders that shared_folder() named, right below the root.
+            if name and folder.rpartition("/")[0].endswith(name.rstrip("/")) and len(folder.rpartition("/")[2]) == 32:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) of distinct nodes, in one direction each; gives the edges after one star operation."""
     # from each centre to its neighbours: both directions for the large star, from the larger node for the small one

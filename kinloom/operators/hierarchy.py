@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.ids import letters
-from kinloom.operators.graph import materialised
+from kinloom.operators.graph import discard, materialised
 
 
 def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -29,7 +29,8 @@ def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFr
         if left.isEmpty():
             return now.select("node", "path")
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("before"))
-        now = materialised(now.where("up is null").unionByName(left.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("before", "path").alias("path"))))
+        before, now = now, materialised(now.where("up is null").unionByName(left.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("before", "path").alias("path"))))
+        discard(before)
         left = now.where("up is not null")
     raise ValueError("the tree has a cycle")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.functions.ids import letters
-from kinloom.operators.graph import materialised
+from kinloom.operators.graph import discard, materialised
 
 #: Nodes of a family that one task numbers.
 IN_TASK = 1 << 18
@@ -104,7 +104,8 @@ def _by_tour(rows: DataFrame, family: str, order: str) -> DataFrame:
             break
         further = now.select(F.col("e").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("opens").alias("o2"))
         joined = now.join(further, "to", "left")
-        now = materialised(joined.select("e", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.col("opens") + F.coalesce("o2", F.lit(0))).alias("opens")))
+        spent, now = now, materialised(joined.select("e", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.col("opens") + F.coalesce("o2", F.lit(0))).alias("opens")))
+        discard(spent)
     else:
         if not now.where("`to` is not null").isEmpty():
             raise ValueError("the tree has a cycle")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.operators.graph import materialised
+from kinloom.operators.graph import discard, materialised
 from kinloom.operators.intervals import running
 from kinloom.operators.proteins import numbered
 
@@ -40,9 +40,10 @@ def pack_batches(files: DataFrame, group: str, size: str, tie: str, alone: int,
         further = begins.join(steps, "number").where("`to` is not null").select(F.col("to").alias("number"))
         if further.isEmpty():
             break
-        begins = materialised(begins.unionByName(further).distinct())
+        old, begins = begins, materialised(begins.unionByName(further).distinct())
         twice = steps.select(F.col("number").alias("to"), F.col("to").alias("to2"))
-        steps = materialised(steps.where("`to` is not null").join(twice, "to").select("number", F.col("to2").alias("to")))
+        spent, steps = steps, materialised(steps.where("`to` is not null").join(twice, "to").select("number", F.col("to2").alias("to")))
+        discard(old, spent)
     # A file above alone begins a batch too.
     marked = sums.join(begins.withColumn("begins", F.lit(1)), "number", "left").withColumn("begins", F.when(F.col("_n") > alone, 1).otherwise(F.coalesce("begins", F.lit(0))))
     told = materialised(running(marked, ["number"], sums={"batches": "begins"}))

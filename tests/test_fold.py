@@ -190,3 +190,16 @@ def test_groups_without_a_good_sequence_are_frozen():
     got = level(rows, keep=lambda seqs: [float(s) < 50 for s in seqs])
     assert got["frozen"] == [("b", None, None)] and got["link"] == [("t:c", "c", None), ("t:c", "h", None)]
     assert level(rows[:1], keep=lambda seqs: [False])["frozen"] == [("h", None, None)]
+
+
+def test_trees_and_alignments_of_the_levels_can_be_kept(spark, tmp_path):
+    genes = spark.createDataFrame(planted(3), "fam long, gene string, species string, seq string")
+    tree = spark.createDataFrame(SPECIES, "node string, parent string")
+    fold.fold(genes, tree, show=f"{tmp_path}/seen")
+    seen = spark.read.parquet(f"{tmp_path}/seen").collect()
+    text = {(r["fam"], r["taxon"]): r["text"] for r in seen if r["kind"] == "tree"}
+    assert set(text) == {(f, t) for f in (1, 2, 3, 4) for t in "xr"}
+    for (fam, taxon), newick in text.items():
+        lines = [r for r in seen if r["kind"] == "line" and (r["fam"], r["taxon"]) == (fam, taxon)]
+        leaves = [n.name for n in genetree.from_rows(trees.newick_rows(newick)).leaves()]
+        assert sorted(leaves) == sorted(r["gene"] for r in lines) and len({len(r["text"]) for r in lines}) == 1

@@ -77,3 +77,16 @@ def test_placements_follow_the_files(spark, tmp_path):
     assert [r["score"] for r in domain.hits(spark, str(tmp_path)).collect()] == [1.0]
     write([3000.0, 2000.0])
     assert sorted(r["score"] for r in domain.hits(spark, str(tmp_path)).collect()) == [2.0, 3.0]
+
+
+def test_spent_tables_are_deleted_and_others_stay(spark, tmp_path):
+    import os
+
+    from kinloom.operators.graph import discard, materialised
+
+    kept, spent = materialised(spark.range(5)), materialised(spark.range(7))
+    folder = lambda df: df.inputFiles()[0].rpartition("/")[0].partition("://")[2].replace("//", "/")
+    where = folder(spent)
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    discard(spent, spark.read.parquet(f"{tmp_path}/own"))
+    assert not os.path.exists(where) and kept.count() == 5 and spark.read.parquet(f"{tmp_path}/own").count() == 3

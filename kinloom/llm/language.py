@@ -38,6 +38,8 @@ SAMPLE, ROUNDS, LANGUAGES, RESCALE = 1024, 3, 1000, 16
 SMOOTH, WORD_CACHE = 1e-3, 400_000
 #: Letters scored at a time, letters of a part of a run that is learnt from, places held besides those looked back to, bytes of these.
 LETTERS, LEARNT, PLACES, HELD = 400_000, 512, 1024, 64 << 20
+#: Runs together below which a place is one step.
+FEW = 64
 _MARK = "▁"
 _RUNS = regex.compile(r"\p{L}+").findall
 
@@ -106,7 +108,12 @@ def _log_likelihood(table: np.ndarray, prob: np.ndarray) -> np.ndarray:
         at += 1
         if at == len(held):
             held[:width], at = held[-width:].copy(), width
-        held[at] = np.einsum("knl,nkl->nl", held[at - width : at][::-1], prob[table[:, e - 1]])
+        if n < FEW:  # one step for all pieces that end here
+            held[at] = np.einsum("knl,nkl->nl", held[at - width : at][::-1], prob[table[:, e - 1]])
+        else:
+            held[at] = 0
+            for k in range(1, min(e, width) + 1):
+                held[at] += held[at - k] * prob[table[:, e - 1, k - 1]]
         if e % RESCALE == 0 and e < length:
             back = held[at - width + 1 : at + 1]
             most = np.maximum(back.max(0), 1e-300)

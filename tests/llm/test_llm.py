@@ -714,7 +714,8 @@ def test_runs_are_scored_with_few_places_held(monkeypatch):
     for at, table in pieces.lattice(words):
         alpha, lacks = language._forward(table, prob)
         want[at] = np.log(np.maximum(alpha[-1], 1e-300)) + lacks[-1]
-    for places, letters, held in ((1024, 400_000, 64 << 20), (3, 50, 1), (1, 1, 10_000)):
+    for places, letters, held, few in ((1024, 400_000, 64 << 20, 64), (1024, 400_000, 64 << 20, 0), (3, 50, 1, 64), (3, 50, 1, 0), (1, 1, 10_000, 1)):
+        monkeypatch.setattr(language, "FEW", few)
         monkeypatch.setattr(language, "PLACES", places)
         monkeypatch.setattr(language, "LETTERS", letters)
         monkeypatch.setattr(language, "HELD", held)

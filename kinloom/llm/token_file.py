@@ -2,9 +2,9 @@
 
 Format of a shard, two files in one folder:
 
-* ``shard-NNNNN.bin``: the ids of its documents, one document behind another in ascending key order, each followed by the end
+* ``shard-PPPPP-NNNNN.bin`` (task, shard of it): the ids of its documents, one document behind another in ascending key order, each followed by the end
   id, as little-endian unsigned 16-bit integers where the vocabulary fits, else 32-bit.  Nothing else is in the file.
-* ``shard-NNNNN.idx``: little-endian arrays, one behind another, after their eight lengths as 64-bit integers.  First the perfect
+* ``shard-PPPPP-NNNNN.idx``: little-endian arrays, one behind another, after their eight lengths as 64-bit integers.  First the perfect
   hash of the distinct keys, ``sizes``, ``bits`` and ``rest`` of its levels, about three bits a key; then for each of its slots ``marks``,
   a 32-bit fingerprint of the key, and ``first``, the number of the key's first document; then of the documents in file order
   ``offsets`` (positions in ids, one more than documents), ``keys`` and ``known`` (0: the key is null).
@@ -13,9 +13,11 @@ Looking a key up takes the hash part of the index, one hash a level, one bit ran
 fingerprint, the document's number, its two offsets and its ids.  Keys and offsets of other documents are not read.  A table
 ``manifest`` (Parquet) holds a row for each shard: documents, ids, first id of the shard in the whole sequence, key range.
 
-Spark deals documents to shards by key range; a task encodes and writes one shard, under a name of its attempt, and then
-moves it into place, so that a task that runs again replaces its shard with the same bytes.  Files go to a folder that driver
-and executors share, through pyarrow's file systems.
+Spark deals documents to tasks by key range; a task encodes its range and writes it as one shard behind another.  A shard ends with
+the document that fills SHARD_IDS ids or SHARD_DOCS documents, so files, indexes and the memory of a task are bounded however much a
+task is dealt, and what is dealt decides how many shards there are.  Each is written under a name of the task's attempt and then
+moved into place, so that a task that runs again replaces its shards with the same bytes; files of attempts that failed are deleted
+when all tasks are done.  Files go to a folder that driver and executors share, through pyarrow's file systems.
 
 Null texts are empty: their documents hold the end id alone.  Documents with a null key come first; they are stored and read
 back but have no entry in the index.  Repeated keys keep all their documents, in the order of a hash of the text; the index
@@ -37,6 +39,9 @@ from kinloom.llm.bpe import AT_ONCE, WordBpe, file_broadcast, loaded, slices
 
 #: Rows of a manifest that is broadcast.
 BROADCAST = 100_000
+#: Ids and documents with which a shard is full.
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
+_WRITTEN = "part int, piece int, n_docs long, n_ids long, min_key long, max_key long, path string, width int"
 _MANIFEST = "shard int, n_docs long, n_ids long, min_key long, max_key long, path string, width int"
 
 
@@ -172,7 +177,42 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def write_token_files(docs: DataFrame, key: str, text: str, path: str, end_id: int, folder: str) -> DataFrame:
+class _ShardWriter:
+    """One shard that a task writes: its ids go to the file as they come, keys and sizes stay until it is full."""
+
+    def __init__(self, fs: pa.fs.FileSystem, attempt: str, kind: np.dtype):
+        self.fs, self.attempt, self.kind = fs, attempt, kind
+        self.out = fs.open_output_stream(f"{attempt}.bin")
+        self.keys, self.known, self.sizes, self.n_ids = [], [], [], 0
+
+    def add(self, keys: np.ndarray, known: np.ndarray, ids: list[bytes], sizes: np.ndarray, end: bytes) -> None:
+        self.keys.append(keys)
+        self.known.append(known)
+        self.sizes += sizes.tolist()
+        self.n_ids += int(sizes.sum())
+        for one in ids:
+            self.out.write(np.frombuffer(one, "<u4").astype(self.kind).tobytes() + end)
+
+    def close(self, place: str) -> tuple[int, int, int | None, int | None]:
+        """Moves the shard to its place: documents, ids, least and greatest key."""
+        self.out.close()
+        keys, known = np.concatenate(self.keys), np.concatenate(self.known)
+        offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        with self.fs.open_output_stream(f"{self.attempt}.idx") as f:
+            f.write(ShardIndex.build(keys, known, offsets).dump())
+        for suffix in ("bin", "idx"):
+            self.fs.move(f"{self.attempt}.{suffix}", f"{place}.{suffix}")
+        held = keys[known]
+        return len(keys), self.n_ids, int(held[0]) if len(held) else None, int(held[-1]) if len(held) else None
+
+
+def _filled(sizes: np.ndarray, n_docs: int, n_ids: int, shard_docs: int, shard_ids: int) -> int:
+    """How many of the next documents, of these sizes, go to a shard that holds n_docs and n_ids; one at least, and the one that fills it is the last."""
+    full = np.flatnonzero(n_ids + np.cumsum(sizes) >= shard_ids)
+    return min(len(sizes), int(full[0]) + 1 if len(full) else len(sizes), max(1, shard_docs - n_docs))
+
+
+def write_token_files(docs: DataFrame, key: str, text: str, path: str, end_id: int, folder: str, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes docs with the tokenizer at path, writes their shards and manifest below folder and gives the manifest back."""
     spark = docs.sparkSession
     file = file_broadcast(spark, path)
@@ -187,45 +227,55 @@ def write_token_files(docs: DataFrame, key: str, text: str, path: str, end_id: i
     def write(batches):
         fs, root = _open(folder)
         task = TaskContext.get()
-        shard, attempt = task.partitionId(), task.taskAttemptId()
+        part, attempt = task.partitionId(), task.taskAttemptId()
         bpe = loaded(WordBpe, file.value)
         kind = np.dtype("<u2" if max(len(bpe.tokens) - 1, end_id) < 1 << 16 else "<u4")
         end = np.array([end_id], kind).tobytes()
-        keys, known, sizes, out = [], [], [], None
+        shard, done = None, []
+
+        def finish():
+            name = f"shard-{part:05d}-{len(done):05d}"
+            n_docs, n_ids, least, most = shard.close(f"{root}/{name}")
+            done.append({"part": part, "piece": len(done), "n_docs": n_docs, "n_ids": n_ids, "min_key": least, "max_key": most, "path": f"{folder}/{name}", "width": kind.itemsize})
+
         for whole in batches:
             for batch in slices(whole, 1, 8 * AT_ONCE):
-                if out is None:
-                    out = fs.open_output_stream(f"{root}/attempt-{shard}-{attempt}.bin")
                 column = batch.column(0)
-                keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-                known.append(column.is_valid().to_numpy(zero_copy_only=False))
-                for ids in bpe.encode_batch(batch.column(1).to_pylist()):
-                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
-                    sizes.append(len(ids) // 4 + 1)
-        if out is None:
-            return
-        out.close()
-        keys, known = np.concatenate(keys), np.concatenate(known)
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        with fs.open_output_stream(f"{root}/attempt-{shard}-{attempt}.idx") as f:
-            f.write(ShardIndex.build(keys, known, offsets).dump())
-        name = f"shard-{shard:05d}"
-        for suffix in ("bin", "idx"):
-            fs.move(f"{root}/attempt-{shard}-{attempt}.{suffix}", f"{root}/{name}.{suffix}")
-        held = keys[known]
-        row = [[shard], [len(keys)], [int(offsets[-1])], [int(held[0]) if len(held) else None], [int(held[-1]) if len(held) else None], [f"{folder}/{name}"], [kind.itemsize]]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
-        names = ["shard", "n_docs", "n_ids", "min_key", "max_key", "path", "width"]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names)
-
-    dealt.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/shards")
-    shards = spark.read.schema(_MANIFEST).parquet(f"{folder}/shards")
+                keys, known = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+                ids = bpe.encode_batch(batch.column(1).to_pylist())
+                sizes, at = np.array([len(i) // 4 + 1 for i in ids], np.int64), 0
+                while at < len(ids):
+                    if shard is None:
+                        shard = _ShardWriter(fs, f"{root}/attempt-{part}-{attempt}-{len(done)}", kind)
+                    stop = at + _filled(sizes[at:], len(shard.sizes), shard.n_ids, shard_docs, shard_ids)
+                    shard.add(keys[at:stop], known[at:stop], ids[at:stop], sizes[at:stop], end)
+                    at = stop
+                    if shard.n_ids >= shard_ids or len(shard.sizes) >= shard_docs:
+                        finish()
+                        shard = None
+        if shard is not None:
+            finish()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _written_schema())
+
+    dealt.mapInArrow(write, _WRITTEN).write.parquet(f"{folder}/shards")
+    for left in fs.get_file_info(pa.fs.FileSelector(root)):
+        if left.base_name.startswith("attempt-"):
+            fs.delete_file(left.path)
+    shards = spark.read.schema(_WRITTEN).parquet(f"{folder}/shards")
     # A row for each shard; shards ascend with keys.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")).write.parquet(f"{folder}/manifest")
+    order = Window.orderBy("part", "piece")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = shards.withColumn("shard", F.row_number().over(order) - 1).withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    placed.drop("part", "piece").write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
+def _written_schema() -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in _WRITTEN.split(", "))])
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_MANIFEST + ", start long").parquet(f"{folder}/manifest")
 
@@ -269,8 +319,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 def lookup_token_files(manifest: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Keyed access: the first document of each asked key in each shard that may hold it, as key, shard, start, ids.
 
-    Keys meet shards by range.  The manifest has as many rows as shards were dealt, spark.sql.shuffle.partitions at most; up to
-    BROADCAST of them it is broadcast, else Spark chooses the join.  A shard's keys are looked up together, in parts of bounded size.
+    Keys meet shards by range.  The manifest has a row for each shard; up to BROADCAST of them it is broadcast, else
+    Spark chooses the join.  A shard's keys are looked up together, in parts of bounded size.
     """
     wanted = keys.select(common.col(keys, key).cast("long").alias("key")).where("key is not null").distinct()
     small = manifest.count() <= BROADCAST

@@ -685,6 +685,26 @@ def test_token_files_of_odd_keys(spark, tmp_path):
     assert before == after
 
 
+def test_token_file_shards_are_bounded(spark, tmp_path):
+    rows = [(i // 3 if i % 11 else None, "word " * (i % 17)) for i in range(400)] + [(7, "hot")] * 300
+    df = spark.createDataFrame(rows, "k long, t string")
+    whole = token_file.write_token_files(df, "k", "t", WORD, 2, f"file://{tmp_path}/whole")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "attempt-0-99-0.bin").write_bytes(b"of a lost executor")
+    cut = token_file.write_token_files(df, "k", "t", WORD, 2, f"file://{tmp_path}/cut", shard_ids=40, shard_docs=9)
+    shards = cut.orderBy("shard").collect()
+    assert len(shards) > 60 and [r["shard"] for r in shards] == list(range(len(shards)))
+    # The document that fills a shard is its last.
+    assert all(r["n_docs"] <= 9 and r["n_ids"] < 40 + 20 for r in shards)
+    assert not list((tmp_path / "cut").glob("attempt-*"))
+    told = [sorted(((r["start"], r["key"], bytes(r["ids"])) for r in token_file.read_token_files(m).collect()), key=lambda r: r[0]) for m in (whole, cut)]
+    assert told[0] == told[1] and len(told[0]) == 700
+    # A key's documents may lie in several shards, each of which gives its first.
+    found = token_file.lookup_token_files(cut, spark.createDataFrame([(7,), (50,), (10**6,)], "k long"), "k").collect()
+    assert {r["key"] for r in found} == {7, 50} and len({r["shard"] for r in found if r["key"] == 7}) > 30
+    assert {(r["start"], r["key"], bytes(r["ids"])) for r in found} <= set(told[0])
+
+
 def test_perfect_hash_finds_every_key():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
     index = token_file.ShardIndex.build(keys, np.ones(len(keys), bool), np.arange(len(keys) + 1))

@@ -118,6 +118,16 @@ def capped_merge(members: DataFrame, clusters: DataFrame, family: str, cap: int
     return put.withColumn("before", before).select(family, F.when(F.col("before") < cap, F.col("component")).otherwise(F.col(family)).alias("host"))
 
 
+def merged_members(members: DataFrame, hosts: DataFrame, family: str, item: str) -> DataFrame:
+    """Members under the hosts of their families, each once: host, item, is_new (whether none of the host's own families had it).
+
+    hosts: family, host, as capped_merge gives them.  Families without a host keep their name; rows without an item or a family go.
+    """
+    told = members.where(F.col(item).isNotNull() & F.col(family).isNotNull()).join(hosts.select(family, "host"), family, "left")
+    put = told.select(F.coalesce("host", family).alias("host"), item, (F.col(family) == F.coalesce("host", family)).alias("own"))
+    return put.groupBy("host", item).agg((~F.bool_or("own")).alias("is_new"))
+
+
 def best_per_item_then_target(hits: DataFrame, item: str, target: str, score: str, tie: str) -> DataFrame:
     """The lowest-scored hit of each item, then of each target among these."""
     one = hits.groupBy(item).agg(F.min_by(F.struct(target, score, tie), F.struct(score, tie)).alias("h")).select(item, "h.*")

@@ -207,14 +207,18 @@ def group_rows(fam: int, tags: Iterator[str]) -> Iterator[tuple]:
             stack[-1][0][5] = float(said["value"])
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
+def read_groups(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Nested groups of XML files, families numbered from 1 in each file; a gene is given by its protein's id.
 
+    With whole the files are the parts of one document, which follow each other by name, as write_document leaves them.
+
     A row is read for each tag, so that large files are split and no row holds more than a tag.  Depths and numbers of families
     are running sums inside a part of a file, with what the parts before it add up to; then each family's tags are parsed together.
     A ">" inside an attribute must be written as an entity.  Genes that the document does not describe have no id.
     """
-    tags = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "^[^<]*", "").alias("tag"))
+    at_file, at_block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    place = [F.lit(path).alias("file"), F.concat_ws(" ", at_file, F.lpad(at_block.cast("string"), 20, "0")).alias("block")] if whole else [at_file.alias("file"), at_block.alias("block")]
+    tags = spark.read.option("lineSep", ">").text(path).select(*place, F.regexp_replace("value", "^[^<]*", "").alias("tag"))
     tags = tags.withColumn("at", F.monotonically_increasing_id()).withColumn("name", F.regexp_extract("tag", r"^</?(?:\w+:)?(\w+)", 1))
     wanted = ("orthoXML", "gene", "orthologGroup", "paralogGroup", "geneRef", "property", "score")
     tags = materialised(tags.where(F.col("name").isin(*wanted)))

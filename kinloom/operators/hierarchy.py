@@ -164,11 +164,22 @@ def duplication_ids(groups: DataFrame, up: DataFrame, taxon: str | None = None)
     step = tree.join(numbered, "parent", "left").select("node", "fam", part.alias("part"))
     parts = up.join(step.select(F.col("node").alias("ancestor"), "part"), "ancestor")
     joined = parts.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "part"))), lambda x: x["part"]), "").alias("suffix"))
-    end = F.concat(F.lit("_"), F.col(taxon).cast("string")) if taxon else F.lit("")
+    end = F.coalesce(F.concat(F.lit("_"), F.col(taxon).cast("string")), F.lit("")) if taxon else F.lit("")
     held = tree.where("kind = 'S'").select("node", "fam", end.alias("end"))
     return joined.join(held, "node").select("node", F.concat(F.format_string("HOG:%07d", "fam"), "suffix", "end").alias("hog_id"))
 
 
+def with_taxon_ids(groups: DataFrame, taxa: DataFrame, level: str = "level") -> DataFrame:
+    """Adds taxon, the id of a group's level by name, null where the table of names lacks it.
+
+    taxa: name, id; a name with two ids is an error, as the groups of that level would be doubled.
+    """
+    one = taxa.where("name is not null").groupBy("name").agg(F.min("id").alias("taxon"), F.count_distinct("id").alias("n"))
+    fault = F.raise_error(F.concat(F.lit("several ids for the taxon "), F.col("name")))
+    ids = one.select(F.col("name").alias("_name"), F.when(F.col("n") <= 1, F.col("taxon")).otherwise(fault.cast(taxa.schema["id"].dataType)).alias("taxon"))
+    return groups.join(ids, groups[level] == F.col("_name"), "left").drop("_name")
+
+
 def filter_cascade(groups: DataFrame, value: str, threshold: float) -> DataFrame:
     """Groups that stay if those with value below the threshold go, and then parents that lose all of their child groups.
 

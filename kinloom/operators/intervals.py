@@ -253,7 +253,7 @@ def duplication_ids(encoded: DataFrame, taxon: str | None = None) -> DataFrame:
     for _ in range(int(encoded.agg(F.max("depth")).first()[0] or 0).bit_length()):
         above = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("suffix").alias("before"))
         now = materialised(now.join(above, "up", "left").select("node", F.col("up2").alias("up"), F.concat(F.coalesce("before", F.lit("")), "suffix").alias("suffix")))
-    end = F.concat(F.lit("_"), F.col(taxon).cast("string")) if taxon else F.lit("")
+    end = F.coalesce(F.concat(F.lit("_"), F.col(taxon).cast("string")), F.lit("")) if taxon else F.lit("")
     held = encoded.where("kind = 'S'").select("node", "fam", end.alias("end"))
     return now.join(held, "node").select("node", F.concat(F.format_string("HOG:%07d", "fam"), "suffix", "end").alias("hog_id"))
 

@@ -48,6 +48,13 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("_at", within).join(before, "_range").withColumn("number", (F.col("_at") + F.col("_before")).cast("long")).drop("_range", "_at", "_before")
 
 
+def species_index(proteins: DataFrame, species: str) -> DataFrame:
+    """Adds species_index, the place of a row's species among all by name, from 0; rows without a species go."""
+    names = proteins.select(F.col(species).alias("_name")).where("_name is not null").distinct()
+    placed = numbered(names, "_name").withColumn("species_index", F.col("number") - 1).drop("number")
+    return proteins.join(placed, F.col(species) == F.col("_name")).drop("_name")
+
+
 def numeric_ids(proteins: DataFrame, species: str, species_index: str, order: str) -> DataFrame:
     """Adds numeric_id: FIRST_ID + species index * PER_SPECIES + running number from 1 in order within the species.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators import families, selections
+from kinloom.operators import alignment, families, hierarchy, intervals, proteins, selections
 from kinloom.operators.graph import materialised, shared_folder
 from kinloom.plans import domain
-from kinloom.plans.domain import PARTS_SQL, table
+from kinloom.plans.domain import CELLS_SQL, PARTS_SQL, table
 from kinloom.plans.queries import COMPONENTS, capped_merge, query
 from kinloom.sources import trees
 
@@ -95,3 +95,33 @@ def gene_uses(spark: SparkSession, d: str) -> DataFrame:
 def merged_members(spark: SparkSession, d: str) -> DataFrame:
     """All hits of proteins under the families that these are merged into, each protein once a family."""
     return families.merged_members(domain.hits(spark, d), capped_merge(spark, d), "root_s", "prot")
+
+
+@query("""SELECT c_custkey, n_name, 1000000000 + (dense_rank() OVER (ORDER BY n_name) - 1) * 1000000 + row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS numeric_id FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def species_numeric_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of customers whose species are numbered by the names of nations."""
+    who = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return proteins.numeric_ids(proteins.species_index(who, "n_name"), "n_name", "species_index", "c_custkey").select("c_custkey", "n_name", "numeric_id")
+
+
+@query(f"""WITH {PARTS_SQL}, d1 AS (SELECT node, row_number() OVER (PARTITION BY fam ORDER BY ord) AS n FROM g WHERE kind = 'D' AND parent NOT IN (SELECT node FROM g WHERE level = 'type')),
+    l3 AS (SELECT g.node, printf('HOG:%07d', fam) || '.' || n || chr(CAST(97 + place AS INTEGER)) AS id FROM g JOIN d1 ON g.parent = d1.node)
+    SELECT node, printf('HOG:%07d', fam) || '_' || (SELECT r_regionkey FROM region WHERE r_regionkey = 1) AS hog_id FROM g WHERE level = 'brand' UNION ALL SELECT node, id FROM l3""")
+def taxon_named_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of brands and types with the ids of their levels, of which the table of names has only that of brands."""
+    groups, _ = domain.part_groups(spark, d)
+    taxa = table(spark, d, "region").where("r_regionkey = 1").select(F.lit("brand").alias("name"), F.col("r_regionkey").alias("id"))
+    upper = hierarchy.with_taxon_ids(groups, taxa)
+    return intervals.duplication_ids(intervals.encode(upper), "taxon").join(groups.where("level <> 'size'").select("node"), "node", "left_semi")
+
+
+@query(f"""WITH {CELLS_SQL}, n AS (SELECT * FROM cells WHERE "group" % 2 = 0 OR place < 40), c AS (SELECT "group", place, avg(CAST(is_gap AS INTEGER)) AS g FROM n GROUP BY 1, 2), one AS (
+    SELECT n.* FROM n JOIN c USING ("group", place) WHERE "group" % 2 = 1 OR g < 0.5), r AS (SELECT "group", member, avg(1 - CAST(is_gap AS INTEGER)) AS v FROM one GROUP BY 1, 2), two AS (
+    SELECT one.* FROM one JOIN r USING ("group", member) WHERE "group" % 2 = 1 OR v >= 0.45), w AS (SELECT "group", bool_and(v >= 0.45) AS w FROM r GROUP BY 1), e AS (
+    SELECT "group", place, bool_and(is_gap) AS e FROM two GROUP BY 1, 2)
+    SELECT "group", member, count(*) AS n_columns, CAST(sum(place) AS BIGINT) AS places FROM two JOIN w USING ("group") JOIN e USING ("group", place) WHERE "group" % 2 = 1 OR w OR NOT e GROUP BY 1, 2""")
+def narrow_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of 64 columns, which are filtered, beside alignments of 40, which are too narrow for that."""
+    cells = domain.cells(spark, d).where("group % 2 = 0 or place < 40")
+    kept = alignment.filter_alignment(cells, residue_ratio_row=0.45)
+    return kept.groupBy("group", "member").agg(F.count("*").alias("n_columns"), F.sum("place").alias("places"))

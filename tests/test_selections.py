@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from kinloom.operators import families, selections
+from kinloom.operators import families, hierarchy, intervals, proteins, selections
 from kinloom.sources import trees
 
 GROUPS = "fam long, node string, parent string, kind string, level string, score double, gene string, ord long"
@@ -117,3 +117,22 @@ def test_members_of_merged_families_are_counted_once(spark):
     hosts = spark.createDataFrame([("a", "a"), ("b", "a"), ("z", "z")], "fam string, host string")
     got = {(r["host"], r["item"]): r["is_new"] for r in families.merged_members(members, hosts, "fam", "item").collect()}
     assert got == {("a", 1): False, ("a", 2): True, ("c", 3): False}
+
+
+def test_species_are_numbered_by_name(spark):
+    rows = [("b", 2), ("a", 9), ("b", 1), (None, 3), ("c", 4)]
+    placed = proteins.species_index(spark.createDataFrame(rows, "sp string, p int"), "sp")
+    assert sorted((r["sp"], r["p"], r["species_index"]) for r in placed.collect()) == [("a", 9, 0), ("b", 1, 1), ("b", 2, 1), ("c", 4, 2)]
+    ids = proteins.numeric_ids(placed, "sp", "species_index", "p")
+    assert {(r["sp"], r["p"]): r["numeric_id"] % 10**9 for r in ids.collect()} == {("a", 9): 1, ("b", 1): 10**6 + 1, ("b", 2): 10**6 + 2, ("c", 4): 2 * 10**6 + 1}
+
+
+def test_levels_take_ids_by_name(spark):
+    groups = spark.createDataFrame([(1, "r", None, "S", "root", 1, 0), (1, "x", "r", "S", "low", 2, 0), (1, "y", "r", "S", None, 3, 1)], "fam long, node string, parent string, kind string, level string, ord long, place int")
+    taxa = spark.createDataFrame([("root", 40), ("root", 40), (None, 1)], "name string, id int")
+    told = hierarchy.with_taxon_ids(groups, taxa)
+    assert {r["node"]: r["taxon"] for r in told.collect()} == {"r": 40, "x": None, "y": None}
+    # A group whose level has no id is named without one.
+    assert {r["node"]: r["hog_id"] for r in intervals.duplication_ids(intervals.encode(told), "taxon").collect()} == {"r": "HOG:0000001_40", "x": "HOG:0000001", "y": "HOG:0000001"}
+    with pytest.raises(Exception, match="several ids for the taxon root"):
+        hierarchy.with_taxon_ids(groups, taxa.union(spark.createDataFrame([("root", 41)], taxa.schema))).collect()

@@ -346,15 +346,19 @@ def genes_of(groups: DataFrame, genes: DataFrame) -> DataFrame:
 def merge_genes(files: list[DataFrame]) -> DataFrame:
     """Genes (id, prot) of several files under ids that do not collide: file, id, prot, new_id.
 
-    An id that two files use for different proteins is drawn anew, by a hash of file and protein, where a file uses it after the first.
+    An id that two files use for different proteins is given anew where a file uses it after the first: the numbers behind the
+    greatest id, in the order of file and protein, so that no two fall together.
     """
     all_ = None
     for k, df in enumerate(files):
         named = df.select(F.lit(k).alias("file"), F.col("id").cast("long"), "prot")
         all_ = named if all_ is None else all_.unionByName(named)
     first = all_.groupBy("id").agg(F.min_by("prot", F.struct("file", "prot")).alias("owner"))
-    fresh = F.pmod(F.xxhash64("file", "prot"), F.lit(1 << 62)) + F.lit(1 << 62)
-    return all_.join(first, "id").select("file", "id", "prot", F.when(F.col("prot").eqNullSafe(F.col("owner")), F.col("id")).otherwise(fresh).alias("new_id"))
+    told = all_.join(first, "id").withColumn("kept", F.col("prot").eqNullSafe(F.col("owner")))
+    number = numbered(told.where("not kept").select(F.col("file").alias("_file"), F.col("prot").alias("_prot")).distinct(), "_file", "_prot")
+    met = told.join(number, ~F.col("kept") & (F.col("file") == F.col("_file")) & F.col("prot").eqNullSafe(F.col("_prot")), "left")
+    greatest = all_.agg(F.coalesce(F.max("id"), F.lit(0)).alias("greatest"))  # one row
+    return met.crossJoin(F.broadcast(greatest)).select("file", "id", "prot", F.when(F.col("kept"), F.col("id")).otherwise(F.col("greatest") + F.col("number")).alias("new_id"))
 
 
 def merge_groups(files: list[DataFrame], ids: DataFrame | None = None) -> DataFrame:

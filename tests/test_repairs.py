@@ -21,6 +21,9 @@ def test_merged_files_have_new_ids_and_families(spark):
     ids = trees.merge_genes([spark.createDataFrame(x, "id long, prot string") for x in ([(1, "p"), (2, "q")], [(2, "q"), (1, "z")])])
     new = {(r["file"], r["prot"]): r["new_id"] for r in ids.collect()}
     assert new[0, "p"] == 1 and new[0, "q"] == new[1, "q"] == 2 and new[1, "z"] not in (1, 2)
+    many = [spark.createDataFrame([(i, f"{k}-{i}") for i in range(50)] + [(50, None)], "id long, prot string") for k in range(3)]
+    all_ = trees.merge_genes(many).collect()
+    assert len(all_) == 153 and sorted({r["new_id"] for r in all_}) == list(range(151)) and {r["new_id"] for r in all_ if r["prot"] is None} == {50}
     out = trees.merge_groups([one, two], ids)
     assert out.columns == one.columns
     assert {(r["fam"], r["gene"]) for r in out.where("kind = 'L'").collect()} == {(1, "1"), (1, "2"), (3, "2"), (3, str(new[1, "z"]))}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators.graph import materialised
+from kinloom.operators.graph import materialised, unsent
 
 #: Nodes of a component from which it is not cut, and placements of a sequence.
 LARGEST, HITS = 1000, 10
@@ -138,12 +138,15 @@ def verified_links(sequences: DataFrame, seq_id: str, sequence: str, size: int =
     """
     text = F.col(sequence)
     runs = F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: order(F.substring(text, i, F.lit(size)))))).otherwise(F.array(order(text)))
-    held = sequences.where(F.col(sequence).isNotNull()).select(seq_id, F.length(text).alias("n"), F.slice(F.array_sort(runs), 1, words).alias("least"))
-    each = held.select(seq_id, "n", F.explode("least").alias("word"))
+    # Sequences are dealt first, as a file of many may be one task; both sides of the join below are the same shuffle.
+    dealt = sequences.where(F.col(sequence).isNotNull()).select(seq_id, sequence).repartition(seq_id)
+    held = dealt.select(seq_id, F.length(text).alias("n"), F.slice(F.array_sort(runs), 1, words).alias("least"))
+    # No sequence is without words; explode() would ask for that before the shuffle, by making the words of a whole file there.
+    each = held.select(seq_id, "n", F.explode_outer("least").alias("word")).repartition("word")
     longest = each.groupBy("word").agg(F.max_by(F.struct(F.col(seq_id).alias("centre"), F.col("n").alias("size")), F.struct("n", (-F.col(seq_id)).alias("i"))).alias("c"))
-    pairs = each.join(longest, "word").select(F.col(seq_id).alias("member"), "c.centre", "c.size").where("member <> centre").distinct()
+    pairs = each.join(unsent(longest), "word").select(F.col(seq_id).alias("member"), "c.centre", "c.size").where("member <> centre").distinct()
     texts = sequences.select(F.col(seq_id).alias("member"), text.alias("a"))
-    met = pairs.join(texts, "member").join(texts.select(F.col("member").alias("centre"), F.col("a").alias("b")), "centre")
+    met = pairs.join(unsent(texts), "member").join(unsent(texts.select(F.col("member").alias("centre"), F.col("a").alias("b"))), "centre")
     most = F.floor(F.lit(1 - identity) * F.col("size") + F.lit(1e-9))
     # The difference of lengths is a bound that needs no program.
     near = met.where(F.col("size") - F.length("a") <= most).where(F.levenshtein("a", "b") <= most)
@@ -161,10 +164,10 @@ def verified_clusters(
     species (a column), clusters of one species are left out.
     """
     links = materialised(verified_links(sequences, seq_id, sequence, size, words, identity, order))
-    told = materialised(links.select(F.col("centre").alias("node")).distinct().join(links.select(F.col("member").alias("node")), "node", "left_anti").withColumn("head", F.col("node")))
+    told = materialised(links.select(F.col("centre").alias("node")).distinct().join(unsent(links.select(F.col("member").alias("node"))), "node", "left_anti").withColumn("head", F.col("node")))
     while True:
         known = told.select(F.col("node").alias("centre"), (F.col("head") == F.col("node")).alias("is_head"))
-        open_ = links.join(told.select(F.col("node").alias("member")), "member", "left_anti").join(known, "centre", "left")
+        open_ = links.join(unsent(told.select(F.col("node").alias("member"))), "member", "left_anti").join(unsent(known), "centre", "left")
         if open_.isEmpty():
             break
         joined = F.max_by("centre", F.when(F.col("is_head"), F.struct("size", (-F.col("centre")).alias("i"))))
@@ -175,8 +178,8 @@ def verified_clusters(
         now = state.where("u is null or b is not null and b > u").select("node", F.coalesce("head", "node").alias("head"))
         told = materialised(told.unionByName(now))
     sizes = told.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
-    out = told.join(sizes, "head", "left_semi").select(F.col("node").alias(seq_id), F.col("head").alias("cluster"))
+    out = told.join(unsent(sizes), "head", "left_semi").select(F.col("node").alias(seq_id), F.col("head").alias("cluster"))
     if species is None:
         return out
-    kinds = out.join(sequences.select(seq_id, F.col(species).alias("_s")), seq_id).groupBy("cluster").agg(F.count_distinct("_s").alias("k")).where("k > 1")
-    return out.join(kinds, "cluster", "left_semi").select(seq_id, "cluster")
+    kinds = out.join(unsent(sequences.select(seq_id, F.col(species).alias("_s"))), seq_id).groupBy("cluster").agg(F.count_distinct("_s").alias("k")).where("k > 1")
+    return out.join(unsent(kinds), "cluster", "left_semi").select(seq_id, "cluster")

@@ -110,12 +110,30 @@ def concatenate(blocks: DataFrame, part: str, member: str, aligned: str, fill: s
 
 def distance_outliers(distances: DataFrame, group: str, member: str, other: str, distance: str) -> DataFrame:
     """Members whose summed distance lies above the third quartile by more than 1.5 quartile ranges: group, member, total."""
+    # Where a distance is the difference of two values, value_outliers() needs no pairs.
     both = distances.select(group, F.col(member).alias("m"), distance).unionByName(distances.select(group, F.col(other).alias("m"), distance))
     sums = both.groupBy(group, "m").agg(F.round(F.sum(distance), 6).alias("total"))
     quartiles = sums.groupBy(group).agg(F.percentile("total", 0.25).alias("q1"), F.percentile("total", 0.75).alias("q3"))
     return sums.join(quartiles, group).where("total > q3 + 1.5 * (q3 - q1)").select(group, F.col("m").alias(member), "total")
 
 
+def value_outliers(values: DataFrame, group: str, member: str, value: str) -> DataFrame:
+    """distance_outliers() where two members are as far apart as their values differ: group, member, total.
+
+    Totals are made of running sums over a row for each distinct value of a group, without pairs.  values has a row for each
+    member; null values take no part.
+    """
+    x = F.col(value)
+    each = values.where(x.isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group).orderBy(value)
+    all_n, all_x = (F.sum(c).over(Window.partitionBy(group)) for c in (F.col("n"), F.col("n") * x))
+    n, upto = (F.sum(c).over(order) for c in (F.col("n"), F.col("n") * x))
+    told = each.withColumn("total", F.round((x * (2 * n - all_n) + all_x - 2 * upto).cast("double"), 6))
+    quartiles = told.groupBy(group).agg(F.percentile("total", 0.25, F.col("n")).alias("q1"), F.percentile("total", 0.75, F.col("n")).alias("q3"))
+    far = told.join(quartiles, group).where("total > q3 + 1.5 * (q3 - q1)").select(group, value, "total")
+    return values.join(far, [group, value]).select(group, member, "total")
+
+
 def bootstrap_columns(cells: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """Resampled alignments: replicate, group, member, place, residue, is_gap.  Every place of a replicate shows a column drawn by a hash."""
     width = cells.groupBy("group").agg((F.max("place") + 1).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.operators import aligner, ancestry, clustering, fold, hierarchy, placement
+from kinloom.operators.graph import unsent
 from kinloom.plans import domain
 from kinloom.plans.domain import TREE_SQL, table
 from kinloom.plans.queries import query
@@ -22,8 +23,9 @@ from kinloom.plans.queries import query
 def alignment_scores(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each two sequences of a group of ten customers."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 10).alias("g"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("t"))
-    met = rows.alias("a").join(rows.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
-    return met.select(F.col("a.k").alias("gene_a"), F.col("b.k").alias("gene_b"), aligner.pair_scores("a.t", "b.t").cast("long").alias("score"))
+    met = rows.alias("a").join(unsent(rows.alias("b")), (F.col("a.g") == F.col("b.g")) & (F.col("a.k") < F.col("b.k")))
+    pairs = met.select(F.col("a.k").alias("gene_a"), F.col("b.k").alias("gene_b"), F.col("a.t").alias("x"), F.col("b.t").alias("y"))
+    return aligner.with_scores(pairs, "x", "y").select("gene_a", "gene_b", F.col("score").cast("long").alias("score"))
 
 
 _RUNS = r"""regexp_extract_all(text, '[^\x20\x09-\x0D]+')"""

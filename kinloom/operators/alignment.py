@@ -94,9 +94,10 @@ def fragment_groups(spans_: DataFrame, group: str, member: str, margin: float =
 
 def consensus(cells: DataFrame) -> DataFrame:
     """One character for each place: the gap, the only residue, or X: group, place, residue."""
-    kinds = F.count_distinct(F.when(~F.col("is_gap"), F.col("residue")))
-    only = F.max(F.when(~F.col("is_gap"), F.col("residue")))
-    return cells.groupBy("group", "place").agg(F.when(kinds == 0, "-").when(kinds == 1, only).otherwise("X").alias("residue"))
+    # Distinct residues first: keys alone are hashed, and the greatest is taken among few.
+    each = cells.select("group", "place", F.when(~F.col("is_gap"), F.col("residue")).alias("residue")).distinct()
+    kinds = F.count("residue")
+    return each.groupBy("group", "place").agg(F.when(kinds == 0, "-").when(kinds == 1, F.max("residue")).otherwise("X").alias("residue"))
 
 
 def concatenate(blocks: DataFrame, part: str, member: str, aligned: str, fill: str = "X") -> DataFrame:

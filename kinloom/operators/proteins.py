@@ -97,5 +97,9 @@ def id_checks(proteins: DataFrame, species: str, protein: str) -> DataFrame:
 
 def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: key, side.  Empty means that the sets are equal."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+    # One aggregation of both sides, in place of four and two joins.  A null equals nothing, so it is told on each side that has it.
+    both = left.select(key, F.lit(True).alias("is_left")).unionByName(right.select(key, F.lit(False).alias("is_left")))
+    held = both.groupBy(key).agg(F.bool_or("is_left").alias("l"), F.bool_or(~F.col("is_left")).alias("r"))
+    alone = lambda own, other, side: F.when(F.col(own) & (~F.col(other) | F.col(key).isNull()), side)
+    sides = held.select(key, F.explode(F.array(alone("l", "r", "left"), alone("r", "l", "right"))).alias("side"))
+    return sides.where("side is not null")

@@ -119,10 +119,14 @@ def word_clusters(sequences: DataFrame, seq_id: str, text: str, size: int = 5, l
     held = sequences.select(seq_id, F.explode(F.array(F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).alias("words"))
     words = F.col("words")
     runs = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
-    grams = held.select(seq_id, F.explode(F.array_distinct(runs)).alias("gram")).distinct()
     if least <= 1:
-        links = grams.join(grams.groupBy("gram").agg(F.min(seq_id).alias("root")), "gram").select(F.col(seq_id).alias("u"), F.col("root").alias("v"))
+        # Runs by 128-bit digests, shuffled once for both sides of the join; explode() would make all runs twice, to ask for any.
+        digests = F.array_distinct(F.transform(runs, lambda x: F.md5(x)))  # texts: bytes would be compared pair by pair
+        grams = held.select(seq_id, F.explode_outer(digests).alias("gram")).select(seq_id, F.unhex("gram").alias("gram")).where("gram is not null").repartition("gram")
+        roots = grams.groupBy("gram").agg(F.min(seq_id).alias("root"))
+        links = grams.join(unsent(roots), "gram").select(F.col(seq_id).alias("u"), F.col("root").alias("v")).where("u <> v").distinct()
     else:
+        grams = held.select(seq_id, F.explode(F.array_distinct(runs)).alias("gram")).distinct()
         met = grams.alias("a").join(grams.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col(f"a.{seq_id}") < F.col(f"b.{seq_id}")))
         links = met.groupBy(F.col(f"a.{seq_id}").alias("u"), F.col(f"b.{seq_id}").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return connected_components(links, "u", "v").select(F.col("node").alias(seq_id), F.col("component").alias("cluster"))

@@ -17,7 +17,8 @@ no part; an empty table gives empty tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -42,15 +43,16 @@ class _Level:
 
     def __init__(
         self, rows: pd.DataFrame | list[dict], most: int, overlap: float, distance: Callable | None, root: Callable, keep: Callable | None,
-        align: aligner.Align | None = None, column_filter: aligner.ColumnFilter | None = None,
+        align: aligner.Align | None = None, column_filter: aligner.ColumnFilter | None = None, aligned: list[str] | None = None,
     ):
+        # aligned: the lines of the rows by hog and gene, if they are known.
         self.most, self.overlap = most, overlap
         if isinstance(rows, pd.DataFrame):
             rows = rows.to_dict("records")
         rows = sorted(rows, key=lambda r: (r["hog"], r["gene"]))
         lines, kept = [r["seq"] for r in rows], [True] * len(rows)
         if align is not None:
-            lines = align(lines)
+            lines = align(lines) if aligned is None else aligned
         if column_filter is not None:
             kept, lines = column_filter(lines)
         if keep is not None:
@@ -147,6 +149,19 @@ class _Level:
         return pd.DataFrame(self.found(fam, taxon), columns=[c.split(" ")[0] for c in _OUT.split(", ")])
 
 
+def _meetings(batches: Iterator[pa.RecordBatch], most: int = aligner.TOGETHER) -> Iterator[list[tuple[int, str, list[dict]]]]:
+    """Families at taxa (fam, taxon, rows by hog and gene) out of rows that come sorted by these, as many together as have about most cells."""
+    met, cells = [], 0
+    for (fam, taxon), rows in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: (r["fam"], r["taxon"])):
+        met.append((fam, taxon, sorted(rows, key=lambda r: (r["hog"], r["gene"]))))
+        cells += max(len(r["seq"]) for r in met[-1][2]) ** 2
+        if cells >= most:
+            yield met
+            met, cells = [], 0
+    if met:
+        yield met
+
+
 def fold(
     genes: DataFrame, tree: DataFrame, most: int = REPRESENTATIVES, overlap: float = OVERLAP, distance: Callable | None = None,
     root: Callable = genetree.midpoint, keep: Callable | None = None, align: aligner.Align | None = aligner.progressive,
@@ -169,18 +184,27 @@ def fold(
     groups = [known.select("fam", F.col("gene").alias("hog"), F.col("species").alias("level"))]
     links, splits = [], []
 
-    def level(rows: pa.Table) -> pa.Table:
-        whole = _Level(rows.to_pylist(), most, overlap, distance, root, keep, align, column_filter if align else None)
-        out = whole.found(rows["fam"][0].as_py(), rows["taxon"][0].as_py(), show is not None)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)] if out else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in _meetings(batches):
+            # The aligner of this library takes many small families at once.
+            together = aligner.progressive_together([[r["seq"] for r in rows] for _, _, rows in met]) if align is aligner.progressive else [None] * len(met)
+            out = []
+            for (fam, taxon, rows), lines in zip(met, together, strict=True):
+                whole = _Level(rows, most, overlap, distance, root, keep, align, column_filter if align else None, lines)
+                out += whole.found(fam, taxon, show is not None)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
+    # The number of tasks is said, as few bytes of genes are much work.
+    tasks = int(genes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     for turn in range(deepest - 1, -1, -1):
         moved = state.join(above.where(F.col("turn") == turn), "at")
         meeting = moved.groupBy("fam", "taxon").agg(F.count("*").alias("many"))
         moved = materialised(moved.join(meeting, ["fam", "taxon"]).select("fam", "taxon", "hog", "frozen", "many"))
         active = moved.where("not frozen and many > 1")
-        made = materialised(reps.join(active.select("fam", "taxon", "hog"), ["fam", "hog"]).groupBy("fam", "taxon").applyInArrow(level, _OUT))
+        meet = reps.join(active.select("fam", "taxon", "hog"), ["fam", "hog"]).repartition(tasks, "fam", "taxon").sortWithinPartitions("fam", "taxon")
+        made = materialised(meet.mapInArrow(levels, _OUT))
         if show is not None:
             seen = made.where("kind in ('tree', 'line')").select("fam", "taxon", "kind", "hog", "gene", F.col("seq").alias("text"), "n", "species")
             seen.write.mode("overwrite").parquet(f"{show}/turn={turn}")

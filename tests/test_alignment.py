@@ -247,3 +247,23 @@ def test_consensus_holds_few_keys(spark):
     assert {tuple(r) for r in got.collect()} == {("g", 0, "A"), ("g", 1, "X"), ("g", 2, "-"), ("g", 3, "-"), ("h", 0, "-"), ("h", 1, "K")}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct" not in plan
+
+
+def test_groups_aligned_side_by_side_are_as_each_alone(monkeypatch):
+    r = random.Random(5)
+    letter = lambda n: "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    groups = [[letter(r.choice([0, 1, 2, 7, 20, 21, 60])) for _ in range(r.randrange(7))] for _ in range(60)]
+    alone = []
+    for g in groups:
+        # Every join by its own matrix.
+        run, filled = aligner._joins(g), None
+        try:
+            while True:
+                score = run.send(filled)
+                filled = aligner._scores(score, aligner.OPEN, aligner.EXTEND)
+        except StopIteration as end:
+            alone.append(end.value)
+    for cells in (1, 2000, 1 << 20):
+        monkeypatch.setattr(aligner, "TOGETHER", cells)
+        assert aligner.progressive_together(groups) == alone
+        assert [[x.replace("-", "") for x in g] for g in alone] == groups

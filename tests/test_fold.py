@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinloom.operators import fold, genetree, hierarchy
@@ -203,3 +204,31 @@ def test_trees_and_alignments_of_the_levels_can_be_kept(spark, tmp_path):
         lines = [r for r in seen if r["kind"] == "line" and (r["fam"], r["taxon"]) == (fam, taxon)]
         leaves = [n.name for n in genetree.from_rows(trees.newick_rows(newick)).leaves()]
         assert sorted(leaves) == sorted(r["gene"] for r in lines) and len({len(r["text"]) for r in lines}) == 1
+
+
+def test_levels_are_dealt_to_all_tasks_however_few_bytes_they_have(spark, monkeypatch):
+    tree = spark.createDataFrame([("A", "W"), ("B", "W"), ("W", None)], "node string, parent string")
+    genes = spark.createDataFrame([(f, f"{s}{f}", s, "MKVLAWDE" + "ACDE"[f % 4]) for f in range(40) for s in "AB"], "fam long, gene string, species string, seq string")
+    tasks = []
+    write = fold.materialised
+
+    def seen(df):
+        if "kind" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return write(df)
+
+    monkeypatch.setattr(fold, "materialised", seen)
+    groups, links = fold.fold(genes, tree)
+    assert tasks == [4]
+    assert groups.where("level = 'W'").count() == 40 and links.count() == 80
+
+
+def test_meetings_hold_each_family_at_a_taxon_whole_across_batches():
+    rows = [{"fam": f, "taxon": "W", "hog": f"h{9 - i}", "gene": "g", "seq": "A" * 3} for f in range(5) for i in range(f + 1)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 4]) for i in range(0, len(rows), 4)]
+    for most, sizes in ((1, [1] * 5), (18, [2, 2, 1]), (1000, [5])):
+        met = list(fold._meetings(iter(batches), most))
+        assert [len(m) for m in met] == sizes
+        flat = [x for m in met for x in m]
+        assert [(f, t, len(r)) for f, t, r in flat] == [(f, "W", f + 1) for f in range(5)]
+        assert all([x["hog"] for x in r] == sorted(x["hog"] for x in r) for _, _, r in flat)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.ids import letters
 from kinloom.operators.graph import discard, materialised
+from kinloom.operators.proteins import numbered
 
 
 def paths(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -53,13 +54,22 @@ def leaf_counts(tree: DataFrame, up: DataFrame) -> DataFrame:
 
 
 def common_ancestor(members: DataFrame, group: str, leaf: str, up: DataFrame) -> DataFrame:
-    """The deepest node above all leaves of each group: group, mrca."""
-    one = members.select(F.col(group).alias("g"), F.col(leaf).alias("node")).distinct()
-    depth = up.groupBy(F.col("node").alias("ancestor")).agg(F.max("distance").alias("depth"))
-    above = one.join(up, "node").groupBy("g", "ancestor").agg(F.count("*").alias("n")).join(depth, "ancestor")
-    # A root is above all leaves, so the greatest count of a group is its size.
-    best = above.groupBy("g").agg(F.max_by("ancestor", F.struct("n", "depth")).alias("mrca"))
-    return best.select(F.col("g").alias(group), "mrca")
+    """The deepest node above all leaves of each group: group, mrca.
+
+    Nodes are numbered in the order of their paths from the root, so what is above the first and the last leaf of a group is above
+    all between: a group is two numbers, and its leaves are not shuffled with their ancestors.  mrca is null for leaves of several trees.
+    """
+    steps = F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor")))
+    paths = up.groupBy("node").agg(F.transform(steps, lambda x: x["ancestor"]).alias("path"))
+    order = materialised(numbered(paths, "path").select("node", F.col("number").alias("k")))
+    one = members.select(F.col(group).alias("g"), F.col(leaf).alias("node")).join(order, "node")
+    ends = one.groupBy("g").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    numbers = order.join(up, "node").select("k", "ancestor", "distance")
+    # As many pairs as there are different ends.
+    found = ends.select("first", "last").distinct().join(numbers.withColumnRenamed("k", "first"), "first")
+    found = found.join(numbers.select(F.col("k").alias("last"), "ancestor"), ["last", "ancestor"])
+    best = found.groupBy("first", "last").agg(F.min_by("ancestor", "distance").alias("mrca"))
+    return ends.join(best, ["first", "last"], "left").select(F.col("g").alias(group), "mrca")
 
 
 def prune(tree: DataFrame, up: DataFrame, keep: DataFrame) -> DataFrame:

@@ -218,3 +218,31 @@ def test_word_clusters_shuffle_digests_once(spark, monkeypatch):
     assert rows(got, "id", "cluster") == [(1, 1), (2, 1), (3, 3), (4, 3)]
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "unhex" in plan and "size(array_distinct" not in plan
+
+
+def test_common_ancestors_of_random_groups_and_of_several_trees(spark):
+    r = random.Random(3)
+    parent = {0: None, 1: None} | {n: r.randrange(n) for n in range(2, 40)}
+    above = lambda n: [] if n is None else [n, *above(parent[n])]
+    members = [(g, r.randrange(40)) for g in range(200) for _ in range(r.choice([1, 2, 3, 9]))] + [(None, 7), (5, None), (5, 99), (500, 99)]
+    groups = {}
+    for g, n in members:
+        if n in parent:
+            groups.setdefault(g, []).append(above(n))
+    want = {g: next((n for n in lines[0] if all(n in line for line in lines)), None) for g, lines in groups.items()}
+    assert None in want.values()
+    up = hierarchy.closure(spark.createDataFrame(list(parent.items()), "node int, parent int"))
+    got = hierarchy.common_ancestor(spark.createDataFrame(members, "fam int, leaf int"), "fam", "leaf", up)
+    assert {x["fam"]: x["mrca"] for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_placements_carry_only_what_their_order_or_columns_need(spark):
+    from kinloom.plans import domain
+
+    made = domain._hits(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" in plan and "l_shipdate" not in plan and "l_quantity" not in plan
+    assert "root_f" not in made.columns
+    kept = domain.hits(spark, "/root/testdata/sf0.001")
+    assert kept.columns == ["prot", "species", "hit_rank", "part", "root_s", "root_f", "score"]
+    assert kept.where("root_f <> part * 5 + root_s % 5").isEmpty() and kept.count() == made.count()

@@ -240,9 +240,16 @@ def test_placements_carry_only_what_their_order_or_columns_need(spark):
     from kinloom.plans import domain
 
     made = domain._hits(spark, "/root/testdata/sf0.001")
-    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    plan = made._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" in plan and "l_shipdate" not in plan and "l_quantity" not in plan
     assert "root_f" not in made.columns
     kept = domain.hits(spark, "/root/testdata/sf0.001")
     assert kept.columns == ["prot", "species", "hit_rank", "part", "root_s", "root_f", "score"]
     assert kept.where("root_f <> part * 5 + root_s % 5").isEmpty() and kept.count() == made.count()
+
+
+def test_pairs_of_families_carry_only_the_families(spark):
+    hits = spark.createDataFrame([(1, 1, 7, 80.0), (1, 2, 7, 90.0), (1, 3, 5, 75.0), (1, 4, 9, 99.0), (2, 1, 5, 71.0), (2, 2, 7, 71.0), (2, 3, 5, 70.0)], "prot int, hit_rank int, fam int, score double")
+    made = families.candidate_pairs(hits, "prot", "fam", "score")
+    assert "collect_list(fam" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(made) == [(5, 7, 3), (7, 7, 1)]
